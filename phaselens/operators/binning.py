@@ -8,28 +8,28 @@ from pyspark.sql import functions as F
 from phaselens.operators.rank import distributed_rank, exact_quantiles
 
 
-def quantile_bins(df: DataFrame, value: str, q: int, labels: list[int], tie_key: str,
-                  out_col: str, on_duplicate: str = "error") -> DataFrame:
-    """``pd.qcut(value, q, labels)``: edges at the i/q linear quantiles,
-    right-closed bins, the lowest edge included.
-
-    Duplicate edges make pandas raise; ``on_duplicate='error'`` raises the
-    same way (inside the job, via ``raise_error``), ``'drop'`` merges the
-    empty bins like ``duplicates='drop'`` (labels must then be omitted by the
-    caller's reading: the lowest matching bin wins)."""
-    if len(labels) != q:
-        raise ValueError("one label per bin")
+def quantile_edges(df: DataFrame, value: str, q: int, tie_key: str,
+                   single_task: bool | None = None) -> Column:
+    """Scalar struct ``{e: [edge_0..edge_q], dup: bool}``: the i/q linear
+    quantiles of ``value`` (one scalar subquery) and whether two coincide."""
     probs = {f"e{i}": i / q for i in range(q + 1)}
-    edges = exact_quantiles(df, value, probs, tie_key)
-    edge_cols = [f"e{i}" for i in range(q + 1)]
+    edges = exact_quantiles(df, value, probs, tie_key, single_task=single_task)
+    cols = [f"e{i}" for i in range(q + 1)]
     dup = None
-    for a, b in zip(edge_cols, edge_cols[1:]):
+    for a, b in zip(cols, cols[1:]):
         cond = F.col(a) >= F.col(b)
         dup = cond if dup is None else dup | cond
-    # one scalar subquery: the edges and the duplicate flag together
-    spec = edges.select(F.struct(F.array(*edge_cols).alias("e"), dup.alias("dup"))).scalar()
+    return edges.select(F.struct(F.array(*cols).alias("e"), dup.alias("dup"))).scalar()
+
+
+def assign_bins(df: DataFrame, value: str, spec: Column, labels: list, out_col: str,
+                on_duplicate: str = "error") -> DataFrame:
+    """Label of the right-closed bin of ``value`` (lowest edge included).
 
-    v = F.col(value)
+    Duplicate edges make pandas raise; ``on_duplicate='error'`` raises the
+    same way, inside the job (``raise_error``); ``'drop'`` keeps going and
+    gives a value the label of the first bin whose upper edge holds it."""
+    v, q = F.col(value), len(labels)
     expr = None
     for i in range(1, q + 1):
         cond = v <= F.col("_pl_spec.e")[i]
@@ -38,8 +38,16 @@ def quantile_bins(df: DataFrame, value: str, q: int, labels: list[int], tie_key:
     if on_duplicate == "error":
         expr = F.when(F.col("_pl_spec.dup"), F.raise_error(F.lit(
             f"Bin edges must be unique for {value}: use on_duplicate='drop'"))).otherwise(expr)
-    return (df.withColumn("_pl_spec", spec)
-            .withColumn(out_col, expr.cast("int")).drop("_pl_spec"))
+    return df.withColumn("_pl_spec", spec).withColumn(out_col, expr.cast("int")).drop("_pl_spec")
+
+
+def quantile_bins(df: DataFrame, value: str, q: int, labels: list[int], tie_key: str,
+                  out_col: str, on_duplicate: str = "error") -> DataFrame:
+    """``pd.qcut(value, q, labels)``: edges at the i/q linear quantiles,
+    right-closed bins, the lowest edge included."""
+    if len(labels) != q:
+        raise ValueError("one label per bin")
+    return assign_bins(df, value, quantile_edges(df, value, q, tie_key), labels, out_col, on_duplicate)
 
 
 def rank_bin(rank: Column, n: Column, q: int) -> Column:
@@ -57,9 +65,9 @@ def rank_bin(rank: Column, n: Column, q: int) -> Column:
 
 
 def rank_bins(df: DataFrame, order: list[tuple[str, bool]], tie_key: str, q: int,
-              labels: list[int], out_col: str) -> DataFrame:
+              labels: list[int], out_col: str, single_task: bool | None = None) -> DataFrame:
     """qcut of ``rank(method='first')``: ties broken by ``tie_key`` order."""
-    ranked = distributed_rank(df, order, tie_key, "_pl_rank", with_count="_pl_total")
+    ranked = distributed_rank(df, order, tie_key, "_pl_rank", with_count="_pl_total", single_task=single_task)
     b = rank_bin(F.col("_pl_rank"), F.col("_pl_total"), q)
     lab = F.element_at(F.array(*[F.lit(x) for x in labels]), b)
     return ranked.withColumn(out_col, lab.cast("int")).drop("_pl_rank", "_pl_total")

@@ -71,28 +71,30 @@ DESCRIBE_STATS = ("count", "mean", "std", "min", "25%", "50%", "75%", "max")
 
 
 def describe_exact(df: DataFrame, cols: list[str], tie_key: str, digits: int = 2) -> DataFrame:
-    """pandas ``describe().round(digits)``: exact quartiles (distributed
-    ranks, linear interpolation), sample std. One row per statistic."""
+    """pandas ``describe().round(digits)``: one row per statistic, a column
+    per input column. Quartiles are exact (distributed ranks, linear
+    interpolation), read as scalar subqueries; everything else is one
+    aggregate row, unpivoted with ``stack``."""
     from phaselens.functions.metrics import ratio, round_double
-    per_col = []
+    from phaselens.operators.rank import fits_one_task
+    small = fits_one_task(df)  # one size check for all columns
+    stats = []
     for c in cols:
-        moments = df.agg(
-            F.count(F.col(c)).cast("double").alias("count"),
-            ratio(F.sum(F.col(c).cast("decimal(18,2)")), F.count(F.col(c)), digits).alias("mean"),
-            round_double(F.stddev_samp(F.col(c)), digits).alias("std"),
-            round_double(F.min(F.col(c)).cast("double"), digits).alias("min"),
-            round_double(F.max(F.col(c)).cast("double"), digits).alias("max"))
-        qs = exact_quantiles(df, c, {"q25": 0.25, "q50": 0.5, "q75": 0.75}, tie_key)
-        per_col.append((c, moments, qs))
-    stat_frames = []
-    for c, moments, qs in per_col:
-        m = moments.withColumn("_k", F.lit(1))
-        q = qs.select(*[round_double(F.col(n), digits).alias(n) for n in ("q25", "q50", "q75")]).withColumn("_k", F.lit(1))
-        joined = m.join(F.broadcast(q), "_k").drop("_k")  # both sides are one row
-        stack = ("stack(8, 'count', `count`, 'mean', `mean`, 'std', `std`, 'min', `min`, "
-                 "'25%', `q25`, '50%', `q50`, '75%', `q75`, 'max', `max`) as (statistic, value)")
-        stat_frames.append(joined.selectExpr(stack).withColumnRenamed("value", c))
-    out = stat_frames[0]
-    for f in stat_frames[1:]:
-        out = out.join(f, "statistic")  # eight rows a side
-    return out
+        qs = exact_quantiles(df, c, {"q25": 0.25, "q50": 0.5, "q75": 0.75}, tie_key, single_task=small)
+        qv = qs.select(F.struct("q25", "q50", "q75")).scalar()
+        stats.append((c, [
+            F.count(F.col(c)).cast("double"),
+            ratio(F.sum(F.col(c).cast("decimal(18,2)")), F.count(F.col(c)), digits),
+            round_double(F.stddev_samp(F.col(c)), digits),
+            round_double(F.min(F.col(c)).cast("double"), digits),
+            round_double(F.first(qv).getField("q25"), digits),
+            round_double(F.first(qv).getField("q50"), digits),
+            round_double(F.first(qv).getField("q75"), digits),
+            round_double(F.max(F.col(c)).cast("double"), digits)]))
+    row = df.agg(*[e.alias(f"{c}__{i}") for c, es in stats for i, e in enumerate(es)])
+    stack = "stack({n}, {rows}) as (statistic, {names})".format(
+        n=len(DESCRIBE_STATS),
+        rows=", ".join(f"'{label}', " + ", ".join(f"`{c}__{i}`" for c, _ in stats)
+                       for i, label in enumerate(DESCRIBE_STATS)),
+        names=", ".join(cols))
+    return row.selectExpr(stack)

@@ -18,6 +18,12 @@ global order is cut into ranges instead:
 The sample is a pure function of the data (a hash, not ``rand``), so a
 stage recomputed after an executor loss gets the same boundaries and the
 same ranks.
+
+Size check: when an input provably holds at most
+``phaselens.rank.singleTaskMaxRows`` rows (``limit(max + 1).count()``,
+which stops early on large inputs), one ordered window in one task is
+exact and far cheaper than the bucketing stages; above the bound the
+distributed path runs. Both paths give identical results (tested).
 """
 
 from __future__ import annotations
@@ -27,6 +33,20 @@ from pyspark.sql import functions as F
 
 DEFAULT_BUCKETS = 64
 SAMPLE_PER_BUCKET = 32
+SINGLE_TASK_CONF = "phaselens.rank.singleTaskMaxRows"
+DEFAULT_SINGLE_TASK_MAX_ROWS = 1_000_000
+
+
+def fits_one_task(df: DataFrame) -> bool:
+    """True when ``df`` has at most the configured number of rows (checked)."""
+    limit = int(df.sparkSession.conf.get(SINGLE_TASK_CONF, str(DEFAULT_SINGLE_TASK_MAX_ROWS)))
+    if limit <= 0:
+        return False
+    return df.limit(limit + 1).count() <= limit
+
+
+def _order_cols(order: list[tuple[str, bool]], tie_key: str) -> list[Column]:
+    return [F.col(c).asc() if asc else F.col(c).desc() for c, asc in order] + [F.col(tie_key).asc()]
 
 
 def _key_struct(order: list[tuple[str, bool]], df: DataFrame) -> Column:
@@ -62,22 +82,34 @@ def range_buckets(df: DataFrame, order: list[tuple[str, bool]], tie_key: str,
                 .withColumn("_pl_bucket", F.size(F.filter("_pl_bounds", lambda b: b <= F.col("_pl_key"))))
                 .drop("_pl_bounds"))
     counts = bucketed.groupBy("_pl_bucket").agg(F.count(F.lit(1)).alias("_pl_cnt"))
-    lower = Window.orderBy("_pl_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    # one row per bucket (<= nb rows): ordered windows over it are trivial
-    table = counts.select("_pl_bucket", "_pl_cnt",
-                          F.coalesce(F.sum("_pl_cnt").over(lower), F.lit(0)).alias("_pl_off"),
-                          F.sum("_pl_cnt").over(Window.partitionBy()).alias("_pl_n"))
+    # one row per bucket (<= nb rows): an ordered window over it is trivial;
+    # both frames share one window spec, so one sort serves both
+    by_bucket = Window.orderBy("_pl_bucket")
+    table = counts.select(
+        "_pl_bucket", "_pl_cnt",
+        F.coalesce(F.sum("_pl_cnt").over(by_bucket.rowsBetween(Window.unboundedPreceding, -1)),
+                   F.lit(0)).alias("_pl_off"),
+        F.sum("_pl_cnt").over(by_bucket.rowsBetween(Window.unboundedPreceding,
+                                                    Window.unboundedFollowing)).alias("_pl_n"))
     return bucketed, table
 
 
 def distributed_rank(df: DataFrame, order: list[tuple[str, bool]], tie_key: str,
                      rank_col: str = "rank", buckets: int | None = None,
-                     with_count: str | None = None) -> DataFrame:
+                     with_count: str | None = None, single_task: bool | None = None) -> DataFrame:
     """Add ``rank_col`` = ROW_NUMBER() OVER (ORDER BY order..., tie_key).
 
     ``order`` is a list of (column, ascending). ``tie_key`` must be unique
     and non-null; order columns must be non-null. ``with_count`` names an
-    optional column holding the total row count (for NTILE / quantiles)."""
+    optional column holding the total row count (for NTILE / quantiles).
+    ``single_task`` skips the size check when the caller already made it."""
+    if single_task if single_task is not None else fits_one_task(df):
+        w = Window.orderBy(*_order_cols(order, tie_key))
+        ranked = df.withColumn(rank_col, F.row_number().over(w).cast("long"))
+        if with_count:
+            whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+            ranked = ranked.withColumn(with_count, F.count(F.lit(1)).over(whole).cast("long"))
+        return ranked
     bucketed, table = range_buckets(df, order, tie_key, buckets)
     within = Window.partitionBy("_pl_bucket").orderBy("_pl_key")
     ranked = (bucketed.withColumn("_pl_rn", F.row_number().over(within))
@@ -99,14 +131,16 @@ def ntile_from_rank(rank: Column, n: Column, k: int) -> Column:
 
 
 def distributed_ntile(df: DataFrame, order: list[tuple[str, bool]], tie_key: str, k: int,
-                      tile_col: str = "ntile", buckets: int | None = None) -> DataFrame:
-    ranked = distributed_rank(df, order, tie_key, "_pl_rank", buckets, with_count="_pl_total")
+                      tile_col: str = "ntile", buckets: int | None = None,
+                      single_task: bool | None = None) -> DataFrame:
+    ranked = distributed_rank(df, order, tie_key, "_pl_rank", buckets, with_count="_pl_total",
+                              single_task=single_task)
     return (ranked.withColumn(tile_col, ntile_from_rank(F.col("_pl_rank"), F.col("_pl_total"), k))
             .drop("_pl_rank", "_pl_total"))
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], tie_key: str,
-                    buckets: int | None = None) -> DataFrame:
+                    buckets: int | None = None, single_task: bool | None = None) -> DataFrame:
     """One row with a column per probability: the linear-interpolation
     quantile (``percentile`` / ``quantile_cont`` / pandas ``quantile``) of
     the non-null values.
@@ -116,6 +150,16 @@ def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], tie_key:
     semi join keeps those buckets' rows, and a window numbers them. No task
     ever holds more than one bucket."""
     base = df.select(F.col(value).cast("double").alias("_pl_v"), F.col(tie_key)).where(F.col("_pl_v").isNotNull())
+    if single_task if single_task is not None else fits_one_task(base):
+        ranked = distributed_rank(base, [("_pl_v", True)], tie_key, "_pl_r", with_count="_pl_n",
+                                  single_task=True)
+        aggs = []
+        for name, p in probs.items():
+            h = (F.col("_pl_n") - 1).cast("double") * F.lit(float(p))
+            aggs += [F.max(F.when(F.col("_pl_r") == F.floor(h) + 1, F.col("_pl_v"))).alias(f"_lo_{name}"),
+                     F.max(F.when(F.col("_pl_r") == F.ceil(h) + 1, F.col("_pl_v"))).alias(f"_hi_{name}"),
+                     F.max(h - F.floor(h)).alias(f"_d_{name}")]
+        return _interpolate(ranked.agg(*aggs), probs)
     bucketed, table = range_buckets(base, [("_pl_v", True)], tie_key, buckets)
     wanted = []
     for name, p in probs.items():
@@ -136,7 +180,11 @@ def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], tie_key:
         aggs += [F.max(F.when(F.col("tag") == f"{name}|lo", F.col("_pl_v"))).alias(f"_lo_{name}"),
                  F.max(F.when(F.col("tag") == f"{name}|hi", F.col("_pl_v"))).alias(f"_hi_{name}"),
                  F.max(F.when(F.col("tag") == f"{name}|lo", F.col("d"))).alias(f"_d_{name}")]
-    got = picked.agg(*aggs)
+    return _interpolate(picked.agg(*aggs), probs)
+
+
+def _interpolate(got: DataFrame, probs) -> DataFrame:
+    """lo + d * (hi - lo), the interpolation ``quantile_cont`` uses."""
     return got.select(*[
         (F.col(f"_lo_{n}") + F.col(f"_d_{n}") * (F.col(f"_hi_{n}") - F.col(f"_lo_{n}"))).alias(n)
         for n in probs])

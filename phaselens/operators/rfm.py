@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phaselens.functions.metrics import MONEY
-from phaselens.operators.binning import quantile_bins, rank_bins
+from phaselens.operators.binning import assign_bins, quantile_edges, rank_bins
+from phaselens.operators.rank import fits_one_task
 
 # Segment ladder on the summed score (3..9), best first.
 SEGMENTS = (
@@ -53,10 +55,17 @@ def rfm_scores(base: DataFrame, key: str, q: int = 3) -> DataFrame:
     (reversed labels); frequency: qcut of the first-occurrence rank, ties
     in key order; monetary: qcut of the value."""
     up = list(range(1, q + 1))
-    scored = quantile_bins(base, "recency", q, up[::-1], key, "r_score")
-    scored = rank_bins(scored, [("frequency", True)], key, q, up, "f_score")
-    scored = quantile_bins(scored, "monetary", q, up, key, "m_score")
-    return scored.withColumn("rfm_score", (F.col("r_score") + F.col("f_score") + F.col("m_score")).cast("int"))
+    # Three range-bucketing passes read the per-key table: keep it once
+    # (spills to disk; a lost block is recomputed from its lineage).
+    base = base.persist(StorageLevel.MEMORY_AND_DISK)
+    small = fits_one_task(base)  # one size check for the three passes
+    r_edges = quantile_edges(base, "recency", q, key, small)  # scalar subqueries over the base
+    m_edges = quantile_edges(base, "monetary", q, key, small)
+    scored = rank_bins(base, [("frequency", True)], key, q, up, "f_score", small)  # the one row shuffle
+    scored = assign_bins(scored, "recency", r_edges, up[::-1], "r_score")
+    scored = assign_bins(scored, "monetary", m_edges, up, "m_score")
+    return scored.select(key, "recency", "frequency", "monetary", "r_score", "f_score", "m_score",
+                         (F.col("r_score") + F.col("f_score") + F.col("m_score")).cast("int").alias("rfm_score"))
 
 
 def segment_col(score: Column | str) -> Column:

@@ -185,6 +185,19 @@ def _union(parts: list[str]) -> str:
     return "\nUNION ALL\n".join(parts)
 
 
+def _describe() -> str:
+    stats = [("count", lambda c: f"CAST(COUNT({c}) AS DOUBLE)"),
+             ("mean", lambda c: mean(c, 2)),
+             ("std", lambda c: rd(f"STDDEV_SAMP({c})")),
+             ("min", lambda c: rd(f"CAST(MIN({c}) AS DOUBLE)")),
+             ("25%", lambda c: rd(f"quantile_cont(CAST({c} AS DOUBLE), 0.25)")),
+             ("50%", lambda c: rd(f"quantile_cont(CAST({c} AS DOUBLE), 0.5)")),
+             ("75%", lambda c: rd(f"quantile_cont(CAST({c} AS DOUBLE), 0.75)")),
+             ("max", lambda c: rd(f"CAST(MAX({c}) AS DOUBLE)"))]
+    return _union([f"""SELECT '{label}' AS statistic, {f('recency')} AS recency, {f('frequency')} AS frequency,
+                       {f('monetary')} AS monetary FROM b""" for label, f in stats])
+
+
 def _profile_sql() -> dict[str, str]:
     shapes = _union([f"SELECT '{t}' AS table_name, COUNT(*) AS rows, CAST({len(cols)} AS INTEGER) AS columns FROM {v}"
                      for t, (v, cols) in PROFILE.items()])
@@ -378,19 +391,7 @@ def oracle_sql() -> dict[str, str]:
             {rd('AVG(pre_crisis_rating)')} AS avg_pre_crisis_rating FROM hv""", hv_c),
 
         "r01_rfm_base": _with(ORDERS_RFM),
-        "r02_rfm_describe": _with(_union([
-            f"""SELECT '{label}' AS statistic, {expr('recency', 'int')} AS recency,
-                       {expr('frequency', 'int')} AS frequency, {expr('monetary', 'dec')} AS monetary FROM b"""
-            for label, expr in [
-                ("count", lambda c, t: f"CAST(COUNT({c}) AS DOUBLE)"),
-                ("mean", lambda c, t: mean(c, 2)),
-                ("std", lambda c, t: rd(f"STDDEV_SAMP({c})")),
-                ("min", lambda c, t: rd(f"CAST(MIN({c}) AS DOUBLE)")),
-                ("25%", lambda c, t: rd(f"quantile_cont(CAST({c} AS DOUBLE), 0.25)")),
-                ("50%", lambda c, t: rd(f"quantile_cont(CAST({c} AS DOUBLE), 0.5)")),
-                ("75%", lambda c, t: rd(f"quantile_cont(CAST({c} AS DOUBLE), 0.75)")),
-                ("max", lambda c, t: rd(f"CAST(MAX({c}) AS DOUBLE)")),
-            ]]), {"b": ORDERS_RFM}),
+        "r02_rfm_describe": _with(_describe(), {"b": ORDERS_RFM}),
         "r03_rfm_scores": _with("""SELECT customer_id, recency, frequency, monetary, r_score, f_score, m_score,
             rfm_score FROM s""", _scores_ctes(ORDERS_RFM)),
         "r04_score_distribution": _with("SELECT rfm_score, COUNT(*) AS customers FROM s GROUP BY rfm_score",
@@ -400,9 +401,8 @@ def oracle_sql() -> dict[str, str]:
             AS BIGINT) AS recoverable_customers, COUNT(*) AS total_customers FROM seg""", _scores_ctes(ORDERS_RFM)),
         "r07_no_history": _with("""SELECT COUNT(*) AS customers_without_orders FROM customers_v c
             WHERE c.customer_id NOT IN (SELECT customer_id FROM b)""", {"b": ORDERS_RFM}),
-        "r03_rfm_scores_events": _with("""SELECT customer_id, recency, frequency, monetary, r_score, f_score,
-            m_score, rfm_score FROM s""", _scores_ctes(EVENTS_RFM)),
-        "r05_segments_events": _with(SEGMENTS_SQL, _scores_ctes(EVENTS_RFM)),
+        "r01_rfm_base_events": _with(EVENTS_RFM),
+        "r02_rfm_describe_events": _with(_describe(), {"b": EVENTS_RFM}),
 
         "x01_behavior_shift": _with(f"""SELECT {month('order_timestamp')} AS month, {ph()} AS phase,
             COUNT(order_id) AS total_orders, {mean('total_amount')} AS avg_order_value,

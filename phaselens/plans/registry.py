@@ -32,9 +32,21 @@ _MODEL_QUERIES = [
 ]
 
 
+_MODELS: dict[tuple[int, str], Model] = {}
+
+
+def driver_model(spark: SparkSession, sf_dir: str) -> Model:
+    """One lazily-built model per (session, data folder): views a query has
+    already analysed are reused by the next query."""
+    key = (id(spark), sf_dir)
+    if key not in _MODELS:
+        _MODELS[key] = Model.from_driver(spark, sf_dir)
+    return _MODELS[key]
+
+
 def _on_model(fn):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return fn(Model.from_driver(spark, sf_dir))
+        return fn(driver_model(spark, sf_dir))
     run.__name__ = fn.__name__
     run.__doc__ = fn.__doc__
     return run
@@ -49,8 +61,8 @@ def _on_events(fn):
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {fn.__name__: _on_model(fn) for fn in _MODEL_QUERIES}
-    out["r03_rfm_scores_events"] = _on_events(r.r03_rfm_scores_events)
-    out["r05_segments_events"] = _on_events(r.r05_segments_events)
+    out["r01_rfm_base_events"] = _on_events(r.r01_rfm_base_events)
+    out["r02_rfm_describe_events"] = _on_events(r.r02_rfm_describe_events)
     return out
 
 

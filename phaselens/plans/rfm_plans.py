@@ -87,10 +87,19 @@ def events_rfm_base(events: DataFrame, reference_date: dt.datetime = EVENTS_REFE
                     "customer_id", "ts", "value", reference_date)
 
 
-def r03_rfm_scores_events(events: DataFrame) -> DataFrame:
-    return rfm_scores(events_rfm_base(events), "customer_id")
+def r01_rfm_base_events(events: DataFrame) -> DataFrame:
+    """Per user: recency in whole elapsed days (floored: an event 14 hours
+    before the reference date is 0 days old), events, summed value."""
+    return events_rfm_base(events)
+
 
+def r02_rfm_describe_events(events: DataFrame) -> DataFrame:
+    return describe_exact(events_rfm_base(events), ["recency", "frequency", "monetary"], "customer_id")
 
-def r05_segments_events(events: DataFrame) -> DataFrame:
-    return segment_summary(r03_rfm_scores_events(events))
+
+def rfm_scores_events(events: DataFrame) -> DataFrame:
+    """Scores on the events binding. Almost every user is active up to the
+    last days, so the recency edges coincide and this raises, as
+    ``pd.qcut`` does on duplicate edges."""
+    return rfm_scores(events_rfm_base(events), "customer_id")
 

@@ -17,7 +17,8 @@ query that reads only ``orders``.
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import cached_property, lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,28 +62,51 @@ DRIVER_PARAMS = Params(
 )
 
 
-@dataclass
+VIEW_NAMES = ("orders", "orders_full", "order_lines", "customers", "restaurants", "delivery",
+              "ratings", "ratings_core", "order_items", "partners", "menu")
+
+
 class Model:
-    orders: DataFrame  # order_id, customer_id, order_timestamp, total_amount, is_cancelled
-    orders_full: DataFrame  # fact_orders shape (money split, partner, restaurant)
-    order_lines: DataFrame  # restaurant grain: order_id, restaurant_id, customer_id, order_timestamp, is_cancelled
-    customers: DataFrame  # customer_id, city, acquisition_channel
-    restaurants: DataFrame  # restaurant_id, restaurant_name, cuisine_type, partner_type, is_active
-    delivery: DataFrame  # order_id, actual_delivery_time_mins, expected_delivery_time_mins, distance_km
-    ratings: DataFrame  # order_id, customer_id, restaurant_id, rating, review_text, review_timestamp, sentiment_score
-    order_items: DataFrame
-    partners: DataFrame
-    menu: DataFrame
-    calendar: PhaseCalendar = REFERENCE_CALENDAR
-    params: Params = field(default_factory=Params)
-    has_restaurant_city: bool = True
-    ratings_core: DataFrame | None = None  # ratings without review_text (no text join)
+    """The reference-shaped views, the phase calendar and the parameters.
+
+    Views are given as DataFrames or as zero-argument builders; a builder
+    runs on first access only, so a query pays (driver-side analysis) for
+    the views it reads and no others.
+
+    orders        order_id, customer_id, order_timestamp, total_amount, is_cancelled
+    orders_full   fact_orders shape (money split, partner, restaurant)
+    order_lines   restaurant grain: order_id, restaurant_id, customer_id, order_timestamp, is_cancelled
+    customers     customer_id, city, acquisition_channel
+    restaurants   restaurant_id, restaurant_name, cuisine_type, partner_type, is_active
+    delivery      order_id, actual_delivery_time_mins, expected_delivery_time_mins, distance_km
+    ratings       order_id, customer_id, restaurant_id, rating, review_text, review_timestamp, sentiment_score
+    ratings_core  ratings without review_text (skips a text join where the binding has one)
+    order_items, partners, menu   the remaining reference tables (profiled only)
+    """
+
+    def __init__(self, views: dict, calendar: PhaseCalendar = REFERENCE_CALENDAR,
+                 params: Params | None = None, has_restaurant_city: bool = True):
+        self._src = dict(views)
+        self._built: dict[str, DataFrame] = {}
+        self.calendar = calendar
+        self.params = params or Params()
+        self.has_restaurant_city = has_restaurant_city
+
+    def __getattr__(self, name: str) -> DataFrame:
+        src = self.__dict__.get("_src", {})
+        if name not in src:
+            raise AttributeError(name)
+        built = self.__dict__["_built"]
+        if name not in built:
+            v = src[name]
+            built[name] = v() if callable(v) else v
+        return built[name]
 
     @property
     def ratings_scores(self) -> DataFrame:
         """order_id, customer_id, rating, sentiment_score: what the SQL
-        variants read. Skips the document join where the binding has one."""
-        src = self.ratings_core if self.ratings_core is not None else self.ratings
+        variants read."""
+        src = self.ratings_core if "ratings_core" in self._src else self.ratings
         return src.select("order_id", "customer_id", "rating", "sentiment_score")
 
     def profile_tables(self) -> dict[str, DataFrame]:
@@ -104,119 +128,169 @@ class Model:
                        params: Params | None = None) -> "Model":
         """Bind the reference's own tables (see ``read_reference_csv``)."""
         fo = tables["fact_orders"]
-        orders = fo.select("order_id", "customer_id", "restaurant_id", "order_timestamp",
-                           "total_amount", "is_cancelled")
-        return cls(
-            orders=orders,
-            orders_full=fo,
-            order_lines=fo.select("order_id", "restaurant_id", "customer_id", "order_timestamp",
-                                  "is_cancelled"),
-            customers=tables["dim_customer"],
-            restaurants=tables["dim_restaurant"],
-            delivery=tables["fact_delivery"],
-            ratings=tables["fact_ratings"],
-            order_items=tables["fact_order_items"],
-            partners=tables["dim_delivery_partner"],
-            menu=tables["dim_menu_item"],
-            calendar=calendar,
-            params=params or Params(),
-            has_restaurant_city=True,
-        )
+        return cls({
+            "orders": lambda: fo.select("order_id", "customer_id", "restaurant_id", "order_timestamp",
+                                        "total_amount", "is_cancelled"),
+            "orders_full": fo,
+            "order_lines": lambda: fo.select("order_id", "restaurant_id", "customer_id", "order_timestamp",
+                                             "is_cancelled"),
+            "customers": tables["dim_customer"],
+            "restaurants": tables["dim_restaurant"],
+            "delivery": tables["fact_delivery"],
+            "ratings": tables["fact_ratings"],
+            "order_items": tables["fact_order_items"],
+            "partners": tables["dim_delivery_partner"],
+            "menu": tables["dim_menu_item"],
+        }, calendar, params, has_restaurant_city=True)
 
     @classmethod
     def from_driver(cls, spark: SparkSession, sf_dir: str) -> "Model":
-        t = lambda name: read_parquet_table(spark, sf_dir, name)
-        orders_src, lineitem, part = t("orders"), t("lineitem"), t("part")
-        customer, nation, supplier, documents = t("customer"), t("nation"), t("supplier"), t("documents")
+        d = _DriverViews(spark, sf_dir)
+        return cls({name: (lambda n=name: getattr(d, n)) for name in VIEW_NAMES},
+                   DRIVER_CALENDAR, DRIVER_PARAMS, has_restaurant_city=False)
+
+
+def _cancelled():
+    return F.when(F.col("o_orderstatus") == "P", "Y").otherwise("N")
+
+
+def _price():
+    return F.col("l_extendedprice").cast(MONEY)
+
+
+class _DriverViews:
+    """Deterministic mapping of the driver's tables to the reference shapes."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
 
-        cancelled = F.when(F.col("o_orderstatus") == "P", "Y").otherwise("N")
-        orders = orders_src.select(
+    @lru_cache(maxsize=None)
+    def t(self, name: str) -> DataFrame:
+        return read_parquet_table(self.spark, self.sf_dir, name)
+
+    @cached_property
+    def orders(self) -> DataFrame:
+        return self.t("orders").select(
             F.col("o_orderkey").alias("order_id"),
             F.col("o_custkey").alias("customer_id"),
             F.col("o_orderdate").alias("order_timestamp"),
             F.col("o_totalprice").cast(MONEY).alias("total_amount"),
-            cancelled.alias("is_cancelled"))
+            _cancelled().alias("is_cancelled"))
 
-        price = F.col("l_extendedprice").cast(MONEY)
-        per_order_money = lineitem.groupBy(F.col("l_orderkey").alias("order_id")).agg(
+    @cached_property
+    def orders_full(self) -> DataFrame:
+        o, price = self.t("orders"), _price()
+        per_order = self.t("lineitem").groupBy(F.col("l_orderkey").alias("m_orderkey")).agg(
             F.min("l_partkey").alias("restaurant_id"),
             F.min("l_suppkey").alias("delivery_partner_id"),
             F.sum(price).alias("subtotal_amount"),
             F.round(F.sum(price * F.col("l_discount").cast(MONEY)), 2).cast(MONEY).alias("discount_amount"),
             F.round(F.sum(price * F.col("l_tax").cast(MONEY)), 2).cast(MONEY).alias("delivery_fee"))
-        orders_full = (orders_src.join(per_order_money, orders_src.o_orderkey == per_order_money.order_id, "left")
-                       .select(F.col("o_orderkey").alias("order_id"),
-                               F.col("o_custkey").alias("customer_id"),
-                               "restaurant_id", "delivery_partner_id",
-                               F.col("o_orderdate").alias("order_timestamp"),
-                               "subtotal_amount", "discount_amount", "delivery_fee",
-                               F.col("o_totalprice").cast(MONEY).alias("total_amount"),
-                               F.when(F.col("o_orderstatus") == "O", "Y").otherwise("N").alias("is_cod"),
-                               cancelled.alias("is_cancelled")))
-
-        order_lines = lineitem.join(orders_src, lineitem.l_orderkey == orders_src.o_orderkey).select(
-            F.col("l_orderkey").alias("order_id"),
-            F.col("l_partkey").alias("restaurant_id"),
-            F.col("o_custkey").alias("customer_id"),
-            F.col("o_orderdate").alias("order_timestamp"),
-            cancelled.alias("is_cancelled"))
+        return (o.join(per_order, F.col("o_orderkey") == F.col("m_orderkey"), "left")
+                .select(F.col("o_orderkey").alias("order_id"),
+                        F.col("o_custkey").alias("customer_id"),
+                        "restaurant_id", "delivery_partner_id",
+                        F.col("o_orderdate").alias("order_timestamp"),
+                        "subtotal_amount", "discount_amount", "delivery_fee",
+                        F.col("o_totalprice").cast(MONEY).alias("total_amount"),
+                        F.when(F.col("o_orderstatus") == "O", "Y").otherwise("N").alias("is_cod"),
+                        _cancelled().alias("is_cancelled")))
+
+    @cached_property
+    def order_lines(self) -> DataFrame:
+        return (self.t("lineitem").join(self.t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+                .select(F.col("l_orderkey").alias("order_id"),
+                        F.col("l_partkey").alias("restaurant_id"),
+                        F.col("o_custkey").alias("customer_id"),
+                        F.col("o_orderdate").alias("order_timestamp"),
+                        _cancelled().alias("is_cancelled")))
 
+    @cached_property
+    def customers(self) -> DataFrame:
         # nation has a fixed 25 rows: broadcasting it is safe at any scale.
-        customers = (customer.where(F.col("c_custkey") % 29 != 0)
-                     .join(F.broadcast(nation), customer.c_nationkey == nation.n_nationkey)
-                     .select(F.col("c_custkey").alias("customer_id"),
-                             F.col("n_name").alias("city"),
-                             F.col("c_mktsegment").alias("acquisition_channel")))
+        return (self.t("customer").where(F.col("c_custkey") % 29 != 0)
+                .join(F.broadcast(self.t("nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+                .select(F.col("c_custkey").alias("customer_id"),
+                        F.col("n_name").alias("city"),
+                        F.col("c_mktsegment").alias("acquisition_channel")))
 
-        restaurants = part.select(
+    @cached_property
+    def restaurants(self) -> DataFrame:
+        return self.t("part").select(
             F.col("p_partkey").alias("restaurant_id"),
             F.col("p_name").alias("restaurant_name"),
             F.col("p_brand").alias("cuisine_type"),
             F.col("p_type").alias("partner_type"),
             F.when(F.col("p_size") % 10 != 0, "Y").otherwise("N").alias("is_active"))
 
+    @cached_property
+    def delivery(self) -> DataFrame:
         # part grows with the data: no broadcast hint, AQE decides by size.
-        delivery = (lineitem.join(part, lineitem.l_partkey == part.p_partkey)
-                    .groupBy(F.col("l_orderkey").alias("order_id"))
-                    .agg(F.sum("l_quantity").cast("int").alias("actual_delivery_time_mins"),
-                         F.sum("p_size").cast("int").alias("expected_delivery_time_mins"),
-                         F.count(F.lit(1)).cast("double").alias("distance_km")))
+        return (self.t("lineitem").join(self.t("part"), F.col("l_partkey") == F.col("p_partkey"))
+                .groupBy(F.col("l_orderkey").alias("order_id"))
+                .agg(F.sum("l_quantity").cast("int").alias("actual_delivery_time_mins"),
+                     F.sum("p_size").cast("int").alias("expected_delivery_time_mins"),
+                     F.count(F.lit(1)).cast("double").alias("distance_km")))
 
+    @cached_property
+    def _rated(self) -> DataFrame:
         flag = (F.when(F.col("l_returnflag") == "A", 1)
                 .when(F.col("l_returnflag") == "R", -1).otherwise(0))
-        per_order_review = lineitem.groupBy(F.col("l_orderkey").alias("r_orderkey")).agg(
+        per_order = self.t("lineitem").groupBy(F.col("l_orderkey").alias("r_orderkey")).agg(
             F.min("l_partkey").alias("restaurant_id"),
             F.max("l_shipdate").alias("last_ship"),
             ratio(F.sum(flag), F.count(F.lit(1)), 2).alias("sentiment_score"))
-        rated = (orders_src.where(F.col("o_orderkey") % 2 == 0)
-                 .join(per_order_review, F.col("o_orderkey") == per_order_review.r_orderkey, "left"))
-        review_cols = [F.col("o_orderkey").alias("order_id"),
-                       F.col("o_custkey").alias("customer_id"),
-                       "restaurant_id",
-                       F.substring("o_orderpriority", 1, 1).cast("double").alias("rating")]
-        review_ts = (F.when(F.col("o_orderkey") % 4 == 0, F.date_format("last_ship", "dd-MM-yyyy"))
-                     .otherwise(F.date_format("last_ship", "yyyy-MM-dd HH:mm:ss")).alias("review_timestamp"))
-        ratings = (rated.join(documents.select("doc_id", "text"), F.col("o_orderkey") == F.col("doc_id"), "left")
-                   .select(*review_cols, F.col("text").alias("review_text"), review_ts, "sentiment_score"))
-        ratings_core = rated.select(*review_cols, review_ts, "sentiment_score")
-
-        order_items = lineitem.select(
+        return (self.t("orders").where(F.col("o_orderkey") % 2 == 0)
+                .join(per_order, F.col("o_orderkey") == F.col("r_orderkey"), "left"))
+
+    @staticmethod
+    def _review_cols():
+        return [F.col("o_orderkey").alias("order_id"),
+                F.col("o_custkey").alias("customer_id"),
+                "restaurant_id",
+                F.substring("o_orderpriority", 1, 1).cast("double").alias("rating")]
+
+    @staticmethod
+    def _review_ts():
+        return (F.when(F.col("o_orderkey") % 4 == 0, F.date_format("last_ship", "dd-MM-yyyy"))
+                .otherwise(F.date_format("last_ship", "yyyy-MM-dd HH:mm:ss")).alias("review_timestamp"))
+
+    @cached_property
+    def ratings(self) -> DataFrame:
+        docs = self.t("documents").select("doc_id", "text")
+        return (self._rated.join(docs, F.col("o_orderkey") == F.col("doc_id"), "left")
+                .select(*self._review_cols(), F.col("text").alias("review_text"), self._review_ts(),
+                        "sentiment_score"))
+
+    @cached_property
+    def ratings_core(self) -> DataFrame:
+        return self._rated.select(*self._review_cols(), self._review_ts(), "sentiment_score")
+
+    @cached_property
+    def order_items(self) -> DataFrame:
+        price = _price()
+        disc = F.round(price * F.col("l_discount").cast(MONEY), 2)
+        return self.t("lineitem").select(
             F.col("l_orderkey").alias("order_id"),
             F.col("l_linenumber").cast("string").alias("item_id"),
             F.col("l_partkey").alias("menu_item_id"),
             F.col("l_partkey").alias("restaurant_id"),
             F.col("l_quantity").cast("int").alias("quantity"),
             price.alias("unit_price"),
-            F.round(price * F.col("l_discount").cast(MONEY), 2).cast(MONEY).alias("item_discount"),
-            (price - F.round(price * F.col("l_discount").cast(MONEY), 2)).cast(MONEY).alias("line_total"))
+            disc.cast(MONEY).alias("item_discount"),
+            (price - disc).cast(MONEY).alias("line_total"))
 
-        partners = supplier.join(F.broadcast(nation), supplier.s_nationkey == nation.n_nationkey).select(
-            F.col("s_suppkey").alias("delivery_partner_id"),
-            F.col("s_name").alias("partner_name"),
-            F.col("n_name").alias("city"),
-            F.col("s_acctbal").alias("avg_rating"))
+    @cached_property
+    def partners(self) -> DataFrame:
+        return (self.t("supplier").join(F.broadcast(self.t("nation")), F.col("s_nationkey") == F.col("n_nationkey"))
+                .select(F.col("s_suppkey").alias("delivery_partner_id"),
+                        F.col("s_name").alias("partner_name"),
+                        F.col("n_name").alias("city"),
+                        F.col("s_acctbal").alias("avg_rating")))
 
-        menu = part.select(
+    @cached_property
+    def menu(self) -> DataFrame:
+        return self.t("part").select(
             F.col("p_partkey").alias("menu_item_id"),
             F.col("p_partkey").alias("restaurant_id"),
             F.col("p_name").alias("item_name"),
@@ -224,12 +298,6 @@ class Model:
             F.when(F.col("p_size") % 2 == 0, "Y").otherwise("N").alias("is_veg"),
             F.col("p_retailprice").cast(MONEY).alias("price"))
 
-        return cls(orders=orders, orders_full=orders_full, order_lines=order_lines,
-                   customers=customers, restaurants=restaurants, delivery=delivery,
-                   ratings=ratings, order_items=order_items, partners=partners, menu=menu,
-                   calendar=DRIVER_CALENDAR, params=DRIVER_PARAMS, has_restaurant_city=False,
-                   ratings_core=ratings_core)
-
 
 # The same binding as SQL text (DuckDB / ANSI), one CTE per view.
 DRIVER_BINDING_SQL = {
