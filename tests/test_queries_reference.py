@@ -1,0 +1,122 @@
+"""Named queries on the reference-schema fixture: the edge rows and the
+places where the SQL and notebook variants disagree by construction."""
+
+import datetime as dt
+
+from pyspark.sql import functions as F
+
+from phaselens.functions.calendar import CRISIS, PRE, RECOVERY
+from phaselens.operators.rfm import rfm_base
+from phaselens.plans import extra_plans as x
+from phaselens.plans import notebook_variants as p
+from phaselens.plans import rfm_plans as r
+from phaselens.plans import sql_variants as s
+
+
+def _rows(df, key):
+    return {getattr(row, key): row.asDict() for row in df.collect()}
+
+
+def test_phase_counts_partition_the_orders(ref_model):
+    counts = _rows(x.d05_phase_counts(ref_model), "phase")
+    assert sum(v["orders"] for v in counts.values()) == ref_model.orders.count()
+    # boundary instants and the NULL timestamp land where the reference puts them
+    o = ref_model.orders.withColumn("ph", ref_model.calendar.phase_col("order_timestamp"))
+    ph = {row.order_id: row.ph for row in o.collect()}
+    assert [ph["O001"], ph["O002"], ph["O003"], ph["O004"], ph["O005"]] == [CRISIS, PRE, RECOVERY, CRISIS, RECOVERY]
+
+
+def test_restaurant_decline_left_vs_inner_join(ref_model):
+    left = _rows(s.s04_restaurant_decline(ref_model), "restaurant_id")
+    inner = _rows(p.p03_restaurant_decline(ref_model), "restaurant_id")
+    # R10: ten pre-crisis orders, none in the crisis: kept at 100 % by the SQL, dropped by pandas
+    assert left["R10"]["decline_pct"] == 100.0
+    assert left["R10"]["crisis_avg_monthly_orders"] == 0.0
+    assert "R10" not in inner
+    # R9: nine pre-crisis orders, below the threshold in both
+    assert "R9" not in left and "R9" not in inner
+    # R11: 12 pre (2.4 / month) vs 2 crisis (1 / month) -> 58.33 %; totals 12 vs 2 -> 83.33 %
+    assert left["R11"]["decline_pct"] == 58.33
+    assert inner["R11"]["decline_pct"] == 83.33
+    assert left["R11"]["city"] == "Delhi"
+
+
+def test_loyal_rule_ignores_cancellation(ref_model):
+    row = s.s06_loyal_churn(ref_model).first()
+    # loyal (>= 2 pre orders): C2 (one cancelled), C4, C5, C6; C1 and CX have one pre order
+    assert row.total_loyal_customers == 4
+    assert row.churned_loyal_customers == 3  # C6 ordered in the crisis
+    assert row.churned_loyal_customers + row.retained_loyal_customers == row.total_loyal_customers
+    p09 = p.p09_loyalty_churn(ref_model).first()
+    assert (p09.repeat_customers, p09.churned_customers) == (4, 3)
+
+
+def test_orphan_customer_is_excluded_from_city_queries(ref_model):
+    un = p.p02_unmatched_orders(ref_model).first()
+    assert un.unmatched_orders == 2 and un.total_orders == ref_model.orders.count()
+    cities = {row.city for row in s.s03_city_phase_cancel(ref_model).collect()}
+    assert None not in cities and cities <= {"Delhi", "Mumbai", "Pune"}
+
+
+def test_sla_breach_is_strict(ref_model):
+    rows = _rows(s.s05_sla_by_phase(ref_model), "business_phase")
+    # O001 (crisis): actual == expected -> not a breach; O002 (pre): breach; O003 (recovery): early
+    assert rows[CRISIS]["sla_breach_rate_pct"] == 0.0
+    assert rows[PRE]["sla_breach_rate_pct"] == 100.0
+    assert rows[PRE]["avg_delay_mins"] == 10.0
+
+
+def test_left_join_fan_out_is_counted_like_the_script(ref_model):
+    rows = _rows(s.s10_recovery_scorecard(ref_model), "business_phase")
+    # O001 has two ratings: the crisis phase counts it twice, as the SQL does
+    crisis_orders = ref_model.orders.where(ref_model.calendar.between("order_timestamp", CRISIS)).count()
+    assert rows[CRISIS]["total_orders"] == crisis_orders + 1
+
+
+def test_dropna_removes_blank_and_partial_ratings(ref_model):
+    row = x.d08_after_dropna(ref_model).first()
+    assert row.ratings_after_dropna == 5
+    assert row.partner_id_nulls_retained == 1
+
+
+def test_review_month_parsing_and_keywords(ref_model):
+    months = _rows(p.p06_monthly_rating(ref_model), "month")
+    # all five clean reviews parse to June 2025 (day-first)
+    assert list(months) == ["2025-06"] and months["2025-06"]["total_reviews"] == 5
+    kw = {row.keyword: row.frequency for row in p.p07_negative_keywords(ref_model).collect()}
+    # crisis orders O001/O004 with rating <= 2.5: "late2 café bad_x cold, stale-late 5late it's",
+    # "late and cold", "stale stale"
+    assert kw == {"cold": 2, "late": 2, "stale": 3}
+
+
+def test_recency_floors_elapsed_days(spark):
+    df = spark.createDataFrame([("A", dt.datetime(2025, 9, 30, 10, 0), 1.0),
+                                ("B", dt.datetime(2025, 9, 29, 23, 0), 1.0),
+                                ("C", dt.datetime(2025, 10, 1, 10, 0), 1.0)],
+                               "customer_id string, ts timestamp_ntz, amount double")
+    got = {row.customer_id: row.recency for row in
+           rfm_base(df, "customer_id", "ts", "amount", dt.datetime(2025, 10, 1)).collect()}
+    assert got == {"A": 0, "B": 1, "C": -1}  # 14 h -> 0 days; 25 h -> 1; 10 h in the future -> -1
+
+
+def test_rfm_segments_sum_to_customers(ref_model):
+    seg = r.r05_segments(ref_model).collect()
+    assert [row.segment for row in seg] == ["Champions", "Loyal", "At Risk", "Needs Attention", "Lost"]
+    base = r.r01_rfm_base(ref_model).count()
+    assert sum(row.customer_count or 0 for row in seg) == base
+    assert r.r06_recoverable(ref_model).first().total_customers == base
+    # dimension customers with no kept order: C8 only (CX has orders but no dimension row)
+    assert r.r07_no_history(ref_model).first().customers_without_orders == 1
+
+
+def test_top_share_quantile_keeps_ties_ntile_splits_them(spark):
+    from phaselens.operators.rank import distributed_ntile, exact_quantiles
+    # 15 spenders (< 20 tiles); three tie at the top
+    rows = [(f"C{i:02d}", float(v)) for i, v in enumerate([900, 900, 900] + list(range(100, 1300, 100)))]
+    df = spark.createDataFrame(rows, "customer_id string, spend double")
+    tiles = distributed_ntile(df, [("spend", False)], "customer_id", 20, "t")
+    top_ntile = tiles.where(F.col("t") == 1).count()
+    thr = exact_quantiles(df, "spend", {"q": 0.95}, "customer_id").first().q
+    top_quant = df.where(F.col("spend") >= thr).count()
+    assert top_ntile == 1  # n < 20: one row per tile
+    assert top_quant == 1 and thr > 1100
