@@ -55,7 +55,25 @@ def exact_mean(col, digits: int = 2, in_scale: int = 2) -> Column:
     Values must carry at most ``in_scale`` decimals (ratings, scores, money,
     integer minutes)."""
     c = _c(col)
-    return ratio(F.sum(c.cast(DecimalType(18, in_scale))), F.count(c), digits)
+    return ratio(scaled_sum(c, in_scale), F.count(c) * F.lit(10 ** in_scale), digits)
+
+
+def scaled(col, in_scale: int = 2) -> Column:
+    """A value with at most ``in_scale`` decimals as an exact LONG count of
+    its smallest unit (cents for money). LONG sums stay in whole-stage
+    codegen; DECIMAL sums wider than 18 digits fall back to BigDecimal."""
+    return F.round(_c(col) * F.lit(10 ** in_scale)).cast("long")
+
+
+def scaled_sum(col, in_scale: int = 2) -> Column:
+    return F.sum(scaled(col, in_scale))
+
+
+def cents_to_money(col, in_scale: int = 2, digits: int = 2) -> Column:
+    """Exact DECIMAL(18,digits) from a LONG count of 10^-in_scale units,
+    rounded half-up."""
+    q = _c(col).cast(DecimalType(20, 0)) / F.lit(10 ** in_scale).cast(DecimalType(in_scale + 1, 0))
+    return F.round(q, digits).cast(DecimalType(18, digits))
 
 
 def round_double(col, digits: int = 2) -> Column:
@@ -66,6 +84,11 @@ def round_double(col, digits: int = 2) -> Column:
     return F.round(_c(col).cast(DecimalType(38, 10)), digits).cast("double")
 
 
+def money_total(col, digits: int = 2, in_scale: int = 2) -> Column:
+    """Exact total of a money column (LONG cents), rounded half-up, DOUBLE."""
+    return ratio(scaled_sum(col, in_scale), F.lit(10 ** in_scale), digits)
+
+
 def round_money(col, digits: int = 2) -> Column:
     """Round an exact DECIMAL half-up and hand it out as DOUBLE."""
     return F.round(_c(col), digits).cast("double")

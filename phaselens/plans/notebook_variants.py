@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from phaselens.functions.calendar import CRISIS, PRE
-from phaselens.functions.metrics import decline_pct, exact_mean, pct, ratio, round_double, round_money
+from phaselens.functions.metrics import decline_pct, exact_mean, money_total, pct, ratio, round_double
 from phaselens.functions.timeparse import parse_mixed_ts
 from phaselens.operators.churn import flag_active
 from phaselens.operators.compare import count_in, phase_pivot
@@ -172,11 +172,11 @@ def _kept_orders(m: Model) -> DataFrame:
 def p08_revenue(m: Model) -> DataFrame:
     return (_kept_orders(m).groupBy("phase")
             .agg(F.count("order_id").alias("total_orders"),
-                 round_money(F.sum("subtotal_amount")).alias("total_subtotal"),
-                 round_money(F.sum("discount_amount")).alias("total_discount"),
-                 round_money(F.sum("delivery_fee")).alias("total_delivery"),
-                 round_money(F.sum("total_amount")).alias("total_revenue"),
-                 ratio(F.sum("total_amount"), F.count("total_amount")).alias("avg_order_value"))
+                 money_total("subtotal_amount").alias("total_subtotal"),
+                 money_total("discount_amount").alias("total_discount"),
+                 money_total("delivery_fee").alias("total_delivery"),
+                 money_total("total_amount").alias("total_revenue"),
+                 exact_mean("total_amount").alias("avg_order_value"))
             .orderBy(m.calendar.ordinal_col("phase")))
 
 

@@ -157,7 +157,7 @@ PROFILE = {
     "fact_orders": ("orders_full_v", [("order_id", "bigint"), ("customer_id", "bigint"),
                                       ("restaurant_id", "bigint"), ("delivery_partner_id", "bigint"),
                                       ("order_timestamp", "timestamp_ntz"),
-                                      ("subtotal_amount", "decimal(28,2)"), ("discount_amount", "decimal(18,2)"),
+                                      ("subtotal_amount", "decimal(18,2)"), ("discount_amount", "decimal(18,2)"),
                                       ("delivery_fee", "decimal(18,2)"), ("total_amount", "decimal(18,2)"),
                                       ("is_cod", "string"), ("is_cancelled", "string")]),
     "fact_order_items": ("order_items_v", [("order_id", "bigint"), ("item_id", "string"),

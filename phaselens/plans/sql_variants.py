@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phaselens.functions.calendar import CRISIS, PRE
-from phaselens.functions.metrics import decline_pct, exact_mean, monthly_mean, pct, ratio, round_money
+from phaselens.functions.metrics import decline_pct, exact_mean, monthly_mean, pct, ratio, round_money, scaled_sum
 from phaselens.operators.churn import churn_summary
 from phaselens.operators.compare import count_in, phase_pivot
 from phaselens.operators.rank import distributed_ntile
@@ -37,12 +37,12 @@ def s02_phase_revenue(m: Model) -> DataFrame:
     o = _phased(m, m.orders.where(F.col("is_cancelled") == "N"))
     return (o.groupBy("business_phase")
             .agg(F.count("order_id").alias("total_orders"),
-                 F.sum("total_amount").alias("_rev"),
+                 scaled_sum("total_amount").alias("_cents"),
                  F.count("total_amount").alias("_n"))
             .select("business_phase", "total_orders",
-                    round_money(F.col("_rev")).alias("total_revenue"),
-                    ratio(F.col("_rev"), F.lit(10_000_000)).alias("revenue_in_crores"),
-                    ratio(F.col("_rev"), F.col("_n")).alias("avg_order_value"))
+                    ratio(F.col("_cents"), F.lit(100)).alias("total_revenue"),
+                    ratio(F.col("_cents"), F.lit(100 * 10_000_000)).alias("revenue_in_crores"),
+                    ratio(F.col("_cents"), F.col("_n") * 100).alias("avg_order_value"))
             .orderBy(m.calendar.ordinal_col("business_phase")))
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phaselens.functions.calendar import DRIVER_CALENDAR, REFERENCE_CALENDAR, PRE, CRISIS, PhaseCalendar
-from phaselens.functions.metrics import MONEY, ratio
+from phaselens.functions.metrics import MONEY, cents_to_money, ratio, scaled
 from phaselens.functions.text import NEGATIVE_WORDS
 from phaselens.sources.readers import read_parquet_table
 
@@ -179,13 +179,15 @@ class _DriverViews:
 
     @cached_property
     def orders_full(self) -> DataFrame:
-        o, price = self.t("orders"), _price()
+        # line money in exact LONG units (cents, cents x percent): codegen
+        # friendly sums; one DECIMAL conversion per order
+        o, pc = self.t("orders"), scaled("l_extendedprice")
         per_order = self.t("lineitem").groupBy(F.col("l_orderkey").alias("m_orderkey")).agg(
             F.min("l_partkey").alias("restaurant_id"),
             F.min("l_suppkey").alias("delivery_partner_id"),
-            F.sum(price).alias("subtotal_amount"),
-            F.round(F.sum(price * F.col("l_discount").cast(MONEY)), 2).cast(MONEY).alias("discount_amount"),
-            F.round(F.sum(price * F.col("l_tax").cast(MONEY)), 2).cast(MONEY).alias("delivery_fee"))
+            cents_to_money(F.sum(pc)).alias("subtotal_amount"),
+            cents_to_money(F.sum(pc * scaled("l_discount")), 4).alias("discount_amount"),
+            cents_to_money(F.sum(pc * scaled("l_tax")), 4).alias("delivery_fee"))
         return (o.join(per_order, F.col("o_orderkey") == F.col("m_orderkey"), "left")
                 .select(F.col("o_orderkey").alias("order_id"),
                         F.col("o_custkey").alias("customer_id"),
@@ -269,7 +271,7 @@ class _DriverViews:
     @cached_property
     def order_items(self) -> DataFrame:
         price = _price()
-        disc = F.round(price * F.col("l_discount").cast(MONEY), 2)
+        disc = cents_to_money(scaled("l_extendedprice") * scaled("l_discount"), 4)
         return self.t("lineitem").select(
             F.col("l_orderkey").alias("order_id"),
             F.col("l_linenumber").cast("string").alias("item_id"),
