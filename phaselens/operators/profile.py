@@ -18,8 +18,20 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 
-def _null_counts(df: DataFrame) -> list:
-    return [F.count_if(F.col(f"`{c}`").isNull()).cast("long").alias(c) for c in df.columns]
+def profile(df: DataFrame) -> DataFrame:
+    """One scan of ``df``: per column its type, NULL count and non-NULL
+    count, plus the table's row count (PRF-1..5 in long form)."""
+    counted = df.agg(F.count(F.lit(1)).alias("__rows"),
+                     *[F.count_if(F.col(f"`{c}`").isNull()).cast("long").alias(f"{c}__nulls")
+                       for c in df.columns])
+    stack = "stack({n}, {rows}) as (column_name, data_type, null_count)".format(
+        n=len(df.columns), rows=", ".join(f"'{c}', '{t}', `{c}__nulls`" for c, t in df.dtypes))
+    return counted.selectExpr("__rows AS rows", stack).withColumn(
+        "non_null", F.col("rows") - F.col("null_count"))
+
+
+def _profiles(tables: dict[str, DataFrame]) -> DataFrame:
+    return _union([profile(df).withColumn("table_name", F.lit(name)) for name, df in tables.items()])
 
 
 def profile_shapes(tables: dict[str, DataFrame]) -> DataFrame:
@@ -32,38 +44,24 @@ def profile_shapes(tables: dict[str, DataFrame]) -> DataFrame:
 
 def null_columns(tables: dict[str, DataFrame]) -> DataFrame:
     """table_name, column_name, null_count (one row per column)."""
-    frames = []
-    for name, df in tables.items():
-        counted = df.agg(*_null_counts(df))
-        stack = "stack({n}, {pairs}) as (column_name, null_count)".format(
-            n=len(df.columns), pairs=", ".join(f"'{c}', `{c}`" for c in df.columns))
-        frames.append(counted.selectExpr(stack).select(F.lit(name).alias("table_name"), "column_name",
-                                                      "null_count"))
-    return _union(frames)
+    return _profiles(tables).select("table_name", "column_name", "null_count")
 
 
 def null_totals(tables: dict[str, DataFrame]) -> DataFrame:
     """table_name, null_values (all columns together)."""
-    frames = []
-    for name, df in tables.items():
-        total = reduce(lambda a, b: a + b, [F.count_if(F.col(f"`{c}`").isNull()).cast("long")
-                                            for c in df.columns])
-        frames.append(df.agg(total.alias("null_values")).select(F.lit(name).alias("table_name"),
-                                                                "null_values"))
-    return _union(frames)
+    return (_profiles(tables).groupBy("table_name")
+            .agg(F.sum("null_count").cast("long").alias("null_values")))
 
 
 def column_types(tables: dict[str, DataFrame]) -> DataFrame:
     """table_name, column_name, data_type, non_null (counted on the data)."""
-    frames = []
-    for name, df in tables.items():
-        counted = df.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in df.columns])
-        stack = "stack({n}, {rows}) as (column_name, data_type, non_null)".format(
-            n=len(df.columns),
-            rows=", ".join(f"'{c}', '{t}', `{c}`" for c, t in df.dtypes))
-        frames.append(counted.selectExpr(stack).select(F.lit(name).alias("table_name"), "column_name",
-                                                      "data_type", "non_null"))
-    return _union(frames)
+    return _profiles(tables).select("table_name", "column_name", "data_type", "non_null")
+
+
+def head_sample(df: DataFrame, order: list[str], n: int = 10) -> DataFrame:
+    """First ``n`` rows in a stated order (an unordered ``limit`` is not
+    reproducible); planned as a per-task top-n merge, no full sort."""
+    return df.orderBy(*order).limit(n)
 
 
 # The rows of pandas ``describe()``, in its order.

@@ -17,7 +17,7 @@ from phaselens.functions.timeparse import parse_mixed_ts
 from phaselens.operators.churn import flag_active
 from phaselens.operators.compare import count_in, phase_pivot
 from phaselens.operators.keywords import keyword_frequency
-from phaselens.operators.rank import exact_quantiles
+from phaselens.operators.topshare import top_share
 from phaselens.sources.bindings import Model
 
 
@@ -246,9 +246,8 @@ def high_value(m: Model) -> DataFrame:
     pre_spend = (kept.where(cal.between("order_timestamp", PRE))
                  .groupBy("customer_id").agg(F.sum("total_amount").alias("total_spend"),
                                              F.count("order_id").alias("order_count")))
-    thr = exact_quantiles(pre_spend, "total_spend", {"threshold": round(1 - p.top_share, 12)}, "customer_id")
-    hv = (pre_spend.withColumn("spend_threshold", thr.select("threshold").scalar())
-          .where(F.col("total_spend").cast("double") >= F.col("spend_threshold")))
+    hv = top_share(pre_spend, "total_spend", p.top_share, "customer_id", method="quantile",
+                   threshold_col="spend_threshold")
     crisis = (kept.where(cal.between("order_timestamp", CRISIS))
               .groupBy("customer_id").agg(F.count("order_id").alias("_crisis_n")))
     return (hv.join(crisis, "customer_id", "left")

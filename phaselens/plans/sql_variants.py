@@ -14,7 +14,7 @@ from phaselens.functions.calendar import CRISIS, PRE
 from phaselens.functions.metrics import decline_pct, exact_mean, monthly_mean, pct, ratio, round_money, scaled_sum
 from phaselens.operators.churn import churn_summary
 from phaselens.operators.compare import count_in, phase_pivot
-from phaselens.operators.rank import distributed_ntile
+from phaselens.operators.topshare import top_share
 from phaselens.sources.bindings import Model
 
 
@@ -102,10 +102,8 @@ def s07_high_value_by_city(m: Model) -> DataFrame:
     spend = (m.orders.where(cal.between("order_timestamp", PRE) & (F.col("is_cancelled") == "N"))
              .join(m.customers.select("customer_id", "city"), "customer_id")
              .groupBy("customer_id", "city").agg(F.sum("total_amount").alias("total_spend")))
-    tiles = distributed_ntile(spend, [("total_spend", False)], "customer_id", m.params.ntile_groups,
-                              "spending_group")
-    return (tiles.where(F.col("spending_group") == 1)
-            .groupBy("city")
+    top = top_share(spend, "total_spend", 1 / m.params.ntile_groups, "customer_id", method="ntile")
+    return (top.groupBy("city")
             .agg(F.count("customer_id").alias("high_value_customers"),
                  ratio(F.sum("total_spend"), F.count("total_spend")).alias("avg_spend_per_customer"),
                  round_money(F.min("total_spend")).alias("min_spend_threshold"))

@@ -48,7 +48,7 @@ def read_reference_csv(spark: SparkSession, base_path: str, tables=None) -> dict
         out[name] = (spark.read.schema(schema)
                      .option("header", True)
                      .option("mode", "FAILFAST")
-                     .option("timestampNTZFormat", "yyyy-MM-dd[ HH:mm[:ss]]")
+                     .option("timestampNTZFormat", "yyyy-MM-dd[ HH:mm[:ss[.SSSSSS]]]")
                      .csv(os.path.join(base_path, fname)))
     return out
 
