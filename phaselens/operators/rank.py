@@ -4,13 +4,14 @@
 SinglePartition``: every row of the input goes through one task. Here the
 global order is cut into ranges instead:
 
-1. a deterministic sample — the ``buckets * SAMPLE_PER_BUCKET`` rows with
-   the smallest hash of the unique tie key (a bounded top-k, whatever the
-   input size) — gives ``buckets - 1`` sorted boundary keys, one array read
+1. a deterministic sample of about ``buckets * SAMPLE_PER_BUCKET`` rows —
+   those whose hash of the unique tie key falls in the lowest k/n of the
+   hash range — gives ``buckets - 1`` sorted boundary keys, one array read
    through a scalar subquery;
-2. each row's bucket is the number of boundaries ``<=`` its key. The key
-   ends with the unique tie column, so even a value shared by a third of
-   all rows is spread over many buckets;
+2. each row's bucket is the number of boundaries ``<=`` its key (binary
+   search, O(log buckets) per row). The key ends with the unique tie
+   column, so even a value shared by a third of all rows is spread over
+   many buckets;
 3. ``row_number`` partitioned by bucket, plus the number of rows in lower
    buckets (a table with one row per bucket, broadcast), is the exact
    global rank. The same small table carries the total row count.
@@ -28,11 +29,15 @@ distributed path runs. Both paths give identical results (tested).
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_BUCKETS = 64
+MAX_BUCKETS = 8192
 SAMPLE_PER_BUCKET = 32
+_HASH_RANGE = 1 << 40
 SINGLE_TASK_CONF = "phaselens.rank.singleTaskMaxRows"
 DEFAULT_SINGLE_TASK_MAX_ROWS = 1_000_000
 
@@ -63,23 +68,45 @@ def _key_struct(order: list[tuple[str, bool]], df: DataFrame) -> Column:
     return F.struct(*fields)
 
 
+def _upper_bound(bounds: str, key: str, max_bounds: int) -> Column:
+    """Number of elements of the sorted array column ``bounds`` that are
+    ``<=`` the value of ``key``: a binary search of ceil(log2(n+1)) steps,
+    unrolled as an ``aggregate`` over a fixed sequence (O(log n) per row)."""
+    steps = max(1, math.ceil(math.log2(max_bounds + 1)))
+
+    def step(acc, _):
+        lo, hi = acc["lo"], acc["hi"]
+        mid = F.floor((lo + hi) / 2).cast("int")
+        right = F.element_at(F.col(bounds), mid + 1) <= F.col(key)
+        moved = F.when(right, F.struct((mid + 1).alias("lo"), hi.alias("hi"))) \
+                 .otherwise(F.struct(lo.alias("lo"), mid.alias("hi")))
+        return F.when(lo >= hi, acc).otherwise(moved)
+
+    start = F.struct(F.lit(0).alias("lo"), F.size(F.col(bounds)).alias("hi"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step)["lo"]
+
+
 def range_buckets(df: DataFrame, order: list[tuple[str, bool]], tie_key: str,
                   buckets: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows with ``_pl_key``/``_pl_bucket``, per-bucket table with
     ``_pl_cnt``, ``_pl_off`` (rows in lower buckets) and ``_pl_n`` (all rows)).
     Buckets are contiguous ranges of the order, numbered in order."""
     spark = df.sparkSession
-    nb = buckets or max(DEFAULT_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    nb = buckets or min(MAX_BUCKETS, max(DEFAULT_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     keyed = df.withColumn("_pl_key", _key_struct(list(order) + [(tie_key, True)], df))
+    # Sample about k rows: those whose hash of the unique key falls under
+    # k/n of the hash range (n from a count subquery). Each task filters its
+    # own rows; only the ~k sampled keys meet in one task.
     k = nb * SAMPLE_PER_BUCKET
-    sample = (keyed.select("_pl_key", F.xxhash64(F.col(tie_key)).alias("_pl_h"))
-              .orderBy("_pl_h", "_pl_key").limit(k))
+    n_rows = df.select(F.count(F.lit(1))).scalar()
+    h = F.xxhash64(F.col(tie_key)).bitwiseAND(F.lit(_HASH_RANGE - 1).cast("long")).cast("double")
+    sample = keyed.where(h < F.lit(float(_HASH_RANGE * k)) / F.greatest(n_rows, F.lit(1))).select("_pl_key")
     # every step-th key of the sorted sample (at most nb - 1 boundaries)
     srt = sample.agg(F.sort_array(F.collect_list("_pl_key")).alias("_s"))
     step = F.greatest(F.floor(F.size("_s") / nb), F.lit(1))
     bounds = srt.select(F.filter("_s", lambda x, i: ((i + 1) % step == 0) & (i + 1 < F.size("_s")))).scalar()
     bucketed = (keyed.withColumn("_pl_bounds", bounds)
-                .withColumn("_pl_bucket", F.size(F.filter("_pl_bounds", lambda b: b <= F.col("_pl_key"))))
+                .withColumn("_pl_bucket", _upper_bound("_pl_bounds", "_pl_key", nb))
                 .drop("_pl_bounds"))
     counts = bucketed.groupBy("_pl_bucket").agg(F.count(F.lit(1)).alias("_pl_cnt"))
     # one row per bucket (<= nb rows): an ordered window over it is trivial;

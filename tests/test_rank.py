@@ -24,12 +24,12 @@ def _skewed(spark, n=3000):
     return spark.createDataFrame(rows, "k long, f long, v double")
 
 
-@pytest.mark.parametrize("mode", ["distributed", "single"])
-def test_rank_equals_global_row_number(spark, mode, request):
+@pytest.mark.parametrize("mode,buckets", [("distributed", 16), ("distributed", 300), ("single", 16)])
+def test_rank_equals_global_row_number(spark, mode, buckets, request):
     if mode == "distributed":
         request.getfixturevalue("force_distributed")
     df = _skewed(spark)
-    ours = distributed_rank(df, [("f", True), ("v", False)], "k", "r", buckets=16)
+    ours = distributed_rank(df, [("f", True), ("v", False)], "k", "r", buckets=buckets)
     ref = df.withColumn("r2", F.row_number().over(Window.orderBy(F.col("f"), F.col("v").desc(), "k")))
     bad = ours.join(ref, "k").where(F.col("r") != F.col("r2")).count()
     assert bad == 0
