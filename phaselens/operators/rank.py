@@ -43,7 +43,10 @@ DEFAULT_SINGLE_TASK_MAX_ROWS = 1_000_000
 
 
 def fits_one_task(df: DataFrame) -> bool:
-    """True when ``df`` has at most the configured number of rows (checked)."""
+    """True when ``df`` has at most the configured number of rows, decided
+    exactly by ``limit(max + 1).count()`` (it stops early on large scans).
+    The optimizer's size estimate is not used: without column statistics it
+    multiplies join inputs, so it cannot prove an input large."""
     limit = int(df.sparkSession.conf.get(SINGLE_TASK_CONF, str(DEFAULT_SINGLE_TASK_MAX_ROWS)))
     if limit <= 0:
         return False

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phaselens.functions.metrics import MONEY
 from phaselens.operators.binning import assign_bins, quantile_edges, rank_bins
 from phaselens.operators.rank import fits_one_task
+from phaselens.session import materialize
 
 # Segment ladder on the summed score (3..9), best first.
 SEGMENTS = (
@@ -55,9 +55,9 @@ def rfm_scores(base: DataFrame, key: str, q: int = 3) -> DataFrame:
     (reversed labels); frequency: qcut of the first-occurrence rank, ties
     in key order; monetary: qcut of the value."""
     up = list(range(1, q + 1))
-    # Three range-bucketing passes read the per-key table: keep it once
-    # (spills to disk; a lost block is recomputed from its lineage).
-    base = base.persist(StorageLevel.MEMORY_AND_DISK)
+    # Three range passes read the per-key table: write it once to the
+    # shared checkpoint folder instead of recomputing its aggregation.
+    base = materialize(base, "rfm_base")
     small = fits_one_task(base)  # one size check for the three passes
     r_edges = quantile_edges(base, "recency", q, key, small)  # scalar subqueries over the base
     m_edges = quantile_edges(base, "monetary", q, key, small)

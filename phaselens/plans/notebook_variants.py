@@ -18,6 +18,7 @@ from phaselens.operators.churn import flag_active
 from phaselens.operators.compare import count_in, phase_pivot
 from phaselens.operators.keywords import keyword_frequency
 from phaselens.operators.topshare import top_share
+from phaselens.session import materialize
 from phaselens.sources.bindings import Model
 
 
@@ -246,6 +247,8 @@ def high_value(m: Model) -> DataFrame:
     pre_spend = (kept.where(cal.between("order_timestamp", PRE))
                  .groupBy("customer_id").agg(F.sum("total_amount").alias("total_spend"),
                                              F.count("order_id").alias("order_count")))
+    # the size check, the quantile and the filter all read the spend table
+    pre_spend = materialize(pre_spend, "pre_spend")
     hv = top_share(pre_spend, "total_spend", p.top_share, "customer_id", method="quantile",
                    threshold_col="spend_threshold")
     crisis = (kept.where(cal.between("order_timestamp", CRISIS))

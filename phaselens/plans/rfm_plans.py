@@ -11,6 +11,7 @@ from phaselens.functions.metrics import exact_mean
 from phaselens.operators.profile import describe_exact
 from phaselens.operators.rfm import (RECOVERABLE, SEGMENT_ORDER, rfm_base, rfm_scores, segment_col,
                                      segment_order_col)
+from phaselens.session import materialize
 from phaselens.sources.bindings import Model
 
 
@@ -21,7 +22,8 @@ def r01_rfm_base(m: Model) -> DataFrame:
 
 
 def r02_rfm_describe(m: Model) -> DataFrame:
-    return describe_exact(r01_rfm_base(m), ["recency", "frequency", "monetary"], "customer_id")
+    # four passes (moments + three quartile sets) read the per-customer table
+    return describe_exact(materialize(r01_rfm_base(m)), ["recency", "frequency", "monetary"], "customer_id")
 
 
 def r03_rfm_scores(m: Model) -> DataFrame:
@@ -94,7 +96,7 @@ def r01_rfm_base_events(events: DataFrame) -> DataFrame:
 
 
 def r02_rfm_describe_events(events: DataFrame) -> DataFrame:
-    return describe_exact(events_rfm_base(events), ["recency", "frequency", "monetary"], "customer_id")
+    return describe_exact(materialize(events_rfm_base(events)), ["recency", "frequency", "monetary"], "customer_id")
 
 
 def rfm_scores_events(events: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -52,3 +53,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="phaselens-ckpt-", dir="/tmp")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
+
+
+def materialize(df, name: str = "table"):
+    """Write ``df`` once as Parquet under the session's shared checkpoint
+    folder and read it back: later passes read a columnar table (pruned,
+    pushed down) instead of recomputing ``df``, lineage is cut, and the
+    files outlive the executors that wrote them. Unlike
+    ``Dataset.checkpoint`` this computes ``df`` only once."""
+    root = ensure_checkpoint_dir(df.sparkSession)
+    path = os.path.join(root, "phaselens", f"{name}-{uuid.uuid4().hex}")
+    df.write.mode("error").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
