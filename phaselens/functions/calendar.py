@@ -38,6 +38,13 @@ def _ts(value) -> dt.datetime | None:
     return dt.datetime.fromisoformat(str(value))
 
 
+def _ntz(value: dt.datetime) -> Column:
+    """TIMESTAMP_NTZ literal from its text: independent of the Python
+    process and session time zones (a ``lit(datetime)`` is a zoned
+    timestamp converted through both)."""
+    return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
 class PhaseCalendar:
     """Ordered, contiguous, half-open phases.
 
@@ -78,7 +85,7 @@ class PhaseCalendar:
         ts = F.col(ts) if isinstance(ts, str) else ts
         expr = None
         for p in self.phases[:-1]:
-            cond = ts < F.lit(p.end).cast("timestamp_ntz")
+            cond = ts < _ntz(p.end)
             expr = F.when(cond, F.lit(p.name)) if expr is None else expr.when(cond, F.lit(p.name))
         last = F.lit(self.phases[-1].name)
         if self.null_phase != self.phases[-1].name:
@@ -99,9 +106,9 @@ class PhaseCalendar:
         p = self.phase(name)
         conds = []
         if p.start is not None and p is not self.phases[0]:
-            conds.append(ts >= F.lit(p.start).cast("timestamp_ntz"))
+            conds.append(ts >= _ntz(p.start))
         if p.end is not None and p is not self.phases[-1]:
-            conds.append(ts < F.lit(p.end).cast("timestamp_ntz"))
+            conds.append(ts < _ntz(p.end))
         if p is self.phases[-1] and self.null_phase == p.name:
             lower = conds[0] if conds else F.lit(True)
             return lower | ts.isNull()

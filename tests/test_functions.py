@@ -102,3 +102,16 @@ def test_parse_mixed_timestamps_can_raise(spark):
 
 def test_money_rounding_matches_decimal_module():
     assert float(Decimal("0.125").quantize(Decimal("0.01"), ROUND_HALF_UP)) == 0.13
+
+
+def test_phase_boundaries_do_not_depend_on_session_time_zone(spark):
+    rows = [(dt.datetime(2025, 6, 1),), (dt.datetime(2025, 6, 1) - US,)]
+    df = spark.createDataFrame(rows, "ts timestamp_ntz")
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for tz in ("UTC", "Asia/Kolkata", "America/Los_Angeles"):
+            spark.conf.set("spark.sql.session.timeZone", tz)
+            got = [r.phase for r in with_phase(df, "ts", REFERENCE_CALENDAR).collect()]
+            assert got == [CRISIS, PRE], tz
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
