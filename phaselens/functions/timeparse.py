@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,17 +14,33 @@ from pyspark.sql import functions as F
 DAYFIRST_DATE_FORMATS = ("yyyy-M-d", "d-M-yyyy", "d/M/yyyy", "M/d/yyyy", "M-d-yyyy", "yyyy-d-M")
 TIME_SUFFIXES = (" H:mm:ss", " H:mm", "")
 
+_FIELD_RX = {"yyyy": r"\d{4}", "M": r"\d{1,2}", "d": r"\d{1,2}", "H": r"\d{1,2}", "mm": r"\d{2}", "ss": r"\d{2}"}
+
+
+def shape_regex(pattern: str) -> str:
+    """Anchored regex of the texts a datetime pattern can parse
+    (``d/M/yyyy`` -> ``^\\d{1,2}/\\d{1,2}/\\d{4}$``)."""
+    parts = re.split(r"(yyyy|mm|ss|M|d|H)", pattern)
+    return "^" + "".join(_FIELD_RX.get(p, re.escape(p)) for p in parts) + "$"
+
 
 def parse_mixed_ts(col, date_formats=DAYFIRST_DATE_FORMATS, time_suffixes=TIME_SUFFIXES,
                    on_error: str = "null") -> Column:
     """TIMESTAMP_NTZ from text in several shapes; first format that parses wins.
 
+    Each format is guarded by a regex of its shape, so a row only attempts
+    the formats its text could match (usually one) instead of failing
+    through the list; text of no known shape is never parsed at all.
     ``on_error='null'`` leaves unparseable text NULL (count it with
     ``count_if(parsed IS NULL AND text IS NOT NULL)``); ``'raise'`` fails
     the task like pandas does."""
     c = F.trim(F.col(col) if isinstance(col, str) else col)
-    tries = [F.try_to_timestamp(c, F.lit(d + t)).cast("timestamp_ntz")
-             for d in date_formats for t in time_suffixes]
+    tries = []
+    for d in date_formats:
+        for t in time_suffixes:
+            fmt = d + t
+            tries.append(F.when(c.rlike(shape_regex(fmt)),
+                                F.try_to_timestamp(c, F.lit(fmt)).cast("timestamp_ntz")))
     parsed = F.coalesce(*tries)
     if on_error == "raise":
         return F.when(c.isNotNull() & parsed.isNull(),
