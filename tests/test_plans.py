@@ -43,3 +43,30 @@ def _single(spark):
     rows = E.queries()["s07_high_value_by_city"](spark, SF).collect()
     spark.conf.set(SINGLE_TASK_CONF, "0")
     return rows
+
+
+def _single_partition_children(plan: str) -> list[str]:
+    lines = plan.splitlines()
+    return [lines[i + 1] for i, line in enumerate(lines)
+            if "Exchange SinglePartition" in line and "ReusedExchange" not in line and i + 1 < len(lines)]
+
+
+@pytest.mark.parametrize("name", sorted(E.queries()))
+def test_single_partition_only_over_bounded_data(spark, name):
+    """As on a large cluster (no automatic broadcast, distributed rank): a
+    single-partition exchange may only carry partial aggregates, the rank
+    sample, the per-bucket table, or (p06) the month-level table."""
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set(SINGLE_TASK_CONF, "0")
+    try:
+        plan = _plan(E.queries()[name](spark, SF))
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+        spark.conf.unset(SINGLE_TASK_CONF)
+    for child in _single_partition_children(plan):
+        ok = ("partial_" in child or "_pl_bucket" in child
+              or (name == "p06_sharpest_drop" and "Sort [month" in child))
+        assert ok, (name, child.strip()[:200])
