@@ -120,3 +120,23 @@ def test_top_share_quantile_keeps_ties_ntile_splits_them(spark):
     top_quant = df.where(F.col("spend") >= thr).count()
     assert top_ntile == 1  # n < 20: one row per tile
     assert top_quant == 1 and thr > 1100
+
+
+def test_every_named_query_runs_on_the_reference_schema(ref_model):
+    from phaselens.plans.registry import _MODEL_QUERIES
+    for fn in _MODEL_QUERIES:
+        df = fn(ref_model)
+        rows = df.collect()
+        assert df.columns, fn.__name__
+        assert all(len(r) == len(df.columns) for r in rows), fn.__name__
+
+
+def test_extra_insights_on_fixture(ref_model):
+    churn = x.x03_restaurant_churn(ref_model).first()
+    # pre-active: R1, R2, R9, R10, R11; active in recovery: R1 (O003, O005 NULL time) only
+    assert (churn.pre_active_restaurants, churn.recovery_active_restaurants, churn.churned_restaurants) == (5, 1, 4)
+    assert churn.churn_rate_pct == 80.0
+    by_active = {r.is_active: r.restaurants for r in x.x03_churn_active(ref_model).collect()}
+    assert by_active == {"Y": 3, "N": 1}  # R10 is the inactive one
+    active = {r.phase: r.active_customers for r in x.m01_active_customers(ref_model).collect()}
+    assert active[PRE] == 6  # C1 (one microsecond before the cut), CX, C2, C4, C5, C6
