@@ -44,11 +44,6 @@ def pct(num, den, digits: int = 2) -> Column:
     return ratio(num, den, digits, scale=100)
 
 
-def exact_sum(col, in_scale: int = 2) -> Column:
-    """Sum of a money/score column in DECIMAL (exact, order independent)."""
-    return F.sum(_c(col).cast(DecimalType(18, in_scale)))
-
-
 def exact_mean(col, digits: int = 2, in_scale: int = 2) -> Column:
     """Mean of non-null values, rounded half-up (pandas ``mean``, SQL ``AVG``).
 

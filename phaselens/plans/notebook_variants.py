@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from phaselens.functions.calendar import CRISIS, PRE
-from phaselens.functions.metrics import decline_pct, exact_mean, money_total, pct, ratio, round_double
+from phaselens.functions.metrics import decline_pct, exact_mean, money_total, pct, ratio, round_double, yn_flag
 from phaselens.functions.timeparse import parse_mixed_ts
 from phaselens.operators.churn import flag_active
 from phaselens.operators.compare import count_in, phase_pivot
@@ -32,7 +32,7 @@ def clean_ratings(m: Model) -> DataFrame:
 
 
 def _not_cancelled(col: str = "is_cancelled"):
-    return ~F.coalesce(F.col(col) == "Y", F.lit(False))
+    return ~yn_flag(col)
 
 
 def _month(ts: str):

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phaselens.functions.metrics import exact_mean
+from phaselens.functions.metrics import exact_mean, yn_flag
 from phaselens.operators.profile import describe_exact
 from phaselens.operators.rfm import (RECOVERABLE, SEGMENT_ORDER, rfm_base, rfm_scores, segment_col,
                                      segment_order_col)
@@ -16,7 +16,7 @@ from phaselens.sources.bindings import Model
 
 
 def r01_rfm_base(m: Model) -> DataFrame:
-    kept = m.orders.where(~F.coalesce(F.col("is_cancelled") == "Y", F.lit(False)))
+    kept = m.orders.where(~yn_flag("is_cancelled"))
     return rfm_base(kept, "customer_id", "order_timestamp", "total_amount",
                     m.params.rfm_reference_date, order_id="order_id")
 

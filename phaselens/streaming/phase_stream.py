@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from phaselens.functions.calendar import PhaseCalendar
-from phaselens.functions.metrics import ratio, scaled_sum
+from phaselens.functions.metrics import ratio, scaled_sum, yn_flag
 from phaselens.session import ensure_checkpoint_dir
 
 
@@ -37,7 +37,7 @@ def phase_month_trend(orders: DataFrame, calendar: PhaseCalendar, ts: str = "ord
                       cancelled: str = "is_cancelled", amount: str = "total_amount") -> DataFrame:
     """Streaming (or batch) aggregate: month, phase, orders, kept orders and
     their exact revenue."""
-    kept = ~F.coalesce(F.col(cancelled) == "Y", F.lit(False))
+    kept = ~yn_flag(cancelled)
     return (orders.groupBy(F.date_format(ts, "yyyy-MM").alias("order_month"),
                            calendar.phase_col(ts).alias("business_phase"))
             .agg(F.count(F.lit(1)).alias("total_orders"),
