@@ -42,7 +42,8 @@ def rfm_base(df: DataFrame, key: str, ts: str, amount: str, reference_date: dt.d
     frequency (events), monetary (exact sum, 2 decimals)."""
     ref = f"TIMESTAMP_NTZ'{reference_date:%Y-%m-%d %H:%M:%S.%f}'"
     freq = F.count(F.col(order_id)) if order_id else F.count(F.lit(1))
-    return (df.groupBy(key).agg(
+    # NULL keys drop out, as in a pandas groupby
+    return (df.where(F.col(key).isNotNull()).groupBy(key).agg(
         F.max(ts).alias("_pl_last"),
         freq.cast("long").alias("frequency"),
         F.round(F.sum(F.col(amount).cast(MONEY)), 2).alias("_pl_money"))

@@ -197,10 +197,12 @@ def p08_revenue_loss(m: Model) -> DataFrame:
         ratio(loss_num * F.lit(mc), F.lit(mp * mc)).alias("total_crisis_loss"))
 
 
+# pandas ``groupby`` drops NULL keys (a Spark group-by keeps a NULL group):
+# every per-customer aggregate of the notebook variants filters them first.
 def _pre_rating_per_customer(m: Model, phase: str, name: str) -> DataFrame:
     orders_in = m.orders.where(m.calendar.between("order_timestamp", phase)).select("order_id")
     return (clean_ratings(m).join(orders_in, "order_id", "left_semi")
-            .groupBy("customer_id").agg(F.sum("rating").alias(f"_{name}_s"),
+            .where(F.col("customer_id").isNotNull()).groupBy("customer_id").agg(F.sum("rating").alias(f"_{name}_s"),
                                         F.count("rating").alias(f"_{name}_n"),
                                         F.avg("rating").alias(name)))
 
@@ -208,7 +210,7 @@ def _pre_rating_per_customer(m: Model, phase: str, name: str) -> DataFrame:
 def _churned_repeat(m: Model) -> DataFrame:
     cal, p = m.calendar, m.params
     repeat = (m.orders.where(cal.between("order_timestamp", PRE))
-              .groupBy("customer_id").agg(F.count("order_id").alias("pre_crisis_order_count"))
+              .where(F.col("customer_id").isNotNull()).groupBy("customer_id").agg(F.count("order_id").alias("pre_crisis_order_count"))
               .where(F.col("pre_crisis_order_count") >= p.loyal_min_pre_orders))
     crisis = m.orders.where(cal.between("order_timestamp", CRISIS))
     flagged = flag_active(repeat, crisis, "customer_id", "ordered_in_crisis")
@@ -245,14 +247,14 @@ def high_value(m: Model) -> DataFrame:
     cal, p = m.calendar, m.params
     kept = m.orders.where(_not_cancelled())
     pre_spend = (kept.where(cal.between("order_timestamp", PRE))
-                 .groupBy("customer_id").agg(F.sum("total_amount").alias("total_spend"),
+                 .where(F.col("customer_id").isNotNull()).groupBy("customer_id").agg(F.sum("total_amount").alias("total_spend"),
                                              F.count("order_id").alias("order_count")))
     # the size check, the quantile and the filter all read the spend table
     pre_spend = materialize(pre_spend, "pre_spend")
     hv = top_share(pre_spend, "total_spend", p.top_share, "customer_id", method="quantile",
                    threshold_col="spend_threshold")
     crisis = (kept.where(cal.between("order_timestamp", CRISIS))
-              .groupBy("customer_id").agg(F.count("order_id").alias("_crisis_n")))
+              .where(F.col("customer_id").isNotNull()).groupBy("customer_id").agg(F.count("order_id").alias("_crisis_n")))
     return (hv.join(crisis, "customer_id", "left")
             .withColumn("crisis_order_count", F.coalesce(F.col("_crisis_n"), F.lit(0)).cast("long"))
             .drop("_crisis_n")

@@ -140,3 +140,25 @@ def test_extra_insights_on_fixture(ref_model):
     assert by_active == {"Y": 3, "N": 1}  # R10 is the inactive one
     active = {r.phase: r.active_customers for r in x.m01_active_customers(ref_model).collect()}
     assert active[PRE] == 6  # C1 (one microsecond before the cut), CX, C2, C4, C5, C6
+
+
+def test_notebook_groupbys_drop_null_customer(spark, ref_model):
+    from decimal import Decimal
+    from phaselens.sources import schemas as S
+    from phaselens.sources.bindings import Model
+    extra = spark.createDataFrame(
+        [("ON1", None, "R1", "P1", dt.datetime(2025, 1, 9), Decimal("9.00"), Decimal("0.00"), Decimal("0.00"),
+          Decimal("9.00"), "N", "N"),
+         ("ON2", None, "R1", "P1", dt.datetime(2025, 2, 9), Decimal("9.00"), Decimal("0.00"), Decimal("0.00"),
+          Decimal("9.00"), "N", "N")], S.FACT_ORDERS)
+    m = Model.from_reference({
+        "fact_orders": ref_model.orders_full.unionByName(extra), "fact_order_items": ref_model.order_items,
+        "fact_ratings": ref_model.ratings, "fact_delivery": ref_model.delivery,
+        "dim_customer": ref_model.customers, "dim_restaurant": ref_model.restaurants,
+        "dim_delivery_partner": ref_model.partners, "dim_menu_item": ref_model.menu})
+    assert r.r01_rfm_base(m).where(F.col("customer_id").isNull()).count() == 0
+    assert p.p09_loyalty_churn(m).first().repeat_customers == 4  # the NULL "customer" is not a repeat customer
+    # the SQL keeps the NULL group: COUNT(customer_id) skips it, the churned
+    # CASE sum counts it (no crisis match) -- the script's own arithmetic
+    row = s.s06_loyal_churn(m).first()
+    assert (row.total_loyal_customers, row.churned_loyal_customers, row.retained_loyal_customers) == (4, 4, 1)
