@@ -103,3 +103,26 @@ def test_quantile_bins_raise_on_duplicate_edges(spark):
         quantile_bins(df, "v", 3, [1, 2, 3], "k", "b").collect()
     with pytest.raises(ValueError):
         pd.qcut(pd.Series([5.0] * 10), q=3, labels=[1, 2, 3])
+
+
+from hypothesis import HealthCheck, given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(n=st.integers(0, 400), distinct=st.integers(1, 20), buckets=st.integers(2, 50),
+       desc=st.booleans(), seed=st.integers(0, 10_000))
+def test_distributed_rank_property(spark, n, distinct, buckets, desc, seed):
+    import random
+    rnd = random.Random(seed)
+    rows = [(i * 7 + 3, rnd.randrange(distinct) - distinct // 2, float(rnd.randrange(5))) for i in range(n)]
+    df = spark.createDataFrame(rows, "k long, a long, b double")
+    spark.conf.set(SINGLE_TASK_CONF, "0")
+    try:
+        ours = distributed_rank(df, [("a", not desc), ("b", True)], "k", "r", buckets=buckets)
+        got = {r.k: r.r for r in ours.collect()}
+    finally:
+        spark.conf.unset(SINGLE_TASK_CONF)
+    a = F.col("a").desc() if desc else F.col("a").asc()
+    ref = {r.k: r.r2 for r in df.withColumn("r2", F.row_number().over(Window.orderBy(a, "b", "k"))).collect()}
+    assert got == ref
