@@ -209,6 +209,8 @@ class _DriverViews:
 
     @cached_property
     def customers(self) -> DataFrame:
+        # Binding rule, not sampling: every 29th customer is absent from the
+        # dimension, giving the reference's share of orphan orders.
         # nation has a fixed 25 rows: broadcasting it is safe at any scale.
         return (self.t("customer").where(F.col("c_custkey") % 29 != 0)
                 .join(F.broadcast(self.t("nation")), F.col("c_nationkey") == F.col("n_nationkey"))
@@ -242,6 +244,8 @@ class _DriverViews:
             F.min("l_partkey").alias("restaurant_id"),
             F.max("l_shipdate").alias("last_ship"),
             ratio(F.sum(flag), F.count(F.lit(1)), 2).alias("sentiment_score"))
+        # Binding rule, not sampling: orders with an even key carry a rating
+        # (the reference rates about half of its orders).
         return (self.t("orders").where(F.col("o_orderkey") % 2 == 0)
                 .join(per_order, F.col("o_orderkey") == F.col("r_orderkey"), "left"))
 
