@@ -59,6 +59,12 @@ def _on_events(fn):
     return run
 
 
+def model_queries() -> dict[str, Callable[[Model], DataFrame]]:
+    """The named queries as functions of a bound :class:`Model` (any
+    binding: the reference's own tables or the driver's)."""
+    return {fn.__name__: fn for fn in _MODEL_QUERIES}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {fn.__name__: _on_model(fn) for fn in _MODEL_QUERIES}
     out["r01_rfm_base_events"] = _on_events(r.r01_rfm_base_events)

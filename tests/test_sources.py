@@ -32,3 +32,22 @@ def test_write_result_partitioned(spark, ref_model, tmp_path):
     back = spark.read.parquet(out)
     assert back.count() == sql_variants.s01_monthly_orders(ref_model).count()
     assert set(os.listdir(out)) >= {"business_phase=Crisis", "business_phase=Pre-Crisis"}
+
+
+def test_run_reference_script_on_csv(spark, ref_model, tmp_path):
+    import importlib.util
+    csv_dir = tmp_path / "csv"
+    csv_dir.mkdir()
+    for name, df in {"fact_orders": ref_model.orders_full, "fact_order_items": ref_model.order_items,
+                     "fact_ratings": ref_model.ratings, "fact_delivery": ref_model.delivery,
+                     "dim_customer": ref_model.customers, "dim_restaurant": ref_model.restaurants,
+                     "dim_delivery_partner": ref_model.partners, "dim_menu_item": ref_model.menu}.items():
+        df.toPandas().to_csv(os.path.join(csv_dir, REFERENCE_TABLES[name][0]), index=False)
+    spec = importlib.util.spec_from_file_location(
+        "run_reference", os.path.join(os.path.dirname(os.path.dirname(__file__)), "scripts", "run_reference.py"))
+    mod = importlib.util.module_from_spec(spec)
+    spec.loader.exec_module(mod)
+    names = ["s04_restaurant_decline", "p07_negative_keywords", "r05_segments"]
+    assert mod.run(spark, str(csv_dir), str(tmp_path / "out"), names) == names
+    back = spark.read.parquet(str(tmp_path / "out" / "p07_negative_keywords"))
+    assert {r.keyword: r.frequency for r in back.collect()} == {"cold": 2, "late": 2, "stale": 3}
