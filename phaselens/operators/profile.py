@@ -68,14 +68,15 @@ def head_sample(df: DataFrame, order: list[str], n: int = 10) -> DataFrame:
 DESCRIBE_STATS = ("count", "mean", "std", "min", "25%", "50%", "75%", "max")
 
 
-def describe_exact(df: DataFrame, cols: list[str], tie_key: str, digits: int = 2) -> DataFrame:
+def describe_exact(df: DataFrame, cols: list[str], tie_key: str, digits: int = 2,
+                   single_task: bool | None = None) -> DataFrame:
     """pandas ``describe().round(digits)``: one row per statistic, a column
     per input column. Quartiles are exact (distributed ranks, linear
     interpolation), read as scalar subqueries; everything else is one
     aggregate row, unpivoted with ``stack``."""
     from phaselens.functions.metrics import ratio, round_double
     from phaselens.operators.rank import fits_one_task
-    small = fits_one_task(df)  # one size check for all columns
+    small = fits_one_task(df) if single_task is None else single_task  # one check for all columns
     stats = []
     for c in cols:
         qs = exact_quantiles(df, c, {"q25": 0.25, "q50": 0.5, "q75": 0.75}, tie_key, single_task=small)

@@ -51,15 +51,20 @@ def rfm_base(df: DataFrame, key: str, ts: str, amount: str, reference_date: dt.d
                 F.col("_pl_money").cast("double").alias("monetary")))
 
 
-def rfm_scores(base: DataFrame, key: str, q: int = 3) -> DataFrame:
+def rfm_scores(base: DataFrame, key: str, q: int = 3, small: bool | None = None) -> DataFrame:
     """r/f/m scores 1..q and their sum. Recency: fewer days is better
     (reversed labels); frequency: qcut of the first-occurrence rank, ties
-    in key order; monetary: qcut of the value."""
+    in key order; monetary: qcut of the value.
+
+    ``small``: the caller's size check (e.g. on the events the base
+    aggregates: the base cannot have more rows). Large bases are written
+    once to the shared checkpoint folder, since three range passes read
+    them; small ones are cheaper to recompute than to write."""
     up = list(range(1, q + 1))
-    # Three range passes read the per-key table: write it once to the
-    # shared checkpoint folder instead of recomputing its aggregation.
-    base = materialize(base, "rfm_base")
-    small = fits_one_task(base)  # one size check for the three passes
+    if small is None:
+        small = fits_one_task(base)
+    if not small:
+        base = materialize(base, "rfm_base")
     r_edges = quantile_edges(base, "recency", q, key, small)  # scalar subqueries over the base
     m_edges = quantile_edges(base, "monetary", q, key, small)
     scored = rank_bins(base, [("frequency", True)], key, q, up, "f_score", small)  # the one row shuffle

@@ -9,7 +9,7 @@ from phaselens.operators.rank import distributed_ntile, exact_quantiles
 
 
 def top_share(df: DataFrame, value: str, share: float, key: str, method: str = "quantile",
-              threshold_col: str | None = None) -> DataFrame:
+              threshold_col: str | None = None, single_task: bool | None = None) -> DataFrame:
     """Rows in the top ``share`` of ``value``.
 
     * ``method='quantile'``: ``value >= quantile(1 - share)`` (linear
@@ -22,11 +22,11 @@ def top_share(df: DataFrame, value: str, share: float, key: str, method: str = "
     ``threshold_col`` adds the quantile threshold as a column."""
     if method == "quantile":
         q = round(1 - share, 12)
-        thr = exact_quantiles(df, value, {"threshold": q}, key).select("threshold").scalar()
+        thr = exact_quantiles(df, value, {"threshold": q}, key, single_task=single_task).select("threshold").scalar()
         out = df.withColumn("_pl_thr", thr).where(F.col(value).cast("double") >= F.col("_pl_thr"))
         return out.withColumnRenamed("_pl_thr", threshold_col) if threshold_col else out.drop("_pl_thr")
     if method == "ntile":
         k = int(round(1 / share))
-        return (distributed_ntile(df, [(value, False)], key, k, "_pl_tile")
+        return (distributed_ntile(df, [(value, False)], key, k, "_pl_tile", single_task=single_task)
                 .where(F.col("_pl_tile") == 1).drop("_pl_tile"))
     raise ValueError(f"unknown method {method!r}")

@@ -17,6 +17,7 @@ from phaselens.functions.timeparse import parse_mixed_ts
 from phaselens.operators.churn import flag_active
 from phaselens.operators.compare import count_in, phase_pivot
 from phaselens.operators.keywords import keyword_frequency
+from phaselens.operators.rank import fits_one_task
 from phaselens.operators.topshare import top_share
 from phaselens.session import materialize
 from phaselens.sources.bindings import Model
@@ -249,10 +250,14 @@ def high_value(m: Model) -> DataFrame:
     pre_spend = (kept.where(cal.between("order_timestamp", PRE))
                  .where(F.col("customer_id").isNotNull()).groupBy("customer_id").agg(F.sum("total_amount").alias("total_spend"),
                                              F.count("order_id").alias("order_count")))
-    # the size check, the quantile and the filter all read the spend table
-    pre_spend = materialize(pre_spend, "pre_spend")
+    # the spend table has at most as many rows as the kept orders: check
+    # those (an early-stopping scan); a large table is written once, as the
+    # quantile and the filter both read it
+    small = fits_one_task(kept)
+    if not small:
+        pre_spend = materialize(pre_spend, "pre_spend")
     hv = top_share(pre_spend, "total_spend", p.top_share, "customer_id", method="quantile",
-                   threshold_col="spend_threshold")
+                   threshold_col="spend_threshold", single_task=small)
     crisis = (kept.where(cal.between("order_timestamp", CRISIS))
               .where(F.col("customer_id").isNotNull()).groupBy("customer_id").agg(F.count("order_id").alias("_crisis_n")))
     return (hv.join(crisis, "customer_id", "left")

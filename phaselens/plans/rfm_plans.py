@@ -11,6 +11,7 @@ from phaselens.functions.metrics import exact_mean, yn_flag
 from phaselens.operators.profile import describe_exact
 from phaselens.operators.rfm import (RECOVERABLE, SEGMENT_ORDER, rfm_base, rfm_scores, segment_col,
                                      segment_order_col)
+from phaselens.operators.rank import fits_one_task
 from phaselens.session import materialize
 from phaselens.sources.bindings import Model
 
@@ -21,13 +22,24 @@ def r01_rfm_base(m: Model) -> DataFrame:
                     m.params.rfm_reference_date, order_id="order_id")
 
 
-def r02_rfm_describe(m: Model) -> DataFrame:
+def _kept_orders_fit_one_task(m: Model) -> bool:
+    """Per-customer tables have at most as many rows as the kept orders;
+    checking the orders (an early-stopping scan) bounds them for free."""
+    return fits_one_task(m.orders.where(~yn_flag("is_cancelled")))
+
+
+def _describe(base: DataFrame, small: bool) -> DataFrame:
     # four passes (moments + three quartile sets) read the per-customer table
-    return describe_exact(materialize(r01_rfm_base(m)), ["recency", "frequency", "monetary"], "customer_id")
+    base = base if small else materialize(base, "rfm_base")
+    return describe_exact(base, ["recency", "frequency", "monetary"], "customer_id", single_task=small)
+
+
+def r02_rfm_describe(m: Model) -> DataFrame:
+    return _describe(r01_rfm_base(m), _kept_orders_fit_one_task(m))
 
 
 def r03_rfm_scores(m: Model) -> DataFrame:
-    return rfm_scores(r01_rfm_base(m), "customer_id")
+    return rfm_scores(r01_rfm_base(m), "customer_id", small=_kept_orders_fit_one_task(m))
 
 
 def score_distribution(scores: DataFrame) -> DataFrame:
@@ -96,7 +108,7 @@ def r01_rfm_base_events(events: DataFrame) -> DataFrame:
 
 
 def r02_rfm_describe_events(events: DataFrame) -> DataFrame:
-    return describe_exact(materialize(events_rfm_base(events)), ["recency", "frequency", "monetary"], "customer_id")
+    return _describe(events_rfm_base(events), fits_one_task(events))
 
 
 def rfm_scores_events(events: DataFrame) -> DataFrame:

@@ -14,7 +14,9 @@ from phaselens.functions.calendar import CRISIS, PRE
 from phaselens.functions.metrics import decline_pct, exact_mean, monthly_mean, pct, ratio, round_money, scaled_sum
 from phaselens.operators.churn import churn_summary
 from phaselens.operators.compare import count_in, phase_pivot
+from phaselens.operators.rank import fits_one_task
 from phaselens.operators.topshare import top_share
+from phaselens.session import materialize
 from phaselens.sources.bindings import Model
 
 
@@ -99,10 +101,17 @@ def s07_high_value_by_city(m: Model) -> DataFrame:
     """NTILE(20) over pre-crisis spend (customers found in the dimension);
     tile 1 = top 5 %. Ties in spend are ordered by customer id."""
     cal = m.calendar
-    spend = (m.orders.where(cal.between("order_timestamp", PRE) & (F.col("is_cancelled") == "N"))
-             .join(m.customers.select("customer_id", "city"), "customer_id")
+    kept = m.orders.where(cal.between("order_timestamp", PRE) & (F.col("is_cancelled") == "N"))
+    spend = (kept.join(m.customers.select("customer_id", "city"), "customer_id")
              .groupBy("customer_id", "city").agg(F.sum("total_amount").alias("total_spend")))
-    top = top_share(spend, "total_spend", 1 / m.params.ntile_groups, "customer_id", method="ntile")
+    # at most one spend row per kept order: size-check the orders (an
+    # early-stopping scan); a large spend table is written once, since the
+    # range passes of the distributed NTILE read it several times
+    small = fits_one_task(kept)
+    if not small:
+        spend = materialize(spend, "spend")
+    top = top_share(spend, "total_spend", 1 / m.params.ntile_groups, "customer_id", method="ntile",
+                    single_task=small)
     return (top.groupBy("city")
             .agg(F.count("customer_id").alias("high_value_customers"),
                  ratio(F.sum("total_spend"), F.count("total_spend")).alias("avg_spend_per_customer"),
