@@ -138,16 +138,19 @@ def reviews_by_month(m: Model) -> DataFrame:
     return r.withColumn("review_ts", parse_mixed_ts("review_timestamp")).where(F.col("review_ts").isNotNull())
 
 
-def p06_monthly_rating(m: Model) -> DataFrame:
+def _monthly_rating(m: Model) -> DataFrame:
     return (reviews_by_month(m).groupBy(_month("review_ts").alias("month"))
             .agg(exact_mean("rating").alias("avg_rating"),
-                 F.count("rating").alias("total_reviews"))
-            .orderBy("month"))
+                 F.count("rating").alias("total_reviews")))
+
+
+def p06_monthly_rating(m: Model) -> DataFrame:
+    return _monthly_rating(m).orderBy("month")
 
 
 def p06_sharpest_drop(m: Model) -> DataFrame:
     """Month whose (rounded) mean rating fell most from the month before."""
-    monthly = p06_monthly_rating(m)
+    monthly = _monthly_rating(m)
     # One row per month: a single ordered window over a month-sized table.
     w = Window.orderBy("month")
     steps = (monthly.select("month", "avg_rating",
