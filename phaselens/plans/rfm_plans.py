@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from phaselens.functions.metrics import exact_mean, yn_flag
 from phaselens.operators.profile import describe_exact
-from phaselens.operators.rfm import (RECOVERABLE, SEGMENT_ORDER, rfm_base, rfm_scores, segment_col,
-                                     segment_order_col)
+from phaselens.operators.rfm import RECOVERABLE, SEGMENT_ORDER, rfm_base, rfm_scores, segment_col
 from phaselens.operators.rank import fits_one_task
 from phaselens.session import materialize
 from phaselens.sources.bindings import Model
