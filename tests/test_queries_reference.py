@@ -162,3 +162,20 @@ def test_notebook_groupbys_drop_null_customer(spark, ref_model):
     # CASE sum counts it (no crisis match) -- the script's own arithmetic
     row = s.s06_loyal_churn(m).first()
     assert (row.total_loyal_customers, row.churned_loyal_customers, row.retained_loyal_customers) == (4, 4, 1)
+
+
+def test_cancellation_and_revenue_by_phase_hand_computed(ref_model):
+    # 43 orders: 35 pre-crisis (1 cancelled), 5 crisis (1 cancelled), 3 recovery (incl. NULL time)
+    cancel = {r.phase: (r.total_orders, r.cancelled_orders, r.cancellation_rate)
+              for r in p.p04_phase_cancel(ref_model).collect()}
+    assert cancel == {PRE: (35, 1, 2.86), CRISIS: (5, 1, 20.0), RECOVERY: (3, 0, 0.0)}
+    rev = {r.phase: (r.total_orders, r.total_revenue, r.avg_order_value, r.total_discount, r.total_delivery)
+           for r in p.p08_revenue(ref_model).collect()}
+    # kept pre-crisis: 100 + 100 + 250 + 10 x 40 + 9 x 30 + 12 x 20 = 1360 over 34 orders
+    assert rev[PRE] == (34, 1360.0, 40.0, 170.0, 340.0)
+    assert rev[CRISIS] == (4, 240.0, 60.0, 20.0, 40.0)
+    assert rev[RECOVERY] == (3, 280.0, 93.33, 15.0, 30.0)
+    loss = p.p08_revenue_loss(ref_model).first()
+    # 1360 / 5 months = 272; 240 / 2 = 120; loss 152 a month, 304 over the crisis
+    assert (loss.pre_monthly_avg_revenue, loss.crisis_monthly_avg_revenue,
+            loss.monthly_revenue_loss, loss.total_crisis_loss) == (272.0, 120.0, 152.0, 304.0)
