@@ -179,3 +179,15 @@ def test_cancellation_and_revenue_by_phase_hand_computed(ref_model):
     # 1360 / 5 months = 272; 240 / 2 = 120; loss 152 a month, 304 over the crisis
     assert (loss.pre_monthly_avg_revenue, loss.crisis_monthly_avg_revenue,
             loss.monthly_revenue_loss, loss.total_crisis_loss) == (272.0, 120.0, 152.0, 304.0)
+
+
+def test_delivery_queries_hand_computed(ref_model):
+    # deliveries: O001 crisis 40/40 (on time), O002 pre 50/40 (late), O003 recovery 30/40 (early)
+    sla = {r.phase: (r.avg_actual_time, r.avg_expected_time, r.breach_rate_pct, r.avg_delay_mins)
+           for r in p.p05_sla(ref_model).collect()}
+    assert sla == {PRE: (50.0, 40.0, 100.0, 10.0), CRISIS: (40.0, 40.0, 0.0, 0.0),
+                   RECOVERY: (30.0, 40.0, 0.0, -10.0)}
+    # O001 has two ratings (2.5 / 0.0 and 1.0 / -0.5): the inner joins count it twice
+    dvr = {r.delivery_status: (r.total_orders, r.avg_customer_rating, r.avg_sentiment_score, r.avg_delivery_mins)
+           for r in s.s09_delay_vs_rating(ref_model).collect()}
+    assert dvr == {"Delayed": (1, 4.5, 0.9, 50.0), "On Time": (2, 1.75, -0.25, 40.0)}
