@@ -210,3 +210,15 @@ def test_rfm_scores_equal_pandas_on_fixture(ref_model):
     got = {row.customer_id: (row.recency, row.frequency, row.r_score, row.f_score, row.m_score)
            for row in r.r03_rfm_scores(ref_model).collect()}
     assert got == want
+
+
+def test_negative_reviews_and_behavior_shift_hand_computed(ref_model):
+    # clean reviews, all parsed to June 2025: sentiments 0.0, -0.5, 0.9, -0.4, 0.8 (0.0 is not negative)
+    neg = x.x02_negative_reviews(ref_model).collect()
+    assert [(r.month, r.avg_sentiment, r.negative_reviews, r.total_reviews, r.negative_pct) for r in neg] == \
+        [("2025-06", 0.16, 2, 5, 40.0)]
+    assert p.p06_monthly_rating(ref_model).first().avg_rating == 3.0
+    shift = {(r.month, r.phase): (r.total_orders, r.avg_order_value, r.avg_discount, r.avg_delivery_fee)
+             for r in x.x01_behavior_shift(ref_model).collect()}
+    # June 2025, kept: O001 (100.00) and C6's 20.00 order; O007 is cancelled
+    assert shift[("2025-06", CRISIS)] == (2, 60.0, 5.0, 10.0)
