@@ -51,3 +51,14 @@ def test_run_reference_script_on_csv(spark, ref_model, tmp_path):
     assert mod.run(spark, str(csv_dir), str(tmp_path / "out"), names) == names
     back = spark.read.parquet(str(tmp_path / "out" / "p07_negative_keywords"))
     assert {r.keyword: r.frequency for r in back.collect()} == {"cold": 2, "late": 2, "stale": 3}
+
+
+def test_materialize_writes_under_the_session_checkpoint_dir(spark):
+    from phaselens.session import ensure_checkpoint_dir, materialize
+    root = ensure_checkpoint_dir(spark)
+    assert ensure_checkpoint_dir(spark) == root  # read, never replaced
+    df = spark.range(100).selectExpr("id", "id % 7 AS k")
+    m = materialize(df, "unit")
+    assert sorted(map(tuple, m.collect())) == sorted(map(tuple, df.collect()))
+    files = m.inputFiles()
+    assert files and all(f.startswith(root) or root.split(":", 1)[-1] in f for f in files)
