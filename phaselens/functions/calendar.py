@@ -122,6 +122,9 @@ class PhaseCalendar:
     # -- SQL text (for oracles and spark.sql users) ----------------------
     def sql_case(self, ts: str) -> str:
         parts = ["CASE"]
+        if self.null_phase != self.phases[-1].name:
+            null_label = "NULL" if self.null_phase is None else f"'{self.null_phase}'"
+            parts.append(f"WHEN {ts} IS NULL THEN {null_label}")
         for p in self.phases[:-1]:
             parts.append(f"WHEN {ts} < TIMESTAMP '{p.end:%Y-%m-%d %H:%M:%S}' THEN '{p.name}'")
         parts.append(f"ELSE '{self.phases[-1].name}' END")
@@ -135,7 +138,7 @@ class PhaseCalendar:
         if p is not self.phases[-1]:
             conds.append(f"{ts} < TIMESTAMP '{p.end:%Y-%m-%d %H:%M:%S}'")
         cond = " AND ".join(conds) if conds else "TRUE"
-        if p is self.phases[-1]:
+        if self.null_phase == p.name:
             cond = f"({cond} OR {ts} IS NULL)"
         return f"({cond})"
 

@@ -115,3 +115,19 @@ def test_phase_boundaries_do_not_depend_on_session_time_zone(spark):
             assert got == [CRISIS, PRE], tz
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_null_phase_option_is_consistent_in_columns_and_sql(spark):
+    from phaselens.functions.calendar import PhaseCalendar
+    rows = [(dt.datetime(2025, 1, 1),), (dt.datetime(2025, 9, 1),), (None,)]
+    df = spark.createDataFrame(rows, "ts timestamp_ntz")
+    df.createOrReplaceTempView("cal_probe")
+    for null_phase, want in (("last", [PRE, RECOVERY, RECOVERY]), (None, [PRE, RECOVERY, None])):
+        cal = PhaseCalendar([(p.name, p.start, p.end, p.months) for p in REFERENCE_CALENDAR.phases],
+                            null_phase=null_phase)
+        assert [r.ph for r in df.select(cal.phase_col("ts").alias("ph")).collect()] == want
+        assert [r.ph for r in spark.sql(f"SELECT {cal.sql_case('ts')} AS ph FROM cal_probe").collect()] == want
+        for name in cal.names:
+            a = df.where(cal.between("ts", name)).count()
+            b = spark.sql(f"SELECT * FROM cal_probe WHERE {cal.sql_between('ts', name)}").count()
+            assert a == b == sum(1 for w in want if w == name), (null_phase, name)
