@@ -12,13 +12,25 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op6_minhash_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from phaselens.llm.minhash import NearDup, near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir), params=NearDup(percent=85))
+
+
+def op8_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from phaselens.llm.compression import score_documents
+
+    return score_documents(documents(spark, sf_dir))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from phaselens.llm.bpe import encode_documents
 
     return encode_documents(documents(spark, sf_dir), with_ids=False)
 
 
-_QUERIES = (op10_byte_bpe,)
+_QUERIES = (op6_minhash_odd_sketch, op8_compression_bands, op10_byte_bpe)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
