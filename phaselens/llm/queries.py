@@ -12,6 +12,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from phaselens.llm.sharding import shard_documents
+
+    return shard_documents(documents(spark, sf_dir), shards=40)
+
+
 def op4_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from phaselens.llm.pii import find_pii
 
@@ -36,7 +42,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(documents(spark, sf_dir), with_ids=False)
 
 
-_QUERIES = (op4_crf_pii, op6_minhash_odd_sketch, op8_compression_bands, op10_byte_bpe)
+_QUERIES = (op2_hypergeometric_shards, op4_crf_pii, op6_minhash_odd_sketch, op8_compression_bands, op10_byte_bpe)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
