@@ -24,6 +24,12 @@ def op4_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(documents(spark, sf_dir))
 
 
+def op5_hierarchical_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from phaselens.llm.mixing import mix_documents
+
+    return mix_documents(documents(spark, sf_dir))
+
+
 def op6_minhash_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     from phaselens.llm.minhash import NearDup, near_duplicates
 
@@ -42,7 +48,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(documents(spark, sf_dir), with_ids=False)
 
 
-_QUERIES = (op2_hypergeometric_shards, op4_crf_pii, op6_minhash_odd_sketch, op8_compression_bands, op10_byte_bpe)
+_QUERIES = (op2_hypergeometric_shards, op4_crf_pii, op5_hierarchical_mix, op6_minhash_odd_sketch, op8_compression_bands, op10_byte_bpe)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -50,4 +56,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from phaselens.llm import mixing
+
+    return {"op5_hierarchical_mix": mixing.ORACLE_SQL}
