@@ -42,13 +42,19 @@ def op8_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(documents(spark, sf_dir))
 
 
+def op9_license_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from phaselens.llm.licenses import scan_licenses
+
+    return scan_licenses(documents(spark, sf_dir))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from phaselens.llm.bpe import encode_documents
 
     return encode_documents(documents(spark, sf_dir), with_ids=False)
 
 
-_QUERIES = (op2_hypergeometric_shards, op4_crf_pii, op5_hierarchical_mix, op6_minhash_odd_sketch, op8_compression_bands, op10_byte_bpe)
+_QUERIES = (op2_hypergeometric_shards, op4_crf_pii, op5_hierarchical_mix, op6_minhash_odd_sketch, op8_compression_bands, op9_license_sentences, op10_byte_bpe)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
