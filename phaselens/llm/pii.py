@@ -27,6 +27,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -465,9 +466,7 @@ def mask_documents(docs: DataFrame, text_col: str = "text", length_col: str | No
     shared = docs.sparkSession.sparkContext.broadcast((model.emit.astype(np.float32), model.move, model.begin))
 
     @F.pandas_udf(T.StringType())
-    def masked(texts: Iterator["pd.Series"]) -> Iterator["pd.Series"]:  # noqa: F821
-        import pandas as pd
-
+    def masked(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         crf = CRF(*shared.value)
         for series in texts:
             out = []

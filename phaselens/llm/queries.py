@@ -12,6 +12,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op1_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from phaselens.llm.toxicity import score_toxicity
+
+    return score_toxicity(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op2_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from phaselens.llm.sharding import shard_documents
 
@@ -36,6 +46,12 @@ def op6_minhash_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), params=NearDup(percent=85))
 
 
+def op7_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from phaselens.llm.merkle import fingerprint_documents
+
+    return fingerprint_documents(documents(spark, sf_dir))
+
+
 def op8_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     from phaselens.llm.compression import score_documents
 
@@ -54,7 +70,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(documents(spark, sf_dir), with_ids=False)
 
 
-_QUERIES = (op2_hypergeometric_shards, op4_crf_pii, op5_hierarchical_mix, op6_minhash_odd_sketch, op8_compression_bands, op9_license_sentences, op10_byte_bpe)
+_QUERIES = (op1_counterfactual_toxicity, op2_hypergeometric_shards, op4_crf_pii, op5_hierarchical_mix, op6_minhash_odd_sketch, op7_merkle_fingerprints, op8_compression_bands, op9_license_sentences, op10_byte_bpe)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
