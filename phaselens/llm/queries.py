@@ -28,6 +28,12 @@ def op2_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(documents(spark, sf_dir), shards=40)
 
 
+def op3_cotraining_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from phaselens.llm.cotrain import score_quality
+
+    return score_quality(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op4_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from phaselens.llm.pii import find_pii
 
@@ -70,7 +76,8 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(documents(spark, sf_dir), with_ids=False)
 
 
-_QUERIES = (op1_counterfactual_toxicity, op2_hypergeometric_shards, op4_crf_pii, op5_hierarchical_mix, op6_minhash_odd_sketch, op7_merkle_fingerprints, op8_compression_bands, op9_license_sentences, op10_byte_bpe)
+_QUERIES = (op1_counterfactual_toxicity, op2_hypergeometric_shards, op3_cotraining_quality,
+            op4_crf_pii, op5_hierarchical_mix, op6_minhash_odd_sketch, op7_merkle_fingerprints, op8_compression_bands, op9_license_sentences, op10_byte_bpe)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
