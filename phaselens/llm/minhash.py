@@ -8,15 +8,15 @@
 2. Documents with the same digest are one class (links between them need no
    pairs). From here on the nodes are classes; a class that holds a third of
    all rows is one row.
-3. Star candidates: in each band bucket every class is paired with the
-   bucket's least class only, so a bucket of m classes gives m - 1 pairs.
-   Pairs whose sketches differ too much go; the rest is confirmed on the full
-   sets and linked into components.
-4. Cross candidates: a class that failed against its star's centre may still
-   link to another member. All bucket pairs whose classes lie in different
-   components after step 3 are sketch-tested and confirmed too, so no
-   candidate link between components is lost. Buckets that lie within one
-   component, the big groups of near copies, give no pairs here.
+3. Star candidates: in each band bucket every class is paired with one class
+   only, the one that meets most others over all its buckets, so a bucket of m
+   classes gives m - 1 pairs. Pairs whose sketches differ too much go; the rest
+   is confirmed on the full sets and linked into components.
+4. Cross candidates: a class that does not link with its buckets' centres may
+   still link with another member. The classes of all buckets that hold more
+   than one component are joined by prefix and position filters
+   (:func:`prefix_pairs`), which lose no pair, and confirmed on the full sets.
+   Buckets that lie within one component give no pairs here.
 
 With the default 36 bands of 5 samples a pair of similarity 0.85 shares no
 band with probability 5e-10 (1e-6 at 0.8).
@@ -39,6 +39,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,14 +51,14 @@ from phaselens.session import materialize
 class NearDup:
     """``percent``: documents link where 100 * intersection >= percent *
     union. ``max_sketch_bits``: candidates whose sketches differ in more bits
-    are dropped unconfirmed; the default lies over 7 standard deviations
-    beyond the mean for similarity 0.8."""
+    are dropped unconfirmed; the default lies 6 standard deviations
+    beyond the mean for similarity 0.8, 8 for 0.85."""
     shingle_words: int = 5
     percent: int = 80
     bands: int = 36
     rows: int = 5
     sketch_words: int = 8  # 64-bit words of the odd sketch
-    max_sketch_bits: int = 128
+    max_sketch_bits: int = 120
     seed: int = 17
 
     @property
@@ -214,6 +215,58 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
             .unionByName(current.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()))
 
 
+def _near(pairs: DataFrame, sketches: DataFrame, p: NearDup) -> DataFrame:
+    """The pairs (a, b) whose odd sketches are near."""
+    return (pairs.join(sketches.select(F.col("digest").alias("a"), F.col("sketch").alias("_x")), "a")
+            .join(sketches.select(F.col("digest").alias("b"), F.col("sketch").alias("_y")), "b")
+            .where(_sketch_near(F.col("_x"), F.col("_y"), p)).select("a", "b"))
+
+
+def prefix_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Every pair (a, b) of classes of different components that can be
+    similar enough: exact, by prefix and position filters.
+
+    Shingles are put in one order for all sets, rare ones first. Of two sets
+    that link, the first common shingle stands so early in both that enough
+    shingles are left behind it; only the shingles at such places are joined,
+    and a pair is made only where the places leave room for the overlap that
+    the two sizes ask for. Near copies that each differ from a common text in
+    words of their own share no shingle at such places, however many they are.
+
+    ``members``: digest, root. ``sets``: digest, shingles."""
+    schema = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("n", T.IntegerType()),
+                           T.StructField("shingle", T.LongType())])
+
+    def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                sets = [np.frombuffer(raw.as_buffer(), np.int64) for raw in part.column(1)]
+                n = np.array([len(s) for s in sets], dtype=np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(pa.array(np.repeat(np.arange(len(sets)), n))), pa.array(np.repeat(n, n)),
+                     pa.array(np.concatenate(sets))], ["digest", "n", "shingle"])
+
+    flat = sets.select("digest", "shingles").mapInArrow(unfold, schema)
+    common = flat.groupBy("shingle").agg(F.count(F.lit(1)).alias("_f")).where("_f > 1")
+    # a shingle of one set only can link nothing, but it takes a place at the front
+    owned = flat.join(common, "shingle")
+    place = W.partitionBy("digest").orderBy("_f", "shingle")
+    shared = W.partitionBy("digest")
+    front = (owned.withColumn("_common", F.count(F.lit(1)).over(shared))
+             .withColumn("_i", F.col("n") - F.col("_common") + F.row_number().over(place) - 1)
+             .where(100 * (F.col("n") - F.col("_i")) >= percent * F.col("n"))
+             .join(members.select("digest", "root").distinct(), "digest"))
+    x = front.select("shingle", F.col("digest").alias("a"), F.col("root").alias("_ra"), F.col("n").alias("_na"),
+                     F.col("_i").alias("_ia"))
+    y = front.select(F.col("shingle").alias("_s"), F.col("digest").alias("b"), F.col("root").alias("_rb"),
+                     F.col("n").alias("_nb"), F.col("_i").alias("_ib"))
+    room = F.least(F.col("_na") - F.col("_ia"), F.col("_nb") - F.col("_ib"))
+    return (x.join(y, (F.col("shingle") == F.col("_s")) & (F.col("a") < F.col("b")) & (F.col("_ra") != F.col("_rb"))
+                   & ((100 + percent) * room >= percent * (F.col("_na") + F.col("_nb"))))
+            .select("a", "b").distinct())
+
+
 def class_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                      p: NearDup = NearDup()) -> tuple[DataFrame, DataFrame]:
     """(signatures, (node, root) of the classes that link with another)."""
@@ -222,45 +275,38 @@ def class_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         sig.where(F.col("digest").isNotNull()).groupBy("digest")
         .agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")),
         "minhash-classes")
+    sketches = classes.select("digest", "sketch")
     buckets = classes.select("digest", F.explode("bands").alias("band"))
     shared = materialize(
-        buckets.join(buckets.groupBy("band").agg(F.min("digest").alias("centre"), F.count(F.lit(1)).alias("n"))
-                     .where("n > 1").select("band", "centre"), "band"), "minhash-buckets")
-    sketches = classes.select("digest", "sketch")
-
-    def near(pairs: DataFrame) -> DataFrame:
-        """The distinct pairs (a, b) whose sketches are near."""
-        return (pairs.join(sketches.select(F.col("digest").alias("a"), F.col("sketch").alias("_x")), "a")
-                .join(sketches.select(F.col("digest").alias("b"), F.col("sketch").alias("_y")), "b")
-                .where(_sketch_near(F.col("_x"), F.col("_y"), p)).select("a", "b"))
-
-    def links(pairs: DataFrame, name: str) -> DataFrame:
-        pairs = materialize(pairs, f"{name}-pairs")
-        wanted = (pairs.select(F.col("a").alias("digest")).unionByName(pairs.select(F.col("b").alias("digest")))
-                  .distinct().join(classes.select("digest", "doc_id"), "digest"))
-        sets = materialize(_class_sets(docs, id_col, text_col, wanted, p), f"{name}-sets")
-        return materialize(_confirmed(pairs, sets, p.percent), f"{name}-links")
-
-    star = links(near(shared.where(F.col("digest") != F.col("centre"))
-                      .select(F.col("centre").alias("a"), F.col("digest").alias("b")).distinct()), "minhash-star")
+        buckets.join(buckets.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "band"),
+        "minhash-buckets")
+    # the class that meets most others over all its buckets: the text that a group's copies were made from
+    met = shared.groupBy("digest").agg(F.sum("n").alias("met"))
+    shared = materialize(shared.select("band", "digest").join(met, "digest"), "minhash-met")
+    centres = shared.groupBy("band").agg(F.max(F.struct("met", "digest"))["digest"].alias("centre"))
+
+    def sets_of(wanted: DataFrame, name: str) -> DataFrame:
+        wanted = wanted.distinct().join(classes.select("digest", "doc_id"), "digest")
+        return materialize(_class_sets(docs, id_col, text_col, wanted, p), f"{name}-sets")
+
+    stars = shared.join(centres, "band").where(F.col("digest") != F.col("centre")).select(
+        F.least("digest", "centre").alias("a"), F.greatest("digest", "centre").alias("b")).distinct()
+    pairs = materialize(_near(stars, sketches, p), "minhash-star-pairs")
+    sets = sets_of(pairs.select(F.col("a").alias("digest")).unionByName(pairs.select(F.col("b").alias("digest"))),
+                   "minhash-star")
+    star = materialize(_confirmed(pairs, sets, p.percent), "minhash-star-links")
     found = materialize(connected_components(star), "minhash-star-components")
-    # cross candidates, from buckets whose classes are not yet in one component
+    # classes in buckets that hold more than one component
     member = (shared.join(found.withColumnRenamed("node", "digest"), "digest", "left")
               .select("band", "digest", F.coalesce("root", "digest").alias("root")))
     mixed = (member.groupBy("band").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"))
              .where(F.col("_lo") != F.col("_hi")).select("band"))
-    member = materialize(member.join(mixed, "band", "left_semi")
-                         .join(sketches, "digest"), "minhash-mixed")
-    x = member.select("band", F.col("digest").alias("a"), F.col("root").alias("_ra"), F.col("sketch").alias("_x"))
-    y = member.select("band", F.col("digest").alias("b"), F.col("root").alias("_rb"), F.col("sketch").alias("_y"))
-    cross = (x.join(y, (x["band"] == y["band"]) & (F.col("a") < F.col("b")) & (F.col("_ra") != F.col("_rb"))
-                    & _sketch_near(F.col("_x"), F.col("_y"), p))
-             .select("a", "b").distinct()
-             .join(star, ["a", "b"], "left_anti"))
-    more = links(cross, "minhash-cross")
+    member = materialize(member.join(mixed, "band", "left_semi").select("digest", "root").distinct(), "minhash-mixed")
+    mixed_sets = sets_of(member.select("digest"), "minhash-mixed")
+    cross = _near(prefix_pairs(member, mixed_sets, p.percent), sketches, p).join(star, ["a", "b"], "left_anti")
+    more = materialize(_confirmed(cross, mixed_sets, p.percent), "minhash-cross-links")
     if more.isEmpty():
         return sig, found
-    # contract: the star components are joined by the further links between them
     root_of = lambda c, out: found.select(F.col("node").alias(c), F.col("root").alias(out))
     merged = (more.join(root_of("a", "_ra"), "a", "left").join(root_of("b", "_rb"), "b", "left")
               .select(F.coalesce("_ra", "a").alias("a"), F.coalesce("_rb", "b").alias("b")))
