@@ -116,22 +116,24 @@ def _list_of(matrix: np.ndarray) -> pa.Array:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, p: NearDup) -> DataFrame:
-    """doc_id, n_shingles, digest, bands, sketch (the last three are null for
+    """doc_id, n_shingles, text_md5, digest, bands, sketch (the last three are null for
     an empty set)."""
     fields = [T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("n_shingles", T.LongType()),
-              T.StructField("digest", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())),
-              T.StructField("sketch", T.ArrayType(T.LongType()))]
+              T.StructField("text_md5", T.StringType()), T.StructField("digest", T.BinaryType()),
+              T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sketch", T.ArrayType(T.LongType()))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = Signer(p)
         for batch in batches:
             for block in blocks(batch.column(1)):
                 sets = shingle_sets(block, p.shingle_words)
+                raw, off = block.data.tobytes(), block.offsets.tolist()
                 bands, sketch = signer.fold(np.stack([signer.samples(s) for s in sets]))
                 empty = np.array([len(s) == 0 for s in sets])
                 some = pa.array(np.where(empty, None, np.arange(len(sets))), pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(block.first, block.n_texts), pa.array([len(s) for s in sets], pa.int64()),
+                     pa.array([hashlib.md5(raw[a:b]).hexdigest() for a, b in zip(off, off[1:])]),
                      pa.array([set_digest(s) if len(s) else None for s in sets], pa.binary()),
                      _list_of(bands).take(some), _list_of(sketch).take(some)], [f.name for f in fields])
 
@@ -332,3 +334,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     .alias("component_id"))
             .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))
 
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
+             params: NearDup = NearDup()) -> DataFrame:
+    """The rows and columns of ``docs`` without near copies: of each component
+    the document of the least id (nulls last) and then least text digest stays,
+    of wholly equal ids and texts one row. Texts without words link with
+    nothing and all stay."""
+    sig, found = class_components(docs, id_col, text_col, params)
+    member = (sig.where(F.col("digest").isNotNull())
+              .join(found.withColumnRenamed("node", "digest"), "digest", "left"))
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", "text_md5")
+    first = (member.groupBy(F.coalesce("root", "digest").alias("_root")).agg(F.min(place).alias("_first"))
+             .select(F.col("_first.doc_id").alias("_keep_id"), F.col("_first.text_md5").alias("_keep_md5")))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    worded = text.rlike(r"[^\x20\x09-\x0D]")
+    chosen = (docs.where(worded).withColumn("_keep_text", F.md5(text.cast("binary")))
+              .join(first, F.col(id_col).eqNullSafe(F.col("_keep_id")) & (F.col("_keep_text") == F.col("_keep_md5")))
+              .dropDuplicates(["_keep_id", "_keep_md5"]).select(*docs.columns))
+    return chosen.unionByName(docs.where(~worded))
