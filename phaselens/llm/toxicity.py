@@ -45,10 +45,13 @@ _SENTENCE = re.compile(r"[^.!?\n]+")
 
 @dataclass(frozen=True)
 class ToxicityParams:
-    """``max_toxic`` / ``max_clean``: labelled rows used for fitting at most."""
+    """``max_toxic`` / ``max_clean``: labelled rows used for fitting at most.
+    ``features``: chosen at most, and ``features_per_row`` a labelled row (a
+    small sample can't tell many features apart)."""
     max_toxic: int = 2500
     max_clean: int = 5000
     features: int = 4000
+    features_per_row: float = 1.2
     pair_penalty: float = 4.0
     terms: tuple[tuple[str, ...], ...] = IDENTITY_TERMS
 
@@ -115,7 +118,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     values = [np.frombuffer(v, np.float32) for row in got["pair_value"].to_pylist() for v in row]
     pairs = Sparse(np.repeat(np.arange(len(cols)), [len(c) for c in cols]),
                    np.concatenate([np.zeros(0, np.int64), *cols]), np.zeros(0), len(cols))
-    return fit(unpack(got["col"], got["n"]), y, most=params.features, pairs=pairs,
+    most = min(params.features, int(params.features_per_row * len(y)))
+    return fit(unpack(got["col"], got["n"]), y, most=most, pairs=pairs,
                pair_values=np.concatenate([np.zeros(0), *values]), pair_penalty=params.pair_penalty)
 
 
