@@ -11,16 +11,18 @@ from pyspark.sql import functions as F
 # dayfirst; day-first beats month-first for ambiguous dd/mm text; a
 # month-first or year-day-month shape is only used when the day-first
 # reading is impossible (13/06 vs 06/13).
-DAYFIRST_DATE_FORMATS = ("yyyy-M-d", "d-M-yyyy", "d/M/yyyy", "M/d/yyyy", "M-d-yyyy", "yyyy-d-M")
-TIME_SUFFIXES = (" H:mm:ss", " H:mm", "")
+DAYFIRST_DATE_FORMATS = ("yyyy-M-d", "d-M-yyyy", "d/M/yyyy", "M/d/yyyy", "M-d-yyyy", "yyyy-d-M", "d.M.yyyy",
+                         "yyyy/M/d", "d MMM yyyy", "MMM d yyyy")
+TIME_SUFFIXES = (" H:mm:ss", " H:mm", "", " h:mm:ss a", " h:mm a", " H:mm:ss.SSSSSS")
 
-_FIELD_RX = {"yyyy": r"\d{4}", "M": r"\d{1,2}", "d": r"\d{1,2}", "H": r"\d{1,2}", "mm": r"\d{2}", "ss": r"\d{2}"}
+_FIELD_RX = {"yyyy": r"\d{4}", "MMM": r"[A-Z][a-z]{2}", "M": r"\d{1,2}", "d": r"\d{1,2}", "H": r"\d{1,2}",
+             "h": r"\d{1,2}", "mm": r"\d{2}", "ss": r"\d{2}", "SSSSSS": r"\d{6}", "a": "[AP]M"}
 
 
 def shape_regex(pattern: str) -> str:
     """Anchored regex of the texts a datetime pattern can parse
     (``d/M/yyyy`` -> ``^\\d{1,2}/\\d{1,2}/\\d{4}$``)."""
-    parts = re.split(r"(yyyy|mm|ss|M|d|H)", pattern)
+    parts = re.split(r"(yyyy|SSSSSS|MMM|mm|ss|M|d|H|h|a)", pattern)
     return "^" + "".join(_FIELD_RX.get(p, re.escape(p)) for p in parts) + "$"
 
 
@@ -34,7 +36,17 @@ def parse_mixed_ts(col, date_formats=DAYFIRST_DATE_FORMATS, time_suffixes=TIME_S
     ``on_error='null'`` leaves unparseable text NULL (count it with
     ``count_if(parsed IS NULL AND text IS NOT NULL)``); ``'raise'`` fails
     the task like pandas does."""
-    c = F.trim(F.col(col) if isinstance(col, str) else col)
+    text = F.trim(F.col(col) if isinstance(col, str) else col)
+    # one spelling per shape: a blank between date and time, six fractional
+    # digits, capital AM / PM with a blank, three-letter month names, no commas
+    c = F.regexp_replace(text, r"^(\d{4}-\d{1,2}-\d{1,2})T", "$1 ")
+    c = F.when(c.rlike(r":\d{2}\.\d+$"), F.concat(
+        F.regexp_extract(c, r"^(.*\.)\d+$", 1), F.rpad(F.substring(F.regexp_extract(c, r"\.(\d+)$", 1), 1, 6), 6, "0"))
+    ).otherwise(c)
+    c = F.regexp_replace(F.regexp_replace(c, r"(?i)(\d)\s*am$", "$1 AM"), r"(?i)(\d)\s*pm$", "$1 PM")
+    c = F.when(c.rlike(r"[A-Za-z]{3}"), F.initcap(F.regexp_replace(F.regexp_replace(
+        c, ",", ""), r"(?<![A-Za-z])([A-Za-z]{3})[A-Za-z]+", "$1"))).otherwise(c)
+    c = F.regexp_replace(F.regexp_replace(c, r"\bAm$", "AM"), r"\bPm$", "PM")
     tries = []
     for d in date_formats:
         for t in time_suffixes:
@@ -43,7 +55,7 @@ def parse_mixed_ts(col, date_formats=DAYFIRST_DATE_FORMATS, time_suffixes=TIME_S
                                 F.try_to_timestamp(c, F.lit(fmt)).cast("timestamp_ntz")))
     parsed = F.coalesce(*tries)
     if on_error == "raise":
-        return F.when(c.isNotNull() & parsed.isNull(),
-                      F.raise_error(F.concat(F.lit("unparseable timestamp: "), c))
+        return F.when(text.isNotNull() & parsed.isNull(),
+                      F.raise_error(F.concat(F.lit("unparseable timestamp: "), text))
                       ).otherwise(parsed).cast("timestamp_ntz")
     return parsed
