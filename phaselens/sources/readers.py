@@ -48,6 +48,10 @@ def read_reference_csv(spark: SparkSession, base_path: str, tables=None) -> dict
         out[name] = (spark.read.schema(schema)
                      .option("header", True)
                      .option("mode", "FAILFAST")
+                     .option("escape", '"')  # a quote inside a field is doubled
+                     # review texts hold line breaks; such a file is read by one task,
+                     # so only the table that needs it is
+                     .option("multiLine", name == "fact_ratings")
                      .option("timestampNTZFormat", "yyyy-MM-dd[ HH:mm[:ss[.SSSSSS]]]")
                      .csv(os.path.join(base_path, fname)))
     return out
