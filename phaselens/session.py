@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every phaselens job relies on. AQE re-plans joins and coalesces
 # shuffle partitions at runtime; skew-join splits hot keys.
@@ -41,8 +44,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint directory of the session.
 
     A cluster names a shared folder in ``spark.checkpoint.dir``; we read it
-    and never override it. Only when it is unset (local tests) a fresh
-    scratch folder is created."""
+    and never override it. Where it is unset, only a local master gets a fresh
+    scratch folder (removed when the process ends); on a cluster this raises,
+    as each executor would write to its own disk."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
@@ -50,18 +54,33 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not configured:
-        configured = tempfile.mkdtemp(prefix="phaselens-ckpt-", dir="/tmp")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        configured = tempfile.mkdtemp(prefix="phaselens-ckpt-")
+        atexit.register(shutil.rmtree, configured, ignore_errors=True)
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
 
-def materialize(df, name: str = "table"):
+def _tables_folder(spark: SparkSession) -> str:
+    return os.path.join(ensure_checkpoint_dir(spark), "phaselens")
+
+
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` once as Parquet under the session's shared checkpoint
     folder and read it back: later passes read a columnar table (pruned,
     pushed down) instead of recomputing ``df``, lineage is cut, and the
     files outlive the executors that wrote them. Unlike
-    ``Dataset.checkpoint`` this computes ``df`` only once."""
-    root = ensure_checkpoint_dir(df.sparkSession)
-    path = os.path.join(root, "phaselens", f"{name}-{uuid.uuid4().hex}")
+    ``Dataset.checkpoint`` this computes ``df`` only once. The folder is the
+    session's; :func:`release` deletes it when its tables are used up."""
+    path = os.path.join(_tables_folder(df.sparkSession), f"{name}-{uuid.uuid4().hex}")
     df.write.mode("error").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete every table that :func:`materialize` wrote in this session.
+    DataFrames that still read one can't be computed afterwards."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(_tables_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

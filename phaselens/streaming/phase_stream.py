@@ -6,9 +6,11 @@ The grouping key (month, phase) has at most months x phases values, so
 the streaming state stays tiny whatever the order volume; partial
 aggregation happens before the state-store shuffle as in batch.
 
-Sink: ``foreachBatch`` replaces the result table with the complete
-aggregate of each micro-batch (idempotent: a replayed batch after a failure
-writes the same rows). The checkpoint lives under the session's shared
+Sink: ``foreachBatch`` writes the complete aggregate of each micro-batch to
+a folder of its own, ``batch_id=<n>`` (idempotent: a batch replayed after a
+failure writes the same rows to the same place), so readers never find the
+table half replaced; :func:`read_trend` reads the latest finished one and
+older ones are dropped. The checkpoint lives under the session's shared
 ``spark.checkpoint.dir``, so a restarted query resumes where it stopped.
 """
 
@@ -47,15 +49,37 @@ def phase_month_trend(orders: DataFrame, calendar: PhaseCalendar, ts: str = "ord
             .drop("_kept_cents"))
 
 
+def _finished(spark: SparkSession, out_path: str) -> list[int]:
+    """Batch numbers whose write has ended, ascending."""
+    jvm = spark.sparkContext._jvm
+    pattern = jvm.org.apache.hadoop.fs.Path(os.path.join(out_path, "batch_id=*", "_SUCCESS"))
+    found = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern)
+    return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in found or [])
+
+
+def write_trend(batch: DataFrame, out_path: str, batch_id: int, keep: int = 2) -> None:
+    """Write one batch's table; the ``keep`` latest finished ones stay."""
+    spark = batch.sparkSession
+    batch.write.mode("overwrite").parquet(os.path.join(out_path, f"batch_id={batch_id}"))
+    for old in _finished(spark, out_path)[:-keep]:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(os.path.join(out_path, f"batch_id={old}"))
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def read_trend(spark: SparkSession, out_path: str) -> DataFrame:
+    """The latest finished table."""
+    return spark.read.parquet(os.path.join(out_path, f"batch_id={_finished(spark, out_path)[-1]}"))
+
+
 def start_trend_query(trend: DataFrame, out_path: str, name: str = "phase_month_trend",
                       checkpoint: str | None = None, trigger_seconds: int | None = None) -> StreamingQuery:
-    """Run ``trend`` in complete mode; every micro-batch overwrites
-    ``out_path`` (Parquet) with the full, current table."""
+    """Run ``trend`` in complete mode; every micro-batch writes the full,
+    current table to a folder of its own under ``out_path``."""
     spark = trend.sparkSession
     ckpt = checkpoint or os.path.join(ensure_checkpoint_dir(spark), "streams", name)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(out_path)
+        write_trend(batch, out_path, batch_id)
 
     writer = (trend.writeStream.outputMode("complete").queryName(name)
               .option("checkpointLocation", ckpt).foreachBatch(write))
