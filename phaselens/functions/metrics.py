@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
 MONEY = DecimalType(18, 2)
+EXACT = DecimalType(38, 12)  # a value at full precision, before any rounding
 _NUM = DecimalType(38, 18)  # numerator of a quotient: 20 integer digits
 _DEN = DecimalType(20, 0)  # denominator: any LONG
 
@@ -44,12 +45,15 @@ def pct(num, den, digits: int = 2) -> Column:
     return ratio(num, den, digits, scale=100)
 
 
-def exact_mean(col, digits: int = 2, in_scale: int = 2) -> Column:
-    """Mean of non-null values, rounded half-up (pandas ``mean``, SQL ``AVG``).
+def exact_mean(col, digits: int = 2, in_scale: int | None = None) -> Column:
+    """Mean of non-null values, rounded half-up once (pandas ``mean``, SQL
+    ``AVG``): the values are summed as DECIMAL(38,12), unrounded.
 
-    Values must carry at most ``in_scale`` decimals (ratings, scores, money,
-    integer minutes)."""
+    ``in_scale`` is for columns whose type bounds their decimals (money,
+    integer minutes): they are summed as LONG counts of that unit."""
     c = _c(col)
+    if in_scale is None:
+        return ratio(F.sum(c.cast(EXACT)), F.count(c), digits)
     return ratio(scaled_sum(c, in_scale), F.count(c) * F.lit(10 ** in_scale), digits)
 
 

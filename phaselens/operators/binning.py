@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phaselens.operators.rank import distributed_rank, exact_quantiles
+from phaselens.operators.rank import distributed_rank, exact_quantiles, value_quantiles
 
 
-def quantile_edges(df: DataFrame, value: str, q: int, tie_key: str,
-                   single_task: bool | None = None) -> Column:
+def quantile_edges(df: DataFrame, value: str, q: int, tie_key: str, few_values: bool = False) -> Column:
     """Scalar struct ``{e: [edge_0..edge_q], dup: bool}``: the i/q linear
-    quantiles of ``value`` (one scalar subquery) and whether two coincide."""
+    quantiles of ``value`` (one scalar subquery) and whether two coincide.
+    ``few_values``: see :func:`value_quantiles`."""
     probs = {f"e{i}": i / q for i in range(q + 1)}
-    edges = exact_quantiles(df, value, probs, tie_key, single_task=single_task)
+    edges = value_quantiles(df, value, probs) if few_values else exact_quantiles(df, value, probs, tie_key)
     cols = [f"e{i}" for i in range(q + 1)]
     dup = None
     for a, b in zip(cols, cols[1:]):
@@ -65,9 +65,9 @@ def rank_bin(rank: Column, n: Column, q: int) -> Column:
 
 
 def rank_bins(df: DataFrame, order: list[tuple[str, bool]], tie_key: str, q: int,
-              labels: list[int], out_col: str, single_task: bool | None = None) -> DataFrame:
+              labels: list[int], out_col: str) -> DataFrame:
     """qcut of ``rank(method='first')``: ties broken by ``tie_key`` order."""
-    ranked = distributed_rank(df, order, tie_key, "_pl_rank", with_count="_pl_total", single_task=single_task)
+    ranked = distributed_rank(df, order, tie_key, "_pl_rank", with_count="_pl_total")
     b = rank_bin(F.col("_pl_rank"), F.col("_pl_total"), q)
     lab = F.element_at(F.array(*[F.lit(x) for x in labels]), b)
     return ranked.withColumn(out_col, lab.cast("int")).drop("_pl_rank", "_pl_total")

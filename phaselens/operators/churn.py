@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phaselens.functions.metrics import pct
@@ -20,12 +20,17 @@ def flag_active(base: DataFrame, active: DataFrame, key: str, flag: str = "is_ac
 def churn_summary(base: DataFrame, active: DataFrame, key: str,
                   names=("total", "churned", "retained", "churn_rate_pct")) -> DataFrame:
     """One row: base size, churned (absent from ``active``), retained, rate %."""
-    flagged = flag_active(base, active, key, "_pl_act")
+    return churn_counts(flag_active(base, active, key, "_pl_act"), key, F.col("_pl_act"), names)
+
+
+def churn_counts(flagged: DataFrame, key: str, active: Column,
+                 names=("total", "churned", "retained", "churn_rate_pct")) -> DataFrame:
+    """:func:`churn_summary` of keys whose activity is a boolean already."""
     total, churned, retained, rate = names
     return flagged.agg(
         F.count(F.col(key)).alias(total),
-        F.count_if(~F.col("_pl_act")).cast("long").alias(churned),
-        F.count_if(F.col("_pl_act")).cast("long").alias(retained),
+        F.count_if(~active).cast("long").alias(churned),
+        F.count_if(active).cast("long").alias(retained),
     ).withColumn(rate, pct(F.col(churned), F.col(total)))
 
 

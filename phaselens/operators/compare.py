@@ -22,8 +22,3 @@ def phase_pivot(df: DataFrame, keys: list[str], phase_col: str,
 
 def count_in(cond: Column) -> Column:
     return F.count_if(cond).cast("long")
-
-
-def top_k(df: DataFrame, k: int, order: list[Column]) -> DataFrame:
-    """Sorted top-k with a total order (planned as TakeOrderedAndProject)."""
-    return df.orderBy(*order).limit(k)

@@ -8,54 +8,91 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phaselens.operators.rank import exact_quantiles
+from phaselens.functions.metrics import exact_mean, round_double
+from phaselens.operators.rank import exact_quantiles, value_quantiles
+
+
+# A group is (rows, {table: (presence, columns)}): the tables that one scan of
+# ``rows`` gives. ``presence`` (None: always) says whether a row belongs to the
+# table.
+Group = tuple[DataFrame, dict[str, tuple[Column | None, list[Column]]]]
+
+
+def table_groups(tables: dict[str, DataFrame]) -> list[Group]:
+    """One group per table."""
+    return [(df, {name: (None, [F.col(f"`{c}`") for c in df.columns])}) for name, df in tables.items()]
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 
-def profile(df: DataFrame) -> DataFrame:
-    """One scan of ``df``: per column its type, NULL count and non-NULL
-    count, plus the table's row count (PRF-1..5 in long form)."""
-    counted = df.agg(F.count(F.lit(1)).alias("__rows"),
-                     *[F.count_if(F.col(f"`{c}`").isNull()).cast("long").alias(f"{c}__nulls")
-                       for c in df.columns])
-    stack = "stack({n}, {rows}) as (column_name, data_type, null_count)".format(
-        n=len(df.columns), rows=", ".join(f"'{c}', '{t}', `{c}__nulls`" for c, t in df.dtypes))
-    return counted.selectExpr("__rows AS rows", stack).withColumn(
+def _stacked(group: Group, names: tuple[str, ...], lines, counts) -> DataFrame:
+    """One aggregate row over the group's rows (``counts(table, presence,
+    columns)``: name -> aggregate), unpivoted into the rows of
+    ``lines(table, columns)``: SQL expressions of the columns ``names``."""
+    df, views = group
+    aggs, rows = {}, []
+    for table, (presence, columns) in views.items():
+        aggs |= counts(table, F.lit(True) if presence is None else presence, columns)
+        rows += lines(table, df.select(*columns).dtypes)
+    return df.agg(*[a.alias(n) for n, a in aggs.items()]).selectExpr(
+        f"stack({len(rows)}, {', '.join(x for r in rows for x in r)}) as ({', '.join(names)})")
+
+
+def _row_counts(table, presence, columns):
+    return {f"{table}__rows": F.count_if(presence).cast("long")}
+
+
+def _null_counts(table, presence, columns):
+    return _row_counts(table, presence, columns) | {
+        f"{table}__{i}": F.count_if(presence & c.isNull()).cast("long") for i, c in enumerate(columns)}
+
+
+def profile_groups(groups: list[Group]) -> DataFrame:
+    """One scan per group: per table and column its type, NULL count and
+    non-NULL count, plus the table's row count (PRF-1..5 in long form)."""
+    def lines(table, dtypes):
+        return [(f"'{table}'", f"'{c}'", f"'{t}'", f"`{table}__rows`", f"`{table}__{i}`")
+                for i, (c, t) in enumerate(dtypes)]
+
+    names = ("table_name", "column_name", "data_type", "rows", "null_count")
+    return _union([_stacked(g, names, lines, _null_counts) for g in groups]).withColumn(
         "non_null", F.col("rows") - F.col("null_count"))
 
 
-def _profiles(tables: dict[str, DataFrame]) -> DataFrame:
-    return _union([profile(df).withColumn("table_name", F.lit(name)) for name, df in tables.items()])
+def profile(df: DataFrame) -> DataFrame:
+    """:func:`profile_groups` of one table."""
+    return profile_groups(table_groups({"t": df})).select("rows", "column_name", "data_type", "null_count", "non_null")
 
 
-def profile_shapes(tables: dict[str, DataFrame]) -> DataFrame:
+def profile_shapes(groups: list[Group]) -> DataFrame:
     """table_name, rows, columns."""
-    return _union([df.agg(F.count(F.lit(1)).alias("rows"))
-                   .select(F.lit(name).alias("table_name"), "rows",
-                           F.lit(len(df.columns)).cast("int").alias("columns"))
-                   for name, df in tables.items()])
+    def lines(table, dtypes):
+        return [(f"'{table}'", f"`{table}__rows`", str(len(dtypes)))]
+
+    return _union([_stacked(g, ("table_name", "rows", "columns"), lines, _row_counts) for g in groups])
 
 
-def null_columns(tables: dict[str, DataFrame]) -> DataFrame:
+def null_columns(groups: list[Group]) -> DataFrame:
     """table_name, column_name, null_count (one row per column)."""
-    return _profiles(tables).select("table_name", "column_name", "null_count")
+    return profile_groups(groups).select("table_name", "column_name", "null_count")
+
 
+def null_totals(groups: list[Group]) -> DataFrame:
+    """table_name, null_values (all columns together, added up in the row)."""
+    def lines(table, dtypes):
+        return [(f"'{table}'", " + ".join(f"`{table}__{i}`" for i in range(len(dtypes))))]
 
-def null_totals(tables: dict[str, DataFrame]) -> DataFrame:
-    """table_name, null_values (all columns together)."""
-    return (_profiles(tables).groupBy("table_name")
-            .agg(F.sum("null_count").cast("long").alias("null_values")))
+    return _union([_stacked(g, ("table_name", "null_values"), lines, _null_counts) for g in groups])
 
 
-def column_types(tables: dict[str, DataFrame]) -> DataFrame:
+def column_types(groups: list[Group]) -> DataFrame:
     """table_name, column_name, data_type, non_null (counted on the data)."""
-    return _profiles(tables).select("table_name", "column_name", "data_type", "non_null")
+    return profile_groups(groups).select("table_name", "column_name", "data_type", "non_null")
 
 
 def head_sample(df: DataFrame, order: list[str], n: int = 10) -> DataFrame:
@@ -69,21 +106,20 @@ DESCRIBE_STATS = ("count", "mean", "std", "min", "25%", "50%", "75%", "max")
 
 
 def describe_exact(df: DataFrame, cols: list[str], tie_key: str, digits: int = 2,
-                   single_task: bool | None = None) -> DataFrame:
+                   few_values: tuple[str, ...] = ()) -> DataFrame:
     """pandas ``describe().round(digits)``: one row per statistic, a column
-    per input column. Quartiles are exact (distributed ranks, linear
-    interpolation), read as scalar subqueries; everything else is one
-    aggregate row, unpivoted with ``stack``."""
-    from phaselens.functions.metrics import ratio, round_double
-    from phaselens.operators.rank import fits_one_task
-    small = fits_one_task(df) if single_task is None else single_task  # one check for all columns
+    per input column. Quartiles are exact (distributed ranks, or counts per
+    value for the columns named in ``few_values``; linear interpolation), read
+    as scalar subqueries; everything else is one aggregate row, unpivoted with
+    ``stack``."""
     stats = []
     for c in cols:
-        qs = exact_quantiles(df, c, {"q25": 0.25, "q50": 0.5, "q75": 0.75}, tie_key, single_task=small)
+        probs = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
+        qs = value_quantiles(df, c, probs) if c in few_values else exact_quantiles(df, c, probs, tie_key)
         qv = qs.select(F.struct("q25", "q50", "q75")).scalar()
         stats.append((c, [
             F.count(F.col(c)).cast("double"),
-            ratio(F.sum(F.col(c).cast("decimal(18,2)")), F.count(F.col(c)), digits),
+            exact_mean(c, digits),
             round_double(F.stddev_samp(F.col(c)), digits),
             round_double(F.min(F.col(c)).cast("double"), digits),
             round_double(F.first(qv).getField("q25"), digits),

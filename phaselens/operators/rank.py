@@ -18,43 +18,20 @@ global order is cut into ranges instead:
 
 The sample is a pure function of the data (a hash, not ``rand``), so a
 stage recomputed after an executor loss gets the same boundaries and the
-same ranks.
-
-Size check: when an input provably holds at most
-``phaselens.rank.singleTaskMaxRows`` rows (``limit(max + 1).count()``,
-which stops early on large inputs), one ordered window in one task is
-exact and far cheaper than the bucketing stages; above the bound the
-distributed path runs. Both paths give identical results (tested).
+same ranks. The number of ranges follows from the row count at run time, so
+a range stays of like size at every input size; nothing runs while a query
+is built.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKETS = 64
-MAX_BUCKETS = 8192
+MIN_BUCKETS = 16
+ROWS_PER_BUCKET = 262_144
 SAMPLE_PER_BUCKET = 32
 _HASH_RANGE = 1 << 40
-SINGLE_TASK_CONF = "phaselens.rank.singleTaskMaxRows"
-DEFAULT_SINGLE_TASK_MAX_ROWS = 1_000_000
-
-
-def fits_one_task(df: DataFrame) -> bool:
-    """True when ``df`` has at most the configured number of rows, decided
-    exactly by ``limit(max + 1).count()`` (it stops early on large scans).
-    The optimizer's size estimate is not used: without column statistics it
-    multiplies join inputs, so it cannot prove an input large."""
-    limit = int(df.sparkSession.conf.get(SINGLE_TASK_CONF, str(DEFAULT_SINGLE_TASK_MAX_ROWS)))
-    if limit <= 0:
-        return False
-    return df.limit(limit + 1).count() <= limit
-
-
-def _order_cols(order: list[tuple[str, bool]], tie_key: str) -> list[Column]:
-    return [F.col(c).asc() if asc else F.col(c).desc() for c, asc in order] + [F.col(tie_key).asc()]
 
 
 def _key_struct(order: list[tuple[str, bool]], df: DataFrame) -> Column:
@@ -71,12 +48,10 @@ def _key_struct(order: list[tuple[str, bool]], df: DataFrame) -> Column:
     return F.struct(*fields)
 
 
-def _upper_bound(bounds: str, key: str, max_bounds: int) -> Column:
+def _upper_bound(bounds: str, key: str) -> Column:
     """Number of elements of the sorted array column ``bounds`` that are
-    ``<=`` the value of ``key``: a binary search of ceil(log2(n+1)) steps,
-    unrolled as an ``aggregate`` over a fixed sequence (O(log n) per row)."""
-    steps = max(1, math.ceil(math.log2(max_bounds + 1)))
-
+    ``<=`` the value of ``key``: a binary search, O(log n) per row. Never
+    null, so a join on it needs no second search for a not-null filter."""
     def step(acc, _):
         lo, hi = acc["lo"], acc["hi"]
         mid = F.floor((lo + hi) / 2).cast("int")
@@ -85,35 +60,37 @@ def _upper_bound(bounds: str, key: str, max_bounds: int) -> Column:
                  .otherwise(F.struct(lo.alias("lo"), mid.alias("hi")))
         return F.when(lo >= hi, acc).otherwise(moved)
 
-    start = F.struct(F.lit(0).alias("lo"), F.size(F.col(bounds)).alias("hi"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step)["lo"]
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(bounds) + F.lit(1.0))).cast("int"))
+    start = F.struct(F.lit(0).alias("lo"), F.size(bounds).alias("hi"))
+    return F.coalesce(F.aggregate(steps, start, step)["lo"], F.lit(0))
 
 
 def range_buckets(df: DataFrame, order: list[tuple[str, bool]], tie_key: str,
                   buckets: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows with ``_pl_key``/``_pl_bucket``, per-bucket table with
     ``_pl_cnt``, ``_pl_off`` (rows in lower buckets) and ``_pl_n`` (all rows)).
-    Buckets are contiguous ranges of the order, numbered in order."""
-    spark = df.sparkSession
-    nb = buckets or min(MAX_BUCKETS, max(DEFAULT_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    Buckets are contiguous ranges of the order, numbered in order; their
+    number is ``buckets`` or one per ``ROWS_PER_BUCKET`` rows, at least
+    ``MIN_BUCKETS``."""
     keyed = df.withColumn("_pl_key", _key_struct(list(order) + [(tie_key, True)], df))
-    # Sample about k rows: those whose hash of the unique key falls under
-    # k/n of the hash range (n from a count subquery). Each task filters its
-    # own rows; only the ~k sampled keys meet in one task.
-    k = nb * SAMPLE_PER_BUCKET
+    # The sample: rows whose hash of the unique key falls under k/n of the
+    # hash range, k = ranges * SAMPLE_PER_BUCKET. Each task filters its own
+    # rows; only the ~k sampled keys (one per 8,192 rows) meet in one task.
     n_rows = df.select(F.count(F.lit(1))).scalar()
+    ranges = F.lit(buckets) if buckets else F.greatest(
+        F.ceil(n_rows / F.lit(ROWS_PER_BUCKET)), F.lit(MIN_BUCKETS))
+    share = ranges.cast("double") * F.lit(float(SAMPLE_PER_BUCKET)) / F.greatest(n_rows, F.lit(1))
     h = F.xxhash64(F.col(tie_key)).bitwiseAND(F.lit(_HASH_RANGE - 1).cast("long")).cast("double")
-    sample = keyed.where(h < F.lit(float(_HASH_RANGE * k)) / F.greatest(n_rows, F.lit(1))).select("_pl_key")
-    # every step-th key of the sorted sample (at most nb - 1 boundaries)
+    sample = keyed.where(h < F.lit(float(_HASH_RANGE)) * share).select("_pl_key")
+    # every SAMPLE_PER_BUCKET-th key of the sorted sample
     srt = sample.agg(F.sort_array(F.collect_list("_pl_key")).alias("_s"))
-    step = F.greatest(F.floor(F.size("_s") / nb), F.lit(1))
-    bounds = srt.select(F.filter("_s", lambda x, i: ((i + 1) % step == 0) & (i + 1 < F.size("_s")))).scalar()
+    bounds = srt.select(F.filter("_s", lambda x, i: (i + 1) % SAMPLE_PER_BUCKET == 0)).scalar()
+    # the boundaries pass through as a column: Spark allows no subquery in a lambda's expression
     bucketed = (keyed.withColumn("_pl_bounds", bounds)
-                .withColumn("_pl_bucket", _upper_bound("_pl_bounds", "_pl_key", nb))
-                .drop("_pl_bounds"))
+                .withColumn("_pl_bucket", _upper_bound("_pl_bounds", "_pl_key")).drop("_pl_bounds"))
     counts = bucketed.groupBy("_pl_bucket").agg(F.count(F.lit(1)).alias("_pl_cnt"))
-    # one row per bucket (<= nb rows): an ordered window over it is trivial;
-    # both frames share one window spec, so one sort serves both
+    # one row per bucket: an ordered window over it is trivial; both frames
+    # share one window spec, so one sort serves both
     by_bucket = Window.orderBy("_pl_bucket")
     table = counts.select(
         "_pl_bucket", "_pl_cnt",
@@ -126,20 +103,12 @@ def range_buckets(df: DataFrame, order: list[tuple[str, bool]], tie_key: str,
 
 def distributed_rank(df: DataFrame, order: list[tuple[str, bool]], tie_key: str,
                      rank_col: str = "rank", buckets: int | None = None,
-                     with_count: str | None = None, single_task: bool | None = None) -> DataFrame:
+                     with_count: str | None = None) -> DataFrame:
     """Add ``rank_col`` = ROW_NUMBER() OVER (ORDER BY order..., tie_key).
 
     ``order`` is a list of (column, ascending). ``tie_key`` must be unique
     and non-null; order columns must be non-null. ``with_count`` names an
-    optional column holding the total row count (for NTILE / quantiles).
-    ``single_task`` skips the size check when the caller already made it."""
-    if single_task if single_task is not None else fits_one_task(df):
-        w = Window.orderBy(*_order_cols(order, tie_key))
-        ranked = df.withColumn(rank_col, F.row_number().over(w).cast("long"))
-        if with_count:
-            whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-            ranked = ranked.withColumn(with_count, F.count(F.lit(1)).over(whole).cast("long"))
-        return ranked
+    optional column holding the total row count (for NTILE / quantiles)."""
     bucketed, table = range_buckets(df, order, tie_key, buckets)
     within = Window.partitionBy("_pl_bucket").orderBy("_pl_key")
     ranked = (bucketed.withColumn("_pl_rn", F.row_number().over(within))
@@ -161,16 +130,14 @@ def ntile_from_rank(rank: Column, n: Column, k: int) -> Column:
 
 
 def distributed_ntile(df: DataFrame, order: list[tuple[str, bool]], tie_key: str, k: int,
-                      tile_col: str = "ntile", buckets: int | None = None,
-                      single_task: bool | None = None) -> DataFrame:
-    ranked = distributed_rank(df, order, tie_key, "_pl_rank", buckets, with_count="_pl_total",
-                              single_task=single_task)
+                      tile_col: str = "ntile", buckets: int | None = None) -> DataFrame:
+    ranked = distributed_rank(df, order, tie_key, "_pl_rank", buckets, with_count="_pl_total")
     return (ranked.withColumn(tile_col, ntile_from_rank(F.col("_pl_rank"), F.col("_pl_total"), k))
             .drop("_pl_rank", "_pl_total"))
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], tie_key: str,
-                    buckets: int | None = None, single_task: bool | None = None) -> DataFrame:
+                    buckets: int | None = None) -> DataFrame:
     """One row with a column per probability: the linear-interpolation
     quantile (``percentile`` / ``quantile_cont`` / pandas ``quantile``) of
     the non-null values.
@@ -180,16 +147,6 @@ def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], tie_key:
     semi join keeps those buckets' rows, and a window numbers them. No task
     ever holds more than one bucket."""
     base = df.select(F.col(value).cast("double").alias("_pl_v"), F.col(tie_key)).where(F.col("_pl_v").isNotNull())
-    if single_task if single_task is not None else fits_one_task(base):
-        ranked = distributed_rank(base, [("_pl_v", True)], tie_key, "_pl_r", with_count="_pl_n",
-                                  single_task=True)
-        aggs = []
-        for name, p in probs.items():
-            h = (F.col("_pl_n") - 1).cast("double") * F.lit(float(p))
-            aggs += [F.max(F.when(F.col("_pl_r") == F.floor(h) + 1, F.col("_pl_v"))).alias(f"_lo_{name}"),
-                     F.max(F.when(F.col("_pl_r") == F.ceil(h) + 1, F.col("_pl_v"))).alias(f"_hi_{name}"),
-                     F.max(h - F.floor(h)).alias(f"_d_{name}")]
-        return _interpolate(ranked.agg(*aggs), probs)
     bucketed, table = range_buckets(base, [("_pl_v", True)], tie_key, buckets)
     wanted = []
     for name, p in probs.items():
@@ -213,6 +170,27 @@ def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], tie_key:
     return _interpolate(picked.agg(*aggs), probs)
 
 
+def value_quantiles(df: DataFrame, value: str, probs: dict[str, float]) -> DataFrame:
+    """As :func:`exact_quantiles`, for a column with few distinct values (days,
+    counts): one group-by of the value, whose counts, running in value order,
+    hold every rank. Only the table of distinct values is ordered in one task,
+    so the column must be one whose values do not grow with the rows."""
+    counts = (df.select(F.col(value).cast("double").alias("_pl_v")).where(F.col("_pl_v").isNotNull())
+              .groupBy("_pl_v").agg(F.count(F.lit(1)).alias("_pl_cnt")))
+    by_value = Window.orderBy("_pl_v")
+    table = counts.select("_pl_v", F.sum("_pl_cnt").over(by_value.rowsBetween(Window.unboundedPreceding, 0)).alias("_pl_upto"),
+                          F.sum("_pl_cnt").over(by_value.rowsBetween(Window.unboundedPreceding,
+                                                                     Window.unboundedFollowing)).alias("_pl_n"))
+    aggs = []
+    for name, p in probs.items():
+        h = (F.col("_pl_n") - 1).cast("double") * F.lit(float(p))
+        # the least value whose running count reaches the rank
+        aggs += [F.min(F.when(F.col("_pl_upto") >= F.floor(h) + 1, F.col("_pl_v"))).alias(f"_lo_{name}"),
+                 F.min(F.when(F.col("_pl_upto") >= F.ceil(h) + 1, F.col("_pl_v"))).alias(f"_hi_{name}"),
+                 F.max(h - F.floor(h)).alias(f"_d_{name}")]
+    return _interpolate(table.agg(*aggs), probs)
+
+
 def _interpolate(got: DataFrame, probs) -> DataFrame:
     """lo + d * (hi - lo), the interpolation ``quantile_cont`` uses."""
     return got.select(*[

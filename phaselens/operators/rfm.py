@@ -7,10 +7,8 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phaselens.functions.metrics import MONEY
+from phaselens.functions.metrics import EXACT
 from phaselens.operators.binning import assign_bins, quantile_edges, rank_bins
-from phaselens.operators.rank import fits_one_task
-from phaselens.session import materialize
 
 # Segment ladder on the summed score (3..9), best first.
 SEGMENTS = (
@@ -46,28 +44,23 @@ def rfm_base(df: DataFrame, key: str, ts: str, amount: str, reference_date: dt.d
     return (df.where(F.col(key).isNotNull()).groupBy(key).agg(
         F.max(ts).alias("_pl_last"),
         freq.cast("long").alias("frequency"),
-        F.round(F.sum(F.col(amount).cast(MONEY)), 2).alias("_pl_money"))
+        F.round(F.sum(F.col(amount).cast(EXACT)), 2).alias("_pl_money"))
         .select(key, elapsed_days("_pl_last", ref).alias("recency"), "frequency",
                 F.col("_pl_money").cast("double").alias("monetary")))
 
 
-def rfm_scores(base: DataFrame, key: str, q: int = 3, small: bool | None = None) -> DataFrame:
+def rfm_scores(base: DataFrame, key: str, q: int = 3) -> DataFrame:
     """r/f/m scores 1..q and their sum. Recency: fewer days is better
     (reversed labels); frequency: qcut of the first-occurrence rank, ties
     in key order; monetary: qcut of the value.
 
-    ``small``: the caller's size check (e.g. on the events the base
-    aggregates: the base cannot have more rows). Large bases are written
-    once to the shared checkpoint folder, since three range passes read
-    them; small ones are cheaper to recompute than to write."""
+    Recency and frequency have few distinct values, so the recency edges come
+    from counts per value; only the monetary edges and the tied frequency rank
+    cut the rows into ranges."""
     up = list(range(1, q + 1))
-    if small is None:
-        small = fits_one_task(base)
-    if not small:
-        base = materialize(base, "rfm_base")
-    r_edges = quantile_edges(base, "recency", q, key, small)  # scalar subqueries over the base
-    m_edges = quantile_edges(base, "monetary", q, key, small)
-    scored = rank_bins(base, [("frequency", True)], key, q, up, "f_score", small)  # the one row shuffle
+    r_edges = quantile_edges(base, "recency", q, key, few_values=True)  # scalar subqueries over the base
+    m_edges = quantile_edges(base, "monetary", q, key)
+    scored = rank_bins(base, [("frequency", True)], key, q, up, "f_score")  # the one row shuffle
     scored = assign_bins(scored, "recency", r_edges, up[::-1], "r_score")
     scored = assign_bins(scored, "monetary", m_edges, up, "m_score")
     return scored.select(key, "recency", "frequency", "monetary", "r_score", "f_score", "m_score",
@@ -83,11 +76,3 @@ def segment_col(score: Column | str) -> Column:
         else:
             expr = F.when(s >= floor, F.lit(name)) if expr is None else expr.when(s >= floor, F.lit(name))
     return expr
-
-
-def segment_order_col(segment: Column | str) -> Column:
-    s = F.col(segment) if isinstance(segment, str) else segment
-    expr = None
-    for i, name in enumerate(SEGMENT_ORDER, start=1):
-        expr = F.when(s == name, F.lit(i)) if expr is None else expr.when(s == name, F.lit(i))
-    return expr

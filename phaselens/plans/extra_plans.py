@@ -19,9 +19,9 @@ from phaselens.sources.bindings import Model
 def x01_behavior_shift(m: Model) -> DataFrame:
     return (_kept_orders(m).groupBy(F.date_format("order_timestamp", "yyyy-MM").alias("month"), "phase")
             .agg(F.count("order_id").alias("total_orders"),
-                 exact_mean("total_amount").alias("avg_order_value"),
-                 exact_mean("discount_amount").alias("avg_discount"),
-                 exact_mean("delivery_fee").alias("avg_delivery_fee"))
+                 exact_mean("total_amount", in_scale=2).alias("avg_order_value"),
+                 exact_mean("discount_amount", in_scale=2).alias("avg_discount"),
+                 exact_mean("delivery_fee", in_scale=2).alias("avg_delivery_fee"))
             .orderBy("month", "phase"))
 
 
@@ -72,20 +72,19 @@ def x03_churn_active(m: Model) -> DataFrame:
 
 # -- data overview -------------------------------------------------------------
 def d01_shapes(m: Model) -> DataFrame:
-    return profile_shapes(m.profile_tables())
+    return profile_shapes(m.profile_groups())
 
 
 def d02_null_totals(m: Model) -> DataFrame:
-    return null_totals(m.profile_tables())
+    return null_totals(m.profile_groups())
 
 
 def d03_null_columns(m: Model) -> DataFrame:
-    t = m.profile_tables()
-    return null_columns({"fact_orders": t["fact_orders"], "fact_ratings": t["fact_ratings"]})
+    return null_columns(m.profile_groups("fact_orders", "fact_ratings"))
 
 
 def d04_dtypes(m: Model) -> DataFrame:
-    return column_types(m.profile_tables())
+    return column_types(m.profile_groups())
 
 
 def d05_phase_counts(m: Model) -> DataFrame:
@@ -116,8 +115,9 @@ def m01_active_customers(m: Model) -> DataFrame:
     cal = m.calendar
     per = (m.orders.withColumn("phase", cal.phase_col("order_timestamp"))
            .groupBy("phase").agg(F.count_distinct("customer_id").alias("active_customers")))
-    base = per.where(F.col("phase") == PRE).select(F.col("active_customers").alias("_b"))
-    return (per.withColumn("_b", base.scalar())
+    # one row per phase: a window over all of them is trivial
+    base = F.max(F.when(F.col("phase") == PRE, F.col("active_customers"))).over(Window.partitionBy())
+    return (per.withColumn("_b", base)
             .select("phase", "active_customers",
                     decline_pct(F.col("_b"), F.col("active_customers")).alias("decline_vs_pre_pct"))
             .orderBy(cal.ordinal_col("phase")))

@@ -8,18 +8,17 @@ by the month of the review rather than of the order."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from phaselens.functions.calendar import CRISIS, PRE
-from phaselens.functions.metrics import decline_pct, exact_mean, money_total, pct, ratio, round_double, yn_flag
+from phaselens.functions.metrics import EXACT, decline_pct, exact_mean, money_total, pct, ratio, round_double, yn_flag
 from phaselens.functions.timeparse import parse_mixed_ts
-from phaselens.operators.churn import flag_active
 from phaselens.operators.compare import count_in, phase_pivot
 from phaselens.operators.keywords import keyword_frequency
-from phaselens.operators.rank import fits_one_task
 from phaselens.operators.topshare import top_share
-from phaselens.session import materialize
 from phaselens.sources.bindings import Model
 
 
@@ -126,16 +125,17 @@ def p05_sla(m: Model) -> DataFrame:
     delay = F.col("actual_delivery_time_mins") - F.col("expected_delivery_time_mins")
     breach = F.col("actual_delivery_time_mins") > F.col("expected_delivery_time_mins")
     return (d.groupBy("phase")
-            .agg(exact_mean("actual_delivery_time_mins", 1).alias("avg_actual_time"),
-                 exact_mean("expected_delivery_time_mins", 1).alias("avg_expected_time"),
+            .agg(exact_mean("actual_delivery_time_mins", 1, in_scale=0).alias("avg_actual_time"),
+                 exact_mean("expected_delivery_time_mins", 1, in_scale=0).alias("avg_expected_time"),
                  pct(F.count_if(breach), F.count(F.lit(1))).alias("breach_rate_pct"),
-                 exact_mean(delay, 1).alias("avg_delay_mins"))
+                 exact_mean(delay, 1, in_scale=0).alias("avg_delay_mins"))
             .orderBy(m.calendar.ordinal_col("phase")))
 
 
 def reviews_by_month(m: Model) -> DataFrame:
-    r = clean_ratings(m)
-    return r.withColumn("review_ts", parse_mixed_ts("review_timestamp")).where(F.col("review_ts").isNotNull())
+    """Reviews with their parsed time; text that no known shape fits fails the
+    job, as it does in pandas."""
+    return clean_ratings(m).withColumn("review_ts", parse_mixed_ts("review_timestamp", on_error="raise"))
 
 
 def _monthly_rating(m: Model) -> DataFrame:
@@ -181,7 +181,7 @@ def p08_revenue(m: Model) -> DataFrame:
                  money_total("discount_amount").alias("total_discount"),
                  money_total("delivery_fee").alias("total_delivery"),
                  money_total("total_amount").alias("total_revenue"),
-                 exact_mean("total_amount").alias("avg_order_value"))
+                 exact_mean("total_amount", in_scale=2).alias("avg_order_value"))
             .orderBy(m.calendar.ordinal_col("phase")))
 
 
@@ -203,41 +203,56 @@ def p08_revenue_loss(m: Model) -> DataFrame:
 
 # pandas ``groupby`` drops NULL keys (a Spark group-by keeps a NULL group):
 # every per-customer aggregate of the notebook variants filters them first.
-def _pre_rating_per_customer(m: Model, phase: str, name: str) -> DataFrame:
-    orders_in = m.orders.where(m.calendar.between("order_timestamp", phase)).select("order_id")
-    return (clean_ratings(m).join(orders_in, "order_id", "left_semi")
-            .where(F.col("customer_id").isNotNull()).groupBy("customer_id").agg(F.sum("rating").alias(f"_{name}_s"),
-                                        F.count("rating").alias(f"_{name}_n"),
-                                        F.avg("rating").alias(name)))
+def _rating_per_customer(m: Model, names: dict[str, str]) -> DataFrame:
+    """Per customer and phase (``names``: phase -> column) the mean rating of
+    the orders of that phase, with its exact sum ``_<name>_s`` and count
+    ``_<name>_n``: one pass over the ratings for all phases."""
+    cal = m.calendar
+    inside = {p: cal.between("order_timestamp", p) for p in names}
+    any_phase = reduce(lambda a, b: a | b, inside.values())
+    flags = (m.orders.where(any_phase).groupBy("order_id")
+             .agg(*[F.max(c).alias(f"_in_{n}") for (p, n), c in zip(names.items(), inside.values())]))
+    rated = clean_ratings(m).where(F.col("customer_id").isNotNull()).join(flags, "order_id")
+    aggs = []
+    for n in names.values():
+        r = F.when(F.col(f"_in_{n}"), F.col("rating"))
+        aggs += [F.sum(r.cast(EXACT)).alias(f"_{n}_s"), F.count(r).alias(f"_{n}_n")]
+    per = rated.groupBy("customer_id").agg(*aggs)
+    return per.select("*", *[F.try_divide(F.col(f"_{n}_s").cast("double"), F.col(f"_{n}_n").cast("double")).alias(n)
+                             for n in names.values()])
 
 
 def _churned_repeat(m: Model) -> DataFrame:
     cal, p = m.calendar, m.params
-    repeat = (m.orders.where(cal.between("order_timestamp", PRE))
-              .where(F.col("customer_id").isNotNull()).groupBy("customer_id").agg(F.count("order_id").alias("pre_crisis_order_count"))
+    pre, crisis = cal.between("order_timestamp", PRE), cal.between("order_timestamp", CRISIS)
+    repeat = (m.orders.where((pre | crisis) & F.col("customer_id").isNotNull()).groupBy("customer_id")
+              .agg(F.count(F.when(pre, F.col("order_id"))).alias("pre_crisis_order_count"),
+                   (F.count_if(crisis) > 0).alias("ordered_in_crisis"))
               .where(F.col("pre_crisis_order_count") >= p.loyal_min_pre_orders))
-    crisis = m.orders.where(cal.between("order_timestamp", CRISIS))
-    flagged = flag_active(repeat, crisis, "customer_id", "ordered_in_crisis")
-    rated = _pre_rating_per_customer(m, PRE, "avg_pre_crisis_rating")
-    return flagged.join(rated, "customer_id", "left")
+    return repeat.join(_rating_per_customer(m, {PRE: "avg_pre_crisis_rating"}), "customer_id", "left")
+
+
+def _rated_above(m: Model):
+    # avg > limit  <=>  sum > limit * n, exact in DECIMAL
+    limit = F.lit(str(m.params.high_rating)).cast("decimal(10,6)")
+    return F.col("_avg_pre_crisis_rating_s") > limit * F.col("_avg_pre_crisis_rating_n").cast("decimal(20,0)")
 
 
 def p09_loyalty_churn(m: Model) -> DataFrame:
     f = _churned_repeat(m)
     churned = ~F.col("ordered_in_crisis")
-    # avg > 4.5  <=>  sum > 4.5 * n, exact on the integer-valued sums
-    high = F.col("_avg_pre_crisis_rating_s") > F.lit(m.params.high_rating) * F.col("_avg_pre_crisis_rating_n")
+    high = _rated_above(m)
     return f.agg(
         F.count(F.lit(1)).alias("repeat_customers"),
         F.count_if(churned).cast("long").alias("churned_customers"),
         F.count_if(churned & high).cast("long").alias("churned_high_rated"),
-        round_double(F.avg(F.when(churned, F.col("avg_pre_crisis_rating")))).alias("avg_rating_churned"))
+        exact_mean(F.when(churned, F.col("avg_pre_crisis_rating"))).alias("avg_rating_churned"))
 
 
 def p09_churn_split(m: Model) -> DataFrame:
     f = _churned_repeat(m)
     churned = ~F.col("ordered_in_crisis")
-    high = F.col("_avg_pre_crisis_rating_s") > F.lit(m.params.high_rating) * F.col("_avg_pre_crisis_rating_n")
+    high = _rated_above(m)
     return f.agg(
         F.count_if(churned).cast("long").alias("churned"),
         F.count_if(~churned).cast("long").alias("retained"),
@@ -249,28 +264,17 @@ def high_value(m: Model) -> DataFrame:
     """Top ``share`` of pre-crisis spenders: spend >= the (1-share) quantile
     (ties at the threshold are all kept)."""
     cal, p = m.calendar, m.params
-    kept = m.orders.where(_not_cancelled())
-    pre_spend = (kept.where(cal.between("order_timestamp", PRE))
-                 .where(F.col("customer_id").isNotNull()).groupBy("customer_id").agg(F.sum("total_amount").alias("total_spend"),
-                                             F.count("order_id").alias("order_count")))
-    # the spend table has at most as many rows as the kept orders: check
-    # those (an early-stopping scan); a large table is written once, as the
-    # quantile and the filter both read it
-    small = fits_one_task(kept)
-    if not small:
-        pre_spend = materialize(pre_spend, "pre_spend")
-    hv = top_share(pre_spend, "total_spend", p.top_share, "customer_id", method="quantile",
-                   threshold_col="spend_threshold", single_task=small)
-    crisis = (kept.where(cal.between("order_timestamp", CRISIS))
-              .where(F.col("customer_id").isNotNull()).groupBy("customer_id").agg(F.count("order_id").alias("_crisis_n")))
-    return (hv.join(crisis, "customer_id", "left")
-            .withColumn("crisis_order_count", F.coalesce(F.col("_crisis_n"), F.lit(0)).cast("long"))
-            .drop("_crisis_n")
-            .withColumn("order_drop", F.col("order_count") - F.col("crisis_order_count"))
-            .join(_pre_rating_per_customer(m, PRE, "pre_crisis_rating").select("customer_id", "pre_crisis_rating"),
-                  "customer_id", "left")
-            .join(_pre_rating_per_customer(m, CRISIS, "crisis_rating").select("customer_id", "crisis_rating"),
-                  "customer_id", "left")
+    pre, crisis = cal.between("order_timestamp", PRE), cal.between("order_timestamp", CRISIS)
+    per = (m.orders.where(_not_cancelled() & (pre | crisis) & F.col("customer_id").isNotNull()).groupBy("customer_id")
+           .agg(F.sum(F.when(pre, F.col("total_amount"))).alias("total_spend"),
+                F.count(F.when(pre, F.col("order_id"))).alias("order_count"),
+                F.count(F.when(crisis, F.col("order_id"))).alias("crisis_order_count"),
+                F.count_if(pre).alias("_pre_rows")))
+    hv = top_share(per.where(F.col("_pre_rows") > 0).drop("_pre_rows"), "total_spend", p.top_share, "customer_id",
+                   method="quantile", threshold_col="spend_threshold")
+    ratings = _rating_per_customer(m, {PRE: "pre_crisis_rating", CRISIS: "crisis_rating"})
+    return (hv.withColumn("order_drop", F.col("order_count") - F.col("crisis_order_count"))
+            .join(ratings.select("customer_id", "pre_crisis_rating", "crisis_rating"), "customer_id", "left")
             .withColumn("rating_drop", F.col("pre_crisis_rating") - F.col("crisis_rating")))
 
 
@@ -313,4 +317,4 @@ def p10_hv_churn(m: Model) -> DataFrame:
         F.count(F.lit(1)).alias("high_value_customers"),
         F.count_if(zero).cast("long").alias("zero_crisis_customers"),
         pct(F.count_if(zero), F.count(F.lit(1))).alias("zero_crisis_pct"),
-        round_double(F.avg("pre_crisis_rating")).alias("avg_pre_crisis_rating"))
+        exact_mean("pre_crisis_rating").alias("avg_pre_crisis_rating"))

@@ -28,8 +28,9 @@ def hu(num: str, den: str, d: int = 2, scale: int = 1, num_scale: int = 0) -> st
     return f"(CAST(SIGN({a}) * ((2 * ABS({a}) * {p} + {b}) // (2 * NULLIF({b}, 0))) AS DOUBLE) / {p})"
 
 
-def mean(col: str, d: int = 2, in_scale: int = 2) -> str:
-    return hu(f"SUM(CAST({col} AS DECIMAL(18,{in_scale})))", f"COUNT({col})", d, num_scale=in_scale)
+def mean(col: str, d: int = 2, in_scale: int = 12) -> str:
+    """Mean of the raw values (12 decimals), rounded half-up once."""
+    return hu(f"SUM(CAST({col} AS DECIMAL(38,{in_scale})))", f"COUNT({col})", d, num_scale=in_scale)
 
 
 def rd(x: str, d: int = 2) -> str:
@@ -113,7 +114,7 @@ def _rfm_base_sql(src: str, key: str, ts: str, amount: str, ref: str, freq: str)
     return f"""SELECT {key} AS customer_id,
         CAST(FLOOR((epoch_us(TIMESTAMP '{ref}') - epoch_us(MAX({ts}))) / 86400000000) AS BIGINT) AS recency,
         CAST({freq} AS BIGINT) AS frequency,
-        CAST(ROUND(SUM(CAST({amount} AS DECIMAL(18,2))), 2) AS DOUBLE) AS monetary
+        CAST(ROUND(SUM(CAST({amount} AS DECIMAL(38,12))), 2) AS DOUBLE) AS monetary
         FROM {src} GROUP BY {key}"""
 
 
@@ -224,7 +225,7 @@ def oracle_sql() -> dict[str, str]:
     rest_pivot = {"per": f"""SELECT restaurant_id, {cnt(inph(PRE))} AS pre, {cnt(inph(CRISIS))} AS cri
                              FROM order_lines_v GROUP BY restaurant_id"""}
     reviews = {"cr_r": CLEAN_RATINGS, "rv": f"SELECT *, {REVIEW_TS} AS review_ts FROM cr_r",
-               "rvm": "SELECT * FROM rv WHERE review_ts IS NOT NULL"}
+               "rvm": "SELECT * FROM rv"}
     monthly_rating = f"""SELECT {month('review_ts')} AS month, {mean('rating')} AS avg_rating,
                            COUNT(rating) AS total_reviews FROM rvm GROUP BY 1"""
     activity = {"act": f"""SELECT restaurant_id, COUNT(*) FILTER (WHERE {inph(PRE)}) > 0 AS pre_active,
@@ -368,7 +369,7 @@ def oracle_sql() -> dict[str, str]:
                      FROM orders_v WHERE {NOT_CANCELLED}"""}),
         "p09_loyalty_churn": _with(f"""SELECT COUNT(*) AS repeat_customers,
             {cnt('NOT act')} AS churned_customers, {cnt(f'NOT act AND s > {P.high_rating} * n')} AS churned_high_rated,
-            {rd('AVG(CASE WHEN NOT act THEN a END)')} AS avg_rating_churned FROM f""", rep_c),
+            {mean('CASE WHEN NOT act THEN a END')} AS avg_rating_churned FROM f""", rep_c),
         "p09_churn_split": _with(f"""SELECT {cnt('NOT act')} AS churned, {cnt('act')} AS retained,
             {cnt(f'NOT act AND s > {P.high_rating} * n')} AS churned_rating_above,
             {cnt(f'NOT act AND NOT COALESCE(s > {P.high_rating} * n, FALSE)')} AS churned_not_above FROM f""", rep_c),
@@ -388,7 +389,7 @@ def oracle_sql() -> dict[str, str]:
         "p10_hv_churn": _with(f"""SELECT {rd('MAX(spend_threshold)')} AS spend_threshold,
             COUNT(*) AS high_value_customers, {cnt('crisis_order_count = 0')} AS zero_crisis_customers,
             {hu('COUNT(*) FILTER (WHERE crisis_order_count = 0)', 'COUNT(*)', 2, 100)} AS zero_crisis_pct,
-            {rd('AVG(pre_crisis_rating)')} AS avg_pre_crisis_rating FROM hv""", hv_c),
+            {mean('pre_crisis_rating')} AS avg_pre_crisis_rating FROM hv""", hv_c),
 
         "r01_rfm_base": _with(ORDERS_RFM),
         "r02_rfm_describe": _with(_describe(), {"b": ORDERS_RFM}),
@@ -445,4 +446,7 @@ def oracle_sql() -> dict[str, str]:
             "top": vc("hvc", "city", "customers", P.share_top_cities)}),
     }
     q.update(_profile_sql())
+    q["d09_head_orders"] = _with("SELECT * FROM orders_v ORDER BY order_id LIMIT 10")
+    q["k01_written_trend"] = q["s01_monthly_orders"]
+    q.update({f"sql_{name}": q[name] for name in list(q) if name.startswith("s")})
     return q

@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from phaselens.functions.metrics import exact_mean, yn_flag
 from phaselens.operators.profile import describe_exact
 from phaselens.operators.rfm import RECOVERABLE, SEGMENT_ORDER, rfm_base, rfm_scores, segment_col
-from phaselens.operators.rank import fits_one_task
-from phaselens.session import materialize
 from phaselens.sources.bindings import Model
 
 
@@ -21,24 +19,17 @@ def r01_rfm_base(m: Model) -> DataFrame:
                     m.params.rfm_reference_date, order_id="order_id")
 
 
-def _kept_orders_fit_one_task(m: Model) -> bool:
-    """Per-customer tables have at most as many rows as the kept orders;
-    checking the orders (an early-stopping scan) bounds them for free."""
-    return fits_one_task(m.orders.where(~yn_flag("is_cancelled")))
-
-
-def _describe(base: DataFrame, small: bool) -> DataFrame:
-    # four passes (moments + three quartile sets) read the per-customer table
-    base = base if small else materialize(base, "rfm_base")
-    return describe_exact(base, ["recency", "frequency", "monetary"], "customer_id", single_task=small)
+def _describe(base: DataFrame) -> DataFrame:
+    return describe_exact(base, ["recency", "frequency", "monetary"], "customer_id",
+                          few_values=("recency", "frequency"))
 
 
 def r02_rfm_describe(m: Model) -> DataFrame:
-    return _describe(r01_rfm_base(m), _kept_orders_fit_one_task(m))
+    return _describe(r01_rfm_base(m))
 
 
 def r03_rfm_scores(m: Model) -> DataFrame:
-    return rfm_scores(r01_rfm_base(m), "customer_id", small=_kept_orders_fit_one_task(m))
+    return rfm_scores(r01_rfm_base(m), "customer_id")
 
 
 def score_distribution(scores: DataFrame) -> DataFrame:
@@ -55,14 +46,15 @@ def segment_summary(scores: DataFrame) -> DataFrame:
     seg = scores.withColumn("segment", segment_col("rfm_score"))
     summary = seg.groupBy("segment").agg(
         F.count("customer_id").alias("customer_count"),
-        exact_mean("recency", 1).alias("avg_recency"),
-        exact_mean("frequency", 2).alias("avg_frequency"),
+        exact_mean("recency", 1, in_scale=0).alias("avg_recency"),
+        exact_mean("frequency", 2, in_scale=0).alias("avg_frequency"),
         exact_mean("monetary", 2).alias("avg_monetary"))
     # The display order is the fixed segment list, built from that list's
-    # literals next to the data (five rows, broadcast).
+    # literals next to the data.
     order = summary.sparkSession.createDataFrame(
         [(name, i) for i, name in enumerate(SEGMENT_ORDER, start=1)], "segment string, display_order int")
-    return (F.broadcast(order).join(summary, "segment", "left")
+    # (at most five rows on the right of the left join, broadcast)
+    return (order.join(F.broadcast(summary), "segment", "left")
             .select("segment", "customer_count", "avg_recency", "avg_frequency", "avg_monetary",
                     "display_order")
             .orderBy("display_order"))
@@ -107,12 +99,4 @@ def r01_rfm_base_events(events: DataFrame) -> DataFrame:
 
 
 def r02_rfm_describe_events(events: DataFrame) -> DataFrame:
-    return _describe(events_rfm_base(events), fits_one_task(events))
-
-
-def rfm_scores_events(events: DataFrame) -> DataFrame:
-    """Scores on the events binding. Almost every user is active up to the
-    last days, so the recency edges coincide and this raises, as
-    ``pd.qcut`` does on duplicate edges."""
-    return rfm_scores(events_rfm_base(events), "customer_id")
-
+    return _describe(events_rfm_base(events))

@@ -12,11 +12,9 @@ from pyspark.sql import functions as F
 
 from phaselens.functions.calendar import CRISIS, PRE
 from phaselens.functions.metrics import decline_pct, exact_mean, monthly_mean, pct, ratio, round_money, scaled_sum
-from phaselens.operators.churn import churn_summary
+from phaselens.operators.churn import churn_counts
 from phaselens.operators.compare import count_in, phase_pivot
-from phaselens.operators.rank import fits_one_task
 from phaselens.operators.topshare import top_share
-from phaselens.session import materialize
 from phaselens.sources.bindings import Model
 
 
@@ -79,22 +77,23 @@ def s05_sla_by_phase(m: Model) -> DataFrame:
     d = _phased(m, m.orders.select("order_id", "order_timestamp")).join(m.delivery, "order_id")
     delay = F.col("actual_delivery_time_mins") - F.col("expected_delivery_time_mins")
     return (d.groupBy("business_phase")
-            .agg(exact_mean("actual_delivery_time_mins").alias("avg_actual_delivery_mins"),
-                 exact_mean("expected_delivery_time_mins").alias("avg_expected_delivery_mins"),
-                 exact_mean(delay).alias("avg_delay_mins"),
+            .agg(exact_mean("actual_delivery_time_mins", in_scale=0).alias("avg_actual_delivery_mins"),
+                 exact_mean("expected_delivery_time_mins", in_scale=0).alias("avg_expected_delivery_mins"),
+                 exact_mean(delay, in_scale=0).alias("avg_delay_mins"),
                  pct(F.count_if(_breach()), F.count(F.lit(1))).alias("sla_breach_rate_pct"))
             .orderBy(m.calendar.ordinal_col("business_phase")))
 
 
 def s06_loyal_churn(m: Model) -> DataFrame:
-    cal = m.calendar
-    loyal = (m.orders.where(cal.between("order_timestamp", PRE))
-             .groupBy("customer_id").agg(F.count("order_id").alias("n"))
-             .where(F.col("n") >= m.params.loyal_min_pre_orders))
-    active = m.orders.where(cal.between("order_timestamp", CRISIS))
-    return churn_summary(loyal, active, "customer_id",
-                         ("total_loyal_customers", "churned_loyal_customers",
-                          "retained_loyal_customers", "churn_rate_pct"))
+    """One conditional aggregation per customer. Orders without a customer
+    form one group that is never found among the crisis customers."""
+    pre, crisis = (m.calendar.between("order_timestamp", x) for x in (PRE, CRISIS))
+    per = (m.orders.where(pre | crisis).groupBy("customer_id")
+           .agg(F.count(F.when(pre, F.col("order_id"))).alias("_pre"), F.count_if(crisis).alias("_crisis"))
+           .where(F.col("_pre") >= m.params.loyal_min_pre_orders))
+    return churn_counts(per, "customer_id", (F.col("_crisis") > 0) & F.col("customer_id").isNotNull(),
+                        ("total_loyal_customers", "churned_loyal_customers",
+                         "retained_loyal_customers", "churn_rate_pct"))
 
 
 def s07_high_value_by_city(m: Model) -> DataFrame:
@@ -104,14 +103,7 @@ def s07_high_value_by_city(m: Model) -> DataFrame:
     kept = m.orders.where(cal.between("order_timestamp", PRE) & (F.col("is_cancelled") == "N"))
     spend = (kept.join(m.customers.select("customer_id", "city"), "customer_id")
              .groupBy("customer_id", "city").agg(F.sum("total_amount").alias("total_spend")))
-    # at most one spend row per kept order: size-check the orders (an
-    # early-stopping scan); a large spend table is written once, since the
-    # range passes of the distributed NTILE read it several times
-    small = fits_one_task(kept)
-    if not small:
-        spend = materialize(spend, "spend")
-    top = top_share(spend, "total_spend", 1 / m.params.ntile_groups, "customer_id", method="ntile",
-                    single_task=small)
+    top = top_share(spend, "total_spend", 1 / m.params.ntile_groups, "customer_id", method="ntile")
     return (top.groupBy("city")
             .agg(F.count("customer_id").alias("high_value_customers"),
                  ratio(F.sum("total_spend"), F.count("total_spend")).alias("avg_spend_per_customer"),
@@ -131,28 +123,25 @@ def s08_monthly_rating(m: Model) -> DataFrame:
 
 
 def s09_delay_vs_rating(m: Model) -> DataFrame:
-    j = (m.orders.select("order_id").join(m.delivery, "order_id")
-         .join(m.ratings_scores.select("order_id", "rating", "sentiment_score"), "order_id"))
+    j = m.service.where(F.col("has_delivery") & F.col("has_rating"))
     status = F.when(_breach(), "Delayed").otherwise("On Time")
     return (j.groupBy(status.alias("delivery_status"))
             .agg(F.count("order_id").alias("total_orders"),
                  exact_mean("rating").alias("avg_customer_rating"),
                  exact_mean("sentiment_score").alias("avg_sentiment_score"),
-                 exact_mean("actual_delivery_time_mins").alias("avg_delivery_mins"))
+                 exact_mean("actual_delivery_time_mins", in_scale=0).alias("avg_delivery_mins"))
             .orderBy("delivery_status"))
 
 
 def s10_recovery_scorecard(m: Model) -> DataFrame:
-    """LEFT joins as in the script: several ratings for one order fan out
+    """All orders, as by LEFT joins: several ratings for one order fan out
     and are all counted (the script's behaviour)."""
-    j = (_phased(m, m.orders)
-         .join(m.ratings_scores.select("order_id", "rating", "sentiment_score"), "order_id", "left")
-         .join(m.delivery, "order_id", "left"))
+    j = _phased(m, m.service)
     return (j.groupBy("business_phase")
             .agg(F.count("order_id").alias("total_orders"),
                  exact_mean("rating").alias("avg_rating"),
                  exact_mean("sentiment_score").alias("avg_sentiment"),
-                 exact_mean("actual_delivery_time_mins").alias("avg_delivery_mins"),
+                 exact_mean("actual_delivery_time_mins", in_scale=0).alias("avg_delivery_mins"),
                  pct(F.count_if(_breach()), F.count("order_id")).alias("sla_breach_pct"),
                  pct(F.count_if(F.col("is_cancelled") == "Y"), F.count("order_id")).alias("cancellation_rate_pct"))
             .orderBy(m.calendar.ordinal_col("business_phase")))
