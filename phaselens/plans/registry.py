@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from phaselens.operators.profile import head_sample
 from phaselens.plans import extra_plans as x
 from phaselens.plans import notebook_variants as p
 from phaselens.plans import rfm_plans as r
+from phaselens.plans import sql_script
 from phaselens.plans import sql_variants as s
+from phaselens.session import ensure_checkpoint_dir
 from phaselens.sources.bindings import Model
 from phaselens.sources.readers import read_parquet_table
+from phaselens.sources.sinks import write_result
 
 _MODEL_QUERIES = [
     s.s01_monthly_orders, s.s02_phase_revenue, s.s03_city_phase_cancel, s.s04_restaurant_decline,
@@ -30,15 +36,20 @@ _MODEL_QUERIES = [
     x.d06_month_counts, x.d07_date_range, x.d08_after_dropna,
     x.m01_active_customers, x.m02_city_absolute_loss, x.m03_city_share,
 ]
+SQL_TEXTS = ("s01_monthly_orders", "s02_phase_revenue", "s03_city_phase_cancel", "s04_restaurant_decline",
+             "s05_sla_by_phase", "s06_loyal_churn", "s07_high_value_by_city", "s08_monthly_rating",
+             "s09_delay_vs_rating", "s10_recovery_scorecard")
 
 
-_MODELS: dict[tuple[int, str], Model] = {}
+_MODELS: dict[tuple[str, str], Model] = {}
 
 
 def driver_model(spark: SparkSession, sf_dir: str) -> Model:
     """One lazily-built model per (session, data folder): views a query has
     already analysed are reused by the next query."""
-    key = (id(spark), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
+    for old in [k for k in _MODELS if k[0] != key[0]]:  # of sessions that have ended
+        del _MODELS[old]
     if key not in _MODELS:
         _MODELS[key] = Model.from_driver(spark, sf_dir)
     return _MODELS[key]
@@ -59,6 +70,27 @@ def _on_events(fn):
     return run
 
 
+def _on_script(name: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return sql_script.run(spark, driver_model(spark, sf_dir), name)
+    run.__name__ = f"sql_{name}"
+    return run
+
+
+def d09_head_orders(m: Model) -> DataFrame:
+    """The first ten orders by id (the head sample of the data overview)."""
+    return head_sample(m.orders, ["order_id"], 10)
+
+
+def k01_written_trend(m: Model) -> DataFrame:
+    """The monthly order trend, written partitioned by phase and read again."""
+    spark = m.orders.sparkSession
+    path = os.path.join(ensure_checkpoint_dir(spark), "phaselens", f"trend-{uuid.uuid4().hex}")
+    trend = s.s01_monthly_orders(m)
+    write_result(trend, path, partition_by=["business_phase"])
+    return spark.read.schema(trend.schema).parquet(path)
+
+
 def model_queries() -> dict[str, Callable[[Model], DataFrame]]:
     """The named queries as functions of a bound :class:`Model` (any
     binding: the reference's own tables or the driver's)."""
@@ -67,6 +99,8 @@ def model_queries() -> dict[str, Callable[[Model], DataFrame]]:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {fn.__name__: _on_model(fn) for fn in _MODEL_QUERIES}
+    out |= {fn.__name__: _on_model(fn) for fn in (d09_head_orders, k01_written_trend)}
+    out |= {f"sql_{name}": _on_script(name) for name in SQL_TEXTS}
     out["r01_rfm_base_events"] = _on_events(r.r01_rfm_base_events)
     out["r02_rfm_describe_events"] = _on_events(r.r02_rfm_describe_events)
     return out

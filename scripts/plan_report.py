@@ -1,7 +1,6 @@
 """Plan shapes of every registered query as they would plan on a large
 cluster: automatic broadcast off (only hinted, fixed-size tables are
-broadcast), the rank operators on their distributed path, AQE off so the
-static physical plan is shown.
+broadcast), AQE off so the static physical plan is shown.
 
 Usage: python scripts/plan_report.py [sf_dir] > PLANS.md
 For every query: shuffles (hash / range), broadcasts, single-partition
@@ -17,8 +16,7 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-import __spark_entry__ as E  # noqa: E402
-from phaselens.operators.rank import SINGLE_TASK_CONF  # noqa: E402
+from phaselens.plans import registry  # noqa: E402
 from phaselens.session import get_session  # noqa: E402
 
 BOUNDED_FEEDS = ("partial_", "TakeOrderedAndProject", "LocalLimit", "GlobalLimit")
@@ -40,11 +38,10 @@ def main() -> None:
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     spark = get_session("local[8]", 8, extra={"spark.sql.autoBroadcastJoinThreshold": "-1",
                                               "spark.sql.adaptive.enabled": "false"})
-    spark.conf.set(SINGLE_TASK_CONF, "0")
     print("| query | hash shuffles | range shuffles | broadcasts (hinted) | single-partition exchanges (fed by) "
           "| sort-merge / broadcast joins | windows |")
     print("|---|---|---|---|---|---|---|")
-    for name, fn in E.queries().items():
+    for name, fn in registry.queries().items():
         try:
             plan = fn(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         except Exception as e:  # noqa: BLE001
