@@ -131,3 +131,32 @@ def test_null_phase_option_is_consistent_in_columns_and_sql(spark):
             a = df.where(cal.between("ts", name)).count()
             b = spark.sql(f"SELECT * FROM cal_probe WHERE {cal.sql_between('ts', name)}").count()
             assert a == b == sum(1 for w in want if w == name), (null_phase, name)
+
+
+def test_means_round_once_at_full_precision(spark):
+    import pandas as pd
+
+    from phaselens.functions.metrics import exact_mean
+    for values, digits in (([0.125, 0.125, -0.004], 3), ([0.1234, 0.5678, -0.9999, 0.0001], 4), ([1.0, 2.0], 3)):
+        df = spark.createDataFrame([(v,) for v in values], "v double")
+        assert df.agg(exact_mean("v", digits).alias("m")).first()["m"] == round(pd.Series(values).mean(), digits)
+
+
+def test_mixed_timestamps_in_further_shapes(spark):
+    import datetime as dt
+
+    import pytest
+    from phaselens.functions.timeparse import parse_mixed_ts
+    expected = {
+        "2025-06-01T10:00:00": dt.datetime(2025, 6, 1, 10), "2025-06-01 10:00:00.250": dt.datetime(2025, 6, 1, 10, 0, 0, 250000),
+        "01/06/2025 10:30 PM": dt.datetime(2025, 6, 1, 22, 30), "1 Jun 2025": dt.datetime(2025, 6, 1),
+        "2025-06-01T10:00:00.123456": dt.datetime(2025, 6, 1, 10, 0, 0, 123456), "June 1, 2025": dt.datetime(2025, 6, 1),
+        "01-06-2025 1:05:09 am": dt.datetime(2025, 6, 1, 1, 5, 9), "01 September 2025 12:00": dt.datetime(2025, 9, 1, 12),
+        "2025/6/1 07:08": dt.datetime(2025, 6, 1, 7, 8), "13/06/2025": dt.datetime(2025, 6, 13),
+    }
+    df = spark.createDataFrame([(t,) for t in expected], "t string")
+    assert {r["t"]: r["p"] for r in df.withColumn("p", parse_mixed_ts("t", on_error="raise")).collect()} == expected
+    bad = spark.createDataFrame([("next Tuesday",)], "t string")
+    assert bad.select(parse_mixed_ts("t")).first()[0] is None
+    with pytest.raises(Exception, match="unparseable timestamp: next Tuesday"):
+        bad.select(parse_mixed_ts("t", on_error="raise")).collect()

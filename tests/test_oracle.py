@@ -10,7 +10,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
-from phaselens.operators.rank import SINGLE_TASK_CONF
+from phaselens.plans import oracle, registry
 from phaselens.sources.readers import DRIVER_TABLES
 
 SF = "/root/testdata/sf0.001"
@@ -48,31 +48,19 @@ def duck():
 
 
 def test_every_query_has_an_oracle():
-    assert set(E.queries()) == set(E.oracle_sql())
-    assert len(E.queries()) >= 54
+    assert set(registry.queries()) == set(oracle.oracle_sql())
+    assert len(registry.queries()) >= 68
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_query_matches_oracle(spark, duck, name):
-    df = E.queries()[name](spark, SF)
-    res = duck.execute(E.oracle_sql()[name])
+    df = registry.queries()[name](spark, SF)
+    res = duck.execute(oracle.oracle_sql()[name])
     ours = _canon(df.columns, [tuple(r) for r in df.collect()])
     theirs = _canon([d[0] for d in res.description], res.fetchall())
     assert ours == theirs
 
 
-@pytest.mark.parametrize("name", ["s07_high_value_by_city", "p10_hv_churn", "r03_rfm_scores", "r02_rfm_describe"])
-def test_distributed_path_matches_oracle(spark, duck, name):
-    spark.conf.set(SINGLE_TASK_CONF, "0")
-    try:
-        df = E.queries()[name](spark, SF)
-        ours = _canon(df.columns, [tuple(r) for r in df.collect()])
-    finally:
-        spark.conf.unset(SINGLE_TASK_CONF)
-    res = duck.execute(E.oracle_sql()[name])
-    assert ours == _canon([d[0] for d in res.description], res.fetchall())
-
-
 def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.columns == ["business_phase", "total_orders", "total_revenue", "revenue_in_crores", "avg_order_value"]

@@ -8,14 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from phaselens.operators.binning import quantile_bins, rank_bin, rank_bins
-from phaselens.operators.rank import SINGLE_TASK_CONF, distributed_ntile, distributed_rank, exact_quantiles
-
-
-@pytest.fixture
-def force_distributed(spark):
-    spark.conf.set(SINGLE_TASK_CONF, "0")
-    yield
-    spark.conf.unset(SINGLE_TASK_CONF)
+from phaselens.operators.rank import distributed_ntile, distributed_rank, exact_quantiles, value_quantiles
 
 
 def _skewed(spark, n=3000):
@@ -24,10 +17,8 @@ def _skewed(spark, n=3000):
     return spark.createDataFrame(rows, "k long, f long, v double")
 
 
-@pytest.mark.parametrize("mode,buckets", [("distributed", 16), ("distributed", 300), ("single", 16)])
-def test_rank_equals_global_row_number(spark, mode, buckets, request):
-    if mode == "distributed":
-        request.getfixturevalue("force_distributed")
+@pytest.mark.parametrize("buckets", [1, 16, 300, None])
+def test_rank_equals_global_row_number(spark, buckets):
     df = _skewed(spark)
     ours = distributed_rank(df, [("f", True), ("v", False)], "k", "r", buckets=buckets)
     ref = df.withColumn("r2", F.row_number().over(Window.orderBy(F.col("f"), F.col("v").desc(), "k")))
@@ -36,7 +27,7 @@ def test_rank_equals_global_row_number(spark, mode, buckets, request):
     assert ours.count() == df.count()
 
 
-def test_distributed_buckets_split_a_hot_value(spark, force_distributed):
+def test_distributed_buckets_split_a_hot_value(spark):
     from phaselens.operators.rank import range_buckets
     bucketed, table = range_buckets(_skewed(spark), [("f", True)], "k", buckets=16)
     sizes = [r._pl_cnt for r in table.collect()]
@@ -45,17 +36,14 @@ def test_distributed_buckets_split_a_hot_value(spark, force_distributed):
 
 
 @pytest.mark.parametrize("n", [1, 7, 19, 20, 21, 63, 101])
-def test_ntile_equals_sql_ntile(spark, n, force_distributed):
+def test_ntile_equals_sql_ntile(spark, n):
     df = spark.createDataFrame([(i, float(i % 5)) for i in range(n)], "k long, v double")
     ours = distributed_ntile(df, [("v", False)], "k", 20, "t", buckets=4)
     ref = df.withColumn("t2", F.ntile(20).over(Window.orderBy(F.col("v").desc(), "k")))
     assert ours.join(ref, "k").where(F.col("t") != F.col("t2")).count() == 0
 
 
-@pytest.mark.parametrize("mode", ["distributed", "single"])
-def test_exact_quantiles_equal_percentile(spark, mode, request):
-    if mode == "distributed":
-        request.getfixturevalue("force_distributed")
+def test_exact_quantiles_equal_percentile(spark):
     df = _skewed(spark)
     probs = {"p0": 0.0, "p25": 0.25, "p33": 1 / 3, "p50": 0.5, "p95": 0.95, "p100": 1.0}
     got = exact_quantiles(df, "v", probs, "k", buckets=16).first().asDict()
@@ -117,12 +105,32 @@ def test_distributed_rank_property(spark, n, distinct, buckets, desc, seed):
     rnd = random.Random(seed)
     rows = [(i * 7 + 3, rnd.randrange(distinct) - distinct // 2, float(rnd.randrange(5))) for i in range(n)]
     df = spark.createDataFrame(rows, "k long, a long, b double")
-    spark.conf.set(SINGLE_TASK_CONF, "0")
-    try:
-        ours = distributed_rank(df, [("a", not desc), ("b", True)], "k", "r", buckets=buckets)
-        got = {r.k: r.r for r in ours.collect()}
-    finally:
-        spark.conf.unset(SINGLE_TASK_CONF)
+    ours = distributed_rank(df, [("a", not desc), ("b", True)], "k", "r", buckets=buckets)
+    got = {r.k: r.r for r in ours.collect()}
     a = F.col("a").desc() if desc else F.col("a").asc()
     ref = {r.k: r.r2 for r in df.withColumn("r2", F.row_number().over(Window.orderBy(a, "b", "k"))).collect()}
     assert got == ref
+
+
+def test_value_quantiles_equal_exact_quantiles(spark):
+    df = _skewed(spark)
+    probs = {"a": 0.0, "b": 1 / 3, "c": 0.5, "d": 0.95, "e": 1.0}
+    assert value_quantiles(df, "f", probs).collect() == exact_quantiles(df, "f", probs, "k").collect()
+    ref = df.toPandas()["f"]
+    row = value_quantiles(df, "f", probs).first()
+    for name, p in probs.items():
+        assert abs(row[name] - np.quantile(ref, p)) < 1e-9
+
+
+def test_no_job_runs_while_a_query_is_built(spark):
+    from phaselens.plans.registry import driver_model, model_queries
+
+    m = driver_model(spark, "/root/testdata/sf0.001")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("build", "building queries")
+    try:
+        for fn in model_queries().values():
+            fn(m)
+        assert not tracker.getJobIdsForGroup("build")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)

@@ -62,3 +62,59 @@ def test_materialize_writes_under_the_session_checkpoint_dir(spark):
     assert sorted(map(tuple, m.collect())) == sorted(map(tuple, df.collect()))
     files = m.inputFiles()
     assert files and all(f.startswith(root) or root.split(":", 1)[-1] in f for f in files)
+
+
+def test_release_deletes_what_was_materialized(spark):
+    from phaselens.session import ensure_checkpoint_dir, materialize, release
+    materialize(spark.range(5).toDF("id"), "unit")
+    root = ensure_checkpoint_dir(spark).removeprefix("file:")
+    assert os.path.isdir(os.path.join(root, "phaselens"))
+    release(spark)
+    assert not os.path.exists(os.path.join(root, "phaselens"))
+
+
+def test_a_cluster_must_name_its_checkpoint_folder():
+    import pytest
+
+    from phaselens.session import ensure_checkpoint_dir
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+        def getConf(self):
+            return Conf()
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(Session())
+
+
+def test_review_texts_with_quotes_commas_and_line_breaks(spark, ref_model, tmp_path):
+    import csv
+
+    from phaselens.plans.notebook_variants import p07_negative_keywords
+    texts = ['he said "cold", then left', "late,\nlate and\r\nwrong", 'a ""doubled"" stale, one']
+    rows = [tuple(r) for r in ref_model.ratings.collect()]
+    with open(tmp_path / "fact_ratings.csv", "w", newline="", encoding="utf-8") as f:
+        out = csv.writer(f)
+        out.writerow(ref_model.ratings.columns)
+        at = ref_model.ratings.columns.index("review_text")
+        for i, r in enumerate(rows):
+            out.writerow(["" if v is None else texts[i % 3] if j == at else v for j, v in enumerate(r)])
+    tables = read_reference_csv(spark, str(tmp_path), ["fact_ratings"])
+    got = sorted(r["review_text"] for r in tables["fact_ratings"].collect() if r["review_text"])
+    # Spark's CSV reader hands every line break inside a field out as one character
+    texts = [t.replace("\r\n", "\n") for t in texts]
+    assert got == sorted(texts[i % 3] for i, r in enumerate(rows) if r[at] is not None)
+    m = Model({"orders": ref_model.orders, "ratings": tables["fact_ratings"]}, ref_model.calendar, ref_model.params)
+    assert {r["keyword"] for r in p07_negative_keywords(m).collect()} <= {"cold", "late", "wrong", "stale"}
+    assert p07_negative_keywords(m).count() > 0

@@ -25,6 +25,15 @@ def test_sql_text_equals_dataframe_on_driver_tables(spark, name):
     _same(sql_script.run(spark, m, name), getattr(sql_variants, name)(m))
 
 
-def test_namespace_is_created(spark, ref_model):
-    sql_script.register_views(ref_model, namespace="phaselens_demo")
-    assert "phaselens_demo" in [r[0] for r in spark.sql("SHOW NAMESPACES").collect()]
+def test_namespace_holds_the_tables(spark, ref_model):
+    for view in sql_script.script_tables(ref_model):
+        spark.catalog.dropTempView(view)
+    before = spark.catalog.currentDatabase()
+    try:
+        sql_script.create_tables(ref_model, "phaselens_demo")
+        assert spark.catalog.currentDatabase() == "phaselens_demo"
+        text = sql_script.script(ref_model.calendar, ref_model.params)["s06_loyal_churn"]
+        assert spark.sql(text).collect() == sql_variants.s06_loyal_churn(ref_model).collect()
+    finally:
+        spark.sql(f"USE {before}")
+        spark.sql("DROP NAMESPACE IF EXISTS phaselens_demo CASCADE")
