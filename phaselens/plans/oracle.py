@@ -9,14 +9,16 @@ Spark side bit for bit; DuckDB's own ``ROUND(double)`` and ``AVG``
 
 from __future__ import annotations
 
-from phaselens.functions.calendar import CRISIS, DRIVER_CALENDAR, PRE, RECOVERY
 from phaselens.operators.rfm import SEGMENT_ORDER
 from phaselens.plans.rfm_plans import EVENTS_REFERENCE_DATE
 from phaselens.sources.bindings import DRIVER_BINDING_SQL, DRIVER_PARAMS
 
-CAL = DRIVER_CALENDAR
+# The driver's phases in the oracle's own words: two cuts, 72 and 2 months
+# before and during the crisis; an order without a time is in the last phase.
+PRE, CRISIS, RECOVERY = "Pre-Crisis", "Crisis", "Recovery"
+CUTS = ("2001-01-01 00:00:00", "2001-03-01 00:00:00")
+MP, MC = 72, 2
 P = DRIVER_PARAMS
-MP, MC = CAL.months(PRE), CAL.months(CRISIS)
 
 
 def hu(num: str, den: str, d: int = 2, scale: int = 1, num_scale: int = 0) -> str:
@@ -39,11 +41,14 @@ def rd(x: str, d: int = 2) -> str:
 
 
 def ph(ts: str = "order_timestamp") -> str:
-    return CAL.sql_case(ts)
+    return (f"CASE WHEN {ts} < TIMESTAMP '{CUTS[0]}' THEN '{PRE}' WHEN {ts} < TIMESTAMP '{CUTS[1]}' THEN '{CRISIS}' "
+            f"ELSE '{RECOVERY}' END")
 
 
 def inph(name: str, ts: str = "order_timestamp") -> str:
-    return CAL.sql_between(ts, name)
+    return {PRE: f"({ts} < TIMESTAMP '{CUTS[0]}')",
+            CRISIS: f"({ts} >= TIMESTAMP '{CUTS[0]}' AND {ts} < TIMESTAMP '{CUTS[1]}')",
+            RECOVERY: f"({ts} >= TIMESTAMP '{CUTS[1]}' OR {ts} IS NULL)"}[name]
 
 
 def cnt(cond: str) -> str:
