@@ -102,8 +102,8 @@ def plan_budget(leaves: DataFrame, mix: Mix) -> DataFrame:
     """``leaves``: domain, lang, source, supply (tokens), n_docs. Adds
     ``budget``, ``full_epochs`` and ``rest``."""
     caps = leaves.withColumn("_cap", F.col("supply") * mix.max_epochs)
-    total = leaves.agg(F.floor(F.sum("supply") * mix.budget_percent / 100).cast("long").alias("_budget"))
-    level = caps.groupBy("domain").agg(F.sum("_cap").alias("_cap")).crossJoin(F.broadcast(total))  # one row
+    total = leaves.select(F.floor(F.sum("supply") * mix.budget_percent / 100).cast("long"))
+    level = caps.groupBy("domain").agg(F.sum("_cap").alias("_cap")).withColumn("_budget", total.scalar())
     level = _share_out(level, "domain", mix).select("domain", "_budget")
     level = caps.groupBy("domain", "lang").agg(F.sum("_cap").alias("_cap")).join(level, ["domain"])
     level = _share_out(level, "lang", mix).select("domain", "lang", "_budget")
