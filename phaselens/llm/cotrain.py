@@ -131,6 +131,7 @@ def co_train(views: tuple[Sparse, Sparse], y: np.ndarray, calibrate: np.ndarray,
     pool = np.flatnonzero(y < 0)
     known = [dict(zip(learn.tolist(), y[learn].tolist())) for _ in views]
     chosen = [chosen_features(v.take(learn), y[learn].astype(float), params.features) for v in views]
+    views = tuple(v.only(c) for v, c in zip(views, chosen))
     share = float((y[learn] == 1).mean()) if len(learn) else 0.5
 
     def model(k: int) -> Linear:
@@ -193,7 +194,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, params: CoTraining = CoTrain
     got = chosen.mapInArrow(run, schema).toArrow()
     y = got["y"].to_numpy() if got.num_rows else np.zeros(0, int)
     calibrate = np.array(got["calibrate"].to_pylist(), dtype=bool)
-    return co_train((unpack(got["text_col"], got["text_n"]), unpack(got["meta_col"], got["meta_n"])), y, calibrate, params)
+    views = unpack(got["text_col"], got["text_n"]), unpack(got["meta_col"], got["meta_n"])
+    del got
+    return co_train(views, y, calibrate, params)
 
 
 def quality_scorer(spark, model: QualityModel, text: Column, source: Column, lang: Column, length: Column) -> Column:

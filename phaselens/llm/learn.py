@@ -30,12 +30,19 @@ class Sparse:
 
     def take(self, rows: np.ndarray) -> "Sparse":
         """The given rows (distinct numbers), renumbered from 0."""
-        place = np.full(self.rows, -1)
+        place = np.full(self.rows, -1, dtype=np.int32)
         place[rows] = np.arange(len(rows))
         at = place[self.row]
         keep = at >= 0
         return Sparse(at[keep], self.col[keep], self.n[keep], len(rows))
 
+    def only(self, features: np.ndarray) -> "Sparse":
+        """The same texts with the given features alone."""
+        wanted = np.zeros(BUCKETS, dtype=bool)
+        wanted[features] = True
+        keep = wanted[self.col]
+        return Sparse(self.row[keep], self.col[keep], self.n[keep], self.rows)
+
 
 def counted(col: np.ndarray, row: np.ndarray, rows: int) -> Sparse:
     key, n = np.unique(row.astype(np.int64) * BUCKETS + col, return_counts=True)
@@ -78,9 +85,9 @@ def unpack(cols: pa.ChunkedArray, counts: pa.ChunkedArray) -> Sparse:
     col = [np.frombuffer(x.as_buffer(), np.int32) for x in cols]
     n = [np.frombuffer(x.as_buffer(), np.uint16) for x in counts]
     size = [len(x) for x in col]
-    empty = np.zeros(0, np.int64)
-    return Sparse(np.repeat(np.arange(len(size)), size), np.concatenate([empty, *col]), np.concatenate([empty, *n]),
-                  len(size))
+    none = np.zeros(0, np.uint16)
+    return Sparse(np.repeat(np.arange(len(size), dtype=np.int32), size),
+                  np.concatenate([none.astype(np.int32), *col]), np.concatenate([none, *n]), len(size))
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
@@ -115,9 +122,10 @@ def chosen_features(s: Sparse, y: np.ndarray, most: int, least_texts: int = 4) -
     total, pos = len(y), float(y.sum())
     if total == 0 or pos in (0.0, float(total)):
         return np.zeros(0, dtype=np.int64)
-    cols, dense = np.unique(s.col, return_inverse=True)
-    have = np.bincount(dense, minlength=len(cols)).astype(float)
-    hits = np.bincount(dense, weights=y[s.row], minlength=len(cols))
+    have = np.bincount(s.col, minlength=BUCKETS).astype(float)
+    hits = np.bincount(s.col[y[s.row] > 0], minlength=BUCKETS)
+    cols = np.flatnonzero(have)
+    have, hits = have[cols], hits[cols]
     expected = have * pos / total
     spread = np.maximum(expected * (1 - pos / total) * (1 - have / total), 1e-9)
     chi = np.where(have >= least_texts, (hits - expected) ** 2 / spread, 0.0)

@@ -118,8 +118,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     values = [np.frombuffer(v, np.float32) for row in got["pair_value"].to_pylist() for v in row]
     pairs = Sparse(np.repeat(np.arange(len(cols)), [len(c) for c in cols]),
                    np.concatenate([np.zeros(0, np.int64), *cols]), np.zeros(0), len(cols))
+    sample = unpack(got["col"], got["n"])
+    del got
     most = min(params.features, int(params.features_per_row * len(y)))
-    return fit(unpack(got["col"], got["n"]), y, most=most, pairs=pairs,
+    return fit(sample, y, most=most, pairs=pairs,
                pair_values=np.concatenate([np.zeros(0), *values]), pair_penalty=params.pair_penalty)
 
 
