@@ -34,6 +34,14 @@ SAMPLE_PER_BUCKET = 32
 _HASH_RANGE = 1 << 40
 
 
+def keep_columns(df: DataFrame, *cols: str) -> DataFrame:
+    """``df`` with a condition that is always true and reads the named columns
+    (default: all). The passes of a rank or quantile over an aggregate would
+    otherwise be pruned to different columns and each compute the aggregate
+    anew; with the same columns they share its shuffle."""
+    return df.where(F.xxhash64(*(cols or df.columns)).bitwiseOR(F.lit(1)) != 0)
+
+
 def _key_struct(order: list[tuple[str, bool]], df: DataFrame) -> Column:
     """Struct whose natural ascending order is the requested order."""
     fields = []
@@ -76,11 +84,13 @@ def range_buckets(df: DataFrame, order: list[tuple[str, bool]], tie_key: str,
     # The sample: rows whose hash of the unique key falls under k/n of the
     # hash range, k = ranges * SAMPLE_PER_BUCKET. Each task filters its own
     # rows; only the ~k sampled keys (one per 8,192 rows) meet in one task.
+    # The order columns enter the hash so that the filter stays above an
+    # aggregate that makes them, and the sample reads the same shuffle.
     n_rows = df.select(F.count(F.lit(1))).scalar()
     ranges = F.lit(buckets) if buckets else F.greatest(
         F.ceil(n_rows / F.lit(ROWS_PER_BUCKET)), F.lit(MIN_BUCKETS))
     share = ranges.cast("double") * F.lit(float(SAMPLE_PER_BUCKET)) / F.greatest(n_rows, F.lit(1))
-    h = F.xxhash64(F.col(tie_key)).bitwiseAND(F.lit(_HASH_RANGE - 1).cast("long")).cast("double")
+    h = F.xxhash64(F.col(tie_key), *[F.col(c) for c, _ in order]).bitwiseAND(F.lit(_HASH_RANGE - 1).cast("long")).cast("double")
     sample = keyed.where(h < F.lit(float(_HASH_RANGE)) * share).select("_pl_key")
     # every SAMPLE_PER_BUCKET-th key of the sorted sample
     srt = sample.agg(F.sort_array(F.collect_list("_pl_key")).alias("_s"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from phaselens.functions.metrics import EXACT
 from phaselens.operators.binning import assign_bins, quantile_edges, rank_bins
+from phaselens.operators.rank import keep_columns
 
 # Segment ladder on the summed score (3..9), best first.
 SEGMENTS = (
@@ -58,6 +59,7 @@ def rfm_scores(base: DataFrame, key: str, q: int = 3) -> DataFrame:
     from counts per value; only the monetary edges and the tied frequency rank
     cut the rows into ranges."""
     up = list(range(1, q + 1))
+    base = keep_columns(base)  # the passes below share one aggregation
     r_edges = quantile_edges(base, "recency", q, key, few_values=True)  # scalar subqueries over the base
     m_edges = quantile_edges(base, "monetary", q, key)
     scored = rank_bins(base, [("frequency", True)], key, q, up, "f_score")  # the one row shuffle

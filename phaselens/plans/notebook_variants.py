@@ -18,6 +18,7 @@ from phaselens.functions.metrics import EXACT, decline_pct, exact_mean, money_to
 from phaselens.functions.timeparse import parse_mixed_ts
 from phaselens.operators.compare import count_in, phase_pivot
 from phaselens.operators.keywords import keyword_frequency
+from phaselens.operators.rank import keep_columns
 from phaselens.operators.topshare import top_share
 from phaselens.sources.bindings import Model
 
@@ -270,7 +271,7 @@ def high_value(m: Model) -> DataFrame:
                 F.count(F.when(pre, F.col("order_id"))).alias("order_count"),
                 F.count(F.when(crisis, F.col("order_id"))).alias("crisis_order_count"),
                 F.count_if(pre).alias("_pre_rows")))
-    hv = top_share(per.where(F.col("_pre_rows") > 0).drop("_pre_rows"), "total_spend", p.top_share, "customer_id",
+    hv = top_share(keep_columns(per).where(F.col("_pre_rows") > 0).drop("_pre_rows"), "total_spend", p.top_share, "customer_id",
                    method="quantile", threshold_col="spend_threshold")
     ratings = _rating_per_customer(m, {PRE: "pre_crisis_rating", CRISIS: "crisis_rating"})
     return (hv.withColumn("order_drop", F.col("order_count") - F.col("crisis_order_count"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from phaselens.functions.metrics import exact_mean, yn_flag
 from phaselens.operators.profile import describe_exact
+from phaselens.operators.rank import keep_columns
 from phaselens.operators.rfm import RECOVERABLE, SEGMENT_ORDER, rfm_base, rfm_scores, segment_col
 from phaselens.sources.bindings import Model
 
@@ -20,7 +21,7 @@ def r01_rfm_base(m: Model) -> DataFrame:
 
 
 def _describe(base: DataFrame) -> DataFrame:
-    return describe_exact(base, ["recency", "frequency", "monetary"], "customer_id",
+    return describe_exact(keep_columns(base), ["recency", "frequency", "monetary"], "customer_id",
                           few_values=("recency", "frequency"))
 
 

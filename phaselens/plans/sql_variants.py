@@ -14,6 +14,7 @@ from phaselens.functions.calendar import CRISIS, PRE
 from phaselens.functions.metrics import decline_pct, exact_mean, monthly_mean, pct, ratio, round_money, scaled_sum
 from phaselens.operators.churn import churn_counts
 from phaselens.operators.compare import count_in, phase_pivot
+from phaselens.operators.rank import keep_columns
 from phaselens.operators.topshare import top_share
 from phaselens.sources.bindings import Model
 
@@ -103,7 +104,7 @@ def s07_high_value_by_city(m: Model) -> DataFrame:
     kept = m.orders.where(cal.between("order_timestamp", PRE) & (F.col("is_cancelled") == "N"))
     spend = (kept.join(m.customers.select("customer_id", "city"), "customer_id")
              .groupBy("customer_id", "city").agg(F.sum("total_amount").alias("total_spend")))
-    top = top_share(spend, "total_spend", 1 / m.params.ntile_groups, "customer_id", method="ntile")
+    top = top_share(keep_columns(spend), "total_spend", 1 / m.params.ntile_groups, "customer_id", method="ntile")
     return (top.groupBy("city")
             .agg(F.count("customer_id").alias("high_value_customers"),
                  ratio(F.sum("total_spend"), F.count("total_spend")).alias("avg_spend_per_customer"),
