@@ -75,12 +75,24 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     session's; :func:`release` deletes it when its tables are used up."""
     path = os.path.join(_tables_folder(df.sparkSession), f"{name}-{uuid.uuid4().hex}")
     df.write.mode("error").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._materialized_path = path
+    return table
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that :func:`materialize` returned, once what was computed
+    from them is written itself."""
+    for t in tables:
+        _delete(t.sparkSession, t._materialized_path)
 
 
 def release(spark: SparkSession) -> None:
     """Delete every table that :func:`materialize` wrote in this session.
     DataFrames that still read one can't be computed afterwards."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(_tables_folder(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, _tables_folder(spark))

@@ -65,10 +65,13 @@ def test_materialize_writes_under_the_session_checkpoint_dir(spark):
 
 
 def test_release_deletes_what_was_materialized(spark):
-    from phaselens.session import ensure_checkpoint_dir, materialize, release
-    materialize(spark.range(5).toDF("id"), "unit")
+    from phaselens.session import discard, ensure_checkpoint_dir, materialize, release
+    kept, gone = (materialize(spark.range(5).toDF("id"), name) for name in ("kept", "gone"))
     root = ensure_checkpoint_dir(spark).removeprefix("file:")
-    assert os.path.isdir(os.path.join(root, "phaselens"))
+    discard(gone)
+    left = os.listdir(os.path.join(root, "phaselens"))
+    assert any(f.startswith("kept-") for f in left) and not any(f.startswith("gone-") for f in left)
+    assert kept.count() == 5
     release(spark)
     assert not os.path.exists(os.path.join(root, "phaselens"))
 
