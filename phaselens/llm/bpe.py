@@ -27,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from phaselens.llm.textops import text_buffers
+from phaselens.llm.textops import small_batches, text_buffers
 
 DEFAULT_VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Distinct pre-tokens in one cache generation of a Python worker; two generations
 #: are kept, so its memory is bounded. Results do not depend on it.
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 100_000
 #: Texts split at a time: as many as hold about this many code points.
 BATCH_CHARS = 2_000_000
 
@@ -153,6 +153,10 @@ class ByteBPE:
         flat = self.digits[ids].ravel()
         return flat[flat != 0][:-1].tobytes()
 
+    def forget(self) -> None:
+        """Empty the caches."""
+        self.ids, self.older = {}, {}
+
     def encode(self, text: str | None) -> list[int]:
         return next(iter(self.encode_batch([text])))[0].tolist()
 
@@ -222,5 +226,6 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                     ends = np.cumsum([0, *n])
                     cols.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.concat_arrays(kept)))
                 yield pa.RecordBatch.from_arrays(cols, [f.name for f in fields])
+        bpe.forget()  # the worker lives on for other tasks
 
-    return docs.select(id_col, text_col).mapInArrow(run, T.StructType(fields))
+    return small_batches(docs).select(id_col, text_col).mapInArrow(run, T.StructType(fields))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from phaselens.llm.textops import Block, blocks, shingle_hashes
+from phaselens.llm.textops import Block, blocks, shingle_hashes, small_batches
 
 SYMBOLS = b"#*$%&|<>"
 
@@ -166,4 +166,4 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     + [pa.array(x) for x in (failed, whole, least, most, low, high, ~(failed | low | high))],
                     [f.name for f in fields])
 
-    return docs.select(id_col, text_col).mapInArrow(run, T.StructType(fields))
+    return small_batches(docs).select(id_col, text_col).mapInArrow(run, T.StructType(fields))

@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from phaselens.llm.learn import (BUCKETS, Linear, Sparse, chosen_features, counted, fit, fold, labelled_sample, pack,
                                  sigmoid, unpack, word_features)
-from phaselens.llm.textops import SPACE, U64, Block, blocks, mix64
+from phaselens.llm.textops import SPACE, U64, Block, blocks, mix64, small_batches
 
 PREFIXES, SUFFIXES = (4, 6), (2, 3)
 
@@ -175,7 +175,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, params: CoTraining = CoTrain
             .join(labels.select(F.col(id_col).alias("_id")), "_id", "left_anti").distinct()
             .orderBy(F.xxhash64("_id"), "_id").limit(params.pool).withColumn("_y", F.lit(-1)))
     wanted = labelled.unionByName(pool)  # bounded by max_good + max_bad + pool ids
-    chosen = (docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(source_col).alias("_s"),
+    chosen = (small_batches(docs).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(source_col).alias("_s"),
                           F.col(lang_col).alias("_l"), F.col(length_col).alias("_n"))
               .join(F.broadcast(wanted), "_id")
               .select("_y", (F.crc32(F.concat(F.lit("calibrate"), F.col("_id").cast("string")).cast("binary")) % 4 == 0)
@@ -235,7 +235,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, params: CoTraining = Co
     model = model or fit_quality(docs, labels, params, id_col, text_col, source_col, lang_col, length_col)
     scored = quality_scorer(docs.sparkSession, model, F.col(text_col), F.col(source_col), F.col(lang_col),
                             F.col(length_col))
-    return (docs.select(F.col(id_col).alias("doc_id"), F.coalesce(fold(F.col(id_col)) == 0, F.lit(True)).alias("held_out"),
+    return (small_batches(docs).select(F.col(id_col).alias("doc_id"), F.coalesce(fold(F.col(id_col)) == 0, F.lit(True)).alias("held_out"),
                         scored.alias("_q"))
             .select("doc_id", "held_out", "_q.score", "_q.text_view", "_q.meta_view",
                     (F.col("_q.score") >= params.reject_below).alias("kept")))
@@ -248,5 +248,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, *, params: CoTraining = CoTrai
     model = fit_quality(docs, labels, params, **names)
     scored = quality_scorer(docs.sparkSession, model, *(F.col(names[c]) for c in (
         "text_col", "source_col", "lang_col", "length_col")))
-    return (docs.withColumn("_cotrain_quality", scored)
+    return (small_batches(docs).withColumn("_cotrain_quality", scored)
             .where(F.col("_cotrain_quality.score") >= params.reject_below).select(*docs.columns))

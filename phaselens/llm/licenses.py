@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from phaselens.llm.textops import blocks
+from phaselens.llm.textops import blocks, small_batches
 
 # Sentences of public licences and of the notices by which they
 # are applied, with their identifiers.
@@ -220,4 +220,4 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                      pa.array(n, pa.int64()), pa.array(where, pa.string()), pa.array(ids, pa.string())],
                     [f.name for f in fields])
 
-    return docs.select(id_col, text_col).mapInArrow(run, T.StructType(fields))
+    return small_batches(docs).select(id_col, text_col).mapInArrow(run, T.StructType(fields))

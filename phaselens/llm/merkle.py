@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from phaselens.llm.textops import U64, Block, blocks
+from phaselens.llm.textops import U64, Block, blocks, small_batches
 
 SECTION_SIZE = 4  # paragraphs a section, on average
 PIECE_SIZE = 4  # a piece ends after one word in so many
@@ -172,8 +172,9 @@ def _in_order(docs: DataFrame, id_col: str, text_col: str, rows_per_range: int)
     """Rows (range, guest, doc_id, text), each range sorted by descending id
     in one partition and followed by the first row of the next range (its
     guest; the last range is followed by the first row of all)."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
-                       F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("_key"))
+    rows = small_batches(docs).select(
+        F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
+        F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("_key"))
     n = min(MAX_RANGES, max(1, -(-docs.count() // rows_per_range)))
     # balanced ranges of ids by Spark's range partitioning
     found = (rows.select("_key").repartitionByRange(n, "_key")

@@ -22,7 +22,9 @@ With the default 36 bands of 5 samples a pair of similarity 0.85 shares no
 band with probability 5e-10 (1e-6 at 0.8).
 
 Intermediate tables are written to the session's shared checkpoint folder,
-which cuts lineage and survives lost executors.
+which cuts lineage and survives lost executors; each is deleted once the next
+ones are written, but for the signatures and the components that the result
+reads.
 
 Input cases: null, empty and blank texts have an empty set and link with
 nothing; a text with fewer words than the shingle length is one shingle;
@@ -43,8 +45,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from phaselens.llm.textops import U64, blocks, mix64, shingle_hashes
-from phaselens.session import materialize
+from phaselens.llm.textops import U64, blocks, mix64, shingle_hashes, small_batches
+from phaselens.session import discard, materialize
 
 
 @dataclass(frozen=True)
@@ -137,7 +139,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, p: NearDup) -> DataF
                      pa.array([set_digest(s) if len(s) else None for s in sets], pa.binary()),
                      _list_of(bands).take(some), _list_of(sketch).take(some)], [f.name for f in fields])
 
-    return docs.select(id_col, text_col).mapInArrow(run, T.StructType(fields))
+    return small_batches(docs).select(id_col, text_col).mapInArrow(run, T.StructType(fields))
 
 
 def _class_sets(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, p: NearDup) -> DataFrame:
@@ -210,11 +212,15 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
         parents = after.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
         open_ends = (parents.where("n > 1").select("a")
                      .unionByName(after.select(F.col("b").alias("a")).join(parents.select("a"), "a", "left_semi")))
+        done = open_ends.isEmpty()
+        discard(current)
         current = after
-        if open_ends.isEmpty():
+        if done:
             break
-    return (current.select(F.col("a").alias("node"), F.col("b").alias("root"))
-            .unionByName(current.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()))
+    found = materialize(current.select(F.col("a").alias("node"), F.col("b").alias("root"))
+                        .unionByName(current.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()), name)
+    discard(current)
+    return found
 
 
 def _near(pairs: DataFrame, sketches: DataFrame, p: NearDup) -> DataFrame:
@@ -284,7 +290,8 @@ def class_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         "minhash-buckets")
     # the class that meets most others over all its buckets: the text that a group's copies were made from
     met = shared.groupBy("digest").agg(F.sum("n").alias("met"))
-    shared = materialize(shared.select("band", "digest").join(met, "digest"), "minhash-met")
+    buckets_table, shared = shared, materialize(shared.select("band", "digest").join(met, "digest"), "minhash-met")
+    discard(buckets_table)
     centres = shared.groupBy("band").agg(F.max(F.struct("met", "digest"))["digest"].alias("centre"))
 
     def sets_of(wanted: DataFrame, name: str) -> DataFrame:
@@ -297,7 +304,8 @@ def class_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     sets = sets_of(pairs.select(F.col("a").alias("digest")).unionByName(pairs.select(F.col("b").alias("digest"))),
                    "minhash-star")
     star = materialize(_confirmed(pairs, sets, p.percent), "minhash-star-links")
-    found = materialize(connected_components(star), "minhash-star-components")
+    discard(pairs, sets)
+    found = connected_components(star, "minhash-star-components")
     # classes in buckets that hold more than one component
     member = (shared.join(found.withColumnRenamed("node", "digest"), "digest", "left")
               .select("band", "digest", F.coalesce("root", "digest").alias("root")))
@@ -307,13 +315,17 @@ def class_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     mixed_sets = sets_of(member.select("digest"), "minhash-mixed")
     cross = _near(prefix_pairs(member, mixed_sets, p.percent), sketches, p).join(star, ["a", "b"], "left_anti")
     more = materialize(_confirmed(cross, mixed_sets, p.percent), "minhash-cross-links")
+    discard(shared, member, mixed_sets, star, classes)
     if more.isEmpty():
+        discard(more)
         return sig, found
     root_of = lambda c, out: found.select(F.col("node").alias(c), F.col("root").alias(out))
     merged = (more.join(root_of("a", "_ra"), "a", "left").join(root_of("b", "_rb"), "b", "left")
               .select(F.coalesce("_ra", "a").alias("a"), F.coalesce("_rb", "b").alias("b")))
-    return sig, connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b"))
-                                     .unionByName(merged))
+    whole = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b"))
+                                 .unionByName(merged), "minhash-components")
+    discard(more, found)
+    return sig, whole
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from phaselens.session import materialize
+from phaselens.session import discard, materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
 LEVELS = ("domain", "lang", "source")
@@ -127,7 +127,7 @@ def mixture_plan(docs: DataFrame, mix: Mix, domain: Column | None = None, id_col
         token_count(F.col(text_col)).alias("n_tokens"),
         F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("text_md5")), "mixing-documents")
     leaves = narrow.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("supply"), F.count(F.lit(1)).alias("n_docs"))
-    plan = materialize(plan_budget(leaves, mix).withColumn(
+    plan = budget = materialize(plan_budget(leaves, mix).withColumn(
         "ranges", F.ceil(F.col("n_docs") / mix.rows_per_range).cast("long")), "mixing-plan")
     spread = (narrow.join(plan.where("rest > 0").drop("supply", "budget", "n_docs"), [*LEVELS])
               .withColumn("_key", _order_key(mix.seed, F.col("full_epochs") + 1, F.col("doc_id"), F.col("text_md5")))
@@ -146,7 +146,9 @@ def mixture_plan(docs: DataFrame, mix: Mix, domain: Column | None = None, id_col
             .groupBy(*LEVELS).agg(F.max("_key").alias("end_key")))
     plan = (plan.join(ends.select(*LEVELS, F.col("_range").alias("end_range")), [*LEVELS], "left")
             .join(keys, [*LEVELS], "left"))
-    return narrow, materialize(plan, "mixing-leaves")
+    leaves_plan = materialize(plan, "mixing-leaves")
+    discard(budget)
+    return narrow, leaves_plan
 
 
 def _range_of(key: Column, ranges: Column) -> Column:
@@ -175,7 +177,8 @@ def mixed_rows(docs: DataFrame, *, mix: Mix = Mix(), domain: Column | None = Non
     """The rows and columns of ``docs``, each as often as the mixture holds
     it. The leaf plan joins on the leaf, so texts are shuffled only where the
     plan is too large to broadcast by Spark's own size check."""
-    _, plan = mixture_plan(docs, mix, domain, id_col, text_col, lang_col, source_col)
+    narrow, plan = mixture_plan(docs, mix, domain, id_col, text_col, lang_col, source_col)
+    discard(narrow)
     mine = [f"_mix_{c}" for c in LEVELS]
     leaf = plan.select(*(F.col(c).alias(m) for c, m in zip(LEVELS, mine)), "full_epochs", "rest", "ranges",
                        "end_range", "end_key")

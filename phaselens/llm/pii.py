@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from phaselens.llm.textops import U64, Block, blocks, mix64
+from phaselens.llm.textops import U64, Block, blocks, mix64, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -454,7 +454,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
                     cols.append(pa.array([mask(t, x) for t, x in zip(texts, every)]))
                 yield pa.RecordBatch.from_arrays(cols, [f.name for f in fields])
 
-    return docs.select(id_col, text_col).mapInArrow(run, T.StructType(fields))
+    return small_batches(docs).select(id_col, text_col).mapInArrow(run, T.StructType(fields))
 
 
 def mask_documents(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", *,
@@ -477,7 +477,7 @@ def mask_documents(docs: DataFrame, text_col: str = "text", length_col: str | No
                 out += [mask(t, b + m) for t, b, m in zip(own, base, crf_spans(block, own, crf, base))]
             yield pd.Series(out, dtype=object).where(series.notna().to_numpy(), None)
 
-    done = docs.withColumn(text_col, masked(F.col(text_col)))
+    done = small_batches(docs).withColumn(text_col, masked(F.col(text_col)))
     if length_col and length_col in docs.columns:
         done = done.withColumn(length_col, F.char_length(text_col).cast(docs.schema[length_col].dataType))
     return done

@@ -1,6 +1,7 @@
 """Vectorised byte-level text helpers for Arrow batches.
 
 A batch of texts is cut into blocks of about ``BLOCK_BYTES`` UTF-8 bytes
+and ``BLOCK_TEXTS`` texts at most
 (one longer text is a block of its own), so working memory is bounded by
 the block size or the longest single text, whatever the batch size. Inside
 a block, words are found and hashed with array operations only.
@@ -14,8 +15,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 BLOCK_BYTES = 1 << 20
+BLOCK_TEXTS = 4096
+#: Rows of an Arrow batch: texts are long, and a batch is held by the JVM and by
+#: the Python worker at once.
+BATCH_ROWS = 1000
+_BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 U64 = np.uint64
 _P = 0x9E3779B97F4A7C15 | 1  # odd multiplier of the rolling polynomial
@@ -119,13 +126,22 @@ def text_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0]: offsets[-1]], offsets - offsets[0]
 
 
-def blocks(col: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Block]:
+def small_batches(df: DataFrame) -> DataFrame:
+    """Bound the session's Arrow batches to ``BATCH_ROWS`` rows (a smaller
+    setting stays); every operator that maps texts does so."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(_BATCH_CONF)) <= BATCH_ROWS:
+        conf.set(_BATCH_CONF, str(BATCH_ROWS))
+    return df
+
+
+def blocks(col: pa.Array, limit: int = BLOCK_BYTES, most: int = BLOCK_TEXTS) -> Iterator[Block]:
     """Cut a string column into blocks of whole texts."""
     data, offsets = text_buffers(col)
     n, i = len(offsets) - 1, 0
     while i < n:
         j = int(np.searchsorted(offsets, offsets[i] + limit, side="right")) - 1
-        j = min(max(j, i + 1), n)
+        j = min(max(j, i + 1), i + most, n)
         yield Block(data[offsets[i]: offsets[j]], offsets[i: j + 1] - offsets[i], i)
         i = j
 

@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from phaselens.llm.learn import (BUCKETS, Linear, Sparse, counted, fit, fold, labelled_sample, pack, sigmoid, unpack,
                                  word_features)
-from phaselens.llm.textops import blocks
+from phaselens.llm.textops import blocks, small_batches
 
 #: Words that name groups, by kind; a term is swapped for the next of its kind.
 IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
@@ -97,7 +97,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     """The model, from a bounded sample of the rows outside the held-out fold."""
     sample = labelled_sample(labels, id_col, "toxic", {1: params.max_toxic, 0: params.max_clean})
     # the sample is bounded by max_toxic + max_clean ids
-    chosen = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(sample), "_id")
+    chosen = small_batches(docs).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(sample), "_id")
     schema = T.StructType([T.StructField("y", T.IntegerType()), T.StructField("col", T.BinaryType()),
                            T.StructField("n", T.BinaryType()), T.StructField("pair_col", T.ArrayType(T.BinaryType())),
                            T.StructField("pair_value", T.ArrayType(T.BinaryType()))])
@@ -150,4 +150,4 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
                      pa.array((score >= 0.5).astype(np.int32))], schema.names)
 
     held = F.coalesce(fold(F.col(id_col)) == 0, F.lit(True))
-    return docs.select(F.col(id_col), held.alias("_held"), F.col(text_col)).mapInArrow(run, schema)
+    return small_batches(docs).select(F.col(id_col), held.alias("_held"), F.col(text_col)).mapInArrow(run, schema)
