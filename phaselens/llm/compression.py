@@ -4,7 +4,9 @@ The ratio compressed / raw bytes is taken for the whole document and for
 each fixed chunk of it. Repetitive text compresses too well, random or
 encoded text hardly at all. Short texts compress worse than long ones for
 reasons that have nothing to do with quality, so each limit belongs to a
-length band.
+length band. Scripts of many letters, written in several bytes each, compress
+worse than Latin ones at the same length, so the highest ratio of a text with
+many bytes beyond ASCII comes from a table of its own.
 
 Input cases: a null or empty text has no words, ratio 1.0 and fails the
 base rules; a text shorter than the first band of the ratio rules is judged
@@ -24,34 +26,64 @@ from pyspark.sql import types as T
 from phaselens.llm.textops import Block, blocks, shingle_hashes, small_batches
 
 SYMBOLS = b"#*$%&|<>"
+BEYOND_ASCII = bytes(range(128, 256))
 
 
 @dataclass(frozen=True)
 class CompressionRules:
     """``bands``: (least raw bytes, lowest ratio, highest ratio), ascending by
     length; a document is judged by the last band it reaches, and so is each
-    of its chunks. ``max_bad_chunks``: share of raw bytes in chunks outside
-    their band from which a document fails."""
+    of its chunks. A highest ratio lies between the densest clean text (spans
+    of shuffled interface messages in Latin script) and base64, which takes
+    about 0.75 + 46 / bytes, at the band's longer end; the bands are narrow
+    where the two are close. ``wide_bands``: (least raw bytes, highest ratio)
+    where more than ``wide_percent`` of the bytes are beyond ASCII: Chinese is
+    as dense as random letters there up to about 4 KB. ``max_bad_chunks``:
+    share of raw bytes in chunks outside their band from which a document
+    fails."""
     level: int = 3
     chunk_bytes: int = 4096
     bands: tuple[tuple[int, float, float], ...] = (
-        (256, 0.30, 1.02),
-        (1024, 0.27, 0.92),
-        (4096, 0.24, 0.86),
-        (16384, 0.20, 0.84),
-        (65536, 0.16, 0.82),
+        (256, 0.30, 0.905),
+        (288, 0.30, 0.89),
+        (320, 0.30, 0.875),
+        (352, 0.30, 0.863),
+        (384, 0.30, 0.845),
+        (448, 0.30, 0.83),
+        (512, 0.30, 0.81),
+        (640, 0.30, 0.795),
+        (768, 0.30, 0.77),
+        (1024, 0.27, 0.74),
+        (2048, 0.27, 0.68),
+        (4096, 0.24, 0.61),
+        (16384, 0.20, 0.55),
+        (65536, 0.16, 0.53),
     )
+    wide_bands: tuple[tuple[int, float], ...] = (
+        (256, 1.02),
+        (512, 0.97),
+        (1024, 0.86),
+        (2048, 0.78),
+        (4096, 0.70),
+        (16384, 0.62),
+        (65536, 0.56),
+    )
+    wide_percent: int = 20
     max_bad_chunks: float = 0.5
     min_words: int = 20
     repeat_window: int = 8
     max_repeat_percent: int = 30
 
 
-def _band(rules: CompressionRules, size: int) -> tuple[float, float] | None:
-    found = None
+def _band(rules: CompressionRules, raw: bytes) -> tuple[float, float] | None:
+    size, found = len(raw), None
     for least, low, high in rules.bands:
         if size >= least:
             found = (low, high)
+    if found and 100 * (size - len(raw.translate(None, BEYOND_ASCII))) > rules.wide_percent * size:
+        for least, high in rules.wide_bands:
+            if size >= least:
+                found = (found[0], high)
     return found
 
 
@@ -60,7 +92,7 @@ def compression_verdict(raw: bytes, rules: CompressionRules, compressor) -> tupl
     if not raw:
         return 1.0, 1.0, 1.0, False, False
     whole = len(compressor.compress(raw)) / len(raw)
-    limits = _band(rules, len(raw))
+    limits = _band(rules, raw)
     low = limits is not None and whole < limits[0]
     high = limits is not None and whole > limits[1]
     if len(raw) <= rules.chunk_bytes:
@@ -68,7 +100,7 @@ def compression_verdict(raw: bytes, rules: CompressionRules, compressor) -> tupl
     ratios, low_bytes, high_bytes = [whole], 0, 0
     for at in range(0, len(raw), rules.chunk_bytes):
         chunk = raw[at: at + rules.chunk_bytes]
-        limits = _band(rules, len(chunk))
+        limits = _band(rules, chunk)
         if limits is None:
             continue
         r = len(compressor.compress(chunk)) / len(chunk)

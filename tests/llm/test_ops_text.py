@@ -106,6 +106,41 @@ def test_compression_bands(spark):
     assert compression.score_documents(df.limit(0)).count() == 0
 
 
+def lines(text: str, width: int) -> str:
+    return "\n".join(text[i:i + width] for i in range(0, len(text), width))
+
+
+CHINESE = (
+    "鉴于对人类家庭所有成员的固有尊严及其平等的和不移的权利的承认,乃是世界自由、正义与和平的基础,鉴于对人权的无视和侮蔑已发展为野蛮暴行,"
+    "这些暴行玷污了人类的良心,而一个人人享有言论和信仰自由并免予恐惧和匮乏的世界的来临,已被宣布为普通人民的最高愿望,鉴于为使人类不致迫不得已"
+    "铤而走险对暴政和压迫进行反叛,有必要使人权受法治的保护,鉴于有必要促进各国间友好关系的发展,鉴于各联合国国家的人民已在联合国宪章中重申他们"
+    "对基本人权、人格尊严和价值以及男女平等权利的信念,并决心促成较大自由中的社会进步和生活水平的改善,鉴于各会员国业已誓愿同联合国合作以促进对"
+    "人权和基本自由的普遍尊重和遵行,鉴于对这些权利和自由的普遍了解对于这个誓愿的充分实现具有很大的重要性。")
+
+
+def test_compression_limits_as_registered(spark, documents_table):
+    import zstandard
+
+    rules, c, rng = compression.CompressionRules(), zstandard.ZstdCompressor(level=3), np.random.default_rng(5)
+    ends = [b[0] for b in rules.bands]
+    for n in sorted({*ends, *(x - 1 for x in ends[1:]), 300, 1500, 5000, 20000, 100000}):
+        for junk in (base64.b64encode(rng.bytes(n)).decode(), base64.b85encode(rng.bytes(n)).decode(),
+                     "".join(map(chr, rng.integers(33, 127, n)))):
+            for width in (40, 76):
+                raw = lines(junk, width)[:n].encode()
+                assert compression.compression_verdict(raw, rules, c)[4], (n, width, junk[:20])
+        wide = "".join(map(chr, rng.integers(0x4E00, 0x9FA5, n // 3 + 1))).encode()
+        assert n < 4100 or compression.compression_verdict(wide, rules, c)[4], n
+    for r in documents_table.collect():
+        assert not compression.compression_verdict((r["text"] or "").encode(), rules, c)[4]
+    for n in range(90, len(CHINESE), 10):
+        raw = CHINESE[:n].encode()
+        assert not compression.compression_verdict(raw, rules, c)[4], len(raw)
+    noise = lines(base64.b64encode(rng.bytes(2000)).decode(), 40)
+    got = compression.score_documents(spark.createDataFrame([(1, noise)], "doc_id long, text string")).collect()
+    assert got[0]["incompressible"] and not got[0]["base_failed"] and not got[0]["kept"]
+
+
 PATTERNS = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
             r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
 
