@@ -264,6 +264,60 @@ def test_license_findings_equal_a_scan_line_by_line(spark, documents_table):
     assert got == expected and sum(expected.values()) > 0
 
 
+#: Lines of the documents, read by hand, with the licence that each states.
+LICENCE_LINES = {
+    "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0-only",
+    "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "Released under the MIT License.": "MIT",
+    "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "All rights reserved.": "Proprietary"}
+
+
+def test_every_licence_line_of_the_documents_is_known(spark, documents_table):
+    stated = {}
+    for r in documents_table.collect():
+        found = {x.strip() for x in (r["text"] or "").split("\n") if re.search("licen[sc]e|rights reserved", x, re.I)}
+        assert found <= set(LICENCE_LINES)
+        stated[r["doc_id"]] = ",".join(sorted({LICENCE_LINES[x] for x in found}))
+    got = {r["doc_id"]: r["licenses"] for r in licenses.scan_licenses(documents_table).collect()}
+    assert got == stated and "CC-BY-NC-4.0" in got.values()
+
+
+GNU = """This {0} is free software; you can redistribute it and/or modify
+it under the terms of the {1} as published by
+the Free Software Foundation; either version {2} of the License, or
+(at your option) any later version.
+
+This {0} is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even"""
+
+
+@pytest.mark.parametrize("text, licence", [
+    *((f"Licensed under CC {x} 4.0.", f"CC-{x}-4.0") for x in ("BY", "BY-SA", "BY-ND", "BY-NC", "BY-NC-SA", "BY-NC-ND")),
+    ("This work is licensed under a Creative Commons\nAttribution-NonCommercial-NoDerivatives 4.0 International License.",
+     "CC-BY-NC-ND-4.0"),
+    ("This text is made available under the\nCreative Commons Attribution-ShareAlike 3.0 Unported License (CC BY-SA 3.0)",
+     "CC-BY-SA-3.0"),
+    (GNU.format("program", "GNU General Public License", "2"), "GPL-2.0-or-later"),
+    (GNU.format("program", "GNU General Public License", "3"), "GPL-3.0-or-later"),
+    (GNU.format("library", "GNU Lesser General Public License", "2.1"), "LGPL-2.1-or-later"),
+    (GNU.format("program", "GNU Affero General Public License", "3"), "AGPL-3.0-or-later"),
+    (GNU.format("program", "GNU General Public License", "2").replace("This program is free", "Foo is free"),
+     "GPL-2.0-or-later"),
+    ("Licensed under the GPLv2 or later", "GPL-2.0-or-later"), ("Released under the AGPL-3.0.", "AGPL-3.0-only"),
+    ("Distributed under the ISC license.", "ISC"), ("Released under the MIT Licence.", "MIT"),
+    ("Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby "
+     "granted, provided that the above\ncopyright notice and this permission notice appear in all copies.", "ISC"),
+    ("This program and the accompanying materials are made\navailable under the terms of the Eclipse Public License "
+     "2.0\nwhich is available at https://www.eclipse.org/legal/epl-2.0/", "EPL-2.0"),
+    ("Available under the terms of the Eclipse Public License v1.0.", "EPL-1.0"),
+    ("/* SPDX-License-Identifier: mit */", "MIT"), ("# SPDX-License-Identifier: (GPL-2.0+ OR MIT)\r\n", "GPL-2.0-or-later,MIT"),
+    ("// x, SPDX-License-Identifier: GPL-2.0-only WITH Linux-syscall-note AND BSD-3-Clause", "BSD-3-Clause,GPL-2.0-only"),
+    ("SPDX-License-Identifier: LicenseRef-Own. More", "LicenseRef-Own"),
+    ("The line SPDX-License-Identifier: must stand first", ""), ("Licensed under the usual terms", "")])
+def test_common_licences(text, licence):
+    r = licenses.Recogniser()
+    assert ",".join(sorted({x[0] for x in r.match(r.sentences(f"One.\n{text}\nTwo."))})) == licence
+
+
 def tree(text: str) -> merkle.Tree:
     return next(t for block in blocks(pa.array([text], pa.large_string())) for t in merkle.trees(block))
 
