@@ -9,8 +9,8 @@ worse than Latin ones at the same length, so the highest ratio of a text with
 many bytes beyond ASCII comes from a table of its own.
 
 Input cases: a null or empty text has no words, ratio 1.0 and fails the
-base rules; a text shorter than the first band of the ratio rules is judged
-by the base rules alone; null ids, repeated rows and extra columns are
+base rules; a text shorter than the first band of the ratio rules (64 bytes) is
+judged by the base rules alone; null ids, repeated rows and extra columns are
 kept apart per row; an empty table gives an empty result."""
 
 from __future__ import annotations
@@ -38,11 +38,21 @@ class CompressionRules:
     about 0.75 + 46 / bytes, at the band's longer end; the bands are narrow
     where the two are close. ``wide_bands``: (least raw bytes, highest ratio)
     where more than ``wide_percent`` of the bytes are beyond ASCII: Chinese is
-    as dense as random letters there up to about 4 KB. ``max_bad_chunks``:
-    share of raw bytes in chunks outside their band from which a document
-    fails."""
+    as dense as random letters there up to about 4 KB. ``short_bands``
+    come before ``bands``: clean text under 160 bytes hardly compresses
+    itself, so only a lowest ratio is set there.
+    ``max_bad_chunks``: share of raw bytes in chunks outside their band, above
+    or below, from which a document fails. A last chunk of under a sixteenth
+    of ``chunk_bytes`` is part of the one before."""
     level: int = 3
     chunk_bytes: int = 4096
+    short_bands: tuple[tuple[int, float, float], ...] = (
+        (64, 0.45, 1.15),
+        (128, 0.40, 1.15),
+        (160, 0.37, 1.04),
+        (192, 0.33, 0.98),
+        (224, 0.32, 0.912),
+    )
     bands: tuple[tuple[int, float, float], ...] = (
         (256, 0.30, 0.905),
         (288, 0.30, 0.89),
@@ -60,6 +70,7 @@ class CompressionRules:
         (65536, 0.16, 0.53),
     )
     wide_bands: tuple[tuple[int, float], ...] = (
+        (64, 1.15),
         (256, 1.02),
         (512, 0.97),
         (1024, 0.86),
@@ -69,7 +80,7 @@ class CompressionRules:
         (65536, 0.56),
     )
     wide_percent: int = 20
-    max_bad_chunks: float = 0.5
+    max_bad_chunks: float = 0.2
     min_words: int = 20
     repeat_window: int = 8
     max_repeat_percent: int = 30
@@ -77,7 +88,7 @@ class CompressionRules:
 
 def _band(rules: CompressionRules, raw: bytes) -> tuple[float, float] | None:
     size, found = len(raw), None
-    for least, low, high in rules.bands:
+    for least, low, high in (*rules.short_bands, *rules.bands):
         if size >= least:
             found = (low, high)
     if found and 100 * (size - len(raw.translate(None, BEYOND_ASCII))) > rules.wide_percent * size:
@@ -98,8 +109,11 @@ def compression_verdict(raw: bytes, rules: CompressionRules, compressor) -> tupl
     if len(raw) <= rules.chunk_bytes:
         return whole, whole, whole, low, high
     ratios, low_bytes, high_bytes = [whole], 0, 0
-    for at in range(0, len(raw), rules.chunk_bytes):
-        chunk = raw[at: at + rules.chunk_bytes]
+    starts = list(range(0, len(raw), rules.chunk_bytes))
+    if len(raw) - starts[-1] < rules.chunk_bytes // 16:
+        starts.pop()
+    for at, end in zip(starts, starts[1:] + [len(raw)]):
+        chunk = raw[at:end]
         limits = _band(rules, chunk)
         if limits is None:
             continue
@@ -107,8 +121,8 @@ def compression_verdict(raw: bytes, rules: CompressionRules, compressor) -> tupl
         ratios.append(r)
         low_bytes += len(chunk) * (r < limits[0])
         high_bytes += len(chunk) * (r > limits[1])
-    bad = rules.max_bad_chunks * len(raw)
-    return whole, min(ratios), max(ratios), low or low_bytes > bad, high or high_bytes > bad
+    bad = low_bytes + high_bytes > rules.max_bad_chunks * len(raw)
+    return whole, min(ratios), max(ratios), low or bad and low_bytes > 0, high or bad and high_bytes > 0
 
 
 def base_counts(block: Block, window: int = 8) -> dict[str, np.ndarray]:

@@ -141,6 +141,34 @@ def test_compression_limits_as_registered(spark, documents_table):
     assert got[0]["incompressible"] and not got[0]["base_failed"] and not got[0]["kept"]
 
 
+def test_compression_judges_parts_and_short_texts(documents_table):
+    import zstandard
+
+    rules, c, rng = compression.CompressionRules(), zstandard.ZstdCompressor(level=3), np.random.default_rng(6)
+    texts = [r["text"].encode() for r in documents_table.orderBy("doc_id").collect() if r["text"]]
+    clean = b"\n".join(dict.fromkeys(x for x in texts if len(x) > 2000 and len(c.compress(x)) > 0.4 * len(x)))
+    size = 60000
+    noise = lines(base64.b64encode(rng.bytes(size)).decode(), 60).encode()
+    run = b"all of this is the same run of words " * (size // 37 + 1)
+    assert len(clean) > size and compression.compression_verdict(clean[:size], rules, c)[3:] == (False, False)
+    for part, at in ((0.45, 0.3), (0.45, 0.55), (0.45, 0.0), (0.4, 0.2)):
+        a, b = int(at * size), int((at + part) * size)
+        low = compression.compression_verdict(clean[:a] + run[: b - a] + clean[b:size], rules, c)
+        high = compression.compression_verdict(clean[:a] + noise[: b - a] + clean[b:size], rules, c)
+        assert low[3] and high[4], (part, at)
+        mid = (a + b) // 2
+        both = clean[:a] + run[: mid - a] + noise[: b - mid] + clean[b:size]
+        assert any(compression.compression_verdict(both, rules, c)[3:]), (part, at)
+    for n in (64, 96, 130, 170, 200, 255):
+        assert compression.compression_verdict((b"a b c " * n)[:n], rules, c)[3], n
+    for n in (193, 230, 255):
+        assert compression.compression_verdict(bytes(rng.integers(33, 127, n).astype(np.uint8)), rules, c)[4], n
+    assert compression.compression_verdict(clean[:4096] + b"a" * 200, rules, c)[1] > 0.24
+    for text in (clean, CHINESE.encode()):
+        for n in range(64, 256, 7):
+            assert not any(compression.compression_verdict(text[:n], rules, c)[3:]), n
+
+
 PATTERNS = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
             r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
 
