@@ -291,21 +291,24 @@ class Recogniser:
         # a cheap necessary condition: the first word of a table sentence
         self.first_words = {w.split(" ", 1)[0] for w in (*self.ids, *_UNDER)}
 
-    def sentences(self, text: str) -> list[tuple[int, int, int, str]]:
-        """(sentence number, start, end, identifier) of the known sentences."""
+    def sentences(self, text: str) -> list[tuple[int, int, int, str, int]]:
+        """(number of the first cut, start, end, identifier, number of the last
+        cut) of the known sentences. Cuts without a word (the marks of an empty
+        comment line, the number of a clause) have no number."""
         cut = [(m.start(), m.end()) for m in SENTENCE.finditer(text)]
         spdx = {m.start("colon"): m for m in SPDX.finditer(text)}
-        out, i = [], 0
+        out, i, number = [], 0, 0
         while i < len(cut):
             a, b = cut[i]
             if b in spdx:
-                tag, number = spdx[b], i
+                tag = spdx[b]
                 names, length = spdx_licences(tag["expression"])
-                out += [(number, tag.start(), tag.start("expression") + length, f"spdx.{x}") for x in names]
+                out += [(number, tag.start(), tag.start("expression") + length, f"spdx.{x}", number) for x in names]
+                number += 1
                 while i < len(cut) and cut[i][0] < (tag.end() if names else b):
                     i += 1
                 continue
-            joined = normalise(text[a:b])
+            joined = alone = normalise(text[a:b])
             first = joined.split(" ", 1)[0]
             best, j = None, i
             if first in self.first_words:
@@ -319,17 +322,19 @@ class Recogniser:
                     joined = f"{joined} {normalise(text[cut[j][0]:cut[j][1]])}".strip()
             if best is None:
                 i += 1
+                number += alone != "" and not alone.isdigit() or any(map(str.isalpha, text[a:b]))
                 continue
-            out.append((i, a, cut[best[0]][1], best[1]))
-            i = best[0] + 1
+            last = number + best[0] - i
+            out.append((number, a, cut[best[0]][1], best[1], last))
+            i, number = best[0] + 1, last + 1
         return out
 
-    def match(self, found: list[tuple[int, int, int, str]]) -> list[tuple[str, int, int]]:
+    def match(self, found: list[tuple[int, int, int, str, int]]) -> list[tuple[str, int, int]]:
         """(licence, start, end) by the ordered rules, in text order."""
         if not found:
             return []
         free = [True] * len(found)
-        out = [(k.removeprefix("spdx."), a, b) for _, a, b, k in found if k.startswith("spdx.")]
+        out = [(k.removeprefix("spdx."), a, b) for _, a, b, k, _ in found if k.startswith("spdx.")]
         for licence, needs in self.rules:
             for first in range(len(found)):
                 at, used = first, []
@@ -337,7 +342,7 @@ class Recogniser:
                     while at < len(found) and used and not free[at]:
                         at += 1
                     if (at >= len(found) or not free[at] or found[at][3] != need
-                            or used and found[at][0] - found[used[-1]][0] > 1 + self.max_gap + len(needs)):
+                            or used and found[at][0] - found[used[-1]][4] - 1 > self.max_gap):
                         break
                     used.append(at)
                     at += 1
@@ -375,7 +380,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     names.append(",".join(sorted({x for x, _, _ in found})))
                     n.append(len(found))
                     where.append(",".join(f"{x}:{s}:{e}" for x, s, e in found))
-                    ids.append(",".join(k for *_, k in known))
+                    ids.append(",".join(x[3] for x in known))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(block.first, block.n_texts), pa.array(names, pa.string()),
                      pa.array(n, pa.int64()), pa.array(where, pa.string()), pa.array(ids, pa.string())],

@@ -4,6 +4,7 @@ licences, Merkle fingerprints."""
 import base64
 import hashlib
 import re
+import textwrap
 from collections import Counter
 
 import numpy as np
@@ -346,6 +347,36 @@ def test_common_licences(text, licence):
     assert ",".join(sorted({x[0] for x in r.match(r.sentences(f"One.\n{text}\nTwo."))})) == licence
 
 
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."""
+
+
+@pytest.mark.parametrize("width", [16, 20, 25, 40, 60, 78, 1000])
+@pytest.mark.parametrize("mark", ["", " * ", "# "])
+def test_license_texts_at_any_wrap(width, mark):
+    r = licenses.Recogniser()
+    mit = MIT.split("\n\n", 2)[2].replace("\n\n", "\0").replace("\n", " ").replace("\0", "\n\n")
+    for text, licence, n in ((BSD, "BSD-3-Clause", 4), (BSD.rsplit("\n\n", 1)[0], "BSD-2-Clause", 3), (mit, "MIT", 3)):
+        wrapped = "\n".join(mark + x for part in text.split("\n") for x in textwrap.wrap(part, width) or [""])
+        known = r.sentences(wrapped)
+        assert len(known) == n
+        assert r.match(known) == [(licence, known[0][1], known[-1][2])]
+
+
+def test_license_rules_allow_few_unknown_sentences_between():
+    r = licenses.Recogniser()
+    first, rest = BSD.split("\n\n", 1)
+    for n in range(6):
+        found = r.match(r.sentences("\n".join([first, *(f"Some line {i}" for i in range(n)), rest])))
+        assert [x[0] for x in found] == (["BSD-3-Clause"] if n <= r.max_gap else [])
+    assert r.match(r.sentences("\n".join([first, *["中文句子"] * 4, rest]))) == []
+
+
 def tree(text: str) -> merkle.Tree:
     return next(t for block in blocks(pa.array([text], pa.large_string())) for t in merkle.trees(block))
 
