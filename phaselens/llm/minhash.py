@@ -142,12 +142,20 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, p: NearDup) -> DataF
     return small_batches(docs).select(id_col, text_col).mapInArrow(run, T.StructType(fields))
 
 
+def _class_texts(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
+    """(digest, text) of the wanted classes (digest, doc_id, text_md5): a text
+    meets its own class only, however many rows share the id."""
+    chosen = wanted.select(F.col("doc_id").alias("_w"), F.col("text_md5").alias("_wm"), "digest")
+    return (docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+            .withColumn("_m", F.md5(F.coalesce("_text", F.lit("")).cast("binary")))
+            .join(chosen, F.col("_id").eqNullSafe(F.col("_w")) & (F.col("_m") == F.col("_wm"))).select("digest", "_text"))
+
+
 def _class_sets(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, p: NearDup) -> DataFrame:
     """(digest, shingles) of the wanted classes, from one document of each
-    (``wanted``: digest, doc_id). The set is 8 bytes a shingle, sorted."""
-    chosen = wanted.select(F.col("doc_id").alias("_w"), "digest")
-    texts = (docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-             .join(chosen, F.col("_id").eqNullSafe(F.col("_w"))).select("digest", "_text"))
+    (``wanted``: digest, doc_id, text_md5). The set is 8 bytes a shingle,
+    sorted."""
+    texts = _class_texts(docs, id_col, text_col, wanted)
     schema = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("shingles", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,7 +163,7 @@ def _class_sets(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame,
             asked = batch.column(0).to_pylist()
             for block in blocks(batch.column(1)):
                 sets = shingle_sets(block, p.shingle_words)
-                # rows that share an id can hold other texts: only the class asked for counts
+                # only the class asked for counts
                 own = [(d, s) for d, s in zip(asked[block.first:], sets) if len(s) and set_digest(s) == d]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([d for d, _ in own], pa.binary()), pa.array([s.tobytes() for _, s in own], pa.binary())],
@@ -281,7 +289,9 @@ def class_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     sig = materialize(signatures(docs, id_col, text_col, p), "minhash-signatures")
     classes = materialize(
         sig.where(F.col("digest").isNotNull()).groupBy("digest")
-        .agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")),
+        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "text_md5")).alias("_of"),
+             F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+        .select("digest", "_of.doc_id", "_of.text_md5", "bands", "sketch"),
         "minhash-classes")
     sketches = classes.select("digest", "sketch")
     buckets = classes.select("digest", F.explode("bands").alias("band"))
@@ -295,7 +305,7 @@ def class_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     centres = shared.groupBy("band").agg(F.max(F.struct("met", "digest"))["digest"].alias("centre"))
 
     def sets_of(wanted: DataFrame, name: str) -> DataFrame:
-        wanted = wanted.distinct().join(classes.select("digest", "doc_id"), "digest")
+        wanted = wanted.distinct().join(classes.select("digest", "doc_id", "text_md5"), "digest")
         return materialize(_class_sets(docs, id_col, text_col, wanted, p), f"{name}-sets")
 
     stars = shared.join(centres, "band").where(F.col("digest") != F.col("centre")).select(

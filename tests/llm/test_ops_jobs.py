@@ -1,6 +1,7 @@
 """Operators with shuffles or models against brute force: sharding, mixing,
 near-duplicates, the classifiers, and the pipeline."""
 
+import hashlib
 import random
 import re
 import zlib
@@ -257,6 +258,24 @@ def test_odd_sketch_estimates_similarity():
         assert low <= bits <= high
 
 
+def test_texts_that_share_an_id_meet_their_own_class_only(spark):
+    base = [[f"w{k}x{i}" for i in range(60)] for k in range(20)]
+    texts = [" ".join(w) for b in base for w in (b, [*b, "more"])]
+    df = spark.createDataFrame([(i, t) for t in texts for i in (None, 7)] + [(None, texts[0])],
+                               "doc_id long, text string")
+    p = minhash.NearDup(percent=85)
+    classes = (minhash.signatures(df, "doc_id", "text", p).where("doc_id is null")
+               .select("digest", "doc_id", "text_md5").distinct())
+    met = [(bytes(r["digest"]), r["_text"]) for r in minhash._class_texts(df, "doc_id", "text", classes).collect()]
+    assert len(met) == len(texts) + 1 and len(set(met)) == len(texts)
+    got = minhash.near_duplicates(df.where("doc_id is null"), params=p).collect()
+    assert len(got) == len(texts) + 1 and all(r["component_id"] is None for r in got)
+    sig, found = minhash.class_components(df, "doc_id", "text", p)
+    assert found.select("root").distinct().count() == 20 and found.count() == 40
+    assert sorted(r["text"] for r in minhash.keep_one(df, params=p).collect()) == sorted(
+        min((texts[2 * k], texts[2 * k + 1]), key=lambda t: hashlib.md5(t.encode()).hexdigest()) for k in range(20))
+
+
 def test_near_duplicates_odd_rows(spark, odd_documents):
     got = minhash.near_duplicates(odd_documents).collect()
     assert len(got) == odd_documents.count()
