@@ -331,7 +331,8 @@ def labelled_table(n: int = 600, seed: int = 5) -> list[tuple[str, list[tuple[in
     def phone() -> str:
         a, b, c = digits(3), digits(3), digits(4)
         return pick((f"+1 ({a}) {b}-{c}", f"+{digits(2)} {a} {b} {c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}",
-                     f"{a}.{b}.{c}", f"+1-{a}-{b}-{c}", f"001 {a} {b} {c}"))
+                     f"{a}.{b}.{c}", f"+1-{a}-{b}-{c}", f"001 {a} {b} {c}",
+                     " ".join(f"0{digits(9)}"[i:i + 2] for i in range(0, 10, 2)), f"0{a} {b}{c}", f"0{a}/{b}{c}"))
 
     def email() -> str:
         user, host = word().encode("ascii", "ignore").decode() or "a", "mail" + digits(1)
@@ -359,25 +360,33 @@ def labelled_table(n: int = 600, seed: int = 5) -> list[tuple[str, list[tuple[in
 # ------------------------------------------------------------ found spans
 
 _SPELLED = re.compile(r"([A-Za-z0-9._%+-]+)\s*[\[(]\s*at\s*[\])]\s*([A-Za-z0-9-]+(?:\s*(?:\.|[\[(]\s*dot\s*[\])])\s*[A-Za-z0-9-]+)+)")
-_NATIONAL = re.compile(r"\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}|0[0-9]{1,2}[\x20.-][0-9]{3}[\x20.-][0-9]{3}[\x20.-][0-9]{4}")
-_DOTTED_CARD = re.compile(r"[0-9]{4}(?:[\x20.-][0-9]{4}){3}|[0-9]{12,19}")
+_NATIONAL = re.compile(r"(?<![0-9])(?:\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}|0[0-9]{1,2}[\x20.-][0-9]{3}[\x20.-][0-9]{3}[\x20.-][0-9]{4})(?![0-9])")
+_GROUPED = re.compile(r"\(?[0-9](?:[\x20()./-]{0,2}[0-9])+")
+_DIGIT_RUN = re.compile(r"[0-9](?:[\x20.-]?[0-9])+")
+_CARD_FORM = re.compile(r"(?<![0-9])(?:[0-9]{4}(?:[\x20.-][0-9]{4}){3}|[0-9]{12,19})(?![0-9])")
 
 
-def valid_span(kind: str, value: str) -> tuple[int, int] | None:
-    """Where in a decoded span the kind's exact form stands, if it does."""
+def valid_spans(kind: str, value: str) -> list[tuple[int, int]]:
+    """Where in a decoded span the kind's exact forms stand: spelled-out
+    addresses, runs of 9 to 15 digits in groups, and runs of 12 to 19 digits
+    with a right check digit. Every valid network address is a base span."""
     if kind == "email":
-        m = _SPELLED.search(value)
-    elif kind == "phone":
-        m = _NATIONAL.search(value)
-    elif kind == "card":
-        m = _DOTTED_CARD.search(value)
-        m = m if m and luhn(_NOT_DIGIT.sub("", m[0])) else None
-    else:
-        m = None  # every valid address is a base span
-    # a part of a longer digit run is no such form
-    if m is None or value[m.end(): m.end() + 1].isdigit() or value[max(0, m.start() - 1): m.start()].isdigit():
-        return None
-    return m.span()
+        return [m.span() for m in _SPELLED.finditer(value)]
+    out = []
+    if kind == "phone":
+        for run in _GROUPED.finditer(value):
+            n = len(_NOT_DIGIT.sub("", run[0]))
+            # a run without groups is as likely a plain number; a longer one can hold several
+            if n > 15:
+                out += [m.span() for m in _NATIONAL.finditer(value, *run.span())]
+            elif n >= 9 and not run[0].isdigit():
+                out.append(run.span())
+    if kind == "card":
+        good = lambda m: 12 <= len(d := _NOT_DIGIT.sub("", m[0])) <= 19 and luhn(d)
+        for run in _DIGIT_RUN.finditer(value):
+            # several numbers can stand in one run
+            out += [run.span()] if good(run) else [m.span() for m in _CARD_FORM.finditer(value, *run.span()) if good(m)]
+    return out
 
 
 def crf_spans(block: Block, texts: list[str], crf: CRF, taken: list[list[Span]]) -> list[list[Span]]:
@@ -398,11 +407,10 @@ def crf_spans(block: Block, texts: list[str], crf: CRF, taken: list[list[Span]])
         i = int(text[tagged[h]])
         base = int(cp[block.offsets[i]])
         a, b = int(cp[start[tagged[h]]]) - base, int(cp[end[tagged[t]]]) - base
-        at = valid_span(KINDS[kind[h]], texts[i][a:b])
-        if at is not None:
-            a, b = a + at[0], a + at[1]
-            if not any(x < b and a < y for x, _, y in taken[i]):
-                out[i].append((a, int(kind[h]), b))
+        for x, y in valid_spans(KINDS[kind[h]], texts[i][a:b]):
+            x, y = a + x, a + y
+            if not any(u < y and x < v for u, _, v in taken[i]):
+                out[i].append((x, int(kind[h]), y))
     return out
 
 

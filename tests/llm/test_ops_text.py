@@ -248,6 +248,20 @@ def test_pii_adds_spans_and_masks(spark, odd_documents, crf):
     assert pii.find_pii(df.limit(0), crf=crf).count() == 0
 
 
+def test_pii_checks_a_span_by_the_law_of_its_kind(crf):
+    bad, card = "4111 1111 1111 1112", "4111 1111 1111 1111"
+    cut = lambda kind, value: [value[a:b] for a, b in pii.valid_spans(kind, value)]
+    assert cut("card", f"{bad}, {card}") == cut("card", f"{bad} {card}") == [card]
+    assert cut("card", bad) == [] and cut("card", "3782 822463 10005") == ["3782 822463 10005"]
+    for value in ("06 12 34 56 78", "0171 1234567", "0171/1234567", "(569) 555-7279", "001 569 555 7279"):
+        assert cut("phone", value) == [value]
+        text = f"call {value} or write"
+        for block in blocks(pa.array([text])):
+            assert [text[a:b] for a, _, b in pii.crf_spans(block, [text], crf, [[]])[0]] == [value]
+    assert cut("phone", "(569) 555-7279 569-555-7270") == ["(569) 555-7279", "569-555-7270"]
+    assert cut("phone", "12 34 56 78") == cut("phone", "1234567890") == []
+
+
 MIT = """MIT License
 
 Copyright (c) 2020 Somebody
