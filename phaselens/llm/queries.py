@@ -76,8 +76,15 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(documents(spark, sf_dir), with_ids=False)
 
 
-_QUERIES = (op1_counterfactual_toxicity, op2_hypergeometric_shards, op3_cotraining_quality,
-            op4_crf_pii, op5_hierarchical_mix, op6_minhash_odd_sketch, op7_merkle_fingerprints, op8_compression_bands, op9_license_sentences, op10_byte_bpe)
+def op12_trie_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from phaselens.llm.collocations import collocations
+
+    return collocations(documents(spark, sf_dir))
+
+
+_QUERIES = (op1_counterfactual_toxicity, op2_hypergeometric_shards, op3_cotraining_quality, op4_crf_pii,
+            op5_hierarchical_mix, op6_minhash_odd_sketch, op7_merkle_fingerprints, op8_compression_bands,
+            op9_license_sentences, op10_byte_bpe, op12_trie_collocations)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -85,6 +92,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from phaselens.llm import mixing
+    from phaselens.llm import collocations, mixing
 
-    return {"op5_hierarchical_mix": mixing.ORACLE_SQL}
+    return {"op5_hierarchical_mix": mixing.ORACLE_SQL, "op12_trie_collocations": collocations.ORACLE_SQL}
