@@ -16,6 +16,10 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
 def op1_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from phaselens.llm.toxicity import score_toxicity
 
@@ -76,15 +80,28 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(documents(spark, sf_dir), with_ids=False)
 
 
+def op11_chebyshev_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from phaselens.llm.whitening import whiten
+
+    return whiten(embeddings(spark, sf_dir))
+
+
 def op12_trie_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     from phaselens.llm.collocations import collocations
 
     return collocations(documents(spark, sf_dir))
 
 
+def op13_block_pruned_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from phaselens.llm.topk import search
+
+    return search(embeddings(spark, sf_dir))
+
+
 _QUERIES = (op1_counterfactual_toxicity, op2_hypergeometric_shards, op3_cotraining_quality, op4_crf_pii,
             op5_hierarchical_mix, op6_minhash_odd_sketch, op7_merkle_fingerprints, op8_compression_bands,
-            op9_license_sentences, op10_byte_bpe, op12_trie_collocations)
+            op9_license_sentences, op10_byte_bpe, op11_chebyshev_whitening, op12_trie_collocations,
+            op13_block_pruned_topk)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -92,6 +109,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from phaselens.llm import collocations, mixing
+    from phaselens.llm import collocations, mixing, topk
 
-    return {"op5_hierarchical_mix": mixing.ORACLE_SQL, "op12_trie_collocations": collocations.ORACLE_SQL}
+    return {"op5_hierarchical_mix": mixing.ORACLE_SQL, "op12_trie_collocations": collocations.ORACLE_SQL,
+            "op13_block_pruned_topk": topk.ORACLE_SQL}
