@@ -191,19 +191,19 @@ class _Chunk:
         self.home, self.place = table["home"].to_numpy(), table["place"].to_numpy()
         self.ids = table["query_id"].to_numpy()
         self.vectors = np.concatenate([_unpack(x.as_py(), d, 1) for x in table["vector"]])
-        self.floor = table["floor"].to_numpy(zero_copy_only=False).astype(np.float64)
-        self.floor[np.isnan(self.floor)] = -np.inf
+        self.floor = table["floor"].fill_null(_NONE).to_numpy()
 
     def bounds(self, rows: slice, high: np.ndarray, low: np.ndarray) -> np.ndarray:
         """Summed term maxima of each query (rows) and block (columns)."""
         q, high, low = _numbers(self.vectors[rows], high, low)
-        return np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T
+        return (np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T).astype(np.int64)
 
 
 def _maxima(blocks: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.stack([np.frombuffer(x.as_buffer(), np.int64) for x in blocks[c].combine_chunks()]) for c in ("high", "low"))
 
 
+_NONE = np.iinfo(np.int64).min + 1  # below every score
 _ROWS = 2048  # queries of a cell that walk together
 
 
@@ -242,7 +242,7 @@ def _walk(k: int, step: int = 4):
             bound = chunk.bounds(rows, high, low)
             kth = chunk.floor[rows].copy()
             n = len(kth)
-            top, top_ids = np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max)
+            top, top_ids = np.full((n, k), _NONE), np.full((n, k), np.iinfo(np.int64).max)
             order = np.argsort(-bound, axis=1, kind="stable")
             for at in range(0, bound.shape[1], step):
                 next_ = order[:, at: at + step]
@@ -256,10 +256,9 @@ def _walk(k: int, step: int = 4):
                 for a, b in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist()):
                     own, which = query[a:b], int(block[a])
                     q, v = _numbers(chunk.vectors[rows][own], forward[which])
-                    score = (q @ v.T).astype(np.float64) if q.dtype == np.float64 else q @ v.T
-                    score = score if score.dtype == np.float64 else _exact_floats(score)
+                    score = (q @ v.T).astype(np.int64)
                     home = np.flatnonzero(chunk.home[rows][own] == number[which])
-                    score[home, chunk.place[rows][own[home]]] = -np.inf
+                    score[home, chunk.place[rows][own[home]]] = _NONE
                     better = score.max(axis=1) >= kth[own]
                     if not better.any():
                         continue
@@ -268,20 +267,14 @@ def _walk(k: int, step: int = 4):
                     s, x = _best(np.hstack([top[own], s]), np.hstack([top_ids[own], x]), k)
                     top[own], top_ids[own] = s, x
                     kth[own] = np.maximum(kth[own], s[:, k - 1])
-            row, rank = np.nonzero(np.isfinite(top))
+            row, rank = np.nonzero(top != _NONE)
             out.append(pa.table([pa.array(chunk.home[rows][row]), pa.array(chunk.place[rows][row]), pa.array(chunk.ids[rows][row]),
-                                 pa.array(top_ids[row, rank]), pa.array(top[row, rank].astype(np.int64))], names))
+                                 pa.array(top_ids[row, rank]), pa.array(top[row, rank])], names))
         return pa.concat_tables(out)
 
     return run
 
 
-def _exact_floats(score: np.ndarray) -> np.ndarray:
-    if np.abs(score).max(initial=0) >= 2 ** 53:
-        raise ValueError("a score is beyond 2^53")
-    return score.astype(np.float64)
-
-
 # ----------------------------------------------------------------- operator
 
 def search(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", *,

@@ -15,8 +15,8 @@ group, whatever the number of rows or tasks. From a random block of
   its product with V is the next filter's first step).
 
 It ends when the residuals |Vu - eu| of all wanted pairs reach rounding, and
-raises if they can't be brought to 1e-9 of the largest eigenvalue: the result
-is certified or there is none. A vector's entries are whole numbers, so n and
+raises if they can't be brought to 1e-12 of the largest eigenvalue and 1e-5 of
+the pair's own: the result is certified or there is none. A vector's entries are whole numbers, so n and
 the sums S are exact, and rows are centred as x - floor(S/n) - (S mod n)/n
 before anything is multiplied.
 
@@ -24,7 +24,7 @@ Input cases: rows whose vector is null, empty or holds null or non-finite
 entries are dropped; if lengths differ, the length of the most rows (of
 equals, the longer) is the table's and rows of others are dropped; repeated
 rows and ids count and return as often as they stand, a null id stays null;
-extra columns are ignored. Components whose eigenvalue is 0 to rounding (1e-11
+extra columns are ignored. Components whose eigenvalue is 0 to rounding (1e-9
 of the largest) can't be whitened and are not returned, so equal vectors, a
 single vector and an empty table give an empty result. A ``deviation`` past 64
 bits is null."""
@@ -55,7 +55,9 @@ class Whitening:
     spread: float = 1e10  # a cycle lets the first pair outgrow the last wanted by this at most
     cycles: int = 60
     rounding: float = 3e-15  # residual, of the largest eigenvalue, at which to stop
-    certified: float = 1e-9  # residual that must be reached
+    certified: float = 1e-12  # residual, of the largest eigenvalue, that must be reached
+    relative: float = 1e-5  # and of the pair's own
+    zero: float = 1e-9  # eigenvalues up to this, of the largest, are taken as 0
     seed: int = 11
 
 
@@ -118,10 +120,12 @@ def leading_pairs(apply: Callable[[np.ndarray], np.ndarray], d: int, params: Whi
     best, still = np.inf, 0
     for _ in range(p.cycles):
         top = float(theta[0])
-        worst = float(np.linalg.norm(w[:, :k] - q[:, :k] * theta[:k], axis=0).max())
+        far = np.linalg.norm(w[:, :k] - q[:, :k] * theta[:k], axis=0)
+        worst = float(far.max())
         still = still + 1 if worst > best / 2 else 0
         best = min(best, worst)
-        if top <= 0 or worst <= p.rounding * top or still >= 2 and best <= p.certified * top:
+        certified = worst <= p.certified * top and bool((far <= p.relative * theta[:k])[theta[:k] > p.zero * top].all())
+        if top <= 0 or certified and (worst <= p.rounding * top or still >= 2):
             break
         if m == d:  # the block is the whole space: only rounding is left
             q = np.linalg.qr(q)[0]
@@ -131,7 +135,7 @@ def leading_pairs(apply: Callable[[np.ndarray], np.ndarray], d: int, params: Whi
         a = a if a < b * (1 - 1e-6) else 0.0
         half, centre = max((b - a) / 2, 1e-8 * top), (b + a) / 2
         grow = [np.arccosh(max(1.0, (x - centre) / half)) for x in (top, float(theta[k - 1]))]
-        degree = int(np.clip(np.log(p.spread) / max(grow[0] - grow[1], 1e-9), 2, p.degree))
+        degree = int(np.clip(np.log(p.spread) / max(grow[0] - grow[1], 1e-9), 1, p.degree))
         sigma = first = half / (top - centre)
         before, now = q, (w - centre * q) * (first / half)
         for _ in range(degree - 1):
@@ -140,9 +144,9 @@ def leading_pairs(apply: Callable[[np.ndarray], np.ndarray], d: int, params: Whi
             sigma = after
         q = np.linalg.qr(now)[0]
         theta, q, w = _ritz(q, product(q))
+    else:
+        raise ValueError(f"the eigenpairs were not certified: residual {worst:.3g}, largest eigenvalue {theta[0]:.3g}")
     e, u = theta[:k], q[:, :k]
-    if theta[0] > 0 and best > p.certified * theta[0]:
-        raise ValueError(f"the eigenpairs were not certified: residual {best:.3g}")
     sign = np.sign(u[np.abs(u).argmax(axis=0), np.arange(k)])
     return e, u * np.where(sign == 0, 1, sign), best
 
@@ -273,7 +277,7 @@ def whiten(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     if f is None:
         return embeddings.sparkSession.createDataFrame([], schema)
     e, u, _ = leading_pairs(lambda q: _covariance_product(vectors, f, q), f.d, params)
-    live = e > 1e-11 * max(float(e[0]), 0.0)
+    live = e > params.zero * max(float(e[0]), 0.0)
     e, project = e[live], u[:, live] / np.sqrt(e[live])
     k = len(e)
     if not k:
