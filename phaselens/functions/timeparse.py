@@ -1,61 +1,106 @@
-"""Mixed-format timestamp parsing (pandas ``format='mixed', dayfirst=True``)."""
+"""Mixed-format timestamp parsing (pandas ``format='mixed', dayfirst=True``).
+
+A text's *shape* is what is left of it when digits and letters are replaced by
+one sign each and their runs by one more; it is looked up in a literal table
+of known shapes, which says in what order the fields stand. So a text is cut
+into its numbers and names once and read by one form, however many shapes are
+known, and text of no known shape is never parsed."""
 
 from __future__ import annotations
 
-import re
+from collections.abc import Callable
+from string import ascii_letters, digits
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Date shapes tried in order. ISO stays year-first under
-# dayfirst; day-first beats month-first for ambiguous dd/mm text; a
-# month-first or year-day-month shape is only used when the day-first
-# reading is impossible (13/06 vs 06/13).
-DAYFIRST_DATE_FORMATS = ("yyyy-M-d", "d-M-yyyy", "d/M/yyyy", "M/d/yyyy", "M-d-yyyy", "yyyy-d-M", "d.M.yyyy",
-                         "yyyy/M/d", "d MMM yyyy", "MMM d yyyy")
-TIME_SUFFIXES = (" H:mm:ss", " H:mm", "", " h:mm:ss a", " h:mm a", " H:mm:ss.SSSSSS")
+# Date shapes (y four digits, n one or two digits, m a name of
+# three letters or more) and the order of their fields. ISO stays year-first
+# under dayfirst; where a second order is listed it is used if the first gives
+# no date (13/06 vs 06/13).
+DATE_SHAPES = {"y-n-n": ("ymd", "ydm"), "n-n-y": ("dmy", "mdy"), "n/n/y": ("dmy", "mdy"), "n.n.y": ("dmy",),
+               "y/n/n": ("ymd",), "n m y": ("dmy",), "m n y": ("mdy",)}
+# Time shapes (f a fraction of a second, aa two letters) and
+# their fields: hour, minute, second, fraction, half of the day.
+TIME_SHAPES = {"": "", " n:n": "hm", " n:n:n": "hms", " n:n:n.f": "hmsf", " n:n aa": "hma", " n:n:n aa": "hmsa"}
+MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+
+_LETTERS = ascii_letters.replace("T", "")  # a T may stand between date and time
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once however often ``body``
+    names it (an expression used twice would be written out twice)."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def shape(text: Column) -> Column:
+    """The shape of a trimmed text: ``13/06/2025 9:05`` -> ``n/n/y n:n``."""
+    s = F.translate(text, _LETTERS + digits, "a" * len(_LETTERS) + "9" * len(digits))
+    s = F.regexp_replace(F.regexp_replace(s, "[aT]{3,}", "m"), r"(:99)\.9+$", "$1.f")
+    for run, sign in (("9999", "y"), ("99", "n"), ("9", "n")):
+        s = F.replace(s, F.lit(run), F.lit(sign))
+    # one spelling: a blank for the T of ISO, and before AM and PM
+    s = F.regexp_replace(F.regexp_replace(s, r"^(y-n-n)T", "$1 "), r"n\s*aa$", "n aa")
+    return let(s, lambda k: F.when(F.contains(k, F.lit("m")), F.replace(k, F.lit(","), F.lit(""))).otherwise(k))
+
 
-_FIELD_RX = {"yyyy": r"\d{4}", "MMM": r"[A-Z][a-z]{2}", "M": r"\d{1,2}", "d": r"\d{1,2}", "H": r"\d{1,2}",
-             "h": r"\d{1,2}", "mm": r"\d{2}", "ss": r"\d{2}", "SSSSSS": r"\d{6}", "a": "[AP]M"}
+def _forms(date_shapes: dict, time_shapes: dict) -> Column:
+    entries = []
+    for date, orders in date_shapes.items():
+        for time, fields in time_shapes.items():
+            entries += [F.lit(date + time), F.struct(F.lit(orders[0]).alias("first"), F.lit(orders[-1]).alias("second"),
+                                                     F.lit(fields).alias("time"))]
+    return F.create_map(*entries)
 
 
-def shape_regex(pattern: str) -> str:
-    """Anchored regex of the texts a datetime pattern can parse
-    (``d/M/yyyy`` -> ``^\\d{1,2}/\\d{1,2}/\\d{4}$``)."""
-    parts = re.split(r"(yyyy|SSSSSS|MMM|mm|ss|M|d|H|h|a)", pattern)
-    return "^" + "".join(_FIELD_RX.get(p, re.escape(p)) for p in parts) + "$"
+def _read(x: Column) -> Column:
+    """Timestamp of ``x``: its form and its parts (numbers and names in order
+    of the text); null where they are no date and time."""
+    part, time = x["part"], x["form"]["time"]
 
+    def time_field(letter: str) -> Column:
+        at = F.instr(time, letter)
+        return F.when(at > 0, F.get(part, at + 2))
 
-def parse_mixed_ts(col, date_formats=DAYFIRST_DATE_FORMATS, time_suffixes=TIME_SUFFIXES,
+    def two(letter: str) -> Column:  # minutes and seconds have two digits
+        p = time_field(letter)
+        return F.when(F.length(p) == 2, p.try_cast("int"))
+
+    hour, half = time_field("h").try_cast("int"), F.lower(time_field("a"))
+    hour = (F.when(~F.contains(time, F.lit("a")), hour)
+            .when(hour.between(1, 12) & half.isin("am", "pm"), hour % 12 + F.when(half == "pm", 12).otherwise(0)))
+    second = two("s")
+    second = F.when(second < 60, second + F.coalesce(
+        F.rpad(F.substring(time_field("f"), 1, 6), 6, "0").try_cast("decimal(6,0)") / F.lit(1_000_000), F.lit(0)))
+    clock = [F.when(time == "", F.lit(0)).otherwise(hour), F.when(time == "", F.lit(0)).otherwise(two("m")),
+             F.when(~F.contains(time, F.lit("s")), F.lit(0)).otherwise(second).cast("decimal(16,6)")]
+    names = F.create_map(*[F.lit(v) for i, n in enumerate(MONTHS, 1) for v in (n, i)])
+
+    def date(order: Column) -> Column:
+        year, month, day = (F.get(part, F.instr(order, c) - 1) for c in "ymd")
+        month = F.coalesce(month.try_cast("int"), F.try_element_at(names, F.lower(F.substring(month, 1, 3))))
+        year = year.try_cast("int")
+        return F.try_make_timestamp_ntz(F.when(year > 0, year), month, day.try_cast("int"), *clock)
+
+    return F.coalesce(date(x["form"]["first"]), date(x["form"]["second"]))
+
+
+def parse_mixed_ts(col, date_shapes: dict = DATE_SHAPES, time_shapes: dict = TIME_SHAPES,
                    on_error: str = "null") -> Column:
-    """TIMESTAMP_NTZ from text in several shapes; first format that parses wins.
+    """TIMESTAMP_NTZ from text in several shapes.
 
-    Each format is guarded by a regex of its shape, so a row only attempts
-    the formats its text could match (usually one) instead of failing
-    through the list; text of no known shape is never parsed at all.
     ``on_error='null'`` leaves unparseable text NULL (count it with
     ``count_if(parsed IS NULL AND text IS NOT NULL)``); ``'raise'`` fails
     the task like pandas does."""
-    text = F.trim(F.col(col) if isinstance(col, str) else col)
-    # one spelling per shape: a blank between date and time, six fractional
-    # digits, capital AM / PM with a blank, three-letter month names, no commas
-    c = F.regexp_replace(text, r"^(\d{4}-\d{1,2}-\d{1,2})T", "$1 ")
-    c = F.when(c.rlike(r":\d{2}\.\d+$"), F.concat(
-        F.regexp_extract(c, r"^(.*\.)\d+$", 1), F.rpad(F.substring(F.regexp_extract(c, r"\.(\d+)$", 1), 1, 6), 6, "0"))
-    ).otherwise(c)
-    c = F.regexp_replace(F.regexp_replace(c, r"(?i)(\d)\s*am$", "$1 AM"), r"(?i)(\d)\s*pm$", "$1 PM")
-    c = F.when(c.rlike(r"[A-Za-z]{3}"), F.initcap(F.regexp_replace(F.regexp_replace(
-        c, ",", ""), r"(?<![A-Za-z])([A-Za-z]{3})[A-Za-z]+", "$1"))).otherwise(c)
-    c = F.regexp_replace(F.regexp_replace(c, r"\bAm$", "AM"), r"\bPm$", "PM")
-    tries = []
-    for d in date_formats:
-        for t in time_suffixes:
-            fmt = d + t
-            tries.append(F.when(c.rlike(shape_regex(fmt)),
-                                F.try_to_timestamp(c, F.lit(fmt)).cast("timestamp_ntz")))
-    parsed = F.coalesce(*tries)
-    if on_error == "raise":
-        return F.when(text.isNotNull() & parsed.isNull(),
-                      F.raise_error(F.concat(F.lit("unparseable timestamp: "), text))
-                      ).otherwise(parsed).cast("timestamp_ntz")
-    return parsed
+    forms = _forms(date_shapes, time_shapes)
+
+    def read(t: Column) -> Column:
+        pieces = F.regexp_extract_all(t, F.lit("([0-9]+|[A-Za-z]{2,})"), F.lit(1))
+        parsed = let(F.struct(F.try_element_at(forms, shape(t)).alias("form"), pieces.alias("part")), _read)
+        if on_error != "raise":
+            return parsed
+        return let(parsed, lambda p: F.when(t.isNotNull() & p.isNull(), F.raise_error(
+            F.concat(F.lit("unparseable timestamp: "), t))).otherwise(p).cast("timestamp_ntz"))
+
+    return let(F.trim(F.col(col) if isinstance(col, str) else col), read)
