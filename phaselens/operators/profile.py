@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phaselens.functions.metrics import exact_mean, round_double
-from phaselens.operators.rank import exact_quantiles, value_quantiles
+from phaselens.operators.select import quantiles
 
 
 # A group is (rows, {table: (presence, columns)}): the tables that one scan of
@@ -105,28 +105,46 @@ def head_sample(df: DataFrame, order: list[str], n: int = 10) -> DataFrame:
 DESCRIBE_STATS = ("count", "mean", "std", "min", "25%", "50%", "75%", "max")
 
 
-def describe_exact(df: DataFrame, cols: list[str], tie_key: str, digits: int = 2,
-                   few_values: tuple[str, ...] = ()) -> DataFrame:
+def exact_std(column: str, scale: int, digits: int) -> Column:
+    """Sample standard deviation of values that are whole multiples of
+    10^-``scale``, from an exact count, sum and sum of squares in DECIMAL: the
+    same bits however the rows are partitioned and merged. Null under two
+    values."""
+    unit = F.round(F.col(column).cast("double") * F.lit(float(10 ** scale))).cast("long")
+    n, s1 = F.count(unit).cast("decimal(19,0)"), F.sum(unit.cast("decimal(19,0)")).cast("decimal(28,0)")
+    s2 = F.sum((unit.cast("decimal(19,0)") * unit.cast("decimal(19,0)")).cast("decimal(28,0)")).cast("decimal(38,0)")
+    # n s2 - s1^2 needs up to 57 digits: split s1 = n m + r, then it is n (s2 - m (s1 + r)) - r^2
+    m = F.floor(s1 / n).cast("decimal(19,0)")
+    r = s1 - (m * n).cast("decimal(38,0)")
+    spread = s2.cast("decimal(38,0)") - (m.cast("decimal(19,0)") * (s1 + r).cast("decimal(28,0)")).cast("decimal(38,0)")
+    variance = (spread.cast("double") - (r.cast("double") * r.cast("double")) / n.cast("double")) / (n - 1).cast("double")
+    return F.when(n > 1, round_double(F.sqrt(F.greatest(variance, F.lit(0.0))) / F.lit(float(10 ** scale)), digits))
+
+
+def describe_exact(df: DataFrame, cols: list[str], tie_key: str | None = None, digits: int = 2,
+                   scales: dict[str, int] | None = None) -> DataFrame:
     """pandas ``describe().round(digits)``: one row per statistic, a column
-    per input column. Quartiles are exact (distributed ranks, or counts per
-    value for the columns named in ``few_values``; linear interpolation), read
-    as scalar subqueries; everything else is one aggregate row, unpivoted with
-    ``stack``."""
+    per input column. The quartiles of all columns are selected in the same
+    passes; everything else is one aggregate row, unpivoted with ``stack``.
+    ``scales``: columns that hold whole multiples of 10^-scale (whole numbers
+    need no entry); their moments are exact sums."""
+    probs = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
+    kinds = dict(df.dtypes)
+    scales = {c: 0 for c in cols if kinds[c] in ("tinyint", "smallint", "int", "bigint")} | (scales or {})
+    found = quantiles(df, {c: probs for c in cols}, {c: s for c, s in scales.items() if kinds[c] in ("float", "double")})
+    quartiles = found.select(F.struct(*[F.col(f"`{c}`") for c in cols])).scalar()
     stats = []
     for c in cols:
-        probs = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
-        qs = value_quantiles(df, c, probs) if c in few_values else exact_quantiles(df, c, probs, tie_key)
-        qv = qs.select(F.struct("q25", "q50", "q75")).scalar()
+        std = exact_std(c, scales[c], digits) if c in scales else round_double(F.stddev_samp(F.col(c)), digits)
         stats.append((c, [
             F.count(F.col(c)).cast("double"),
             exact_mean(c, digits),
-            round_double(F.stddev_samp(F.col(c)), digits),
+            std,
             round_double(F.min(F.col(c)).cast("double"), digits),
-            round_double(F.first(qv).getField("q25"), digits),
-            round_double(F.first(qv).getField("q50"), digits),
-            round_double(F.first(qv).getField("q75"), digits),
+            *[None] * len(probs),
             round_double(F.max(F.col(c)).cast("double"), digits)]))
-    row = df.agg(*[e.alias(f"{c}__{i}") for c, es in stats for i, e in enumerate(es)])
+    row = df.agg(*[e.alias(f"{c}__{i}") for c, es in stats for i, e in enumerate(es) if e is not None]).withColumn("_pl_q", quartiles)
+    row = row.withColumns({f"{c}__{i}": round_double(F.col("_pl_q")[c][q], digits) for c in cols for i, q in enumerate(probs, 4)})
     stack = "stack({n}, {rows}) as (statistic, {names})".format(
         n=len(DESCRIBE_STATS),
         rows=", ".join(f"'{label}', " + ", ".join(f"`{c}__{i}`" for c, _ in stats)

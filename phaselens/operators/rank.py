@@ -1,26 +1,30 @@
 """Exact global ranking, NTILE and quantiles without a single-partition window.
 
 ``Window.orderBy(...)`` with no partition key plans ``Exchange
-SinglePartition``: every row of the input goes through one task. Here the
-global order is cut into ranges instead:
-
-1. a deterministic sample of about ``buckets * SAMPLE_PER_BUCKET`` rows —
-   those whose hash of the unique tie key falls in the lowest k/n of the
-   hash range — gives ``buckets - 1`` sorted boundary keys, one array read
-   through a scalar subquery;
-2. each row's bucket is the number of boundaries ``<=`` its key (binary
-   search, O(log buckets) per row). The key ends with the unique tie
-   column, so even a value shared by a third of all rows is spread over
-   many buckets;
-3. ``row_number`` partitioned by bucket, plus the number of rows in lower
-   buckets (a table with one row per bucket, broadcast), is the exact
-   global rank. The same small table carries the total row count.
-
-The sample is a pure function of the data (a hash, not ``rand``), so a
+SinglePartition``: every row of the input goes through one task. Here
+
+* quantiles and NTILE need only the values at a few ranks, which
+  :mod:`phaselens.operators.select` finds by counts; rows are then compared
+  with them where they are and never move;
+* a full rank (and NTILE where the order has no LONG digits, such as text
+  keys) cuts the order into ranges in two levels:
+
+1. a deterministic sample — the rows whose hash of the unique tie key falls
+   in the lowest k/n of the hash range — gives the boundaries of at most
+   ``MAX_RANGES`` ranges: one task receives ``MAX_RANGES * SAMPLE_PER_BUCKET``
+   keys at most (in expectation), whatever the row count;
+2. within each range a second sample, one group per range, gives boundaries
+   of buckets of about ``ROWS_PER_BUCKET`` rows. The key ends with the unique
+   tie column, so even a value shared by a third of all rows is spread over
+   many ranges and buckets;
+3. ``row_number`` per bucket, plus the rows of lower ranges and of lower
+   buckets of the range, is the exact global rank. The only window without a
+   partition key sees one row per range.
+
+The samples are pure functions of the data (a hash, not ``rand``), so a
 stage recomputed after an executor loss gets the same boundaries and the
-same ranks. The number of ranges follows from the row count at run time, so
-a range stays of like size at every input size; nothing runs while a query
-is built.
+same ranks. The number of ranges follows from the row count at run time;
+nothing runs while a query is built.
 """
 
 from __future__ import annotations
@@ -28,7 +32,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from phaselens.operators.select import cut_points, group_of, order_digits, quantiles, select_ranks
+
 MIN_BUCKETS = 16
+MAX_RANGES = 4096
 ROWS_PER_BUCKET = 262_144
 SAMPLE_PER_BUCKET = 32
 _HASH_RANGE = 1 << 40
@@ -73,42 +80,57 @@ def _upper_bound(bounds: str, key: str) -> Column:
     return F.coalesce(F.aggregate(steps, start, step)["lo"], F.lit(0))
 
 
+def first_level(n_rows: Column) -> Column:
+    """Ranges of the first level for a number of rows."""
+    return F.least(F.greatest(F.ceil(n_rows / F.lit(ROWS_PER_BUCKET)), F.lit(MIN_BUCKETS)), F.lit(MAX_RANGES))
+
+
+def _sampled(rows: Column, ranges: Column, h: Column) -> Column:
+    """Whether a row belongs to the sample of ``ranges`` ranges of ``rows`` rows."""
+    share = ranges.cast("double") * F.lit(float(SAMPLE_PER_BUCKET)) / F.greatest(rows, F.lit(1))
+    return h < F.lit(float(_HASH_RANGE)) * share
+
+
+def _boundaries(keys: Column) -> Column:
+    """Every SAMPLE_PER_BUCKET-th key of the sorted sample."""
+    return F.filter(F.sort_array(F.collect_list(keys)), lambda x, i: (i + 1) % SAMPLE_PER_BUCKET == 0)
+
+
 def range_buckets(df: DataFrame, order: list[tuple[str, bool]], tie_key: str,
                   buckets: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(rows with ``_pl_key``/``_pl_bucket``, per-bucket table with
-    ``_pl_cnt``, ``_pl_off`` (rows in lower buckets) and ``_pl_n`` (all rows)).
-    Buckets are contiguous ranges of the order, numbered in order; their
-    number is ``buckets`` or one per ``ROWS_PER_BUCKET`` rows, at least
-    ``MIN_BUCKETS``."""
+    """(rows with ``_pl_key``, ``_pl_range`` and ``_pl_bucket``, table with one
+    row per range and bucket: ``_pl_cnt``, ``_pl_off`` (rows before it) and
+    ``_pl_n`` (all rows)). Ranges are contiguous in the order and numbered in
+    order, and so are the buckets of a range. ``buckets`` sets the number of
+    ranges."""
     keyed = df.withColumn("_pl_key", _key_struct(list(order) + [(tie_key, True)], df))
-    # The sample: rows whose hash of the unique key falls under k/n of the
-    # hash range, k = ranges * SAMPLE_PER_BUCKET. Each task filters its own
-    # rows; only the ~k sampled keys (one per 8,192 rows) meet in one task.
     # The order columns enter the hash so that the filter stays above an
     # aggregate that makes them, and the sample reads the same shuffle.
-    n_rows = df.select(F.count(F.lit(1))).scalar()
-    ranges = F.lit(buckets) if buckets else F.greatest(
-        F.ceil(n_rows / F.lit(ROWS_PER_BUCKET)), F.lit(MIN_BUCKETS))
-    share = ranges.cast("double") * F.lit(float(SAMPLE_PER_BUCKET)) / F.greatest(n_rows, F.lit(1))
     h = F.xxhash64(F.col(tie_key), *[F.col(c) for c, _ in order]).bitwiseAND(F.lit(_HASH_RANGE - 1).cast("long")).cast("double")
-    sample = keyed.where(h < F.lit(float(_HASH_RANGE)) * share).select("_pl_key")
-    # every SAMPLE_PER_BUCKET-th key of the sorted sample
-    srt = sample.agg(F.sort_array(F.collect_list("_pl_key")).alias("_s"))
-    bounds = srt.select(F.filter("_s", lambda x, i: (i + 1) % SAMPLE_PER_BUCKET == 0)).scalar()
+    n_rows = df.select(F.count(F.lit(1))).scalar()
+    ranges = F.lit(buckets) if buckets else first_level(n_rows)
+    bounds = keyed.where(_sampled(n_rows, ranges, h)).agg(_boundaries(F.col("_pl_key"))).scalar()
     # the boundaries pass through as a column: Spark allows no subquery in a lambda's expression
-    bucketed = (keyed.withColumn("_pl_bounds", bounds)
-                .withColumn("_pl_bucket", _upper_bound("_pl_bounds", "_pl_key")).drop("_pl_bounds"))
-    counts = bucketed.groupBy("_pl_bucket").agg(F.count(F.lit(1)).alias("_pl_cnt"))
-    # one row per bucket: an ordered window over it is trivial; both frames
-    # share one window spec, so one sort serves both
-    by_bucket = Window.orderBy("_pl_bucket")
-    table = counts.select(
-        "_pl_bucket", "_pl_cnt",
-        F.coalesce(F.sum("_pl_cnt").over(by_bucket.rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0)).alias("_pl_off"),
-        F.sum("_pl_cnt").over(by_bucket.rowsBetween(Window.unboundedPreceding,
-                                                    Window.unboundedFollowing)).alias("_pl_n"))
-    return bucketed, table
+    ranged = (keyed.withColumn("_pl_hash", h).withColumn("_pl_bounds", bounds)
+              .withColumn("_pl_range", _upper_bound("_pl_bounds", "_pl_key")).drop("_pl_bounds"))
+    per_range = ranged.groupBy("_pl_range").agg(F.count(F.lit(1)).alias("_pl_rows"))
+    by_range = Window.orderBy("_pl_range")  # one row per range
+    per_range = per_range.select(
+        "_pl_range", "_pl_rows", F.coalesce(F.sum("_pl_rows").over(by_range.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_pl_before"),
+        F.sum("_pl_rows").over(by_range.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_pl_n"))
+    # (at most MAX_RANGES rows, or the given number)
+    inner = ranged.join(F.broadcast(per_range), "_pl_range")
+    cuts = F.ceil(F.col("_pl_rows") / F.lit(ROWS_PER_BUCKET))
+    second = (inner.where((cuts > 1) & _sampled(F.col("_pl_rows"), cuts, F.col("_pl_hash")))
+              .groupBy("_pl_range").agg(_boundaries(F.col("_pl_key")).alias("_pl_bounds")))
+    bucketed = (inner.join(second, "_pl_range", "left")
+                .withColumn("_pl_bucket", _upper_bound("_pl_bounds", "_pl_key")).drop("_pl_bounds", "_pl_hash"))
+    counts = bucketed.groupBy("_pl_range", "_pl_bucket").agg(
+        F.count(F.lit(1)).alias("_pl_cnt"), F.first("_pl_before").alias("_pl_before"), F.first("_pl_n").alias("_pl_n"))
+    within = Window.partitionBy("_pl_range").orderBy("_pl_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    table = counts.select("_pl_range", "_pl_bucket", "_pl_cnt", "_pl_n",
+                          (F.col("_pl_before") + F.coalesce(F.sum("_pl_cnt").over(within), F.lit(0))).alias("_pl_off"))
+    return bucketed.drop("_pl_rows", "_pl_before", "_pl_n"), table
 
 
 def distributed_rank(df: DataFrame, order: list[tuple[str, bool]], tie_key: str,
@@ -120,13 +142,13 @@ def distributed_rank(df: DataFrame, order: list[tuple[str, bool]], tie_key: str,
     and non-null; order columns must be non-null. ``with_count`` names an
     optional column holding the total row count (for NTILE / quantiles)."""
     bucketed, table = range_buckets(df, order, tie_key, buckets)
-    within = Window.partitionBy("_pl_bucket").orderBy("_pl_key")
+    within = Window.partitionBy("_pl_range", "_pl_bucket").orderBy("_pl_key")
     ranked = (bucketed.withColumn("_pl_rn", F.row_number().over(within))
-              .join(F.broadcast(table), "_pl_bucket")
+              .join(table, ["_pl_range", "_pl_bucket"])
               .withColumn(rank_col, (F.col("_pl_off") + F.col("_pl_rn")).cast("long")))
     if with_count:
         ranked = ranked.withColumn(with_count, F.col("_pl_n").cast("long"))
-    return ranked.drop("_pl_key", "_pl_bucket", "_pl_rn", "_pl_off", "_pl_cnt", "_pl_n")
+    return ranked.drop("_pl_key", "_pl_range", "_pl_bucket", "_pl_rn", "_pl_off", "_pl_cnt", "_pl_n")
 
 
 def ntile_from_rank(rank: Column, n: Column, k: int) -> Column:
@@ -139,70 +161,48 @@ def ntile_from_rank(rank: Column, n: Column, k: int) -> Column:
         m + F.ceil((rank - big) / F.greatest(q, F.lit(1)))).cast("int")
 
 
-def distributed_ntile(df: DataFrame, order: list[tuple[str, bool]], tie_key: str, k: int,
-                      tile_col: str = "ntile", buckets: int | None = None) -> DataFrame:
-    ranked = distributed_rank(df, order, tie_key, "_pl_rank", buckets, with_count="_pl_total")
-    return (ranked.withColumn(tile_col, ntile_from_rank(F.col("_pl_rank"), F.col("_pl_total"), k))
-            .drop("_pl_rank", "_pl_total"))
+def ntile_last_rank(n: Column, k: int, tile: int) -> Column:
+    """Rank of the last row of a tile of NTILE(k) among ``n`` rows."""
+    q = F.floor(n / k)
+    return q * tile + F.least(F.lit(tile), n - q * k)
 
 
-def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], tie_key: str,
-                    buckets: int | None = None) -> DataFrame:
+def distributed_ntile(df: DataFrame, order: list[tuple[str, bool]], tie_key: str, k: int,
+                      tile_col: str = "ntile", buckets: int | None = None) -> DataFrame:
+    """NTILE(k) over the order. Where it has LONG digits, the rows at the ends
+    of the tiles are selected and every row is compared with them in place;
+    other orders (or a given number of ranges) are ranked."""
+    digits = None if buckets else order_digits(df, order, tie_key)
+    if digits is None:
+        ranked = distributed_rank(df, order, tie_key, "_pl_rank", buckets, with_count="_pl_total")
+        return (ranked.withColumn(tile_col, ntile_from_rank(F.col("_pl_rank"), F.col("_pl_total"), k))
+                .drop("_pl_rank", "_pl_total"))
+    ends = cut_points(digits, lambda n: [ntile_last_rank(n, k, t) for t in range(1, k)])
+    return with_groups(df, {tile_col: (digits, ends, k)})
+
+
+def with_groups(df: DataFrame, groups: dict[str, tuple]) -> DataFrame:
+    """Add a column per entry: the group number of each row in an order whose
+    groups end at given ranks, all found in the same passes. An entry is
+    (digits, :func:`cut_points`, number of groups)."""
+    found = select_ranks(df, {name: ends for name, (_, ends, _) in groups.items()})
+    out = df.withColumn("_pl_cuts", found.select(F.struct(*[F.col(f"`{n}`") for n in groups])).scalar())
+    for name, (digits, _, many) in groups.items():
+        out = out.withColumn(name, group_of(digits, F.col("_pl_cuts")[name], many))
+    return out.drop("_pl_cuts")
+
+
+def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], tie_key: str | None = None,
+                    buckets: int | None = None, scale: int | None = None) -> DataFrame:
     """One row with a column per probability: the linear-interpolation
     quantile (``percentile`` / ``quantile_cont`` / pandas ``quantile``) of
-    the non-null values.
-
-    Only the buckets that hold a wanted rank are sorted: the per-bucket
-    counts locate ranks ``floor(h)+1`` and ``ceil(h)+1`` (h = (n-1)p), a
-    semi join keeps those buckets' rows, and a window numbers them. No task
-    ever holds more than one bucket."""
-    base = df.select(F.col(value).cast("double").alias("_pl_v"), F.col(tie_key)).where(F.col("_pl_v").isNotNull())
-    bucketed, table = range_buckets(base, [("_pl_v", True)], tie_key, buckets)
-    wanted = []
-    for name, p in probs.items():
-        h = (F.col("_pl_n") - 1).cast("double") * F.lit(float(p))
-        for side, pos in (("lo", F.floor(h) + 1), ("hi", F.ceil(h) + 1)):
-            wanted.append(F.struct(F.lit(f"{name}|{side}").alias("tag"), pos.cast("long").alias("r"),
-                                   (h - F.floor(h)).alias("d")))
-    targets = (table.select("_pl_bucket", "_pl_cnt", "_pl_off", F.explode(F.array(*wanted)).alias("t"))
-               .where((F.col("t.r") > F.col("_pl_off")) & (F.col("t.r") <= F.col("_pl_off") + F.col("_pl_cnt")))
-               .select("_pl_bucket", "_pl_off", "t.tag", "t.r", "t.d"))
-    within = Window.partitionBy("_pl_bucket").orderBy("_pl_key")
-    picked = (bucketed.join(F.broadcast(targets.select("_pl_bucket").distinct()), "_pl_bucket", "left_semi")
-              .withColumn("_pl_rn", F.row_number().over(within))
-              .join(F.broadcast(targets), "_pl_bucket")
-              .where(F.col("_pl_off") + F.col("_pl_rn") == F.col("r")))
-    aggs = []
-    for name in probs:
-        aggs += [F.max(F.when(F.col("tag") == f"{name}|lo", F.col("_pl_v"))).alias(f"_lo_{name}"),
-                 F.max(F.when(F.col("tag") == f"{name}|hi", F.col("_pl_v"))).alias(f"_hi_{name}"),
-                 F.max(F.when(F.col("tag") == f"{name}|lo", F.col("d"))).alias(f"_d_{name}")]
-    return _interpolate(picked.agg(*aggs), probs)
+    the non-null values. ``scale``: the values are whole multiples of
+    10^-scale. (Ties need no key and nothing is cut into buckets: both
+    parameters are accepted for callers of the ranking operators.)"""
+    return quantiles(df, {value: probs}, {} if scale is None else {value: scale}).select(
+        *[F.col(f"`{value}`")[n].alias(n) for n in probs])
 
 
 def value_quantiles(df: DataFrame, value: str, probs: dict[str, float]) -> DataFrame:
-    """As :func:`exact_quantiles`, for a column with few distinct values (days,
-    counts): one group-by of the value, whose counts, running in value order,
-    hold every rank. Only the table of distinct values is ordered in one task,
-    so the column must be one whose values do not grow with the rows."""
-    counts = (df.select(F.col(value).cast("double").alias("_pl_v")).where(F.col("_pl_v").isNotNull())
-              .groupBy("_pl_v").agg(F.count(F.lit(1)).alias("_pl_cnt")))
-    by_value = Window.orderBy("_pl_v")
-    table = counts.select("_pl_v", F.sum("_pl_cnt").over(by_value.rowsBetween(Window.unboundedPreceding, 0)).alias("_pl_upto"),
-                          F.sum("_pl_cnt").over(by_value.rowsBetween(Window.unboundedPreceding,
-                                                                     Window.unboundedFollowing)).alias("_pl_n"))
-    aggs = []
-    for name, p in probs.items():
-        h = (F.col("_pl_n") - 1).cast("double") * F.lit(float(p))
-        # the least value whose running count reaches the rank
-        aggs += [F.min(F.when(F.col("_pl_upto") >= F.floor(h) + 1, F.col("_pl_v"))).alias(f"_lo_{name}"),
-                 F.min(F.when(F.col("_pl_upto") >= F.ceil(h) + 1, F.col("_pl_v"))).alias(f"_hi_{name}"),
-                 F.max(h - F.floor(h)).alias(f"_d_{name}")]
-    return _interpolate(table.agg(*aggs), probs)
-
-
-def _interpolate(got: DataFrame, probs) -> DataFrame:
-    """lo + d * (hi - lo), the interpolation ``quantile_cont`` uses."""
-    return got.select(*[
-        (F.col(f"_lo_{n}") + F.col(f"_d_{n}") * (F.col(f"_hi_{n}") - F.col(f"_lo_{n}"))).alias(n)
-        for n in probs])
+    """:func:`exact_quantiles` of a column with few distinct values."""
+    return exact_quantiles(df, value, probs)

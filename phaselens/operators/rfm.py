@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phaselens.functions.metrics import EXACT
-from phaselens.operators.binning import assign_bins, quantile_edges, rank_bins
+from phaselens.operators.binning import assign_bins, bin_label, edge_probs, edge_spec, rank_bin_ends, rank_bins
 from phaselens.operators.rank import keep_columns
+from phaselens.operators.select import group_of, order_digits, quantiles
 
 # Segment ladder on the summed score (3..9), best first.
 SEGMENTS = (
@@ -55,16 +56,23 @@ def rfm_scores(base: DataFrame, key: str, q: int = 3) -> DataFrame:
     (reversed labels); frequency: qcut of the first-occurrence rank, ties
     in key order; monetary: qcut of the value.
 
-    Recency and frequency have few distinct values, so the recency edges come
-    from counts per value; only the monetary edges and the tied frequency rank
-    cut the rows into ranges."""
+    The edges of recency and monetary (whole cents) and the ends of the
+    frequency bins are selected in the same passes; no row is moved but where
+    a text key breaks the ties of the frequency."""
     up = list(range(1, q + 1))
     base = keep_columns(base)  # the passes below share one aggregation
-    r_edges = quantile_edges(base, "recency", q, key, few_values=True)  # scalar subqueries over the base
-    m_edges = quantile_edges(base, "monetary", q, key)
-    scored = rank_bins(base, [("frequency", True)], key, q, up, "f_score")  # the one row shuffle
-    scored = assign_bins(scored, "recency", r_edges, up[::-1], "r_score")
-    scored = assign_bins(scored, "monetary", m_edges, up, "m_score")
+    probs = {c: edge_probs(q) for c in ("recency", "monetary")}
+    order = [("frequency", True)]
+    digits = order_digits(base, order, key)
+    also = {"frequency": rank_bin_ends(digits, q)} if digits else {}
+    found = quantiles(base, probs, {"monetary": 2}, also)
+    edges = found.select(F.struct(*[edge_spec(F.col(c), q).alias(c) for c in probs], *[F.col(c) for c in also])).scalar()
+    scored = base if digits else rank_bins(base, order, key, q, up, "f_score")
+    scored = scored.withColumn("_pl_edges", edges)
+    if digits:
+        scored = scored.withColumn("f_score", bin_label(group_of(digits, F.col("_pl_edges.frequency"), q), up))
+    scored = assign_bins(scored, "recency", F.col("_pl_edges.recency"), up[::-1], "r_score")
+    scored = assign_bins(scored, "monetary", F.col("_pl_edges.monetary"), up, "m_score")
     return scored.select(key, "recency", "frequency", "monetary", "r_score", "f_score", "m_score",
                          (F.col("r_score") + F.col("f_score") + F.col("m_score")).cast("int").alias("rfm_score"))
 

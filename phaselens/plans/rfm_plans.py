@@ -21,8 +21,7 @@ def r01_rfm_base(m: Model) -> DataFrame:
 
 
 def _describe(base: DataFrame) -> DataFrame:
-    return describe_exact(keep_columns(base), ["recency", "frequency", "monetary"], "customer_id",
-                          few_values=("recency", "frequency"))
+    return describe_exact(keep_columns(base), ["recency", "frequency", "monetary"], scales={"monetary": 2})
 
 
 def r02_rfm_describe(m: Model) -> DataFrame:

@@ -160,3 +160,51 @@ def test_mixed_timestamps_in_further_shapes(spark):
     assert bad.select(parse_mixed_ts("t")).first()[0] is None
     with pytest.raises(Exception, match="unparseable timestamp: next Tuesday"):
         bad.select(parse_mixed_ts("t", on_error="raise")).collect()
+
+
+def _plain_date(text):
+    """A plain reading of one text, field by field."""
+    t = text.strip()
+    if re.search("[A-Za-z]{3}", t):
+        t = t.replace(",", "")
+    m = re.fullmatch(r"(.+?)(?:(?<=\d)[ ](\d{1,2}):(\d\d)(?::(\d\d)(\.\d+)?)?(\s*[AaPp][Mm])?)?", re.sub(r"^(\d{4}-\d{1,2}-\d{1,2})T", r"\1 ", t))
+    date, hour, minute, second, fraction, half = m.groups()
+    if fraction and half:
+        return None
+    orders = []
+    for rx, names in ((r"(\d{4})-(\d{1,2})-(\d{1,2})", ("ymd", "ydm")), (r"(\d{1,2})([-/])(\d{1,2})\2(\d{4})", ("d-my", "m-dy")),
+                      (r"(\d{1,2})\.(\d{1,2})\.(\d{4})", ("dmy",)), (r"(\d{4})/(\d{1,2})/(\d{1,2})", ("ymd",)),
+                      (r"(\d{1,2}) ([A-Za-z]{3,}) (\d{4})", ("dmy",)), (r"([A-Za-z]{3,}) (\d{1,2}) (\d{4})", ("mdy",))):
+        if found := re.fullmatch(rx, date):
+            orders = [dict(zip(o, found.groups())) for o in names]
+    months = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
+    for o in orders:
+        try:
+            month = int(o["m"]) if o["m"].isdigit() else months.index(o["m"][:3].lower()) + 1
+            h = int(hour or 0)
+            if half:
+                if not 1 <= h <= 12:
+                    return None
+                h = h % 12 + 12 * (half.strip().lower() == "pm")
+            return dt.datetime(int(o["y"]), month, int(o["d"]), h, int(minute or 0), int(second or 0), int(((fraction or ".0")[1:] + "00000")[:6]))
+        except ValueError:
+            continue
+    return None
+
+
+def test_mixed_timestamps_equal_a_plain_reading(spark):
+    import random
+
+    rnd = random.Random(8)
+    texts = set()
+    for _ in range(4000):
+        y, m, d = rnd.choice(["2001", "2025"]), rnd.choice(["1", "06", "12", "13", "00", "Jun", "sept", "OCTOBER", "May", "Foo"]), rnd.choice(["1", "09", "28", "30", "31", "12"])
+        sep = rnd.choice("-/. ")
+        t = sep.join([[y, m, d], [d, m, y], [m, d, y]][rnd.randrange(3)])
+        t = t.replace(" ", ", ", 1) if rnd.random() < 0.2 else t
+        texts.add(t + rnd.choice(["", " 10:30", "T9:05:07", " 23:59:60", " 24:00", " 0:30 AM", " 12:30pm", " 1:5", " 13:00 PM", " 10:00:00.25",
+                                  " 10:00:00.1234567", " 12:00:00AM", "  10:30", " 3:04 xm", " 10:61"]))
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = {r["t"]: r["p"] for r in df.select("t", parse_mixed_ts("t").alias("p")).collect()}
+    assert {t: p for t, p in got.items() if p != _plain_date(t)} == {}
+    assert sum(p is not None for p in got.values()) > 300

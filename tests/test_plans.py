@@ -27,8 +27,22 @@ def test_phase_filter_and_pruning_reach_the_scan(spark):
         "o_totalprice" not in plan.split("ReadSchema")[1].split("\n")[0]
 
 
-def test_distributed_ntile_sorts_per_bucket(spark):
-    assert "_pl_bucket" in _plan(E.queries()["s07_high_value_by_city"](spark, SF))
+@pytest.mark.parametrize("name", ["s07_high_value_by_city", "sql_s07_high_value_by_city", "p10_hv_city", "m03_city_share", "r02_rfm_describe",
+                                  "r03_rfm_scores", "r05_segments", "r02_rfm_describe_events"])
+def test_tiles_quantiles_and_bins_move_no_rows(spark, name):
+    """No rank is computed and no row is dealt by ranges: the only windows
+    run over bin counts."""
+    df = E.queries()[name](spark, SF)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "_pl_bucket" not in plan and "row_number" not in plan and "_pl_cnt" in plan
+    windows = [line for line in plan.splitlines() if " Window [" in line]
+    assert windows and all("upto" in w for w in windows)
+
+
+@pytest.mark.parametrize("name", ["p06_monthly_rating", "p06_sharpest_drop", "x02_negative_reviews"])
+def test_review_times_are_parsed_by_one_form(spark, name):
+    plan = E.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("regexp_") + plan.count("rlike") <= 20 and len(plan) < 40_000
 
 
 @pytest.mark.parametrize("name", ["d02_null_totals", "d04_dtypes", "s09_delay_vs_rating", "s10_recovery_scorecard"])
