@@ -3,11 +3,11 @@ tries of Apriori-safe candidates.
 
 1. Words are counted per language. A *symbol* is the 64-bit hash of a word
    and its language, so all later steps handle every language at once.
-2. Level by level (2, 3, 4 words) the texts give the phrases whose two
-   shorter parts (without the last, without the first word) are frequent; a
-   bitmap of fixed size holds the frequent parts, and a false hit in it only
-   adds a candidate. Tasks combine equal phrases before the shuffle; a phrase
-   under the least count can't be a candidate or part of one.
+2. Candidates come from the texts in two passes: pairs of frequent words,
+   then longer phrases all of whose pairs are frequent. A bitmap of fixed size
+   holds the frequent parts; a false hit in it only adds a candidate. Tasks
+   combine equal phrases before the shuffle; a phrase under the least count
+   can't be a candidate or part of one.
 3. The candidates are cut into sets of at most ``max_phrases``. Each set
    becomes a double-array trie over word numbers (child slot = base of the
    parent + word number; ``check`` holds the parent), which is broadcast: its
@@ -59,7 +59,8 @@ class Phrases:
     scale: int = 2_000_000
     max_phrases: int = 1 << 19  # of one trie: bounds what is broadcast
     bitmap_bits: int = 26  # log2 of the bits of the filter of frequent parts
-    combine: int = 1 << 20  # rows that a task holds before it combines equal ones
+    combine: int = 3 << 19  # rows that a task holds before it combines equal ones
+    shards_per_core: int = 2  # tasks of the counting pass
 
 
 # ------------------------------------------------------------ words of texts
@@ -228,10 +229,10 @@ def _filter(frequent: DataFrame, k: int, bits: int) -> np.ndarray:
     return words
 
 
-def _candidates(k: int, parts: np.ndarray, bits: int, most: int):
-    """Phrases of k words both of whose parts of k - 1 words pass the filter,
-    equal ones combined, with their counts."""
-    names = [f"s{j + 1}" for j in range(k)] + ["f"]
+def _candidates(part: int, longest: int, frequent: np.ndarray, bits: int, most: int):
+    """Phrases of ``part + 1`` to ``longest`` words all of whose parts of
+    ``part`` words pass the filter, equal ones combined, with their counts."""
+    names = [f"s{j + 1}" for j in range(longest)] + ["f"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -247,25 +248,28 @@ def _candidates(k: int, parts: np.ndarray, bits: int, most: int):
             for i in range(0, len(x[0]), 1 << 17):
                 piece = slice(i, i + (1 << 17))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.ascontiguousarray(x[1][piece, j]).view(np.int64)) for j in range(k)]
+                    [pa.array(np.ascontiguousarray(x[1][piece, j]).view(np.int64)) for j in range(longest)]
                     + [pa.array(x[2][piece])], names)
 
         for batch in batches:
             for _, _, _, _, joined, symbol, _, _ in _read(batch):
-                if len(symbol) < k:
-                    continue
-                h, ok = _grams(symbol, joined, k - 1)
-                at, bit = _bit_of(h, bits)
-                good = ok & ((parts[at] & bit) != 0)
-                here = np.flatnonzero(good[:-1] & good[1:] & joined)
-                if not len(here):
-                    continue
-                last = symbol[here + k - 1]
-                gram = mix64(h[here] * _STEP + last)
-                distinct, first, count = np.unique(gram, return_index=True, return_counts=True)
-                where = here[first]
-                held.append((distinct, np.stack([symbol[where + j] for j in range(k)], axis=1), count))
-                size += len(distinct)
+                gram, ok = _grams(symbol, joined, part)
+                at, bit = _bit_of(gram, bits)
+                good = ok & ((frequent[at] & bit) != 0)
+                here = np.flatnonzero(good)
+                for k in range(part + 1, longest + 1):
+                    # one word more: the next part of each phrase must pass as well
+                    here = here[here + k <= len(symbol)]
+                    here = here[good[here + k - part] & joined[here + k - 2]]
+                    if not len(here):
+                        break
+                    gram[here] = mix64(gram[here] * _STEP + symbol[here + k - 1])
+                    distinct, first, count = np.unique(gram[here], return_index=True, return_counts=True)
+                    own = np.zeros((len(first), longest), dtype=U64)
+                    for j in range(k):
+                        own[:, j] = symbol[here[first] + j]
+                    held.append((distinct, own, count))
+                    size += len(distinct)
                 if size > most:
                     held = [combined()]
                     size = len(held[0][0])
@@ -454,27 +458,28 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
         .groupBy("lang", "word").agg(F.min("symbol").alias("symbol"), F.sum("f").alias("f"))
         .where(F.col("word").isNull() | (F.col("f") >= p.least)), "phrase-words")
     names = [f"s{j + 1}" for j in range(p.most_words)]
-    frequent, levels = words.where("word is not null").select(F.col("symbol").alias("s1")), []
-    for k in range(2, p.most_words + 1):
-        own = names[:k]
-        bits = _filter(frequent, k - 1, p.bitmap_bits)
-        frequent = materialize(
-            texts.mapInArrow(_candidates(k, bits, p.bitmap_bits, p.combine), ", ".join(f"{s} long" for s in [*own, "f"]))
-            .groupBy(*own).agg(F.sum("f").alias("f")).where(F.col("f") >= p.least).select(*own), f"phrase-candidates-{k}")
-        levels.append(frequent.select(*own, *[F.lit(0).cast("long").alias(s) for s in names[k:]]))
-    found = levels[0]
-    for level in levels[1:]:
-        found = found.unionByName(level)
+    single = words.where("word is not null").select(F.col("symbol").alias("s1"))
+
+    def candidates(frequent: DataFrame, part: int, longest: int) -> DataFrame:
+        own, bits = names[:longest], _filter(frequent, part, p.bitmap_bits)
+        return materialize(
+            texts.mapInArrow(_candidates(part, longest, bits, p.bitmap_bits, p.combine), ", ".join(f"{s} long" for s in [*own, "f"]))
+            .groupBy(*own).agg(F.sum("f").alias("f")).where(F.col("f") >= p.least).select(*own), f"phrase-candidates-{longest}")
+
+    pairs = candidates(single, 1, 2)
+    found = pairs.select("s1", "s2", *[F.lit(0).cast("long").alias(s) for s in names[2:]])
+    if p.most_words > 2:
+        found = found.unionByName(candidates(pairs, 2, p.most_words))
     sets = max(1, -(-found.count() // p.max_phrases))
     found = found.withColumn("part", F.pmod(F.xxhash64(*names), F.lit(sets)))
-    counted = [_counted(spark, texts, found.where(F.col("part") == i).drop("part"), words, names) for i in range(sets)]
+    counted = [_counted(spark, texts, found.where(F.col("part") == i).drop("part"), words, names, p) for i in range(sets)]
     out = counted[0]
     for c in counted[1:]:
         out = out.unionByName(c)
     return words, out.where(F.col("a") >= p.least)
 
 
-def _counted(spark: SparkSession, texts: DataFrame, phrases: DataFrame, words: DataFrame, names: list[str]) -> DataFrame:
+def _counted(spark: SparkSession, texts: DataFrame, phrases: DataFrame, words: DataFrame, names: list[str], p: Phrases) -> DataFrame:
     """One pass: the counts of one bounded set of phrases. Its size follows
     ``max_phrases`` by the hash that deals the phrases to the sets."""
     own = phrases.select(F.explode(F.array(*names)).alias("symbol")).where("symbol <> 0").distinct()
@@ -484,7 +489,9 @@ def _counted(spark: SparkSession, texts: DataFrame, phrases: DataFrame, words: D
     if not table.num_rows:
         return spark.createDataFrame([], schema)
     shared = spark.sparkContext.broadcast(_trie_set(table, vocabulary.toArrow(), len(names)))
-    out = materialize(texts.mapInArrow(_count_phrases(shared, len(names)), "phrase long, a long")
+    # a task returns up to all phrases, so tasks follow the cores, not the bytes
+    shards = texts.coalesce(p.shards_per_core * spark.sparkContext.defaultParallelism)
+    out = materialize(shards.mapInArrow(_count_phrases(shared, len(names)), "phrase long, a long")
                       .groupBy("phrase").agg(F.sum("a").alias("a")).mapInArrow(_spell(shared), schema), "phrase-counts")
     shared.unpersist()
     return out
