@@ -6,12 +6,16 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
+from phaselens.sources.quoted_csv import read_quoted_csv
 from phaselens.sources.schemas import REFERENCE_TABLES
 
 DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
                  "events", "documents", "embeddings", "pages", "benchmark", "labels",
                  "conversations")
 
+#: Reference tables whose texts hold line breaks.
+QUOTED_LINE_BREAKS = ("fact_ratings",)
+
 # Declared schemas of the driver tables this library reads: a declared
 # schema skips the footer-reading job that schema inference launches.
 DRIVER_SCHEMAS = {
@@ -40,20 +44,20 @@ def read_reference_csv(spark: SparkSession, base_path: str, tables=None) -> dict
     """The reference's eight CSV files with their declared schemas.
 
     Timestamps are parsed as TIMESTAMP_NTZ by the schema; the mixed-format
-    ``review_timestamp`` stays text and goes through ``parse_mixed_ts``."""
+    ``review_timestamp`` stays text and goes through ``parse_mixed_ts``. Review
+    texts hold line breaks; their file is cut by its quotes
+    (:mod:`phaselens.sources.quoted_csv`), so it is read by many tasks too."""
+    options = {"mode": "FAILFAST", "escape": '"',  # a quote inside a field is doubled
+               "timestampNTZFormat": "yyyy-MM-dd[ HH:mm[:ss[.SSSSSS]]]"}
     out = {}
     for name, (fname, schema) in REFERENCE_TABLES.items():
         if tables and name not in tables:
             continue
-        out[name] = (spark.read.schema(schema)
-                     .option("header", True)
-                     .option("mode", "FAILFAST")
-                     .option("escape", '"')  # a quote inside a field is doubled
-                     # review texts hold line breaks; such a file is read by one task,
-                     # so only the table that needs it is
-                     .option("multiLine", name == "fact_ratings")
-                     .option("timestampNTZFormat", "yyyy-MM-dd[ HH:mm[:ss[.SSSSSS]]]")
-                     .csv(os.path.join(base_path, fname)))
+        path = os.path.join(base_path, fname)
+        if name in QUOTED_LINE_BREAKS:
+            out[name] = read_quoted_csv(spark, path, schema, options)
+        else:
+            out[name] = spark.read.schema(schema).options(header=True, **options).csv(path)
     return out
 
 
