@@ -12,14 +12,21 @@
    only, the one that meets most others over all its buckets, so a bucket of m
    classes gives m - 1 pairs. Pairs whose sketches differ too much go; the rest
    is confirmed on the full sets and linked into components.
-4. Cross candidates: a class that does not link with its buckets' centres may
-   still link with another member. The classes of all buckets that hold more
-   than one component are joined by prefix and position filters
-   (:func:`prefix_pairs`), which lose no pair, and confirmed on the full sets.
-   Buckets that lie within one component give no pairs here.
+4. Links between components: a class that does not link with its buckets'
+   centres may still link with another member. Every bucket that holds more
+   than one component is dealt to cells of bounded size, where the odd sketches
+   of classes of different components are compared; a bucket of over
+   ``split_over`` classes is split by each second band first. No pairs leave a
+   cell, but the classes that have a near sketch there. Their full sets are
+   sent to the cell, overlaps are counted exactly (one product of the matrix of
+   shared shingles), and the links that join components, a tree of them at
+   most, leave it. So rows grow in proportion to classes even where thousands
+   of texts are half alike, or nearly enough alike.
 
 With the default 36 bands of 5 samples a pair of similarity 0.85 shares no
-band with probability 5e-10 (1e-6 at 0.8).
+band with probability 5e-10 (1e-6 at 0.8), and no two bands, as a split bucket
+asks for, with 2e-8 (1.2e-5). Its sketches differ in more bits than the default
+limit with 4e-8 (4e-7 at 0.8).
 
 Intermediate tables are written to the session's shared checkpoint folder,
 which cuts lineage and survives lost executors; each is deleted once the next
@@ -52,17 +59,24 @@ from phaselens.session import discard, materialize
 @dataclass(frozen=True)
 class NearDup:
     """``percent``: documents link where 100 * intersection >= percent *
-    union. ``max_sketch_bits``: candidates whose sketches differ in more bits
-    are dropped unconfirmed; the default lies 6 standard deviations
-    beyond the mean for similarity 0.8, 8 for 0.85."""
+    union. ``max_sketch_bits``: pairs whose sketches differ in more bits are
+    not confirmed; by default 96 from 85 percent on and 108 from 80 on (5 and
+    more standard deviations beyond the mean), and 512, which drops none, under
+    80 percent."""
     shingle_words: int = 5
     percent: int = 80
     bands: int = 36
     rows: int = 5
     sketch_words: int = 8  # 64-bit words of the odd sketch
-    max_sketch_bits: int = 120
+    max_sketch_bits: int = 0
+    split_over: int = 4096  # classes of a bucket beyond which a second band splits it
+    cell: int = 256  # classes that a task compares with as many others at once
     seed: int = 17
 
+    @property
+    def near_bits(self) -> int:
+        return self.max_sketch_bits or (96 if self.percent >= 85 else 108 if self.percent >= 80 else 512)
+
     @property
     def samples(self) -> int:
         return self.bands * self.rows
@@ -142,34 +156,40 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, p: NearDup) -> DataF
     return small_batches(docs).select(id_col, text_col).mapInArrow(run, T.StructType(fields))
 
 
-def _class_texts(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
-    """(digest, text) of the wanted classes (digest, doc_id, text_md5): a text
-    meets its own class only, however many rows share the id."""
-    chosen = wanted.select(F.col("doc_id").alias("_w"), F.col("text_md5").alias("_wm"), "digest")
-    return (docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-            .withColumn("_m", F.md5(F.coalesce("_text", F.lit("")).cast("binary")))
-            .join(chosen, F.col("_id").eqNullSafe(F.col("_w")) & (F.col("_m") == F.col("_wm"))).select("digest", "_text"))
+def _bits(hashes: DataFrame) -> np.ndarray:
+    """A filter of 2^26 bits with those of the LONG column ``h`` set. Its size
+    is fixed; tasks or-combine their parts before a row per 64 bits is fetched."""
+    parts = hashes.select(F.shiftrightunsigned("h", 44).alias("at"), F.expr("shiftleft(1L, int(h & 63))").alias("bit"))
+    parts = parts.groupBy("at").agg(F.bit_or("bit").alias("bit")).toArrow()
+    words = np.zeros(1 << 20, dtype=U64)
+    words[parts["at"].to_numpy()] = parts["bit"].to_numpy().view(U64)
+    return words
 
 
 def _class_sets(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, p: NearDup) -> DataFrame:
-    """(digest, shingles) of the wanted classes, from one document of each
-    (``wanted``: digest, doc_id, text_md5). The set is 8 bytes a shingle,
-    sorted."""
-    texts = _class_texts(docs, id_col, text_col, wanted)
+    """(digest, shingles) of the wanted classes (digest, doc_id, text_md5),
+    from one document of each. The set is 8 bytes a shingle, sorted.
+
+    A map over the texts makes the sets of documents that pass a filter of the
+    wanted (id, text) pairs; only these sets are shuffled, to meet their class.
+    However many rows share an id, a text meets its own class only."""
+    shared = docs.sparkSession.sparkContext.broadcast(_bits(wanted.select(F.xxhash64("doc_id", "text_md5").alias("h"))))
+    text = F.coalesce(text_col, F.lit(""))
+    rows = small_batches(docs).select(F.xxhash64(F.col(id_col), F.md5(text.cast("binary"))).alias("h"), text.alias("text"))
     schema = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("shingles", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = shared.value
         for batch in batches:
-            asked = batch.column(0).to_pylist()
-            for block in blocks(batch.column(1)):
-                sets = shingle_sets(block, p.shingle_words)
-                # only the class asked for counts
-                own = [(d, s) for d, s in zip(asked[block.first:], sets) if len(s) and set_digest(s) == d]
+            h = batch.column(0).to_numpy(zero_copy_only=False).view(U64)
+            hit = (words[(h >> U64(44)).astype(np.int64)] >> (h & U64(63))) & U64(1)
+            for block in blocks(batch.column(1).filter(pa.array(hit == 1))):
+                sets = [x for x in shingle_sets(block, p.shingle_words) if len(x)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([d for d, _ in own], pa.binary()), pa.array([s.tobytes() for _, s in own], pa.binary())],
+                    [pa.array([set_digest(x) for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())],
                     ["digest", "shingles"])
 
-    return texts.mapInArrow(run, schema).dropDuplicates(["digest"])
+    return rows.mapInArrow(run, schema).join(wanted.select("digest"), "digest", "left_semi").dropDuplicates(["digest"])
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -194,7 +214,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _sketch_near(x: Column, y: Column, p: NearDup) -> Column:
     differing = sum((F.bit_count(x[i].bitwiseXOR(y[i])) for i in range(p.sketch_words)), F.lit(0))
-    return differing <= p.max_sketch_bits
+    return differing <= p.near_bits
 
 
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -238,49 +258,146 @@ def _near(pairs: DataFrame, sketches: DataFrame, p: NearDup) -> DataFrame:
             .where(_sketch_near(F.col("_x"), F.col("_y"), p)).select("a", "b"))
 
 
-def prefix_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Every pair (a, b) of classes of different components that can be
-    similar enough: exact, by prefix and position filters.
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
+    """The groups of equal values in the first ``keys`` columns of sorted
+    batches; one group is held at a time."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(keys)], axis=1)
+        cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            if held and (key[a] != last).any():
+                yield _one(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = key[a]
+    if held:
+        yield _one(held)
+
+
+def _one(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+_CELL = ["key", "x", "y"]
+
+
+def _in_cells(df: DataFrame) -> DataFrame:
+    return df.repartition(*_CELL).sortWithinPartitions(*_CELL)
+
+
+def _sides(own: int, other: int, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of a cell that are compared, and those with which."""
+    x = np.flatnonzero(share == own)
+    return x, x if own == other else np.flatnonzero(share == other)
+
+
+def near_members(shared: DataFrame, classes: DataFrame, p: NearDup) -> DataFrame:
+    """key, x, y (of the cell), share, digest, root, n of the classes that have
+    a near sketch of another component in a cell of a common bucket.
+
+    ``shared``: band, digest, root of the classes in buckets. ``classes``:
+    digest, n, bands, sketch."""
+    def mixed(rows: DataFrame, key: str) -> DataFrame:
+        size = (rows.groupBy(key).agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("_lo"), F.max("root").alias("_hi"))
+                .where(F.col("_lo") != F.col("_hi")).select(key, "size"))
+        return rows.join(size, key)
+
+    first = mixed(shared, "band")
+    at = F.array_position("bands", F.col("band")) - 1
+    second = F.transform(F.sequence(F.lit(1), F.lit(p.bands // 2)), lambda j: F.xxhash64(
+        F.col("band"), F.get("bands", ((at + j) % p.bands).cast("int"))))
+    split = (first.where(F.col("size") > p.split_over).drop("size").join(classes.select("digest", "bands"), "digest")
+             .select(F.explode(second).alias("key"), "digest", "root"))
+    rows = (first.where(F.col("size") <= p.split_over).select(F.col("band").alias("key"), "digest", "root", "size")
+            .unionByName(mixed(split, "key")))
+    # a cell compares two shares of a bucket (or one with itself)
+    shares = F.ceil(F.col("size") / F.lit(p.cell)).cast("int")
+    dealt = (rows.withColumn("_n", shares).withColumn("share", F.pmod(F.hash("digest"), F.col("_n")))
+             .withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+             .select("key", F.least("share", "_with").alias("x"), F.greatest("share", "_with").alias("y"), "share", "digest", "root")
+             .join(classes.select("digest", "n", "sketch"), "digest")
+             .select(*_CELL, "share", "digest", "root", "n", "sketch"))
 
-    Shingles are put in one order for all sets, rare ones first. Of two sets
-    that link, the first common shingle stands so early in both that enough
-    shingles are left behind it; only the shingles at such places are joined,
-    and a pair is made only where the places leave room for the overlap that
-    the two sizes ask for. Near copies that each differ from a common text in
-    words of their own share no shingle at such places, however many they are.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _groups(batches, 3):
+            share, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in (3, 6))
+            root = batch.column(5).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            sketch = batch.column(7).flatten().to_numpy(zero_copy_only=False).view(U64).reshape(len(n), -1)
+            x, y = _sides(batch.column(1)[0].as_py(), batch.column(2)[0].as_py(), share)
+            hit = np.zeros(len(n), dtype=bool)
+            for i in range(0, len(x), 128):
+                part = x[i: i + 128]
+                bits = np.bitwise_count(sketch[part, None] ^ sketch[None, y]).sum(axis=2, dtype=np.int32)
+                near = (bits <= p.near_bits) & (root[part, None] != root[None, y])
+                near &= 100 * np.minimum(n[part, None], n[None, y]) >= p.percent * np.maximum(n[part, None], n[None, y])
+                hit[part] |= near.any(axis=1)
+                hit[y] |= near.any(axis=0)
+            if hit.any():
+                yield batch.select(list(range(7))).filter(pa.array(hit))
+
+    schema = T.StructType([dealt.schema[c] for c in [*_CELL, "share", "digest", "root", "n"]])
+    return _in_cells(dealt).mapInArrow(run, schema)
+
+
+def cell_links(members: DataFrame, sets: DataFrame, p: NearDup) -> DataFrame:
+    """(a, b): confirmed links between classes of different components, as
+    many as join the components of a cell.
+
+    ``members``: of :func:`near_members`; ``sets``: digest, shingles."""
+    rows = members.join(sets, "digest").select(*_CELL, "share", "digest", "root", "n", "shingles")
 
-    ``members``: digest, root. ``sets``: digest, shingles."""
-    schema = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("n", T.IntegerType()),
-                           T.StructField("shingle", T.LongType())])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _groups(batches, 3):
+            share, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in (3, 6))
+            root = batch.column(5).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            flat = np.concatenate([np.frombuffer(raw.as_buffer(), U64) for raw in batch.column(7)])
+            owner = np.repeat(np.arange(len(n)), n)
+            x, y = _sides(batch.column(1)[0].as_py(), batch.column(2)[0].as_py(), share)
+            common = _overlaps(flat, owner, len(n))[np.ix_(x, y)]
+            link = (100 * common >= p.percent * (n[x][:, None] + n[y][None, :] - common)) & (root[x][:, None] != root[y][None, :])
+            parent = list(range(int(root.max()) + 1))
+
+            def find(i):
+                while parent[i] != i:
+                    parent[i] = parent[parent[i]]
+                    i = parent[i]
+                return i
+
+            kept = []
+            for i, j in zip(*(z.tolist() for z in np.nonzero(link))):
+                a, b = find(root[x[i]]), find(root[y[j]])
+                if a != b:
+                    parent[a] = b
+                    kept.append((x[i], y[j]))
+            if kept:
+                a, b = (batch.column(4).take(pa.array([k[side] for k in kept])) for side in (0, 1))
+                yield pa.RecordBatch.from_arrays([a, b], ["a", "b"])
 
-    def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                sets = [np.frombuffer(raw.as_buffer(), np.int64) for raw in part.column(1)]
-                n = np.array([len(s) for s in sets], dtype=np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(np.repeat(np.arange(len(sets)), n))), pa.array(np.repeat(n, n)),
-                     pa.array(np.concatenate(sets))], ["digest", "n", "shingle"])
-
-    flat = sets.select("digest", "shingles").mapInArrow(unfold, schema)
-    common = flat.groupBy("shingle").agg(F.count(F.lit(1)).alias("_f")).where("_f > 1")
-    # a shingle of one set only can link nothing, but it takes a place at the front
-    owned = flat.join(common, "shingle")
-    place = W.partitionBy("digest").orderBy("_f", "shingle")
-    shared = W.partitionBy("digest")
-    front = (owned.withColumn("_common", F.count(F.lit(1)).over(shared))
-             .withColumn("_i", F.col("n") - F.col("_common") + F.row_number().over(place) - 1)
-             .where(100 * (F.col("n") - F.col("_i")) >= percent * F.col("n"))
-             .join(members.select("digest", "root").distinct(), "digest"))
-    x = front.select("shingle", F.col("digest").alias("a"), F.col("root").alias("_ra"), F.col("n").alias("_na"),
-                     F.col("_i").alias("_ia"))
-    y = front.select(F.col("shingle").alias("_s"), F.col("digest").alias("b"), F.col("root").alias("_rb"),
-                     F.col("n").alias("_nb"), F.col("_i").alias("_ib"))
-    room = F.least(F.col("_na") - F.col("_ia"), F.col("_nb") - F.col("_ib"))
-    return (x.join(y, (F.col("shingle") == F.col("_s")) & (F.col("a") < F.col("b")) & (F.col("_ra") != F.col("_rb"))
-                   & ((100 + percent) * room >= percent * (F.col("_na") + F.col("_nb"))))
-            .select("a", "b").distinct())
+    schema = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
+    return _in_cells(rows).mapInArrow(run, schema)
+
+
+def _overlaps(flat: np.ndarray, owner: np.ndarray, rows: int, width: int = 1 << 14) -> np.ndarray:
+    """How many shingles each two sets have in common, in steps of ``width``
+    shared shingles: those of one set alone count in none."""
+    _, number, count = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = count > 1
+    column = np.cumsum(shared) - 1
+    keep = shared[number]
+    column, owner = column[number[keep]], owner[keep]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    out = np.zeros((rows, rows), dtype=np.int64)
+    for at in range(0, int(shared.sum()), width):
+        a, b = np.searchsorted(column, [at, at + width])
+        matrix = np.zeros((rows, width), dtype=np.float32)
+        matrix[owner[a:b], column[a:b] - at] = 1
+        out += (matrix @ matrix.T).astype(np.int64)
+    return out
 
 
 def class_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -290,8 +407,8 @@ def class_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     classes = materialize(
         sig.where(F.col("digest").isNotNull()).groupBy("digest")
         .agg(F.min(F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "text_md5")).alias("_of"),
-             F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-        .select("digest", "_of.doc_id", "_of.text_md5", "bands", "sketch"),
+             F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+        .select("digest", "_of.doc_id", "_of.text_md5", "n", "bands", "sketch"),
         "minhash-classes")
     sketches = classes.select("digest", "sketch")
     buckets = classes.select("digest", F.explode("bands").alias("band"))
@@ -316,16 +433,13 @@ def class_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     star = materialize(_confirmed(pairs, sets, p.percent), "minhash-star-links")
     discard(pairs, sets)
     found = connected_components(star, "minhash-star-components")
-    # classes in buckets that hold more than one component
-    member = (shared.join(found.withColumnRenamed("node", "digest"), "digest", "left")
+    # links between components
+    member = (shared.select("band", "digest").join(found.withColumnRenamed("node", "digest"), "digest", "left")
               .select("band", "digest", F.coalesce("root", "digest").alias("root")))
-    mixed = (member.groupBy("band").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"))
-             .where(F.col("_lo") != F.col("_hi")).select("band"))
-    member = materialize(member.join(mixed, "band", "left_semi").select("digest", "root").distinct(), "minhash-mixed")
-    mixed_sets = sets_of(member.select("digest"), "minhash-mixed")
-    cross = _near(prefix_pairs(member, mixed_sets, p.percent), sketches, p).join(star, ["a", "b"], "left_anti")
-    more = materialize(_confirmed(cross, mixed_sets, p.percent), "minhash-cross-links")
-    discard(shared, member, mixed_sets, star, classes)
+    near = materialize(near_members(member, classes, p), "minhash-near")
+    near_sets = sets_of(near.select("digest"), "minhash-near")
+    more = materialize(cell_links(near, near_sets, p).distinct(), "minhash-cross-links")
+    discard(shared, near, near_sets, star, classes)
     if more.isEmpty():
         discard(more)
         return sig, found
