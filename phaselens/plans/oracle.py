@@ -18,6 +18,7 @@ from phaselens.sources.bindings import DRIVER_BINDING_SQL, DRIVER_PARAMS
 PRE, CRISIS, RECOVERY = "Pre-Crisis", "Crisis", "Recovery"
 CUTS = ("2001-01-01 00:00:00", "2001-03-01 00:00:00")
 MP, MC = 72, 2
+START = "1995-01-01"  # the first of the 72 months
 P = DRIVER_PARAMS
 
 
@@ -220,6 +221,34 @@ def _profile_sql() -> dict[str, str]:
             "d03_null_columns": _with(per_col), "d04_dtypes": _with(dtypes)}
 
 
+def _activity_sql() -> dict[str, str]:
+    """Distinct keys per month and phase, and joins of them with each other."""
+    seen = "SELECT DISTINCT customer_id AS k, date_trunc('month', order_timestamp) AS m FROM orders_v WHERE customer_id IS NOT NULL AND order_timestamp IS NOT NULL"
+
+    def phases(table, key, entity):
+        flags = ", ".join(f"COALESCE(BOOL_OR({inph(x)}), FALSE) AS p{i}" for i, x in enumerate((PRE, CRISIS, RECOVERY)))
+        return f"SELECT '{entity}' AS entity, {key} AS k, {flags}, COUNT(*) AS events FROM {table} WHERE {key} IS NOT NULL GROUP BY {key}"
+
+    steps = [(0, 1), (0, 2), (1, 2)]
+    names = (PRE, CRISIS, RECOVERY)
+    matrix = " UNION ALL ".join(f"""SELECT entity, '{names[a]}' AS base_phase, '{names[b]}' AS later_phase, {cnt(f'p{a}')} AS total,
+        {cnt(f'p{a} AND NOT p{b}')} AS churned, {cnt(f'p{a} AND p{b}')} AS retained,
+        {hu(f'COUNT(*) FILTER (WHERE p{a} AND NOT p{b})', f'COUNT(*) FILTER (WHERE p{a})', 2, 100)} AS churn_rate_pct
+        FROM per GROUP BY entity""" for a, b in steps)
+    return {
+        "a01_month_flow": _with(f"""SELECT strftime(f.m, '%Y-%m') AS month, active, retained, new, active - retained - new AS returned,
+            CASE WHEN f.m > DATE '{START}' THEN COALESCE((SELECT COUNT(*) FROM seen p WHERE p.m = f.m - INTERVAL 1 MONTH), 0) - retained END AS churned
+            FROM flow f""", {
+            "seen": seen, "firsts": "SELECT k, MIN(m) AS m FROM seen GROUP BY k",
+            "flow": f"""SELECT s.m, COUNT(*) AS active, {cnt('p.k IS NOT NULL')} AS retained, {cnt('s.m = f.m')} AS new
+                        FROM seen s JOIN firsts f ON f.k = s.k LEFT JOIN seen p ON p.k = s.k AND p.m = s.m - INTERVAL 1 MONTH GROUP BY s.m"""}),
+        "a02_phase_patterns": _with("""SELECT p0 AS in_pre, p1 AS in_crisis, p2 AS in_recovery, COUNT(*) AS customers,
+            CAST(SUM(events) AS BIGINT) AS orders FROM per GROUP BY 1, 2, 3""", {"per": phases("orders_v", "customer_id", "customer")}),
+        "a03_churn_matrix": _with(matrix, {"per": phases("orders_v", "customer_id", "customer") + " UNION ALL "
+                                           + phases("order_lines_v", "restaurant_id", "restaurant")}),
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     hv_c = _high_value_ctes()
     rep_c = _repeat_ctes()
@@ -451,6 +480,7 @@ def oracle_sql() -> dict[str, str]:
             "top": vc("hvc", "city", "customers", P.share_top_cities)}),
     }
     q.update(_profile_sql())
+    q.update(_activity_sql())
     q["d09_head_orders"] = _with("SELECT * FROM orders_v ORDER BY order_id LIMIT 10")
     q["k01_written_trend"] = q["s01_monthly_orders"]
     q.update({f"sql_{name}": q[name] for name in list(q) if name.startswith("s")})
