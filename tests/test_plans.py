@@ -45,7 +45,8 @@ def test_review_times_are_parsed_by_one_form(spark, name):
     assert plan.count("regexp_") + plan.count("rlike") <= 20 and len(plan) < 40_000
 
 
-@pytest.mark.parametrize("name", ["d02_null_totals", "d04_dtypes", "s09_delay_vs_rating", "s10_recovery_scorecard"])
+@pytest.mark.parametrize("name", ["d02_null_totals", "d04_dtypes", "s09_delay_vs_rating", "s10_recovery_scorecard",
+                                  "sql_s09_delay_vs_rating", "sql_s10_recovery_scorecard"])
 def test_line_items_are_rolled_up_once(spark, name):
     plan = _plan(E.queries()[name](spark, SF))
     assert plan.count("partial_sum") and plan.count("hashpartitioning(l_orderkey") <= 1
