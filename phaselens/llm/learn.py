@@ -154,7 +154,7 @@ def fit(s: Sparse, y: np.ndarray, *, weight: np.ndarray | None = None, features:
     keep = at >= 0
     row, col, v = s.row[keep], at[keep], np.log1p(s.n[keep])
     # features of like spread learn at like speed
-    scale = np.maximum(np.sqrt(np.bincount(col, weights=v * v, minlength=k) / max(1, s.rows)), 0.03)
+    scale = np.maximum(np.sqrt(np.bincount(col, weights=v * v * weight[row], minlength=k) / max(1e-9, weight.sum())), 0.03)
     v = v / scale[col]
     if pairs is not None:
         pat = slot[pairs.col]

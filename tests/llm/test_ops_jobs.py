@@ -50,6 +50,24 @@ def test_shards_of_odd_rows(spark, odd_documents):
     assert sharding.shard_documents(odd_documents.limit(0)).count() == 0
 
 
+def test_equal_rows_spread_like_others(spark):
+    """60,000 wholly equal rows, beside as many others."""
+    same = spark.range(60000).selectExpr("cast(null as long) doc_id", "cast(null as string) text")
+    df = same.unionByName(spark.range(30000).selectExpr("id doc_id", "concat('t', id) text")).repartition(6)
+    out = sharding.shard_documents(df, 8, rows_per_partition=1000).cache()
+    check_shards(out.select("shard", "slot").collect(), 90000, 8)
+    sizes = sorted(r["count"] for r in out.where("doc_id is null").groupBy("source_partition").count().collect())
+    assert len(sizes) > 50 and sizes[-1] <= 3 * sizes[len(sizes) // 2]
+    per_shard = [r["count"] for r in out.where("doc_id is null").groupBy("shard").count().collect()]
+    assert len(per_shard) == 8 and max(per_shard) < 1.1 * min(per_shard)
+
+
+def test_texts_are_read_once(spark, documents_table):
+    """The result reads the narrow table only."""
+    plan = sharding.shard_documents(documents_table)._jdf.queryExecution().optimizedPlan().toString()
+    assert "text#" not in plan and "_key" in plan
+
+
 def test_hypergeometric_law(spark):
     """Draws over an even grid of uniforms give the exact probabilities."""
     from math import comb
@@ -199,27 +217,89 @@ def test_near_duplicates_equal_brute_force(spark, documents_table):
         assert got[i]["kept"] == (least[r] == i)
 
 
-def test_prefix_pairs_lose_no_pair(spark):
-    rng = random.Random(9)
-    sets = {}
-    for i in range(60):
-        base = set(range(i % 6 * 100, i % 6 * 100 + 30))
-        for _ in range(rng.randrange(6)):
-            base.discard(rng.choice(sorted(base)))
-            base.add(rng.randrange(1000, 1200))
-        sets[bytes([i]) * 16] = np.array(sorted(base), dtype=np.int64)
-    members = spark.createDataFrame([(bytearray(d), bytearray(d)) for d in sets], "digest binary, root binary")
-    table = spark.createDataFrame([(bytearray(d), bytearray(s.tobytes())) for d, s in sets.items()],
-                                  "digest binary, shingles binary")
-    got = {(bytes(r["a"]), bytes(r["b"])) for r in minhash.prefix_pairs(members, table, 80).collect()}
-    need = set()
-    for a in sets:
-        for b in sets:
-            if a < b:
-                both = len(np.intersect1d(sets[a], sets[b]))
-                if 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
-                    need.add((a, b))
-    assert need and need <= got
+def form_texts(n, seed=1):
+    """Letters of one form: every fifth of 100 words has two choices."""
+    rng = random.Random(seed)
+    return [" ".join(f"word{i}{rng.choice('ab')}" if i % 5 == 0 else f"word{i}" for i in range(100)) for _ in range(n)]
+
+
+def cells_of(spark, texts, p):
+    """(members of cells with near sketches, links, sets), every class a
+    component."""
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    classes = (minhash.signatures(df, "doc_id", "text", p).where("digest is not null").dropDuplicates(["digest"])
+               .withColumnRenamed("n_shingles", "n").cache())
+    shared = classes.select(F.explode("bands").alias("band"), "digest", F.col("digest").alias("root"))
+    near = minhash.near_members(shared, classes, p).cache()
+    sets = minhash._class_sets(df, "doc_id", "text", classes.select("digest", "doc_id", "text_md5"), p)
+    return near.collect(), {(bytes(r["a"]), bytes(r["b"])) for r in minhash.cell_links(near, sets, p).collect()}
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_form_texts_give_rows_in_proportion(spark, percent):
+    """Texts that share half of their shingles: what leaves the cells grows
+    with the texts, not with their pairs, and links nothing wrongly."""
+    for n in (500, 2000):
+        near, links = cells_of(spark, form_texts(n), minhash.NearDup(percent=percent))
+        assert len(near) <= 36 * n and len(links) < n
+
+
+def test_near_copies_without_links_give_rows_in_proportion(spark):
+    """Copies of one text, each changed in words of its own, that link with
+    nothing: every sketch is near, and no pair leaves a cell."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(200)]
+    texts = []
+    for k in range(600):
+        words = list(base)
+        for at in rng.sample(range(200), 9):
+            words[at] = f"own{k}x{at}"
+        texts.append(" ".join(words))
+    near, links = cells_of(spark, texts, minhash.NearDup(percent=85))
+    assert len(near) <= 36 * len(texts) and not links
+
+
+@pytest.mark.parametrize("params", [minhash.NearDup(percent=85), minhash.NearDup(percent=85, split_over=20, cell=8),
+                                    minhash.NearDup(percent=85, cell=4), minhash.NearDup(percent=80, split_over=4)])
+def test_cells_lose_no_link(spark, params):
+    """The components of the links are those of all pairs, whatever the sizes
+    of cells, and every link is one."""
+    texts = sorted(set(near_copies(3, 20) + form_texts(60)))
+    _, links = cells_of(spark, texts, params)
+    rows = list(enumerate(texts))
+    roots, sets = brute_components(rows, params.percent)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    of = {bytes(r["digest"]): r["doc_id"] for r in minhash.signatures(frame, "doc_id", "text", params).collect()}
+    parent = list(range(len(texts)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in links:
+        both = len(sets[of[a]] & sets[of[b]])
+        assert 100 * both >= params.percent * len(sets[of[a]] | sets[of[b]])
+        parent[find(of[a])] = find(of[b])
+    assert links and len({(find(i), roots[i]) for i in range(len(texts))}) == len(set(roots)) == len({find(i) for i in range(len(texts))})
+
+
+@pytest.mark.parametrize("similarity,shingles", [(0.85, 60), (0.85, 300), (0.80, 60), (0.80, 300)])
+def test_recall_of_bands_and_sketch(similarity, shingles):
+    """Measured on random sets just at the similarity: a common band, two
+    common bands (as split buckets ask for), and sketches within the limit."""
+    p = minhash.NearDup(percent=80)
+    signer, rng = minhash.Signer(p), np.random.default_rng(int(100 * similarity) + shingles)
+    band = two = near = 0
+    for _ in range(300):
+        common = int(np.ceil(2 * shingles * similarity / (1 + similarity)))
+        x = rng.integers(0, 1 << 63, shingles, dtype=np.int64).astype(np.uint64)
+        y = np.r_[x[:common], rng.integers(0, 1 << 63, shingles - common, dtype=np.int64).astype(np.uint64)]
+        bands, sketch = signer.fold(np.stack([signer.samples(np.unique(x)), signer.samples(np.unique(y))]))
+        same = int((bands[0] == bands[1]).sum())
+        band, two = band + (same > 0), two + (same > 1)
+        near += int(np.bitwise_count((sketch[0] ^ sketch[1]).view(np.uint64)).sum()) <= p.near_bits
+    assert band == near == 300 and two >= 299
 
 
 def test_connected_components(spark):
@@ -266,8 +346,9 @@ def test_texts_that_share_an_id_meet_their_own_class_only(spark):
     p = minhash.NearDup(percent=85)
     classes = (minhash.signatures(df, "doc_id", "text", p).where("doc_id is null")
                .select("digest", "doc_id", "text_md5").distinct())
-    met = [(bytes(r["digest"]), r["_text"]) for r in minhash._class_texts(df, "doc_id", "text", classes).collect()]
-    assert len(met) == len(texts) + 1 and len(set(met)) == len(texts)
+    met = minhash._class_sets(df, "doc_id", "text", classes, p).collect()
+    assert len(met) == len(texts) == len({bytes(r["digest"]) for r in met})
+    assert all(hashlib.blake2b(r["shingles"], digest_size=16).digest() == r["digest"] for r in met)
     got = minhash.near_duplicates(df.where("doc_id is null"), params=p).collect()
     assert len(got) == len(texts) + 1 and all(r["component_id"] is None for r in got)
     sig, found = minhash.class_components(df, "doc_id", "text", p)
@@ -324,6 +405,73 @@ def test_toxicity_held_out_accuracy(spark, labelled, odd_documents):
     assert {r["score"] for r in nothing} == {nothing[0]["score"]}
 
 
+def test_penalty_acts_on_carriers_of_the_documents(spark, labelled):
+    """The texts name no group; sentences cut from them do. The penalty takes
+    most of the change of swapped held-out carriers away."""
+    docs, labels = labelled
+    sample = toxicity.toxicity_sample(docs, labels)
+    assert sample.pairs.rows > 100
+    gap, weights = {}, {}
+    for penalty in (0.0, 4.0):
+        params = toxicity.ToxicityParams(pair_penalty=penalty)
+        model = toxicity.fit_sample(sample, params)
+        row = toxicity.counterfactual_gap(docs, labels, model, params=params).first()
+        gap[penalty], weights[penalty] = row["gap"], model.weights
+        assert row["pairs"] > 50
+    assert gap[4.0] < 0.5 * gap[0.0] and np.abs(weights[0.0] - weights[4.0]).max() > 0.01
+
+
+def test_carriers_hold_a_term_and_keep_their_length():
+    params = toxicity.ToxicityParams(carriers=4, carrier_words=10)
+    swap = toxicity.swapper(params.terms)
+    text = "One two three four. " + " ".join(f"w{i}" for i in range(100)) + ". Short one."
+    said = toxicity.carriers(text, params)
+    assert len(said) == 4 and said == toxicity.carriers(text, params)
+    assert all(swap(c) not in (None, c) and len(c.split()) <= 10 for c in said)
+    assert toxicity.carriers("", params) == toxicity.carriers("a b. c", params) == []
+
+
+def test_scores_equal_a_dense_fit(spark):
+    """A plain dense gradient descent on the same sample gives the scores."""
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join(rng.sample(words, 10) + (["idiot"] if i % 3 == 0 else [])) + ".") for i in range(160)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i, _ in rows], "doc_id long, quality int, toxic int")
+    params = toxicity.ToxicityParams()
+    s = toxicity.toxicity_sample(docs, marks, params=params)
+    model = toxicity.fit_sample(s, params)
+    cols = np.flatnonzero(model.slot >= 0)
+    x = np.zeros((s.counts.rows, len(cols)))
+    at = {c: j for j, c in enumerate(cols.tolist())}
+    for r, c, n in zip(s.counts.row.tolist(), s.counts.col.tolist(), s.counts.n.tolist()):
+        if c in at:
+            x[r, at[c]] = np.log1p(n)
+    d = np.zeros((s.pairs.rows, len(cols)))
+    for r, c, v in zip(s.pairs.row.tolist(), s.pairs.col.tolist(), s.pair_values.tolist()):
+        if c in at:
+            d[r, at[c]] += v
+    scale = np.maximum(np.sqrt((x * x * s.weight[:, None]).sum(axis=0) / s.weight.sum()), 0.03)
+    x, d = x / scale, d / scale
+    mean = (s.weight * s.y).sum() / s.weight.sum()
+    w, b, m1, m2 = np.zeros(len(cols)), np.log((mean + 1e-3) / (1 - mean + 1e-3)), 0, 0
+    for r in range(1, 201):
+        p = 1 / (1 + np.exp(-(x @ w + b)))
+        g = (p - s.y) * s.weight / s.weight.sum()
+        grad = x.T @ g + 2e-3 * w + 2 * params.pair_penalty / len(d) * d.T @ (d @ w)
+        m1, m2 = 0.9 * m1 + 0.1 * grad, 0.99 * m2 + 0.01 * grad ** 2
+        w = w - 0.02 * (m1 / (1 - 0.9 ** r)) / (np.sqrt(m2 / (1 - 0.99 ** r)) + 1e-9)
+        b -= 0.1 * g.sum()
+    dense = np.zeros(learn.BUCKETS)
+    dense[cols] = w / scale
+    got = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(docs, marks, model=model).collect()}
+    for i, text in rows[:40]:
+        z = b
+        for _, one in toxicity._features(pa.array([text])):
+            z += float((dense[one.col] * np.log1p(one.n)).sum())
+        assert abs(got[i] - 1 / (1 + np.exp(-z))) < 1e-6
+
+
 def test_counterfactual_penalty_frees_neutral_mentions(spark):
     """Where a group is named mostly in toxic sentences, the penalty takes the
     group's name out of the score, and the insults keep theirs."""
@@ -371,23 +519,77 @@ def test_quality_held_out_accuracy_and_rounds(spark, labelled, odd_documents):
 
 
 def test_co_training_exchanges_pseudo_labels():
-    """Two views that agree only through the pool: each has a feature that the
-    other view's labelled rows never show."""
+    """Two views that agree only through the unlabelled rows: each has a
+    feature that the other view's labelled rows never show."""
     rng = np.random.default_rng(2)
     n = 900
     truth = rng.integers(0, 2, n)
-    y = np.where(np.arange(n) < 60, truth, -1)
     late = np.arange(n) >= 60
     own = np.where(truth == 1, 10, 20)
-    # the pool shows a further word of the text view along with the metadata that both know
+    # unlabelled rows show a further word of the text view along with the metadata that both know
     col, row = [own, np.where(truth == 1, 30, 40)[late]], [np.arange(n), np.arange(n)[late]]
     text = learn.counted(np.concatenate(col), np.concatenate(row), n)
     meta = learn.counted(np.where(truth == 1, 50, 60), np.arange(n), n)
-    held = np.zeros(n, bool)
+    held = np.zeros(60, bool)
     held[:20] = True
-    model = cotrain.co_train((text, meta), y, held, cotrain.CoTraining(rounds=3, grow=100))
+    seen = []
+
+    def surest(models, quota, taken):
+        out = []
+        for student in (0, 1):
+            z = models[1 - student].logits((text, meta)[1 - student])
+            for label in (0, 1):
+                order = [i for i in np.argsort(-z if label else z, kind="stable").tolist() if late[i] and i not in taken[student]]
+                for i in order[: quota[label]]:
+                    if abs(z[i]) > 2.2 and (z[i] > 0) == bool(label):
+                        one = (text, meta)[student].take(np.array([i]))
+                        out.append(cotrain.Pseudo(i, student, label, one.col, one.n))
+        seen.append(len(out))
+        return out
+
+    first = np.arange(60)
+    model = cotrain.co_train((text.take(first), meta.take(first)), truth[:60], held, cotrain.CoTraining(rounds=3, grow=100), surest)
     score, _, _ = model.scores(model.text.logits(text), model.meta.logits(meta))
-    assert ((score > 0.5) == (truth == 1)).mean() > 0.98
+    assert len(seen) == 3 and seen[0] > 100 and ((score > 0.5) == (truth == 1)).mean() > 0.98
+
+
+def test_a_round_takes_the_surest_of_all_rows(spark, labelled):
+    """The rows that a round exchanges equal those of sorting every row."""
+    docs, labels = labelled
+    model = cotrain.fit_quality(docs, labels, cotrain.CoTraining(rounds=0))
+    rows = cotrain._rows(docs.unionByName(docs.limit(200)).repartition(7), ("doc_id", "text", "source", "lang", "n_chars"))
+    every = rows.toPandas()
+    batch = pa.RecordBatch.from_pandas(every[["text", "source", "lang", "length"]].astype({"length": "Int64"}))
+    views, z = [model.text, model.meta], [[], []]
+    for block in cotrain.blocks(batch.column(0)):
+        for k, items in enumerate(cotrain._both(block, batch, (1, 2, 3))):
+            z[k].append(views[k].score_items(*items, block.n_texts))
+    z = [np.concatenate(x) for x in z]
+    taken = {0: set(every.key[:40].tolist()), 1: set()}
+    quota = {1: 25, 0: 9}
+    got = cotrain.surest_rows(rows, views, quota, taken, 1.0)
+    for student in (0, 1):
+        for label in (0, 1):
+            sureness = z[1 - student] if label else -z[1 - student]
+            open_ = sorted({(-s, k) for s, k in zip(sureness.tolist(), every.key.tolist()) if s > 1.0 and k not in taken[student]})
+            want = [k for _, k in open_[: quota[label]]]
+            mine = [p for p in got if (p.student, p.label) == (student, label)]
+            assert [p.key for p in mine] == want and want
+            assert all(len(p.col) == len(p.n) and (views[student].slot[p.col] >= 0).all() for p in mine)
+
+
+def test_one_row_of_a_labelled_id_is_learnt(spark):
+    """An id on thousands of rows sends one of them to the driver."""
+    rng = random.Random(4)
+    words = [f"word{i}" for i in range(50)]
+    rows = [(i, " ".join(rng.sample(words, 9)) + (" idiot." if i % 2 else "."), "en", "s", 9) for i in range(40)]
+    many = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int").unionByName(
+        spark.range(6000).selectExpr("7L doc_id", "concat('row ', id, ' idiot') text", "'en' lang", "'s' source", "int(5) n_chars"))
+    marks = spark.createDataFrame([(i, i % 2, i % 2) for i in range(40)] * 3, "doc_id long, quality int, toxic int")
+    learnt = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5]
+    sample = toxicity.toxicity_sample(many, marks)
+    assert int((sample.weight == 1).sum()) == len(learnt)
+    assert cotrain.score_quality(many, marks).count() == many.count()
 
 
 # ---------------------------------------------------------------- pipeline
