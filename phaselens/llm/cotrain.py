@@ -4,29 +4,32 @@ Two classifiers see a page from two sides: one the text's words (their
 beginnings and ends, and words repeated at once), the other the page's
 metadata (source, language, declared length and the layout: lines, line and
 word lengths, shares of byte classes). Both start from a bounded labelled
-sample. In each round either one labels the documents of an unlabelled pool
-that it is surest of, as many of each class as their share in the labelled
-sample asks for, and the *other* one learns them; the pool is a bounded sample
-that is drawn once, as co-training draws it. Afterwards each view's score is
-calibrated on labelled rows that it did not learn, the calibrated log-odds of
-both views are combined on the same rows, and a map over the scan scores every
-document.
+sample. In each round both score *all* documents outside the sample and the
+held-out fold; either one labels those that it is surest of, as many of each
+class as their share in the labelled sample asks for, and the *other* one
+learns them. A task keeps the surest of its rows, so a round is one pass over
+the table and returns ``grow`` rows a view, whatever the corpus size.
+Afterwards each view's score is calibrated on labelled rows that it did not
+learn, the calibrated log-odds of both views are combined on the same rows, and
+a map over the scan scores every document.
 
 Input cases: null and empty texts are scored by their metadata and the text
 model's constant; a null source, language or length is a value of its own;
-null ids are scored and never learnt from; a table without labels, or with
+null ids are scored and never learnt from; of several rows with one labelled
+id one is learnt from (of least hash), so the sample is bounded in rows, and of
+equal documents one takes a pseudo-label; a table without labels, or with
 labels of one class only, gives a constant; repeated rows and extra columns
 are kept apart per row; an empty table gives an empty result."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,14 +42,14 @@ PREFIXES, SUFFIXES = (4, 6), (2, 3)
 
 @dataclass(frozen=True)
 class CoTraining:
-    """``max_good`` / ``max_bad``: labelled rows used at most; ``pool``:
-    unlabelled rows drawn; ``grow``: pseudo-labels a round and view;
+    """``max_good`` / ``max_bad``: labelled rows used at most; ``grow``:
+    pseudo-labels a round and view; ``sure``: least log-odds of one (9 to 1);
     ``reject_below``: documents with a lower score are rejected."""
     max_good: int = 3500
     max_bad: int = 2500
-    pool: int = 3000
-    rounds: int = 4
-    grow: int = 150
+    rounds: int = 2
+    grow: int = 300
+    sure: float = 2.2
     features: int = 3000
     reject_below: float = 0.3
 
@@ -124,40 +127,55 @@ def platt(z: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def co_train(views: tuple[Sparse, Sparse], y: np.ndarray, calibrate: np.ndarray, params: CoTraining) -> QualityModel:
-    """Both views over the same texts; ``y`` is 1, 0, or -1 where there is no
-    label (the pool); ``calibrate`` marks labelled rows kept for calibration."""
-    learn = np.flatnonzero((y >= 0) & ~calibrate)
-    pool = np.flatnonzero(y < 0)
-    known = [dict(zip(learn.tolist(), y[learn].tolist())) for _ in views]
-    chosen = [chosen_features(v.take(learn), y[learn].astype(float), params.features) for v in views]
-    views = tuple(v.only(c) for v, c in zip(views, chosen))
-    share = float((y[learn] == 1).mean()) if len(learn) else 0.5
+@dataclass(frozen=True)
+class Pseudo:
+    """A document that one view labels for the other: a key of the document,
+    the learning view, the label, and that view's features and counts."""
+    key: int
+    student: int
+    label: int
+    col: np.ndarray
+    n: np.ndarray
+
+
+def _with(s: Sparse, more: list[Pseudo]) -> Sparse:
+    """The texts of ``s`` and then those of the pseudo-labels."""
+    size = [len(m.col) for m in more]
+    return Sparse(np.concatenate([s.row, s.rows + np.repeat(np.arange(len(more)), size)]).astype(np.int64),
+                  np.concatenate([s.col, *[m.col for m in more]]).astype(np.int64),
+                  np.concatenate([s.n, *[m.n for m in more]]), s.rows + len(more))
+
+
+def quotas(params: CoTraining, share: float) -> dict[int, int]:
+    """Pseudo-labels of each class a round and view."""
+    good = int(round(params.grow * share))
+    return {1: good, 0: params.grow - good}
+
+
+def co_train(views: tuple[Sparse, Sparse], y: np.ndarray, calibrate: np.ndarray, params: CoTraining,
+             surest: Callable[[list[Linear], dict[int, int], dict[int, set[int]]], list[Pseudo]]) -> QualityModel:
+    """Both views over the same labelled texts; ``calibrate`` marks those kept
+    for calibration. ``surest(models, quotas, taken)`` gives a round's
+    pseudo-labels; ``taken``: the keys that each view has learnt already."""
+    learn = np.flatnonzero(~calibrate)
+    target = y[learn].astype(float)
+    chosen = [chosen_features(v.take(learn), target, params.features) for v in views]
+    own = [v.only(c).take(learn) for v, c in zip(views, chosen)]
+    learnt: list[list[Pseudo]] = [[], []]
 
     def model(k: int) -> Linear:
-        rows = np.array(sorted(known[k]), dtype=np.int64)
-        target = np.array([known[k][r] for r in rows.tolist()], dtype=float)
+        labels = np.r_[target, [float(p.label) for p in learnt[k]]]
         # pseudo-labels weigh less than labels
-        weight = np.where(y[rows] >= 0, 1.0, 0.5)
-        return fit(views[k].take(rows), target, weight=weight, features=chosen[k], rounds=150)
+        weight = np.r_[np.ones(len(target)), np.full(len(learnt[k]), 0.5)]
+        return fit(_with(own[k], learnt[k]), labels, weight=weight, features=chosen[k], rounds=150)
 
     models = [model(0), model(1)]
-    for _ in range(params.rounds):
-        if not len(pool):
-            break
-        for k, other in ((0, 1), (1, 0)):
-            open_rows = np.array([r for r in pool.tolist() if r not in known[other]], dtype=np.int64)
-            if not len(open_rows):
-                continue
-            z = models[k].logits(views[k].take(open_rows))
-            order = np.argsort(z, kind="stable")
-            n_good = int(round(params.grow * share))
-            for rows, label in ((order[::-1][:n_good], 1), (order[: params.grow - n_good], 0)):
-                # only what the teacher is sure of: odds of 9 to 1
-                sure = z[rows] > 2.2 if label else z[rows] < -2.2
-                known[other].update((int(r), label) for r in open_rows[rows[sure]])
+    share = float(target.mean()) if len(target) else 0.5
+    for _ in range(params.rounds if 0 < share < 1 else 0):
+        for p in surest(models, quotas(params, share), {k: {p.key for p in learnt[k]} for k in (0, 1)}):
+            learnt[p.student].append(p)
         models = [model(0), model(1)]
-    held = np.flatnonzero((y >= 0) & calibrate)
+    held = np.flatnonzero(calibrate)
     z = np.column_stack([m.logits(v.take(held)) for m, v in zip(models, views)])
     target = y[held].astype(float)
     each = [platt(z[:, [k]], target) for k in (0, 1)]
@@ -166,20 +184,89 @@ def co_train(views: tuple[Sparse, Sparse], y: np.ndarray, calibrate: np.ndarray,
                         tuple(float(x) for x in both))
 
 
+_COLUMNS = ("text", "source", "lang", "length")
+
+
+def _rows(docs: DataFrame, names: tuple[str, str, str, str, str]) -> DataFrame:
+    """id, text, source, lang, length and a key that equal documents share."""
+    id_col, *rest = names
+    return (small_batches(docs).select(F.col(id_col).alias("id"), *[F.col(c).alias(n) for c, n in zip(rest, _COLUMNS)])
+            .withColumn("key", F.xxhash64(*_COLUMNS)))
+
+
+def surest_rows(rows: DataFrame, models: list[Linear], quota: dict[int, int], taken: dict[int, set[int]], sure: float) -> list[Pseudo]:
+    """For either view, the documents of ``rows`` (text, source, lang, length,
+    key) that the other view is surest of: those of the largest absolute
+    log-odds, of equal ones those of least key. One pass; a task returns its
+    own surest only."""
+    packed = []
+    for m in models:
+        at = np.flatnonzero(m.slot >= 0).astype(np.int32)
+        packed.append((at, m.slot[at], m.weights, m.bias))
+    shared = rows.sparkSession.sparkContext.broadcast((packed, {k: np.array(sorted(v), np.int64) for k, v in taken.items()}))
+    schema = "student int, label int, sureness double, key long, col binary, n binary"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        views = []
+        for at, number, weights, bias in shared.value[0]:
+            slot = np.full(BUCKETS, -1, dtype=np.int32)
+            slot[at] = number
+            views.append(Linear(slot, weights, bias))
+        best: dict[tuple[int, int], dict[int, tuple]] = {(s, c): {} for s in (0, 1) for c in quota if quota[c]}
+        floor = {k: sure for k in best}
+        for batch in batches:
+            key = batch.column(4).to_numpy(zero_copy_only=False)
+            for block in blocks(batch.column(0)):
+                items = _both(block, batch, (1, 2, 3))
+                own = key[block.first: block.first + block.n_texts]
+                z = [v.score_items(*i, block.n_texts) for v, i in zip(views, items)]
+                for (student, label), kept in best.items():
+                    sureness = z[1 - student] if label else -z[1 - student]
+                    here = np.flatnonzero((sureness > sure) & (sureness >= floor[student, label]) & ~np.isin(own, shared.value[1][student]))
+                    here = here[np.lexsort((own[here], -sureness[here]))][: quota[label]]
+                    here = here[[int(k) not in kept for k in own[here].tolist()]] if len(here) else here
+                    if not len(here):
+                        continue
+                    feats, owner = items[student]
+                    mine = np.full(block.n_texts, -1)
+                    mine[here] = np.arange(len(here))
+                    keep = (mine[owner] >= 0) & (views[student].slot[feats] >= 0)
+                    cols, ns = pack(counted(feats[keep], mine[owner[keep]], len(here)))
+                    for i, c, n in zip(here.tolist(), cols.to_pylist(), ns.to_pylist()):
+                        kept[int(own[i])] = (float(sureness[i]), c, n)
+                    if len(kept) > quota[label]:
+                        order = sorted(kept, key=lambda k: (-kept[k][0], k))[: quota[label]]
+                        best[student, label] = {k: kept[k] for k in order}
+                        floor[student, label] = kept[order[-1]][0]
+        for (student, label), kept in best.items():
+            if kept:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([student] * len(kept), pa.int32()), pa.array([label] * len(kept), pa.int32()),
+                     pa.array([v[0] for v in kept.values()]), pa.array(list(kept), pa.int64()),
+                     pa.array([v[1] for v in kept.values()], pa.binary()), pa.array([v[2] for v in kept.values()], pa.binary())],
+                    ["student", "label", "sureness", "key", "col", "n"])
+
+    found = rows.select(*_COLUMNS, "key").mapInArrow(run, schema).dropDuplicates(["student", "label", "key"])
+    place = Window.partitionBy("student", "label").orderBy(F.desc("sureness"), "key")
+    most = F.when(F.col("label") == 1, quota[1]).otherwise(quota[0])
+    first = found.withColumn("_i", F.row_number().over(place)).where(F.col("_i") <= most).orderBy("student", "label", "_i")
+    return [Pseudo(r["key"], r["student"], r["label"], np.frombuffer(r["col"], np.int32), np.frombuffer(r["n"], np.uint16))
+            for r in first.select("student", "label", "key", "col", "n").collect()]
+
+
 def fit_quality(docs: DataFrame, labels: DataFrame, params: CoTraining = CoTraining(), id_col: str = "doc_id",
                 text_col: str = "text", source_col: str = "source", lang_col: str = "lang",
                 length_col: str = "n_chars") -> QualityModel:
-    """The model, from bounded samples of rows outside the held-out fold."""
+    """The model: labels from a bounded sample of rows outside the held-out
+    fold, pseudo-labels from all other rows outside it."""
     labelled = labelled_sample(labels, id_col, "quality", {1: params.max_good, 0: params.max_bad})
-    pool = (docs.where(F.col(id_col).isNotNull() & (fold(F.col(id_col)) != 0)).select(F.col(id_col).alias("_id"))
-            .join(labels.select(F.col(id_col).alias("_id")), "_id", "left_anti").distinct()
-            .orderBy(F.xxhash64("_id"), "_id").limit(params.pool).withColumn("_y", F.lit(-1)))
-    wanted = labelled.unionByName(pool)  # bounded by max_good + max_bad + pool ids
-    chosen = (small_batches(docs).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(source_col).alias("_s"),
-                          F.col(lang_col).alias("_l"), F.col(length_col).alias("_n"))
-              .join(F.broadcast(wanted), "_id")
-              .select("_y", (F.crc32(F.concat(F.lit("calibrate"), F.col("_id").cast("string")).cast("binary")) % 4 == 0)
-                      .alias("_c"), "_text", "_s", "_l", "_n"))
+    sample = labelled.toArrow()  # bounded by max_good + max_bad ids
+    sample = docs.sparkSession.createDataFrame(sample, labelled.schema)
+    rows = _rows(docs, (id_col, text_col, source_col, lang_col, length_col))
+    one = (rows.join(F.broadcast(sample.withColumnRenamed("_id", "id")), "id").groupBy("id")
+           .agg(F.first("_y").alias("y"), F.min_by(F.struct(*_COLUMNS), "key").alias("_r")))
+    calibrate = F.crc32(F.concat(F.lit("calibrate"), F.col("id").cast("string")).cast("binary")) % 4 == 0
+    chosen = one.select("y", calibrate.alias("calibrate"), "_r.*")
     names = ["y", "calibrate", "text_col", "text_n", "meta_col", "meta_n"]
     schema = T.StructType([T.StructField("y", T.IntegerType()), T.StructField("calibrate", T.BooleanType())]
                           + [T.StructField(n, T.BinaryType()) for n in names[2:]])
@@ -193,10 +280,12 @@ def fit_quality(docs: DataFrame, labels: DataFrame, params: CoTraining = CoTrain
 
     got = chosen.mapInArrow(run, schema).toArrow()
     y = got["y"].to_numpy() if got.num_rows else np.zeros(0, int)
-    calibrate = np.array(got["calibrate"].to_pylist(), dtype=bool)
+    held = np.array(got["calibrate"].to_pylist(), dtype=bool)
     views = unpack(got["text_col"], got["text_n"]), unpack(got["meta_col"], got["meta_n"])
     del got
-    return co_train(views, y, calibrate, params)
+    others = (rows.where(F.col("id").isNotNull() & (fold(F.col("id")) != 0))
+              .join(F.broadcast(sample.select(F.col("_id").alias("id"))), "id", "left_anti"))
+    return co_train(views, y, held, params, lambda models, quota, taken: surest_rows(others, models, quota, taken, params.sure))
 
 
 def quality_scorer(spark, model: QualityModel, text: Column, source: Column, lang: Column, length: Column) -> Column:
