@@ -30,13 +30,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from phaselens.llm.textops import U64, Block, blocks, small_batches
+from phaselens.session import discard, materialize
 
 SECTION_SIZE = 4  # paragraphs a section, on average
 PIECE_SIZE = 4  # a piece ends after one word in so many
@@ -164,37 +164,57 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-#: Ranges of ids at most; their upper ends are all that the driver collects.
+#: Ranges at most; their upper ends are all that one task and the driver receive.
 MAX_RANGES = 100_000
 
 
+def _range_of(tops: Column, key: Column) -> Column:
+    """Number of the first of the ascending ``tops`` that is not below the key."""
+    def step(acc, _):
+        lo, hi = acc["lo"], acc["hi"]
+        mid = F.floor((lo + hi) / 2).cast("int")
+        low = F.get(tops, mid) < key
+        moved = F.when(low, F.struct((mid + 1).alias("lo"), hi.alias("hi"))).otherwise(F.struct(lo.alias("lo"), mid.alias("hi")))
+        return F.when(lo >= hi, acc).otherwise(moved)
+
+    rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.size(tops) + F.lit(1.0))).cast("int"))
+    return F.aggregate(rounds, F.struct(F.lit(0).alias("lo"), (F.size(tops) - 1).alias("hi")), step)["lo"]
+
+
 def _in_order(docs: DataFrame, id_col: str, text_col: str, rows_per_range: int) -> DataFrame:
-    """Rows (range, guest, doc_id, text), each range sorted by descending id
-    in one partition and followed by the first row of the next range (its
-    guest; the last range is followed by the first row of all)."""
-    rows = small_batches(docs).select(
-        F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
-        F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("_key"))
-    n = min(MAX_RANGES, max(1, -(-docs.count() // rows_per_range)))
-    # balanced ranges of ids by Spark's range partitioning
-    found = (rows.select("_key").repartitionByRange(n, "_key")
-             .groupBy(F.spark_partition_id().alias("_p")).agg(F.max("_key").alias("top")).collect())
-    shared = docs.sparkSession.sparkContext.broadcast(np.array(sorted(r["top"] for r in found), dtype=np.int64))
-
-    @F.pandas_udf("array<struct<range:int,guest:boolean>>")
-    def places(keys: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        tops = shared.value
-        for series in keys:
-            at = np.searchsorted(tops, series.to_numpy())
-            own = len(tops) - 1 - at  # ranges are numbered from the highest ids down
-            leads = (tops[at] == series.to_numpy()).tolist()
-            # the first row of a range also follows the range before, in a circle
-            yield pd.Series([[(k, False), ((k or len(tops)) - 1, True)] if lead else [(k, False)]
-                             for k, lead in zip(own.tolist(), leads)], dtype=object)
-
-    placed = rows.withColumn("_at", F.explode(places("_key"))).select(
-        F.col("_at.range").alias("range"), F.col("_at.guest").alias("guest"), "doc_id", "text")
-    return (placed.repartition("range").withColumn("_tie", F.xxhash64("text"))
+    """Rows (range, guest, doc_id, text, copies), each range sorted by
+    descending id in one partition and followed by the first row of the next
+    range (its guest; the last range is followed by the first row of all).
+
+    The order is that of (id, hash of the text) in the id's own type, and
+    ranges are cut on both, so an id on many rows is split. Wholly equal rows
+    that would fill a range of their own are one row with a count."""
+    spark = docs.sparkSession
+    rows = small_batches(docs).select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    # ascending keys are the reverse of the order of documents: falling ids, null ids last, rising hashes
+    rows = rows.withColumn("_tie", F.xxhash64("text")).withColumn("_key", F.struct("doc_id", F.bitwise_not("_tie").alias("t")))
+    keys = materialize(rows.select("_key"), "merkle-keys")
+    many = keys.count()
+    most = max(rows_per_range, -(-many // MAX_RANGES))
+    heavy = keys.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most)
+    heavy = spark.createDataFrame(heavy.toArrow(), heavy.schema)  # at most MAX_RANGES: each is larger than a range
+    ends = (keys.join(F.broadcast(heavy), "_key", "left_anti").unionByName(heavy.select("_key"))
+            .repartitionByRange(max(1, -(-many // most)), "_key").groupBy(F.spark_partition_id().alias("_p")).agg(F.max("_key").alias("top"))
+            .agg(F.sort_array(F.collect_list("top")).alias("tops")))
+    ends = spark.createDataFrame(ends.toArrow(), ends.schema)  # at most MAX_RANGES keys
+    discard(keys)
+    kept = rows.join(F.broadcast(heavy), "_key", "left_anti").withColumn("copies", F.lit(1).cast("long"))
+    if not heavy.isEmpty():
+        kept = kept.unionByName(rows.join(F.broadcast(heavy), "_key").groupBy("_key").agg(F.first("text").alias("text"), F.first("_n").alias("copies"))
+                                .select("_key.doc_id", "text", F.xxhash64("text").alias("_tie"), "_key", "copies"))
+    placed = kept.withColumn("_tops", ends.scalar()).withColumn("_at", _range_of(F.col("_tops"), F.col("_key")))
+    last = F.size("_tops") - 1
+    own = F.struct((last - F.col("_at")).alias("range"), F.lit(False).alias("guest"))
+    # the first row of a range also follows the range before, in a circle
+    before = F.struct(F.when(F.col("_at") == last, last).otherwise(last - F.col("_at") - 1).alias("range"), F.lit(True).alias("guest"))
+    lead = F.get("_tops", F.col("_at")) == F.col("_key")
+    dealt = placed.select(F.explode(F.when(lead, F.array(own, before)).otherwise(F.array(own))).alias("_to"), "doc_id", "text", "_tie", "copies")
+    return (dealt.select("_to.range", "_to.guest", "doc_id", "text", "copies", "_tie").repartition("range")
             .sortWithinPartitions("range", "guest", F.col("doc_id").desc_nulls_last(), "_tie", "text").drop("_tie"))
 
 
@@ -204,25 +224,27 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     edited text's SHA-256 and fingerprint, and the likeness of the fingerprint
     to the edited text's and to the next document's.
 
-    The next document is the one with the next lower id, after the last the
-    first; null ids come last, rows of one id stand in the order of their
-    texts' hashes. Texts are shuffled once, by ranges of ids; at each range's
-    edge one row goes to two ranges."""
+    The next document is the one with the next lower id (of text ids, the next
+    in reverse order), after the last the first; null ids come last, rows of
+    one id stand in the order of their texts' hashes. Texts are shuffled once,
+    by ranges of ids and hashes; at each range's edge one row goes to two
+    ranges. Wholly equal rows that would fill a range are compared once."""
     fields = [T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("n_chars", T.LongType()),
               T.StructField("edited_sha256", T.StringType()), T.StructField("fingerprint", T.StringType()),
               T.StructField("edited_fingerprint", T.StringType()), T.StructField("near_edited", T.DoubleType()),
-              T.StructField("near_next", T.DoubleType())]
+              T.StructField("near_next", T.DoubleType()), T.StructField("_copies", T.LongType())]
     names = [f.name for f in fields]
 
     def compared(rows: list[tuple], id_type: pa.DataType) -> pa.RecordBatch:
-        """Result rows for rows (id, text, tree, pieces, next row)."""
-        texts = [edited(text, following[1]) for _, text, _, _, following in rows]
+        """Result rows for rows (id, text, tree, pieces, copies, next row)."""
+        texts = [edited(text, following[1]) for _, text, _, _, _, following in rows]
         done = [t for block in blocks(pa.array(texts, pa.large_string())) for t in trees(block)]
         cols = [pa.array([r[0] for r in rows], id_type), pa.array([len(r[1]) for r in rows], pa.int64()),
                 pa.array([hashlib.sha256(e.encode()).hexdigest() for e in texts], pa.string()),
                 pa.array([r[2].write() for r in rows], pa.string()), pa.array([t.write() for t in done], pa.string()),
                 pa.array([likeness(r[2], t, r[3]) for r, t in zip(rows, done)], pa.float64()),
-                pa.array([likeness(r[2], r[4][2], r[3], r[4][3]) for r in rows], pa.float64())]
+                pa.array([likeness(r[2], r[5][2], r[3], r[5][3]) for r in rows], pa.float64()),
+                pa.array([r[4] for r in rows], pa.int64())]
         return pa.RecordBatch.from_arrays(cols, names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,13 +254,14 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
                 raw, off = block.data.tobytes(), block.offsets.tolist()
                 here = batch.slice(block.first, block.n_texts)
                 rows = []
-                for where, guest, i, a, b, tree in zip(here.column(0).to_pylist(), here.column(1).to_pylist(),
-                                                       here.column(2).to_pylist(), off, off[1:], trees(block)):
+                for where, guest, i, copies, a, b, tree in zip(*(here.column(j).to_pylist() for j in (0, 1, 2, 4)), off, off[1:], trees(block)):
                     row = (i, raw[a:b].decode(), tree, tree.pieces())
                     if held is not None and held[0] == where:
-                        rows.append((*held[1], row))
-                    # a guest only closes its range; of several with one id the first does
-                    held = None if guest else (where, row)
+                        rows.append((*held[1], 1, row))
+                    if copies > 1 and not guest:  # all but the last of equal rows are followed by an equal one
+                        rows.append((*row, copies - 1, row))
+                    held = None if guest else (where, row)  # a guest only closes its range
                 yield compared(rows, batch.schema.field(2).type)
 
-    return _in_order(docs, id_col, text_col, rows_per_range).mapInArrow(run, T.StructType(fields))
+    found = _in_order(docs, id_col, text_col, rows_per_range).mapInArrow(run, T.StructType(fields))
+    return found.withColumn("_copies", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).drop("_copies")

@@ -417,17 +417,88 @@ def test_merkle_locates_an_edit():
     assert 0.9 < merkle.likeness(a, b) < 1.0
 
 
+def plain_likeness(x: str, y: str) -> float:
+    """Of the written fingerprints: 1 for equal roots, else the Dice share of
+    common pieces, counted with their repeats."""
+    a, b = ([p for section in written.partition("|")[2].split(";") if section for paragraph in section.partition(":")[2].split("/")
+             for p in paragraph.partition(",")[2].split(" ") if p] for written in (x, y))
+    if x.partition("|")[0] == y.partition("|")[0]:
+        return 1.0
+    common = sum((Counter(a) & Counter(b)).values())
+    return min(2 * common / (len(a) + len(b)), 1 - 1e-9) if a and b else 0.0
+
+
+def plain_root(text: str, written: str) -> str:
+    """The root that a written fingerprint's own sections have, each that of
+    its paragraphs, and each paragraph that of the text's lines."""
+    digest = lambda raw: hashlib.blake2b(raw, digest_size=8).digest()
+    lines = [digest(line.encode()) for line in re.findall(r"[^\n]*\n|[^\n]+", text)]
+    sections, at = [], 0
+    for section in filter(None, written.partition("|")[2].split(";")):
+        n = section.partition(":")[2].count("/") + 1
+        assert [p.partition(",")[0] for p in section.partition(":")[2].split("/")] == [x.hex() for x in lines[at: at + n]]
+        sections.append(digest(b"".join(lines[at: at + n])))
+        at += n
+    assert at == len(lines)
+    return hashlib.blake2b(b"".join(sections), digest_size=16).hexdigest()
+
+
+def check_fingerprints(df, per_range):
+    """Against a plain form: the order by a sort of all rows, roots by a plain
+    tree of the lines, likenesses from the written pieces."""
+    from pyspark.sql import functions as F
+
+    rows = df.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    rows = rows.orderBy(F.col("doc_id").desc_nulls_last(), "h", "text").collect()
+    got = merkle.fingerprint_documents(df, rows_per_range=per_range).collect()
+    assert len(got) == len(rows)
+    of = {}
+    for r in got:
+        of.setdefault(r["doc_id"], []).append(r)
+    texts = [r["text"] for r in rows]
+    want = []
+    for r, text, following in zip(rows, texts, texts[1:] + texts[:1]):
+        half = len(text) // 2
+        other = text[: len(text) - half] + following[:half]
+        want.append((r["doc_id"], len(text), hashlib.sha256(other.encode()).hexdigest(), text, other, following))
+    seen = Counter((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in got)
+    assert seen == Counter(w[:3] for w in want)
+    written = {}
+    for r in got:
+        written.setdefault((r["doc_id"], r["n_chars"], r["edited_sha256"]), r)
+    by_text = {w[3]: written[w[:3]]["fingerprint"] for w in want}
+    assert Counter((r["doc_id"], r["n_chars"], r["edited_sha256"], round(r["near_next"], 6)) for r in got) == Counter(
+        (*w[:3], round(plain_likeness(by_text[w[3]], by_text[w[5]]), 6)) for w in want)
+    for w in want:
+        r = written[w[:3]]
+        assert r["fingerprint"].partition("|")[0] == plain_root(w[3], r["fingerprint"])
+        assert r["edited_fingerprint"].partition("|")[0] == plain_root(w[4], r["edited_fingerprint"])
+        assert r["near_edited"] == pytest.approx(plain_likeness(r["fingerprint"], r["edited_fingerprint"]), abs=1e-6)
+
+
 def test_fingerprints_of_documents_in_order(spark, odd_documents, documents_table):
-    for df, per_range in ((documents_table, 40), (documents_table, 10 ** 6), (odd_documents.where("doc_id is not null"), 2)):
-        rows = sorted(df.select("doc_id", "text").collect(), key=lambda r: -r["doc_id"])
-        texts = [r["text"] or "" for r in rows]
-        got = {r["doc_id"]: r for r in merkle.fingerprint_documents(df, rows_per_range=per_range).collect()}
-        assert len(got) == len(rows)
-        for r, text, following in zip(rows, texts, texts[1:] + texts[:1]):
-            g, half = got[r["doc_id"]], len(text) // 2
-            other = text[: len(text) - half] + following[:half]
-            assert g["n_chars"] == len(text) and g["edited_sha256"] == hashlib.sha256(other.encode()).hexdigest()
-            assert g["fingerprint"] == tree(text).write() and g["edited_fingerprint"] == tree(other).write()
-            assert g["near_next"] == merkle.likeness(tree(text), tree(following))
-    assert merkle.fingerprint_documents(odd_documents).count() == odd_documents.count()
+    check_fingerprints(documents_table, 40)
+    check_fingerprints(documents_table, 10 ** 6)
+    check_fingerprints(odd_documents, 2)
     assert merkle.fingerprint_documents(odd_documents.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("per_range", [3, 17, 1000])
+def test_fingerprints_of_hot_ids_text_ids_and_equal_rows(spark, per_range):
+    texts = [f"line {i}\nand {i % 7} more words of it\n" for i in range(40)]
+    rows = [(None, t) for t in texts] + [("a7", t) for t in texts] + [(f"x{i}", "one text for all\n") for i in range(20)]
+    rows += [("hot", "equal\nrows\n")] * 30 + [(None, None)] * 25 + [("", "")]
+    check_fingerprints(spark.createDataFrame(rows, "doc_id string, text string").repartition(4), per_range)
+
+
+def test_fingerprint_ranges_are_even(spark):
+    """A third of the rows under one id, a third without one: no range holds
+    more than three times the median."""
+    from pyspark.sql import functions as F
+
+    rows = [(None if i % 3 == 0 else 5 if i % 3 == 1 else i, f"text {i}") for i in range(3000)]
+    df = spark.createDataFrame(rows + [(9, "equal")] * 1500, "doc_id long, text string").repartition(4)
+    sizes = [r["count"] for r in merkle._in_order(df, "doc_id", "text", 100).groupBy("range").count().collect()]
+    assert len(sizes) > 20 and max(sizes) <= 3 * sorted(sizes)[len(sizes) // 2]
+    assert merkle._in_order(df, "doc_id", "text", 100).where("guest").count() == len(sizes)
+    assert merkle._in_order(df, "doc_id", "text", 100).agg(F.sum("copies")).first()[0] == 4500 + len(sizes)
