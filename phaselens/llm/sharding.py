@@ -16,11 +16,14 @@ communication matrix. DataFrame and SQL functions only.
    expected size and ranked within a range; a range starts where the lower
    ranges of the shard end. No task ever sorts a whole shard.
 
-Only ids, sizes and checksums are shuffled, never texts.
+Only ids, sizes and checksums are shuffled, never texts, which are read once:
+the narrow rows are written to the session's shared folder. Wholly equal rows
+are counted, and written out again with a number each, before they are dealt.
 
 Input cases: a null text is empty (size 16, checksum 0); null and repeated
 ids, equal texts and wholly equal rows are rows of their own (ties between
-equal rows change nothing in the result); extra columns are ignored; an empty
+equal rows change nothing in the result; however many there are, they spread
+over partitions and shards like others); extra columns are ignored; an empty
 table gives an empty result; fewer rows than shards leave shards empty."""
 
 from __future__ import annotations
@@ -31,6 +34,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from phaselens.session import materialize
+
 
 def _uniform(*parts) -> Column:
     """A number in (0, 1) that is a function of its arguments."""
@@ -130,6 +135,23 @@ def deal(df: DataFrame, members: str, room: str, out: str, seed: int, tag: Colum
     return df.withColumn(out, F.aggregate(F.col(members), start, add)["rows"])
 
 
+def _numbered_copies(rows: DataFrame, most: int) -> DataFrame:
+    """The rows with keys of their own: wholly equal rows, which no hash tells
+    apart, become one row with a count, and are written out again with a number
+    that enters the key. No task writes more than ``most`` copies of a row, but
+    those of rows that are few each."""
+    columns = rows.columns
+    counted = rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
+    copies = lambda first, n: F.explode(F.sequence(first, first + n - 1)).alias("_copy")
+    none = F.lit(0).cast("long")
+    few = counted.where(F.col("_n") <= most).select(*columns, copies(none, F.col("_n")))
+    runs = (counted.where(F.col("_n") > most)
+            .withColumn("_first", F.explode(F.sequence(none, F.col("_n") - 1, F.lit(most).cast("long"))))
+            .repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_key", "_first"))
+    many = runs.select(*columns, copies(F.col("_first"), F.least(F.lit(most).cast("long"), F.col("_n") - F.col("_first"))))
+    return few.unionByName(many).select(*[c for c in columns if c != "_key"], F.xxhash64("_key", "_copy").alias("_key"))
+
+
 def shard_documents(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", *,
                     seed: int = 11, rows_per_partition: int = 8192) -> DataFrame:
     """One row per input row: ``doc_id``, ``size`` (UTF-8 bytes of the text
@@ -149,7 +171,8 @@ def shard_documents(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", t
         F.col(id_col).alias("doc_id"), (F.octet_length(text) + F.lit(16)).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.xxhash64(F.lit(seed), F.col(id_col), text).alias("_key"))
-    rows = rows.withColumn("_p", F.pmod(F.col("_key"), F.lit(partitions)).cast("long"))
+    rows = materialize(_numbered_copies(rows, rows_per_partition).withColumn("_p", F.pmod(F.col("_key"), F.lit(partitions)).cast("long")),
+                       "shard-rows")
     counts = rows.groupBy("_p").agg(F.count(F.lit(1)).alias("n"))
     member = F.sort_array(F.collect_list(F.struct(F.col("id"), F.col("n"))))
     size = n_rows // shards
