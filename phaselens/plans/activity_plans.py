@@ -1,4 +1,4 @@
-"""Queries over activity bitmaps (a01-a03)."""
+"""Queries over activity bitmaps (a01-a03) and over a salted join (j01)."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from phaselens.functions.calendar import CRISIS, PRE, RECOVERY
 from phaselens.functions.metrics import pct
 from phaselens.operators.activity import MonthSpan, active_in, activity_bitmaps, month_flow
+from phaselens.operators.heavy import salted_join
 from phaselens.sources.bindings import Model
 
 
@@ -52,3 +53,15 @@ def a03_churn_matrix(m: Model) -> DataFrame:
             f"stack({len(rows)}, {', '.join(rows)}) as (entity, base_phase, later_phase, total, churned, retained)"))
     return (reduce(lambda x, y: x.unionByName(y), parts).withColumn("churn_rate_pct", pct(F.col("churned"), F.col("total")))
             .orderBy("entity", cal.ordinal_col("base_phase"), cal.ordinal_col("later_phase")))
+
+
+def j01_city_cancel_salted(m: Model) -> DataFrame:
+    """``s03_city_phase_cancel`` with the customers joined by
+    :func:`salted_join`: for data where few customers hold most orders."""
+    orders = m.orders.select("customer_id", "order_id", "is_cancelled", m.calendar.phase_col("order_timestamp").alias("business_phase"))
+    joined = salted_join(orders, m.customers.select("customer_id", "city"), "customer_id")
+    return (joined.groupBy("city", "business_phase")
+            .agg(F.count("order_id").alias("total_orders"),
+                 F.count_if(F.col("is_cancelled") == "Y").cast("long").alias("cancelled_orders"))
+            .withColumn("cancellation_rate_pct", pct(F.col("cancelled_orders"), F.col("total_orders")))
+            .orderBy(F.desc("cancellation_rate_pct"), "city", "business_phase"))

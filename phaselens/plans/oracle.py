@@ -483,5 +483,6 @@ def oracle_sql() -> dict[str, str]:
     q.update(_activity_sql())
     q["d09_head_orders"] = _with("SELECT * FROM orders_v ORDER BY order_id LIMIT 10")
     q["k01_written_trend"] = q["s01_monthly_orders"]
+    q["j01_city_cancel_salted"] = q["s03_city_phase_cancel"]
     q.update({f"sql_{name}": q[name] for name in list(q) if name.startswith("s")})
     return q

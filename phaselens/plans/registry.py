@@ -36,7 +36,7 @@ _MODEL_QUERIES = [
     x.d01_shapes, x.d02_null_totals, x.d03_null_columns, x.d04_dtypes, x.d05_phase_counts,
     x.d06_month_counts, x.d07_date_range, x.d08_after_dropna,
     x.m01_active_customers, x.m02_city_absolute_loss, x.m03_city_share,
-    a.a01_month_flow, a.a02_phase_patterns, a.a03_churn_matrix,
+    a.a01_month_flow, a.a02_phase_patterns, a.a03_churn_matrix, a.j01_city_cancel_salted,
 ]
 SQL_TEXTS = ("s01_monthly_orders", "s02_phase_revenue", "s03_city_phase_cancel", "s04_restaurant_decline",
              "s05_sla_by_phase", "s06_loyal_churn", "s07_high_value_by_city", "s08_monthly_rating",
