@@ -34,7 +34,7 @@ class Digits:
 
     columns: tuple[Column, ...]
     rounds: tuple[int, ...]
-    back: Callable[[list[Column]], Column] | None = None  # the value of its digits
+    back: Callable[[list[str]], str] | None = None  # SQL text of the value of its digits
 
     def __add__(self, other: "Digits") -> "Digits":
         return Digits(self.columns + other.columns, self.rounds + other.rounds)
@@ -43,10 +43,9 @@ class Digits:
         return Digits(tuple(-1 - c for c in self.columns), self.rounds)
 
 
-def _java_double(method: str, value: Column, empty) -> Column:
-    """A static method of java.lang.Double; null for null."""
-    called = F.java_method(F.lit("java.lang.Double"), F.lit(method), F.coalesce(value, F.lit(empty) if isinstance(empty, float) else empty))
-    return F.when(value.isNotNull(), called)
+def _double_bits(value: Column) -> Column:
+    bits = F.java_method(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), F.coalesce(value, F.lit(0.0)))
+    return F.when(value.isNotNull(), bits.cast("long"))
 
 
 def digits_of(df: DataFrame, name: str, scale: int | None = None) -> Digits | None:
@@ -56,25 +55,25 @@ def digits_of(df: DataFrame, name: str, scale: int | None = None) -> Digits | No
     None for other types."""
     kind, c = dict(df.dtypes)[name], F.col(name)
     if kind in ("tinyint", "smallint", "int", "bigint"):
-        return Digits((c.cast("long"),), (2,), lambda d: d[0].cast("double"))
+        return Digits((c.cast("long"),), (2,), lambda d: f"cast({d[0]} as double)")
     if kind.startswith("decimal("):
         precision, places = (int(x) for x in kind[8:-1].split(","))
         unit = F.lit(10 ** places).cast(f"decimal({places + 1},0)")
         return Digits(((c.cast(f"decimal({min(precision, 36 - places)},{places})") * unit).cast("long"),), (2,),
-                      lambda d: (d[0].cast("decimal(19,0)") / unit).cast("double"))
+                      lambda d: f"cast(cast({d[0]} as decimal(19,0)) / cast({10 ** places} as decimal({places + 1},0)) as double)")
     if kind in ("float", "double"):
         v = c.cast("double")
         if scale is not None:
             unit = float(10 ** scale)
-            return Digits((F.round(v * F.lit(unit)).cast("long"),), (2,), lambda d: d[0].cast("double") / F.lit(unit))
+            return Digits((F.round(v * F.lit(unit)).cast("long"),), (2,), lambda d: f"cast({d[0]} as double) / {unit!r}D")
         # ascending bits of negative numbers mean falling values: turn them over
-        bits = _java_double("doubleToLongBits", v + F.lit(0.0), 0.0).cast("long")  # no negative zero
+        bits = _double_bits(v + F.lit(0.0))  # no negative zero
         key = bits.bitwiseXOR(F.shiftright(bits, 63).bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF)))
 
-        def back(d: list[Column]) -> Column:
-            k = F.shiftleft(d[0], 32).bitwiseOR(d[1])
-            k = k.bitwiseXOR(F.shiftright(k, 63).bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF)))
-            return _java_double("longBitsToDouble", k, F.lit(0).cast("long")).cast("double")
+        def back(d: list[str]) -> str:
+            k = f"(shiftleft({d[0]}, 32) | {d[1]})"
+            k = f"({k} ^ (shiftright({k}, 63) & {0x7FFFFFFFFFFFFFFF}L))"
+            return f"if({d[0]} is null, null, cast(java_method('java.lang.Double', 'longBitsToDouble', coalesce({k}, 0L)) as double))"
 
         return Digits((F.shiftright(key, 32), key.bitwiseAND(F.lit(_LOW32))), (2, 2), back)
     return None
@@ -95,12 +94,12 @@ def _schedule(d: Digits) -> list[tuple[int, int]]:
     return [(j, left) for j, r in enumerate(d.rounds) for left in range(r, 0, -1)]
 
 
-def _per_order(order: Column, values: list) -> Column:
-    """The literal of an order's number."""
-    return F.get(F.array(*[F.lit(v) for v in values]), order)
+def _per_order(values: list) -> str:
+    """SQL text of the literal of the order ``c.ord``."""
+    return f"get(array({', '.join(str(v).lower() for v in values)}), c.ord)"
 
 
-_CELL = ("order", "prior", "lo", "hi", "least", "most", "ranks")
+_CELL = ("ord", "prior", "lo", "hi", "least", "most", "ranks")
 
 
 def select_ranks(df: DataFrame, wanted: dict[str, Wanted]) -> DataFrame:
@@ -123,7 +122,7 @@ def select_ranks(df: DataFrame, wanted: dict[str, Wanted]) -> DataFrame:
         least, most = (F.array(*[f"{f}{i}_{j}" for j in range(len(w.digits.columns))]) for f in ("min", "max"))
         ranks = [F.struct(F.lit(label).alias("label"), r.cast("long").alias("r"), extra.cast("double").alias("extra"))
                  for label, (r, extra) in wanted_ranks.items()]
-        first.append(F.struct(F.lit(i).alias("order"), F.array().cast("array<bigint>").alias("prior"), F.get(least, 0).alias("lo"),
+        first.append(F.struct(F.lit(i).alias("ord"), F.array().cast("array<bigint>").alias("prior"), F.get(least, 0).alias("lo"),
                               F.get(most, 0).alias("hi"), least.alias("least"), most.alias("most"), F.array(*ranks).alias("ranks")))
     cells = stats.select(F.array(*first).alias("cells"))
     plans = [_schedule(w.digits) for w in orders]
@@ -131,53 +130,39 @@ def select_ranks(df: DataFrame, wanted: dict[str, Wanted]) -> DataFrame:
         cells = _round(keyed, cells.scalar(), t, plans)
 
     # every wanted row by the number of its order and its label
-    rows = F.flatten(F.transform("cells", lambda c: F.transform(c["ranks"], lambda r: F.struct(
-        F.concat(c["order"].cast("string"), F.lit("|"), r["label"]).alias("label"),
-        F.struct(F.concat(c["prior"], F.array(c["lo"])).alias("digits"), r["extra"].alias("extra")).alias("row")))))
-    return cells.select(F.map_from_entries(rows).alias("rows")).select(*[
-        F.struct(*[F.try_element_at("rows", F.lit(f"{i}|{label}")).alias(label) for label in labels[i]]).alias(name)
-        for i, name in enumerate(wanted)])
+    rows = cells.select(F.expr("""map_from_entries(flatten(transform(cells, c -> transform(c.ranks, r -> struct(
+        concat(c.ord, '|', r.label) as label, struct(concat(c.prior, array(c.lo)) as digits, r.extra as extra) as row)))))""").alias("rows"))
+    return rows.selectExpr(*["named_struct({}) as `{}`".format(
+        ", ".join(f"'{label}', try_element_at(rows, '{i}|{label}')" for label in labels[i]), name) for i, name in enumerate(wanted)])
 
 
 def _round(keyed: DataFrame, cells: Column, t: int, plans: list[list[tuple[int, int]]]) -> DataFrame:
     """One pass over the rows: the cells (intervals that hold wanted ranks)
-    after round ``t``."""
-    rounds_left = [plan[t][1] if t < len(plan) else 1 for plan in plans]
-    to_next = [t + 1 < len(plan) and plan[t + 1][0] != plan[t][0] for plan in plans]
-
-    def width(c: Column) -> Column:
-        length, left = c["hi"] - c["lo"] + 1, _per_order(c["order"], rounds_left)
-        bins = F.when(left == 2, F.ceil(F.sqrt(length.cast("double"))) + 1).otherwise(length)
-        return F.ceil(length / F.greatest(F.lit(BINS), bins)).cast("long")
-
-    def key(c: Column) -> Column:
-        return F.get(F.get("_k", c["order"]), F.size(c["prior"]))
-
-    def inside(c: Column) -> Column:
-        return key(c).between(c["lo"], c["hi"]) & (F.slice(F.get("_k", c["order"]), 1, F.size(c["prior"])) == c["prior"])
-
-    def bin_of(c: Column) -> Column:  # whole division: the remainder goes first
-        x = key(c) - c["lo"]
-        return F.round((x - x % c["width"]) / c["width"]).cast("long")
-
-    wide = F.transform("_raw", lambda c: F.struct(*[c[x].alias(x) for x in _CELL], width(c).alias("width")))
-    hits = F.transform(F.filter("_cells", inside), lambda c: F.struct(c.alias("cell"), bin_of(c).alias("bin")))
-    counts = (keyed.withColumn("_raw", cells).withColumn("_cells", wide).select(F.explode(hits).alias("hit")).select("hit.cell", "hit.bin")
-              .groupBy("cell", "bin").agg(F.count(F.lit(1)).alias("_pl_cnt")))
+    after round ``t``. Written as SQL text: an expression made call by call
+    costs many round trips between Python and the JVM."""
+    rounds_left = _per_order([plan[t][1] if t < len(plan) else 1 for plan in plans])
+    to_next = _per_order([t + 1 < len(plan) and plan[t + 1][0] != plan[t][0] for plan in plans])
+    length = "(c.hi - c.lo + 1)"
+    bins = f"greatest({BINS}, if({rounds_left} = 2, ceil(sqrt({length})) + 1, {length}))"
+    key = "get(get(_k, c.ord), size(c.prior))"
+    offset = f"({key} - c.lo)"
+    cell = ", ".join(f"c.{x} as {x}" for x in _CELL)
+    hits = (keyed.withColumn("_raw", cells)
+            .selectExpr("_k", f"transform(_raw, c -> struct({cell}, cast(ceil({length} / {bins}) as long) as width)) as _cells")
+            # whole division: the remainder goes first
+            .selectExpr(f"""explode(transform(
+                filter(_cells, c -> {key} between c.lo and c.hi and slice(get(_k, c.ord), 1, size(c.prior)) = c.prior),
+                c -> struct(c as cell, cast(round(({offset} - {offset} % c.width) / c.width) as long) as bin))) as hit"""))
+    counts = hits.selectExpr("hit.cell as c", "hit.bin as bin").groupBy("c", "bin").agg(F.count(F.lit(1)).alias("_pl_cnt"))
     # the counts, a few bins' worth per wanted rank, meet in one task
-    upto = F.sum("_pl_cnt").over(Window.partitionBy("cell").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
-    run = counts.repartition(1).withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("_pl_cnt"))
-    ranks = F.transform(F.filter("cell.ranks", lambda r: (r["r"] >= F.col("before")) & (r["r"] < F.col("upto"))),
-                        lambda r: F.struct(r["label"].alias("label"), (r["r"] - F.col("before")).alias("r"), r["extra"].alias("extra")))
-    lo = F.col("cell.lo") + F.col("bin") * F.col("cell.width")
-    hi = F.least(F.col("cell.hi"), lo + F.col("cell.width") - 1)
-    step, at = _per_order(F.col("cell.order"), to_next), F.size("cell.prior") + 1
-    kept = F.struct(F.col("cell.order").alias("order"),
-                    F.when(step, F.array_append("cell.prior", lo)).otherwise(F.col("cell.prior")).alias("prior"),
-                    F.when(step, F.get("cell.least", at)).otherwise(lo).alias("lo"),
-                    F.when(step, F.get("cell.most", at)).otherwise(hi).alias("hi"),
-                    F.col("cell.least").alias("least"), F.col("cell.most").alias("most"), F.col("ranks"))
-    return run.withColumn("ranks", ranks).where(F.size("ranks") > 0).agg(F.collect_list(kept).alias("cells"))
+    run = counts.repartition(1).selectExpr(
+        "c", "bin", "_pl_cnt", "sum(_pl_cnt) over (partition by c order by bin rows unbounded preceding) as upto")
+    inside = run.selectExpr("c", "c.lo + bin * c.width as lo", f"{to_next} as step", """transform(
+        filter(c.ranks, r -> r.r >= upto - _pl_cnt and r.r < upto),
+        r -> struct(r.label as label, r.r - upto + _pl_cnt as r, r.extra as extra)) as ranks""").where("size(ranks) > 0")
+    return inside.agg(F.expr("""collect_list(struct(c.ord as ord, if(step, array_append(c.prior, lo), c.prior) as prior,
+        if(step, get(c.least, size(c.prior) + 1), lo) as lo, if(step, get(c.most, size(c.prior) + 1), least(c.hi, lo + c.width - 1)) as hi,
+        c.least as least, c.most as most, ranks as ranks))""").alias("cells"))
 
 
 def quantiles(df: DataFrame, probs: dict[str, dict[str, float]], scales: dict[str, int] | None = None,
@@ -202,13 +187,15 @@ def quantiles(df: DataFrame, probs: dict[str, dict[str, float]], scales: dict[st
     also = also or {}
     got = select_ranks(df, {c: Wanted(digits[c], ranks(names)) for c, names in probs.items()} | also)
 
-    def value(c: str, label: str) -> Column:
-        found = F.col(f"`{c}`")[label]["digits"]
-        return digits[c].back([F.get(found, j) for j in range(len(digits[c].columns))])
+    def value(c: str, label: str) -> str:
+        return digits[c].back([f"get(`{c}`.`{label}`.digits, {j})" for j in range(len(digits[c].columns))])
+
+    def between(c: str, n: str) -> str:
+        lo = value(c, f"{n}|lo")
+        return f"{lo} + `{c}`.`{n}|lo`.extra * ({value(c, f'{n}|hi')} - {lo})"
 
-    return got.select(*[F.struct(*[
-        (value(c, f"{n}|lo") + F.col(f"`{c}`")[f"{n}|lo"]["extra"] * (value(c, f"{n}|hi") - value(c, f"{n}|lo"))).alias(n)
-        for n in names]).alias(c) for c, names in probs.items()], *[F.col(f"`{name}`") for name in also])
+    return got.selectExpr(*["named_struct({}) as `{}`".format(", ".join(f"'{n}', {between(c, n)}" for n in names), c)
+                            for c, names in probs.items()], *[f"`{name}`" for name in also])
 
 
 def order_digits(df: DataFrame, order: list[tuple[str, bool]], tie_key: str) -> Digits | None:

@@ -58,7 +58,8 @@ def test_double_digits_keep_the_order(spark):
     values = sorted({r[1] for r in _values()} | {0.0, 5e-324, -5e-324, 1.0, -1.0, float("inf"), float("-inf")})
     df = spark.createDataFrame([(v,) for v in values], "v double").coalesce(1)
     d = digits_of(df, "v")
-    got = df.select("v", F.array(*d.columns).alias("d"), d.back(list(d.columns)).alias("back")).collect()
+    df = df.withColumn("d", F.array(*d.columns))
+    got = df.select("v", "d", F.expr(d.back(["d[0]", "d[1]"])).alias("back")).collect()
     assert all(struct.pack("d", r["v"]) == struct.pack("d", r["back"]) for r in got)
     keys = [tuple(r["d"]) for r in sorted(got, key=lambda r: r["v"])]
     assert keys == sorted(keys) and len(set(keys)) == len(keys)
