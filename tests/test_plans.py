@@ -36,7 +36,8 @@ def test_tiles_quantiles_and_bins_move_no_rows(spark, name):
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "_pl_bucket" not in plan and "row_number" not in plan and "_pl_cnt" in plan
     windows = [line for line in plan.splitlines() if " Window [" in line]
-    assert windows and all("upto" in w for w in windows)
+    # m03 has a running sum over its few cities besides
+    assert windows and all("upto" in w or w.strip(" +-:*").startswith("Window [sum(customers#") for w in windows)
 
 
 @pytest.mark.parametrize("name", ["p06_monthly_rating", "p06_sharpest_drop", "x02_negative_reviews"])
@@ -60,10 +61,10 @@ def _single_partition_children(plan: str) -> list[str]:
 
 @pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_single_partition_only_over_bounded_data(spark, name):
-    """As on a large cluster (no automatic broadcast): a
-    single-partition exchange may only carry partial aggregates, the rank
-    sample, the per-bucket table, the table of distinct values, the table of
-    phases (m01), or (p06) the month-level table."""
+    """As on a large cluster (no automatic broadcast): a single-partition
+    exchange may only carry partial aggregates, the bin counts of a rank
+    selection, the per-bucket table, the table of phases (m01), or (p06, a01)
+    a month-level table."""
     old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
@@ -75,5 +76,6 @@ def test_single_partition_only_over_bounded_data(spark, name):
     for child in _single_partition_children(plan):
         ok = ("partial_" in child or "_pl_bucket" in child
               or "_pl_v" in child or "_pl_cnt" in child or (name == "m01_active_customers" and "phase" in child)
+              or (name == "a01_month_flow" and "retained#" in child)
               or (name == "p06_sharpest_drop" and ("Sort [month" in child or "output=[month#" in child)))
         assert ok, (name, child.strip()[:200])
