@@ -484,5 +484,8 @@ def oracle_sql() -> dict[str, str]:
     q["d09_head_orders"] = _with("SELECT * FROM orders_v ORDER BY order_id LIMIT 10")
     q["k01_written_trend"] = q["s01_monthly_orders"]
     q["j01_city_cancel_salted"] = q["s03_city_phase_cancel"]
+    q["c01_csv_phase_revenue"] = q["s02_phase_revenue"]
+    q["c02_csv_negative_keywords"] = q["p07_negative_keywords"]
+    q["c03_namespace_scorecard"] = q["s10_recovery_scorecard"]
     q.update({f"sql_{name}": q[name] for name in list(q) if name.startswith("s")})
     return q

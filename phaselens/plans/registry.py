@@ -17,8 +17,8 @@ from phaselens.plans import sql_script
 from phaselens.plans import sql_variants as s
 from phaselens.session import ensure_checkpoint_dir
 from phaselens.sources.bindings import Model
-from phaselens.sources.readers import read_parquet_table
-from phaselens.sources.sinks import write_result
+from phaselens.sources.readers import read_parquet_table, read_reference_csv
+from phaselens.sources.sinks import write_reference_csv, write_result
 
 _MODEL_QUERIES = [
     s.s01_monthly_orders, s.s02_phase_revenue, s.s03_city_phase_cancel, s.s04_restaurant_decline,
@@ -93,6 +93,42 @@ def k01_written_trend(m: Model) -> DataFrame:
     return spark.read.schema(trend.schema).parquet(path)
 
 
+def _from_csv(m: Model, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The tables, written as the reference's CSV files and read again."""
+    spark = m.orders.sparkSession
+    folder = os.path.join(ensure_checkpoint_dir(spark), "phaselens", f"csv-{uuid.uuid4().hex}")
+    write_reference_csv(tables, folder)
+    return read_reference_csv(spark, folder, list(tables))
+
+
+def c01_csv_phase_revenue(m: Model) -> DataFrame:
+    """``s02_phase_revenue`` over orders that went through a CSV file."""
+    orders = _from_csv(m, {"fact_orders": m.orders_full})["fact_orders"]
+    return s.s02_phase_revenue(Model({"orders": orders}, m.calendar, m.params))
+
+
+def c02_csv_negative_keywords(m: Model) -> DataFrame:
+    """``p07_negative_keywords`` over orders and ratings that went through CSV
+    files; the review texts hold line breaks, quotes and commas."""
+    read = _from_csv(m, {"fact_orders": m.orders_full, "fact_ratings": m.ratings})
+    return p.p07_negative_keywords(Model({"orders": read["fact_orders"], "ratings": read["fact_ratings"]}, m.calendar, m.params))
+
+
+def c03_namespace_scorecard(m: Model) -> DataFrame:
+    """The SQL text of ``s10_recovery_scorecard`` over a table written into a
+    namespace, in a session of its own (no temp view, no change of the
+    caller's current namespace)."""
+    spark = m.orders.sparkSession
+    name, before = f"phaselens_{uuid.uuid4().hex}", spark.catalog.currentDatabase()
+    try:
+        sql_script.create_tables(m, name, ("order_service",), os.path.join(ensure_checkpoint_dir(spark), "phaselens", name))
+    finally:
+        spark.sql(f"USE `{before}`")
+    own = spark.newSession()
+    own.sql(f"USE {name}")
+    return own.sql(sql_script.script(m.calendar, m.params)["s10_recovery_scorecard"])
+
+
 def model_queries() -> dict[str, Callable[[Model], DataFrame]]:
     """The named queries as functions of a bound :class:`Model` (any
     binding: the reference's own tables or the driver's)."""
@@ -101,7 +137,8 @@ def model_queries() -> dict[str, Callable[[Model], DataFrame]]:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {fn.__name__: _on_model(fn) for fn in _MODEL_QUERIES}
-    out |= {fn.__name__: _on_model(fn) for fn in (d09_head_orders, k01_written_trend)}
+    out |= {fn.__name__: _on_model(fn) for fn in (
+        d09_head_orders, k01_written_trend, c01_csv_phase_revenue, c02_csv_negative_keywords, c03_namespace_scorecard)}
     out |= {f"sql_{name}": _on_script(name) for name in SQL_TEXTS}
     out["r01_rfm_base_events"] = _on_events(r.r01_rfm_base_events)
     out["r02_rfm_describe_events"] = _on_events(r.r02_rfm_describe_events)
