@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 
 from phaselens.llm.learn import (BUCKETS, Linear, Sparse, chosen_features, counted, fit, fold, labelled_sample, pack,
                                  sigmoid, unpack, word_features)
-from phaselens.llm.textops import SPACE, U64, Block, blocks, mix64, small_batches
+from phaselens.llm.textops import SPACE, U64, Block, blocks, mix64, small_batches, whole_row
 
 PREFIXES, SUFFIXES = (4, 6), (2, 3)
 
@@ -337,5 +337,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, *, params: CoTraining = CoTrai
     model = fit_quality(docs, labels, params, **names)
     scored = quality_scorer(docs.sparkSession, model, *(F.col(names[c]) for c in (
         "text_col", "source_col", "lang_col", "length_col")))
-    return (small_batches(docs).withColumn("_cotrain_quality", scored)
-            .where(F.col("_cotrain_quality.score") >= params.reject_below).select(*docs.columns))
+    return (small_batches(docs).select(whole_row(docs), scored.alias("_q"))
+            .where(F.col("_q.score") >= params.reject_below).select("_row.*"))

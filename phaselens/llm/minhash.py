@@ -52,7 +52,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from phaselens.llm.textops import U64, blocks, mix64, shingle_hashes, small_batches
+from phaselens.llm.textops import U64, blocks, mix64, shingle_hashes, small_batches, whole_row
 from phaselens.session import discard, materialize
 
 
@@ -485,7 +485,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
              .select(F.col("_first.doc_id").alias("_keep_id"), F.col("_first.text_md5").alias("_keep_md5")))
     text = F.coalesce(F.col(text_col), F.lit(""))
     worded = text.rlike(r"[^\x20\x09-\x0D]")
-    chosen = (docs.where(worded).withColumn("_keep_text", F.md5(text.cast("binary")))
-              .join(first, F.col(id_col).eqNullSafe(F.col("_keep_id")) & (F.col("_keep_text") == F.col("_keep_md5")))
-              .dropDuplicates(["_keep_id", "_keep_md5"]).select(*docs.columns))
+    chosen = (docs.where(worded).select(whole_row(docs), F.col(id_col).alias("_id"), F.md5(text.cast("binary")).alias("_md5"))
+              .join(first, F.col("_id").eqNullSafe(F.col("_keep_id")) & (F.col("_md5") == F.col("_keep_md5")))
+              .dropDuplicates(["_keep_id", "_keep_md5"]).select("_row.*"))
     return chosen.unionByName(docs.where(~worded))

@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from phaselens.llm.textops import whole_row
 from phaselens.session import discard, materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -179,25 +180,19 @@ def mixed_rows(docs: DataFrame, *, mix: Mix = Mix(), domain: Column | None = Non
     plan is too large to broadcast by Spark's own size check."""
     narrow, plan = mixture_plan(docs, mix, domain, id_col, text_col, lang_col, source_col)
     discard(narrow)
-    mine = [f"_mix_{c}" for c in LEVELS]
-    leaf = plan.select(*(F.col(c).alias(m) for c, m in zip(LEVELS, mine)), "full_epochs", "rest", "ranges",
-                       "end_range", "end_key")
-    leaf = leaf.select(F.struct(*leaf.columns).alias("_mix_leaf"), *mine)
-    tagged = (docs.withColumn(mine[0], _node(domain if domain is not None else domain_of(F.col(source_col))))
-              .withColumn(mine[1], _node(F.col(lang_col))).withColumn(mine[2], _node(F.col(source_col)))
-              .join(leaf, mine))
-    epochs = F.col("_mix_leaf.full_epochs")
-    key = _order_key(mix.seed, epochs + 1, F.col(id_col), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
-    tagged = tagged.withColumn("_mix_key", key)
-    spot = _range_of(F.col("_mix_key"), F.col("_mix_leaf.ranges"))
-    end = F.col("_mix_leaf.end_range")
-    last = (F.col("_mix_leaf.rest") > 0) & ((spot < end) | ((spot == end) & (
-        F.col("_mix_key") <= F.coalesce(F.col("_mix_leaf.end_key"), F.lit("")))))
+    leaf = plan.select(*LEVELS, F.struct("full_epochs", "rest", "ranges", "end_range", "end_key").alias("_leaf"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    nodes = [_node(domain if domain is not None else domain_of(F.col(source_col))), _node(F.col(lang_col)), _node(F.col(source_col))]
+    tagged = docs.select(whole_row(docs), *[n.alias(c) for n, c in zip(nodes, LEVELS)], F.col(id_col).alias("_id"),
+                         F.md5(text.cast("binary")).alias("_md5"), text.rlike(WORD).alias("_worded")).join(leaf, [*LEVELS])
+    epochs = F.col("_leaf.full_epochs")
+    tagged = tagged.withColumn("_key", _order_key(mix.seed, epochs + 1, F.col("_id"), F.col("_md5")))
+    spot = _range_of(F.col("_key"), F.col("_leaf.ranges"))
+    end = F.col("_leaf.end_range")
+    last = (F.col("_leaf.rest") > 0) & ((spot < end) | ((spot == end) & (F.col("_key") <= F.coalesce(F.col("_leaf.end_key"), F.lit("")))))
     copies = epochs + F.coalesce(last.cast("int"), F.lit(0))
-    has_tokens = F.coalesce(F.col(text_col), F.lit("")).rlike(WORD)
-    return (tagged.where(has_tokens & (copies > 0))
-            .withColumn("_mix_epoch", F.explode(F.sequence(F.lit(1), copies)))
-            .select(*docs.columns))
+    return (tagged.where(F.col("_worded") & (copies > 0)).withColumn("_epoch", F.explode(F.sequence(F.lit(1), copies)))
+            .select("_row.*"))
 
 
 ORACLE_SQL = r"""

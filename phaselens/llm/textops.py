@@ -15,7 +15,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 BLOCK_BYTES = 1 << 20
 BLOCK_TEXTS = 4096
@@ -126,6 +127,13 @@ def text_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0]: offsets[-1]], offsets - offsets[0]
 
 
+def whole_row(df: DataFrame, name: str = "_row") -> Column:
+    """All columns of ``df`` as one struct. Beside it helper columns can have
+    any name, whatever the table's columns are called; ``select("_row.*")``
+    gives these back."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name)
+
+
 def small_batches(df: DataFrame) -> DataFrame:
     """Bound the session's Arrow batches to ``BATCH_ROWS`` rows (a smaller
     setting stays); every operator that maps texts does so."""

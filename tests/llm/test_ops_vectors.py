@@ -247,3 +247,22 @@ def test_double_array_holds_exactly_its_phrases(seed):
     for i, r in enumerate(probe.tolist()):
         cut = r[: r.index(0)] if 0 in r else r
         assert ends[i] == number.get(tuple(cut + [0] * (4 - len(cut))), -1)
+
+
+# -------------------------------------------------- clashing helper columns
+
+def test_row_returning_operators_allow_any_column_name(spark):
+    """Columns named like the operators' own helper columns come back as they
+    were."""
+    from phaselens.llm import cotrain, minhash, mixing
+
+    names = ["_row", "_id", "_md5", "_keep_id", "_keep_md5", "_q", "_leaf", "_key", "_worded", "_epoch", "domain", "budget", "digest", "root"]
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(base[i % 5:] + [f"own{i % 7}"]), "en", f"s{i % 3}", 9, *[f"{n}{i}" for n in names]) for i in range(30)]
+    df = spark.createDataFrame(rows, ["doc_id", "text", "lang", "source", "n_chars", *names])
+    marks = spark.createDataFrame([(i, i % 2, 0) for i in range(30)], "doc_id long, quality int, toxic int")
+    given = {r["doc_id"]: tuple(r) for r in df.collect()}
+    for out in (minhash.keep_one(df), mixing.mixed_rows(df), cotrain.keep_good(df, marks)):
+        assert out.columns == df.columns
+        got = out.collect()
+        assert got and all(tuple(r) == given[r["doc_id"]] for r in got)
