@@ -38,6 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from phaselens.llm.textops import small_batches
 from phaselens.llm.vectors import Vectors
 from phaselens.session import materialize
 
@@ -48,7 +49,7 @@ SCALE = 256
 class Search:
     k: int = 5
     every: int = 50  # queries: ids divisible by this
-    block_rows: int = 128
+    block_rows: int = 128  # fewer where vectors are long
     shard_blocks: int = 1024  # most blocks of a cell
     chunk_queries: int = 1 << 15  # most queries of a cell
     cells_per_core: int = 4  # least cells, for small tables
@@ -85,6 +86,8 @@ def _unpack(raw: bytes, d: int, rows: int) -> np.ndarray:
     return np.frombuffer(raw, dtype=np.int32 if len(raw) == 4 * d * rows else np.int64).reshape(rows, d)
 
 
+_BLOCK_BYTES = 1 << 15  # of a block's vectors, so that an Arrow batch of blocks stays small
+
 BLOCK = "block long, d int, rows int, ids binary, vectors binary, high binary, low binary, queries int"
 
 
@@ -98,7 +101,8 @@ def _blocks(p: Search):
         def cut(length):
             nonlocal first
             ids, x = (np.concatenate(c) for c in zip(*held.pop(length)))
-            parts = [p_[np.argsort(ids[p_], kind="stable")] for p_ in _alike(x, p.block_rows)]
+            most = min(p.block_rows, max(8, _BLOCK_BYTES // (4 * length)))
+            parts = [p_[np.argsort(ids[p_], kind="stable")] for p_ in _alike(x, most)]
             n = len(parts)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(first + np.arange(n)), pa.array(np.full(n, length, np.int32)),
@@ -283,7 +287,7 @@ def search(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     highest inner products, of equal ones the smaller ids, for each vector
     whose id is divisible by ``every``, against all other rows."""
     p, spark = params, embeddings.sparkSession
-    blocks = materialize(embeddings.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
+    blocks = materialize(small_batches(embeddings).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
                          .mapInArrow(_blocks(p), BLOCK), "search-blocks")
     many = blocks.agg(F.count(F.lit(1)).alias("blocks"), F.sum("queries").alias("queries")).first()
     chunks = max(1, -(-(many["queries"] or 0) // p.chunk_queries))
