@@ -618,15 +618,20 @@ def test_pipeline_equals_brute_force(spark):
     expected = {i for (i, _), r, s in zip(rows, roots, sets) if not s or first[r] == i}
     assert {r["doc_id"] for r in single.collect()} == expected
 
-    crf = pii.train_crf(pii.labelled_table())
     texts = {r["doc_id"]: r["text"] for r in single.collect()}
     for r in masked.collect():
         before = texts[r["doc_id"]]
         assert r["n_chars"] == len(r["text"])
-        assert r["text"] == before or pii.base_spans(before) or "[" in r["text"]
+        if not pii.base_spans(before) and "[" not in r["text"]:
+            assert r["text"] == before
+        at = 0  # what is not a mask stands in the text, in order
+        for piece in re.split(r"\[[A-Za-z_]+\]", r["text"]):
+            found = before.find(piece, at)
+            assert found >= 0
+            at = found + len(piece)
         for a, k, b in pii.base_spans(before):
             assert before[a:b] not in r["text"]
-    assert masked.count() == single.count() and crf is not None
+    assert masked.count() == single.count()
 
     copies = {r["doc_id"]: r["copies"] for r in mixing.mix_documents(masked).collect()}
     assert Counter(r["doc_id"] for r in mixture.collect()) == Counter({k: v for k, v in copies.items() if v})
@@ -643,13 +648,12 @@ def test_pipeline_equals_brute_force(spark):
 
 def test_stages_take_odd_and_empty_tables(spark, odd_documents):
     for _, stage in corpus_pipeline.STAGES:
-        assert stage(spark, odd_documents, SF).count() >= 0
+        assert {r["doc_id"] for r in stage(spark, odd_documents, SF).collect()} <= {r["doc_id"] for r in odd_documents.collect()}
         assert stage(spark, odd_documents.limit(0), SF).count() == 0
 
 
 def test_registered_queries():
     import __spark_entry__ as E
     names = [q for q in E.queries() if re.match(r"op\d+_", q)]
-    assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in names) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in names) == list(range(1, 14))
     assert "pipeline" in E.queries() and len(corpus_pipeline.STAGES) == 5
-    assert pa is not None
